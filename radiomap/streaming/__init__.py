@@ -1,0 +1,7 @@
+"""Streaming.
+
+The surveyed pipeline reads finite files only: it has no watermark, window,
+state or late data, so no streaming operator is provided. Every operator in
+``radiomap.operators`` is a plain DataFrame transformation and therefore also
+accepts a streaming DataFrame where Spark allows the same plan.
+"""
