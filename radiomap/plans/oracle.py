@@ -116,3 +116,152 @@ b AS (SELECT user_id, count(*) AS n_scans, min(latitude) AS min_lat, max(latitud
              min(longitude) AS min_lon, max(longitude) AS max_lon FROM obs WHERE dataset = 'train' GROUP BY user_id)
 SELECT b.user_id, b.n_scans, coalesce(nl.n_locations, 0) AS n_locations, b.min_lat, b.max_lat, b.min_lon, b.max_lon
 FROM b LEFT JOIN nl USING (user_id)""")
+
+
+# --- sources, projections, filters, row-wise ---------------------------------------
+
+from radiomap.functions.hashing import sql_hash_key, sql_hash_uniform  # noqa: E402
+from radiomap.operators.sampling import poisson_cdf_steps  # noqa: E402
+
+WAPS = ("WAP0001", "WAP0002", "WAP0003", "WAP0004")
+
+
+def _h(seed: int, salt: str | None = None, key: str = "obs_id") -> str:
+    return sql_hash_key(seed, *([f"'{salt}'"] if salt else []), key)
+
+
+def _u(seed: int, salt: str | None = None, key: str = "obs_id") -> str:
+    return sql_hash_uniform(seed, *([f"'{salt}'"] if salt else []), key)
+
+
+def _strat(src: str, n: int, seed: int, salt: str, cols: str = "obs_id, building_id, floor") -> str:
+    return (f"SELECT {cols} FROM {src} QUALIFY row_number() OVER "
+            f"(PARTITION BY building_id, floor ORDER BY {_h(seed, salt)}, obs_id) <= {n}")
+
+
+def _sample_n(src: str, n: int, seed: int, salt: str, cols: str = "obs_id, building_id, floor") -> str:
+    return f"SELECT {cols} FROM {src} ORDER BY {_h(seed, salt)}, obs_id LIMIT {n}"
+
+
+def _sample_frac(src: str, frac: float, seed: int, salt: str, cols: str = "obs_id, building_id, floor") -> str:
+    return (f"SELECT {cols} FROM {src} QUALIFY row_number() OVER (ORDER BY {_h(seed, salt)}, obs_id) <= "
+            f"(SELECT round_even({frac} * count(*), 0) FROM {src})")
+
+
+def _copies(seed: int, salt: str, mean: float) -> str:
+    u = _u(seed, salt)
+    return "(" + " + ".join(f"CASE WHEN {u} >= {c:.17e} THEN 1 ELSE 0 END"
+                            for c in poisson_cdf_steps(mean)) + ")"
+
+
+def _bootstrap(src: str, mean: float, seed: int, salt: str) -> str:
+    return (f"SELECT obs_id, CAST(c AS INT) AS copy_no FROM (SELECT obs_id, unnest(range(1, copies + 1)) AS c "
+            f"FROM (SELECT obs_id, {_copies(seed, salt, mean)} AS copies FROM {src}) WHERE copies > 0)")
+
+
+LAB = """, tr AS (SELECT obs_id, building_id, floor FROM obs WHERE dataset = 'train'),
+val AS (SELECT obs_id, building_id, floor FROM obs WHERE dataset = 'val')"""
+
+sql("load_survey", "SELECT * FROM obs")
+sql("tag_dataset", "SELECT obs_id, dataset FROM obs")
+sql("select_ap_columns", f"SELECT obs_id, {', '.join(WAPS)} FROM scan_wide")
+sql("reorder_labels", "SELECT * FROM obs")
+sql("filter_by_dataset", """SELECT obs_id, dataset, building_id, floor FROM obs
+WHERE dataset = 'train' AND (building_id = 1 OR floor = 2)""")
+sql("filter_location", """SELECT obs_id, longitude, latitude, space_id FROM obs
+WHERE building_id = 1 AND floor = 2 AND space_id = 100""")
+sql("sentinel_to_null", "SELECT obs_id, dataset, space_id, "
+    + ", ".join(f"nullif({w}, 100) AS {w}" for w in WAPS) + " FROM scan_wide")
+sql("fill_missing_signal", "SELECT obs_id, dataset, space_id, "
+    + ", ".join(f"coalesce(nullif({w}, 100), -110) AS {w}" for w in WAPS) + " FROM scan_wide")
+sql("dbm_to_mw", "SELECT obs_id, ap_id, rssi, round(pow(10.0, CAST(rssi AS DOUBLE) / 10.0), 15) AS mw FROM reading")
+sql("row_index", "SELECT obs_id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY obs_id) AS row_idx FROM obs")
+
+# --- reshape, rank, encode ----------------------------------------------------------
+
+RANK = f""", rk AS (
+  SELECT obs_id, CAST(row_number() OVER (PARTITION BY obs_id ORDER BY rssi DESC,
+         {sql_hash_key(42, 'obs_id', 'ap_id')}, ap_id) AS INT) AS rn, ap_id, rssi FROM reading)"""
+PIVOT_RANKS = RANK + ", pr AS (SELECT obs_id, " + ", ".join(
+    f"max(CASE WHEN rn = {i} THEN ap_id END) AS hi{i}" for i in range(1, 11)) + " FROM rk WHERE rn <= 10 GROUP BY obs_id)"
+
+sql("wide_to_long", " UNION ALL ".join(
+    f"SELECT obs_id, '{w}' AS ap_id, {w} AS rssi FROM scan_wide WHERE {w} <> 100" for w in WAPS))
+sql("long_to_wide", "SELECT * FROM (PIVOT reading ON ap_id USING max(rssi) GROUP BY obs_id)")
+sql("rank_signals", RANK + " SELECT obs_id, rn, ap_id, rssi FROM rk")
+sql("rank_weakest", f"""SELECT obs_id, CAST(1 AS INT) AS rn, ap_id, rssi FROM reading
+QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY rssi ASC, {sql_hash_key(42, 'obs_id', 'ap_id')}, ap_id) = 1""")
+sql("topk_signals", RANK + " SELECT obs_id, rn, ap_id, rssi FROM rk WHERE rn <= 10")
+sql("pivot_ranks", PIVOT_RANKS + " SELECT * FROM pr")
+sql("scan_with_ranks", PIVOT_RANKS + """ SELECT o.obs_id, o.dataset, o.building_id, o.floor, """
+    + ", ".join(f"pr.hi{i}" for i in range(1, 11)) + " FROM obs o LEFT JOIN pr USING (obs_id)")
+sql("one_hot_ranks", RANK + " SELECT obs_id, 'hi' || CAST(rn AS VARCHAR) || ap_id AS feature, 1 AS value FROM rk WHERE rn <= 10")
+sql("factorize_floor", """SELECT floor, CAST(row_number() OVER (ORDER BY first, floor) - 1 AS INT) AS code
+FROM (SELECT floor, min(obs_id) AS first FROM obs WHERE dataset = 'train' AND floor IS NOT NULL GROUP BY floor)""")
+sql("union_surveys", """SELECT obs_id, dataset, building_id, floor, longitude, latitude, CAST(NULL AS INT) AS space_id
+FROM obs WHERE dataset <> 'test'
+UNION ALL SELECT obs_id, dataset, NULL, NULL, NULL, NULL, space_id FROM obs WHERE dataset = 'test'""")
+DLOC = """SELECT d.longitude, d.latitude, d.obs_id, o.building_id, o.floor
+FROM (SELECT longitude, latitude, min(obs_id) AS obs_id FROM obs WHERE dataset = '{d}' GROUP BY longitude, latitude) d
+JOIN obs o USING (obs_id)"""
+sql("distinct_locations", DLOC.format(d="train"))
+sql("all_locations", "SELECT *, 'train' AS dataset FROM (" + DLOC.format(d="train") + ") UNION ALL SELECT *, 'val' AS dataset FROM ("
+    + DLOC.format(d="val") + ")")
+sql("common_aps", RD + " SELECT ap_id FROM rd WHERE dataset = 'train' INTERSECT SELECT ap_id FROM rd WHERE dataset = 'val'")
+sql("ap_overlap_buildings", """, bap AS (SELECT DISTINCT o.building_id, r.ap_id FROM reading r JOIN obs o USING (obs_id)
+  WHERE o.building_id IS NOT NULL)
+SELECT a.building_id AS building_a, b.building_id AS building_b, count(*) AS n_common
+FROM bap a JOIN bap b ON a.ap_id = b.ap_id AND a.building_id < b.building_id GROUP BY 1, 2""")
+_SIG_ATTRS = " || '|' || ".join(
+    f"coalesce(CAST(o.{c} AS VARCHAR), '∅')" for c in
+    ("dataset", "building_id", "floor", "longitude", "latitude"))
+sql("duplicate_scans", f""", fp AS (
+  SELECT obs_id, string_agg(ap_id || '=' || CAST(rssi AS VARCHAR), ',' ORDER BY ap_id || '=' || CAST(rssi AS VARCHAR)) AS fp
+  FROM reading GROUP BY obs_id),
+s AS (SELECT o.obs_id, coalesce(fp.fp, '') || '|' || {_SIG_ATTRS} AS sig FROM obs o LEFT JOIN fp USING (obs_id)),
+g AS (SELECT sig, count(*) AS n, min(obs_id) AS first_id FROM s GROUP BY sig HAVING count(*) > 1)
+SELECT s.obs_id, g.n AS n_copies, s.obs_id = g.first_id AS keep FROM s JOIN g USING (sig)""")
+sql("head_rows", "SELECT obs_id, dataset FROM obs ORDER BY obs_id LIMIT 10")
+
+# --- sampling and splits --------------------------------------------------------------
+
+sql("stratified_sample", LAB + " " + _strat("tr", 400, 42, "tr_samp"))
+sql("sample_n", LAB + " SELECT obs_id FROM (" + _sample_n("val", 250, 42, "test_val") + ")")
+sql("bootstrap_sample", LAB + " " + _bootstrap("val", 0.5, 32, "val_half"))
+sql("random_split", f"""SELECT obs_id, CASE WHEN {_u(42)} < 0.75 THEN 'train' ELSE 'test' END AS split
+FROM obs WHERE dataset <> 'test'""")
+sql("split_5_1", LAB + f""", test_val AS ({_strat('val', 20, 42, 'test_val')}),
+train_val AS (SELECT * FROM val WHERE obs_id NOT IN (SELECT obs_id FROM test_val)),
+tr_samp AS ({_strat('tr', 400, 42, 'tr_samp')}),
+test_tr AS ({_sample_frac('tr_samp', 0.25, 42, 'test_tr')}),
+train_tr AS (SELECT * FROM tr_samp WHERE obs_id NOT IN (SELECT obs_id FROM test_tr))
+SELECT obs_id, 'train' AS split FROM train_val UNION ALL SELECT obs_id, 'train' FROM train_tr
+UNION ALL SELECT obs_id, 'test' FROM test_val UNION ALL SELECT obs_id, 'test' FROM test_tr
+UNION ALL SELECT obs_id, 'hard_test' FROM test_val
+UNION ALL SELECT obs_id, 'train_final' FROM val UNION ALL SELECT obs_id, 'train_final' FROM tr_samp""")
+sql("split_all_train", LAB + f""", test_val AS ({_sample_n('val', 250, 42, 'test_val')}),
+test_tr AS ({_strat('tr', 400, 42, 'test_tr')}),
+test AS (SELECT * FROM test_tr UNION ALL SELECT * FROM test_val),
+train AS (SELECT * FROM (SELECT * FROM tr UNION ALL SELECT * FROM val) WHERE obs_id NOT IN (SELECT obs_id FROM test))
+SELECT obs_id, 'train' AS split FROM train UNION ALL SELECT obs_id, 'test' FROM test
+UNION ALL SELECT obs_id, 'hard_test' FROM test_val
+UNION ALL SELECT obs_id, 'train_final' FROM tr UNION ALL SELECT obs_id, 'train_final' FROM val""")
+sql("split_half_val", LAB + f""", val1 AS ({_bootstrap('val', 0.5, 32, 'val_half')}),
+val2 AS (SELECT * FROM val WHERE obs_id NOT IN (SELECT obs_id FROM val1)),
+sample_train AS ({_strat('tr', 900, 42, 'sample_train')}),
+rest0 AS (SELECT * FROM tr WHERE obs_id NOT IN (SELECT obs_id FROM sample_train)),
+rest AS ({_bootstrap('rest0', 0.3, 33, 'rest')})
+SELECT obs_id, 'train' AS split, 1 AS copy_no FROM sample_train
+UNION ALL SELECT obs_id, 'train', copy_no FROM val1
+UNION ALL SELECT obs_id, 'test', copy_no FROM rest
+UNION ALL SELECT obs_id, 'test', 1 FROM val2""")
+sql("split_sample2", LAB + f""", s AS ({_strat('tr', 500, 42, 'sample2')})
+SELECT obs_id, 'train' AS split FROM s UNION ALL SELECT obs_id, 'train' FROM val""")
+sql("holdout_complement", LAB + f""", held AS ({_strat('tr', 400, 42, 'tr_samp')})
+SELECT obs_id FROM tr WHERE obs_id NOT IN (SELECT obs_id FROM held)""")
+sql("ap_group_table", RD + """, g2 AS (SELECT a.ap_id, d.dataset FROM ap a CROSS JOIN (VALUES ('train'), ('val')) d(dataset)),
+un AS (SELECT g2.dataset, g2.ap_id FROM g2
+       WHERE NOT EXISTS (SELECT 1 FROM rd WHERE rd.dataset = g2.dataset AND rd.ap_id = g2.ap_id))
+SELECT 'null_train' AS "group", ap_id FROM un WHERE dataset = 'train'
+UNION ALL SELECT 'null_test', ap_id FROM un WHERE dataset = 'val'
+UNION ALL SELECT DISTINCT 'above30dbm', ap_id FROM rd WHERE dataset IN ('train', 'val') AND rssi > -30""")

@@ -155,3 +155,224 @@ def q_ap_by_mean(spark, sf):
 @register("locations_by_user")
 def q_loc_by_user(spark, sf):
     return quality.locations_by_user(fx.obs(spark, sf))
+
+
+# --- sources, projections, filters, row-wise expressions ---------------------------
+
+from radiomap.functions import signal as sig  # noqa: E402
+from radiomap.operators import indexing, rank, reshape, sampling, splits  # noqa: E402
+from radiomap.sources import survey as survey_io  # noqa: E402
+
+
+@register("load_survey")
+def q_load_survey(spark, sf):
+    return fx.obs(spark, sf)
+
+
+@register("tag_dataset")
+def q_tag_dataset(spark, sf):
+    """Three surveys read separately, each tagged with its source, then unioned."""
+    o = fx.obs(spark, sf).select("obs_id", "dataset")
+    parts = [clean.tag_dataset(o.filter(F.col("dataset") == d).drop("dataset"), d) for d in clean.DATASETS]
+    return reshape.union_surveys(*parts)
+
+
+@register("select_ap_columns")
+def q_select_ap(spark, sf):
+    return clean.select_by_prefix(fx.scan_wide(spark, sf), "WAP", keep=("obs_id",))
+
+
+@register("reorder_labels")
+def q_reorder(spark, sf):
+    return reshape.reorder_labels(fx.obs(spark, sf))
+
+
+@register("filter_by_dataset")
+def q_filter_dataset(spark, sf):
+    o = fx.obs(spark, sf)
+    return o.filter((F.col("dataset") == "train") & ((F.col("building_id") == 1) | (F.col("floor") == 2))) \
+        .select("obs_id", "dataset", "building_id", "floor")
+
+
+@register("filter_location")
+def q_filter_location(spark, sf):
+    o = fx.obs(spark, sf)
+    return o.filter((F.col("building_id") == 1) & (F.col("floor") == 2) & (F.col("space_id") == 100)) \
+        .select("obs_id", "longitude", "latitude", "space_id")
+
+
+@register("sentinel_to_null")
+def q_sentinel(spark, sf):
+    w = fx.scan_wide(spark, sf)
+    return sig.sentinel_to_null(w, sig.ap_columns(w))
+
+
+@register("fill_missing_signal")
+def q_fill(spark, sf):
+    w = fx.scan_wide(spark, sf)
+    aps = sig.ap_columns(w)
+    return sig.fill_missing(sig.sentinel_to_null(w, aps), aps)
+
+
+@register("dbm_to_mw")
+def q_dbm_to_mw(spark, sf):
+    r = fx.reading(spark, sf)
+    return r.select("obs_id", "ap_id", "rssi", F.round(sig.dbm_to_mw(F.col("rssi")), 15).alias("mw"))
+
+
+@register("row_index")
+def q_row_index(spark, sf):
+    o = fx.obs(spark, sf).select("obs_id", "dataset")
+    return indexing.row_index(o, ["obs_id"], group_cols=["dataset"], name="row_idx")
+
+
+# --- reshape, rank, encode ----------------------------------------------------------
+
+@register("wide_to_long")
+def q_wide_to_long(spark, sf):
+    w = fx.scan_wide(spark, sf)
+    return reshape.wide_to_long(w, ["obs_id"], sig.ap_columns(w))
+
+
+@register("long_to_wide")
+def q_long_to_wide(spark, sf):
+    return reshape.long_to_wide(fx.reading(spark, sf))
+
+
+@register("rank_signals")
+def q_rank(spark, sf):
+    return rank.rank_signals(fx.reading(spark, sf))
+
+
+@register("rank_weakest")
+def q_rank_weak(spark, sf):
+    return rank.rank_signals(fx.reading(spark, sf), ascending=True, k=1)
+
+
+@register("topk_signals")
+def q_topk(spark, sf):
+    return rank.topk_signals(fx.reading(spark, sf), k=10)
+
+
+@register("pivot_ranks")
+def q_pivot_ranks(spark, sf):
+    return reshape.pivot_ranks(rank.topk_signals(fx.reading(spark, sf), k=10), k=10)
+
+
+@register("scan_with_ranks")
+def q_scan_with_ranks(spark, sf):
+    o = fx.obs(spark, sf).select("obs_id", "dataset", "building_id", "floor")
+    return o.join(reshape.pivot_ranks(rank.topk_signals(fx.reading(spark, sf), k=10), k=10), "obs_id", "left")
+
+
+@register("one_hot_ranks")
+def q_one_hot(spark, sf):
+    return reshape.one_hot_ranks(rank.topk_signals(fx.reading(spark, sf), k=10), k=10)
+
+
+@register("factorize_floor")
+def q_factorize(spark, sf):
+    o = fx.obs(spark, sf).filter(F.col("dataset") == "train")
+    return reshape.factorize(o, "floor")
+
+
+@register("union_surveys")
+def q_union(spark, sf):
+    o = fx.obs(spark, sf)
+    labeled = o.filter(F.col("dataset") != "test").select(
+        "obs_id", "dataset", "building_id", "floor", "longitude", "latitude")
+    unlabeled = o.filter(F.col("dataset") == "test").select("obs_id", "dataset", "space_id")
+    return reshape.union_surveys(labeled, unlabeled)
+
+
+@register("distinct_locations")
+def q_distinct_loc(spark, sf):
+    return reshape.distinct_locations(fx.obs(spark, sf).filter(F.col("dataset") == "train"))
+
+
+@register("all_locations")
+def q_all_loc(spark, sf):
+    return reshape.all_locations(fx.obs(spark, sf))
+
+
+@register("common_aps")
+def q_common_aps(spark, sf):
+    return reshape.common_aps(fx.obs(spark, sf), fx.reading(spark, sf))
+
+
+@register("ap_overlap_buildings")
+def q_overlap(spark, sf):
+    return reshape.ap_overlap_buildings(fx.obs(spark, sf), fx.reading(spark, sf))
+
+
+@register("duplicate_scans")
+def q_dups(spark, sf):
+    return reshape.duplicate_scans(fx.obs(spark, sf), fx.reading(spark, sf))
+
+
+@register("head_rows")
+def q_head(spark, sf):
+    return fx.obs(spark, sf).select("obs_id", "dataset").orderBy("obs_id").limit(10)
+
+
+# --- sampling and splits --------------------------------------------------------------
+
+def _labeled(spark, sf, dataset):
+    return fx.obs(spark, sf).filter(F.col("dataset") == dataset).select("obs_id", "building_id", "floor")
+
+
+@register("stratified_sample")
+def q_strat(spark, sf):
+    return sampling.stratified_sample(_labeled(spark, sf, "train"), ["building_id", "floor"], 400,
+                                      salt="tr_samp")
+
+
+@register("sample_n")
+def q_sample_n(spark, sf):
+    return sampling.sample_n(_labeled(spark, sf, "val"), 250, salt="test_val").select("obs_id")
+
+
+@register("bootstrap_sample")
+def q_bootstrap(spark, sf):
+    return sampling.bootstrap(_labeled(spark, sf, "val"), 0.5, seed=32, salt="val_half").select(
+        "obs_id", F.col("copy_no").cast("int").alias("copy_no"))
+
+
+@register("random_split")
+def q_random_split(spark, sf):
+    o = fx.obs(spark, sf).filter(F.col("dataset") != "test").select("obs_id")
+    return sampling.random_split(o, 0.75)
+
+
+@register("split_5_1")
+def q_split_5_1(spark, sf):
+    return splits.split_5_1(fx.obs(spark, sf))
+
+
+@register("split_all_train")
+def q_split_all(spark, sf):
+    return splits.split_all_train(fx.obs(spark, sf))
+
+
+@register("split_half_val")
+def q_split_half(spark, sf):
+    return splits.split_half_val(fx.obs(spark, sf))
+
+
+@register("split_sample2")
+def q_split2(spark, sf):
+    return splits.split_sample2(fx.obs(spark, sf))
+
+
+@register("holdout_complement")
+def q_complement(spark, sf):
+    tr = _labeled(spark, sf, "train")
+    held = sampling.stratified_sample(tr, ["building_id", "floor"], 400, salt="tr_samp")
+    return splits.holdout_complement(tr, held).select("obs_id")
+
+
+@register("ap_group_table")
+def q_ap_groups(spark, sf):
+    obs, r = fx.survey(spark, sf)
+    groups = survey_io.ap_groups(obs, r, fx.ap(spark, sf))
+    return survey_io.roundtrip_parquet(spark, groups, "ap_groups")
