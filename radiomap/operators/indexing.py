@@ -6,9 +6,9 @@ are range-partitioned on (group, order) keys, numbered inside each partition,
 and shifted by the row counts of the earlier partitions of the same group.
 The per-partition counts table has at most (partitions + groups) rows.
 
-The numbered frame is checkpointed to the shared checkpoint folder first, so
-both uses of it see the same partition ids even if AQE coalesces shuffle
-reads differently or an executor is lost and tasks rerun.
+The numbered frame is written to the shared checkpoint folder first, so both
+uses of it see the same ids even if AQE coalesces shuffle reads differently
+or an executor is lost and tasks rerun.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from radiomap.session import shared_dir
+from radiomap.session import materialize
 
 _PART_SHIFT = 33  # monotonically_increasing_id = partition << 33 | position
 
@@ -27,13 +27,11 @@ def row_index(df: DataFrame, order_cols, group_cols=(), name: str = "row_idx", s
     ``order_cols``. The order keys must be unique within a group so that the
     numbering is deterministic."""
     spark = df.sparkSession
-    shared_dir(spark, "checkpoint")  # make sure a checkpoint folder is configured
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group_cols, order_cols = list(group_cols), list(order_cols)
     keys = group_cols + order_cols
-    numbered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                .withColumn("__ri_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    numbered = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                           .withColumn("__ri_mid", F.monotonically_increasing_id()), "row_index")
     part = F.shiftright("__ri_mid", _PART_SHIFT)
     local = F.col("__ri_mid").bitwiseAND(F.lit((1 << _PART_SHIFT) - 1))
     numbered = numbered.withColumn("__ri_part", part).withColumn("__ri_local", local)

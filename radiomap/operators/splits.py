@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from radiomap.operators.reshape import union_surveys
+from radiomap.session import materialize
 from radiomap.operators.sampling import SEED, bootstrap, sample_fraction, sample_n, stratified_sample
 
 GROUP = ("building_id", "floor")
@@ -36,7 +37,9 @@ def split_5_1(obs: DataFrame, per_group: int = 400, val_per_group: int = 20, tes
     tr, val = _labeled(obs, "train"), _labeled(obs, "val")
     test_val = stratified_sample(val, GROUP, val_per_group, seed, salt="test_val")
     train_val = _minus(val, test_val)
-    tr_samp = stratified_sample(tr, GROUP, per_group, seed, salt="tr_samp")
+    # Bounded by per_group x groups rows: written once to the checkpoint folder
+    # so counting it and the three uses below do not redo the draw.
+    tr_samp = materialize(stratified_sample(tr, GROUP, per_group, seed, salt="tr_samp"), "tr_samp")
     test_tr = sample_fraction(tr_samp, test_frac, seed, salt="test_tr")
     train_tr = _minus(tr_samp, test_tr)
     return union_surveys(

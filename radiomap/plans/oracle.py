@@ -230,15 +230,16 @@ sql("sample_n", LAB + " SELECT obs_id FROM (" + _sample_n("val", 250, 42, "test_
 sql("bootstrap_sample", LAB + " " + _bootstrap("val", 0.5, 32, "val_half"))
 sql("random_split", f"""SELECT obs_id, CASE WHEN {_u(42)} < 0.75 THEN 'train' ELSE 'test' END AS split
 FROM obs WHERE dataset <> 'test'""")
-sql("split_5_1", LAB + f""", test_val AS ({_strat('val', 20, 42, 'test_val')}),
+SPLIT51 = LAB + f""", test_val AS ({_strat('val', 20, 42, 'test_val')}),
 train_val AS (SELECT * FROM val WHERE obs_id NOT IN (SELECT obs_id FROM test_val)),
 tr_samp AS ({_strat('tr', 400, 42, 'tr_samp')}),
 test_tr AS ({_sample_frac('tr_samp', 0.25, 42, 'test_tr')}),
-train_tr AS (SELECT * FROM tr_samp WHERE obs_id NOT IN (SELECT obs_id FROM test_tr))
-SELECT obs_id, 'train' AS split FROM train_val UNION ALL SELECT obs_id, 'train' FROM train_tr
+train_tr AS (SELECT * FROM tr_samp WHERE obs_id NOT IN (SELECT obs_id FROM test_tr)),
+sp AS (SELECT obs_id, 'train' AS split FROM train_val UNION ALL SELECT obs_id, 'train' FROM train_tr
 UNION ALL SELECT obs_id, 'test' FROM test_val UNION ALL SELECT obs_id, 'test' FROM test_tr
 UNION ALL SELECT obs_id, 'hard_test' FROM test_val
-UNION ALL SELECT obs_id, 'train_final' FROM val UNION ALL SELECT obs_id, 'train_final' FROM tr_samp""")
+UNION ALL SELECT obs_id, 'train_final' FROM val UNION ALL SELECT obs_id, 'train_final' FROM tr_samp)"""
+sql("split_5_1", SPLIT51 + " SELECT obs_id, split FROM sp")
 sql("split_all_train", LAB + f""", test_val AS ({_sample_n('val', 250, 42, 'test_val')}),
 test_tr AS ({_strat('tr', 400, 42, 'test_tr')}),
 test AS (SELECT * FROM test_tr UNION ALL SELECT * FROM test_val),
@@ -265,3 +266,95 @@ un AS (SELECT g2.dataset, g2.ap_id FROM g2
 SELECT 'null_train' AS "group", ap_id FROM un WHERE dataset = 'train'
 UNION ALL SELECT 'null_test', ap_id FROM un WHERE dataset = 'val'
 UNION ALL SELECT DISTINCT 'above30dbm', ap_id FROM rd WHERE dataset IN ('train', 'val') AND rssi > -30""")
+
+
+# --- kNN prediction and evaluation (brute force: every test x train pair) --------------
+
+KNN = SPLIT51 + """, qids AS (SELECT DISTINCT obs_id FROM sp WHERE split = 'test'),
+tids AS (SELECT DISTINCT obs_id FROM sp WHERE split = 'train'),
+xr AS (SELECT obs_id, ap_id, CAST(rssi + 110 AS BIGINT) AS x FROM reading),
+qn AS (SELECT q.obs_id AS qid, CAST(coalesce(sum(x.x * x.x), 0) AS BIGINT) AS n2
+       FROM qids q LEFT JOIN xr x USING (obs_id) GROUP BY q.obs_id),
+tn AS (SELECT t.obs_id AS tid, CAST(coalesce(sum(x.x * x.x), 0) AS BIGINT) AS n2
+       FROM tids t LEFT JOIN xr x USING (obs_id) GROUP BY t.obs_id),
+dp AS (SELECT a.obs_id AS qid, b.obs_id AS tid, CAST(sum(a.x * b.x) AS BIGINT) AS dot
+       FROM xr a JOIN xr b ON a.ap_id = b.ap_id
+       WHERE a.obs_id IN (SELECT obs_id FROM qids) AND b.obs_id IN (SELECT obs_id FROM tids) GROUP BY 1, 2),
+dd AS (SELECT qn.qid, tn.tid, qn.n2 + tn.n2 - 2 * coalesce(dp.dot, 0) AS d2
+       FROM qn CROSS JOIN tn LEFT JOIN dp ON dp.qid = qn.qid AND dp.tid = tn.tid),
+nb AS (SELECT * FROM (SELECT qid AS query_id, tid AS neighbor_id, CAST(d2 AS BIGINT) AS d2,
+                             CAST(row_number() OVER (PARTITION BY qid ORDER BY d2, tid) AS INT) AS rn FROM dd)
+       WHERE rn <= 3),
+lab AS (SELECT obs_id, building_id, floor, longitude, latitude FROM obs)"""
+
+
+def _vote(t: str) -> str:
+    return (f", v_{t} AS (SELECT nb.query_id, l.{t} AS y, count(*) AS v FROM nb JOIN lab l ON l.obs_id = nb.neighbor_id"
+            f" GROUP BY 1, 2), p_{t} AS (SELECT query_id AS obs_id, y AS prediction FROM v_{t}"
+            f" QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, y) = 1)")
+
+
+def _mean(t: str) -> str:
+    return (f", p_{t} AS (SELECT nb.query_id AS obs_id, avg(CAST(l.{t} AS DOUBLE)) AS prediction"
+            f" FROM nb JOIN lab l ON l.obs_id = nb.neighbor_id GROUP BY 1)")
+
+
+PREDS = KNN + _vote("building_id") + _vote("floor") + _mean("longitude") + _mean("latitude")
+SCORED = PREDS + """, pr AS (
+  SELECT 'building_id' AS target, obs_id, CAST(prediction AS DOUBLE) AS predicted FROM p_building_id
+  UNION ALL SELECT 'floor', obs_id, CAST(prediction AS DOUBLE) FROM p_floor
+  UNION ALL SELECT 'longitude', obs_id, round(prediction, 6) FROM p_longitude
+  UNION ALL SELECT 'latitude', obs_id, round(prediction, 6) FROM p_latitude),
+scored AS (
+  SELECT s.obs_id, s.split, p.target,
+         CASE p.target WHEN 'building_id' THEN CAST(l.building_id AS DOUBLE) WHEN 'floor' THEN CAST(l.floor AS DOUBLE)
+                       WHEN 'longitude' THEN l.longitude ELSE l.latitude END AS actual,
+         p.predicted
+  FROM sp s JOIN pr p USING (obs_id) JOIN lab l USING (obs_id) WHERE s.split IN ('test', 'hard_test')),
+cm AS (SELECT target, split, CAST(actual AS INT) AS actual, CAST(predicted AS INT) AS predicted, count(*) AS n
+       FROM scored WHERE target IN ('building_id', 'floor') GROUP BY 1, 2, 3, 4),
+acc AS (SELECT target, split, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+        FROM scored WHERE target IN ('building_id', 'floor') GROUP BY 1, 2),
+tot AS (SELECT target, split, CAST(sum(n) AS DOUBLE) AS nn,
+               CAST(sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS DOUBLE) AS diag FROM cm GROUP BY 1, 2),
+ra AS (SELECT target, split, actual AS c, sum(n) AS r FROM cm GROUP BY 1, 2, 3),
+pa AS (SELECT target, split, predicted AS c, sum(n) AS p FROM cm GROUP BY 1, 2, 3),
+pe AS (SELECT ra.target, ra.split, sum(CAST(ra.r AS DOUBLE) * CAST(pa.p AS DOUBLE)) AS s
+       FROM ra JOIN pa ON ra.target = pa.target AND ra.split = pa.split AND ra.c = pa.c GROUP BY 1, 2),
+kap AS (SELECT tot.target, tot.split,
+               round(CASE WHEN coalesce(pe.s, 0) / (nn * nn) < 1.0
+                          THEN (diag / nn - coalesce(pe.s, 0) / (nn * nn)) / (1.0 - coalesce(pe.s, 0) / (nn * nn)) END, 6)
+               AS kappa
+        FROM tot LEFT JOIN pe ON pe.target = tot.target AND pe.split = tot.split),
+err AS (SELECT target, split, round(avg(abs(predicted - actual)), 6) AS mae
+        FROM scored WHERE target IN ('longitude', 'latitude') GROUP BY 1, 2),
+res AS (SELECT obs_id, split, target, round(predicted - actual, 6) AS error, round(abs(predicted - actual), 6) AS abs_error
+        FROM scored WHERE target IN ('longitude', 'latitude'))"""
+
+sql("knn_neighbors", KNN + " SELECT query_id, neighbor_id, d2, rn FROM nb")
+sql("knn_building", PREDS + " SELECT obs_id, prediction FROM p_building_id")
+sql("knn_floor", PREDS + " SELECT obs_id, prediction FROM p_floor")
+sql("knn_longitude", PREDS + " SELECT obs_id, round(prediction, 6) AS prediction FROM p_longitude")
+sql("combine_predictions", PREDS + """ SELECT b.obs_id, b.prediction AS building_id_pred, f.prediction AS floor_pred,
+round(x.prediction, 6) AS longitude_pred, round(y.prediction, 6) AS latitude_pred
+FROM p_building_id b JOIN p_floor f USING (obs_id) JOIN p_longitude x USING (obs_id) JOIN p_latitude y USING (obs_id)""")
+sql("prediction_counts", PREDS + " SELECT prediction, count(*) AS n FROM p_building_id GROUP BY prediction")
+sql("confusion_matrix", SCORED + """ SELECT actual, predicted, n FROM cm WHERE target = 'floor' AND split = 'test'""")
+sql("accuracy", SCORED + " SELECT target, split, accuracy FROM acc")
+sql("cohen_kappa", SCORED + " SELECT target, split, kappa FROM kap")
+sql("mae", SCORED + " SELECT target, split, mae FROM err")
+sql("residuals", SCORED + " SELECT obs_id, split, target, error, abs_error FROM res")
+sql("zero_position", SCORED + """ SELECT round(abs(0.0 - min(error) / (max(error) - min(error))), 6) AS zero_pos
+FROM res WHERE target = 'longitude' AND split = 'test'""")
+sql("evaluation_report", SCORED + """ SELECT target, split, 'accuracy' AS metric, accuracy AS value FROM acc
+UNION ALL SELECT target, split, 'kappa', kappa FROM kap UNION ALL SELECT target, split, 'mae', mae FROM err""")
+sql("residual_surface", SCORED + """ SELECT s.obs_id, o.longitude, o.latitude, round(s.predicted - s.actual, 6) AS error
+FROM scored s JOIN obs o USING (obs_id) WHERE s.target = 'longitude' AND s.split = 'test'""")
+
+sql("roundtrip_predictions", PREDS + " SELECT obs_id, prediction FROM p_building_id")
+sql("standardize", RD + """, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM obs WHERE dataset = 'train'),
+s AS (SELECT ap_id, CAST(sum(CAST(rssi + 110 AS BIGINT)) AS DOUBLE) AS s1,
+             CAST(sum(CAST(rssi + 110 AS BIGINT) * CAST(rssi + 110 AS BIGINT)) AS DOUBLE) AS s2
+      FROM rd WHERE dataset = 'train' GROUP BY ap_id)
+SELECT ap_id, round(s1 / n, 6) AS mean, round(sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0.0)), 6) AS std
+FROM s, n""")

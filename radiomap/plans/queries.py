@@ -376,3 +376,268 @@ def q_ap_groups(spark, sf):
     obs, r = fx.survey(spark, sf)
     groups = survey_io.ap_groups(obs, r, fx.ap(spark, sf))
     return survey_io.roundtrip_parquet(spark, groups, "ap_groups")
+
+
+# --- kNN prediction and evaluation ------------------------------------------------------
+
+from radiomap.operators import evaluate  # noqa: E402
+from radiomap.plans import flows  # noqa: E402
+
+
+@register("knn_neighbors")
+def q_knn_neighbors(spark, sf):
+    return flows.knn_run(spark, sf).neighbors
+
+
+@register("knn_building")
+def q_knn_building(spark, sf):
+    return flows.knn_run(spark, sf).predictions["building_id"]
+
+
+@register("knn_floor")
+def q_knn_floor(spark, sf):
+    return flows.knn_run(spark, sf).predictions["floor"]
+
+
+@register("knn_longitude")
+def q_knn_longitude(spark, sf):
+    p = flows.knn_run(spark, sf).predictions["longitude"]
+    return p.select("obs_id", F.round("prediction", 6).alias("prediction"))
+
+
+@register("combine_predictions")
+def q_combine(spark, sf):
+    """Prediction frames of several models joined on the scan id (not by position)."""
+    pr = flows.knn_run(spark, sf).predictions
+    out = None
+    for t, p in pr.items():
+        col = F.round("prediction", 6) if t in flows.REG_TARGETS else F.col("prediction")
+        p = p.select("obs_id", col.alias(f"{t}_pred"))
+        out = p if out is None else out.join(p, "obs_id")
+    return out
+
+
+@register("prediction_counts")
+def q_pred_counts(spark, sf):
+    p = flows.knn_run(spark, sf).predictions["building_id"]
+    return p.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("confusion_matrix")
+def q_confusion(spark, sf):
+    s = flows.knn_run(spark, sf).scored.filter((F.col("target") == "floor") & (F.col("split") == "test"))
+    return evaluate.confusion_matrix(s, by=())
+
+
+@register("accuracy")
+def q_accuracy(spark, sf):
+    s = flows.knn_run(spark, sf).scored.filter(F.col("target").isin(*flows.CLASS_TARGETS))
+    return evaluate.accuracy(s)
+
+
+@register("cohen_kappa")
+def q_kappa(spark, sf):
+    s = flows.knn_run(spark, sf).scored.filter(F.col("target").isin(*flows.CLASS_TARGETS))
+    return evaluate.cohen_kappa(s)
+
+
+@register("mae")
+def q_mae(spark, sf):
+    s = flows.knn_run(spark, sf).scored.filter(F.col("target").isin(*flows.REG_TARGETS))
+    return evaluate.mae(s)
+
+
+@register("residuals")
+def q_residuals(spark, sf):
+    s = flows.knn_run(spark, sf).scored.filter(F.col("target").isin(*flows.REG_TARGETS))
+    return evaluate.residuals(s)
+
+
+@register("zero_position")
+def q_zero_pos(spark, sf):
+    s = flows.knn_run(spark, sf).scored.filter((F.col("target") == "longitude") & (F.col("split") == "test"))
+    return evaluate.zero_position(evaluate.residuals(s), "error")
+
+
+@register("evaluation_report")
+def q_eval_report(spark, sf):
+    return evaluate.evaluation_report(flows.knn_run(spark, sf).scored, flows.CLASS_TARGETS, flows.REG_TARGETS)
+
+
+@register("residual_surface")
+def q_residual_surface(spark, sf):
+    run = flows.knn_run(spark, sf)
+    return evaluate.residual_surface(run.scored, run.obs, "longitude")
+
+
+# --- Spark ML: features, models, search, cascades --------------------------------------
+
+from radiomap.operators import features, models, search  # noqa: E402
+from radiomap.operators import knn as knn_ops  # noqa: E402
+from radiomap.session import materialize, shared_dir  # noqa: E402
+
+
+@register("feature_vectors")
+def q_feature_vectors(spark, sf):
+    obs, r = fx.survey(spark, sf)
+    index = features.ap_index(r)
+    return features.feature_vectors(obs, r, index, index.count())
+
+
+@register("standardize")
+def q_standardize(spark, sf):
+    return features.scaler_stats(fx.obs(spark, sf), fx.reading(spark, sf))
+
+
+def _fit_score(spark, sf, estimator, label):
+    d = flows.ml_data(spark, sf)
+    model = models.fit(estimator, d.train, label)
+    return models.score(model, d.test)
+
+
+@register("rf_building")
+def q_rf_building(spark, sf):
+    return _fit_score(spark, sf, models.rf_classifier("building_id", num_trees=20, max_depth=10), "building_id")
+
+
+@register("rf_floor")
+def q_rf_floor(spark, sf):
+    return _fit_score(spark, sf, models.rf_classifier("floor", num_trees=20, max_depth=10), "floor")
+
+
+@register("rf_longitude")
+def q_rf_longitude(spark, sf):
+    return _fit_score(spark, sf, models.rf_regressor("longitude", num_trees=20, max_depth=10), "longitude")
+
+
+@register("gbt_building")
+def q_gbt_building(spark, sf):
+    return _fit_score(spark, sf, models.gbt_classifier("building_id", max_iter=10, max_depth=5), "building_id")
+
+
+@register("gbt_latitude")
+def q_gbt_latitude(spark, sf):
+    return _fit_score(spark, sf, models.gbt_regressor("latitude", max_iter=20, max_depth=5), "latitude")
+
+
+@register("gbt_longitude")
+def q_gbt_longitude(spark, sf):
+    return _fit_score(spark, sf, models.gbt_regressor("longitude", max_iter=20, max_depth=5), "longitude")
+
+
+@register("svm_building")
+def q_svm_building(spark, sf):
+    return _fit_score(spark, sf, models.svm_classifier("building_id", max_iter=20), "building_id")
+
+
+@register("random_search")
+def q_random_search(spark, sf):
+    d = flows.ml_data(spark, sf)
+    est = models.rf_classifier("floor")
+    grid = {"numTrees": [5, 10, 20], "maxDepth": [5, 8, 12], "featureSubsetStrategy": ["sqrt", "onethird"]}
+    return search.random_search(est, grid, d.train, "floor", n_iter=3, folds=2)
+
+
+@register("grid_search")
+def q_grid_search(spark, sf):
+    d = flows.ml_data(spark, sf)
+    est = models.rf_classifier("building_id")
+    return search.grid_search(est, {"numTrees": [5, 10], "maxDepth": [6]}, d.train, "building_id", folds=2)
+
+
+@register("early_stopping_curve")
+def q_early_stopping(spark, sf):
+    """Boosted longitude with a per-round MAE curve on the validation part of
+    the test set and the round a 10-round patience rule keeps."""
+    d = flows.ml_data(spark, sf)
+    model = models.fit(models.gbt_regressor("longitude", max_iter=30, max_depth=5), d.train, "longitude")
+    hard = d.split.filter(F.col("split") == "hard_test").select("obs_id")
+    watch = d.test.join(hard, "obs_id", "left_semi")
+    return search.early_stopping_curve(model.stages[-1], watch, patience=10)
+
+
+def _rf_stage(target, feats):
+    if target in flows.CLASS_TARGETS:
+        return models.rf_classifier(target, num_trees=10, max_depth=10, features=feats)
+    return models.rf_regressor(target, num_trees=10, max_depth=10, features=feats)
+
+
+@register("cascade_location")
+def q_cascade(spark, sf):
+    """building -> (APs + building) -> longitude -> (APs + building + longitude) -> latitude."""
+    d = flows.ml_data(spark, sf)
+    stages = [("building_id", _rf_stage), ("longitude", _rf_stage), ("latitude", _rf_stage)]
+    return models.cascade(d.train, d.test, stages)
+
+
+@register("scenario_predictions")
+def q_scenarios(spark, sf):
+    """Scenarios (training sample x cascade depth) as a config table: every
+    scenario predicts the unlabeled scans; rows are tagged with the scenario."""
+    d = flows.ml_data(spark, sf)
+    obs = d.obs
+    unlabeled = features.feature_vectors(obs.filter(F.col("dataset") == "test"), d.reading, d.index,
+                                         d.n_features)
+    s2 = splits.split_sample2(obs).select("obs_id").distinct()
+    sample2 = materialize(features.labeled_vectors(obs, s2, d.reading, d.index, d.n_features), "sample2_vectors")
+    config = [("sample1_building", d.train, 1), ("sample1_location", d.train, 3),
+              ("sample2_location", sample2, 3)]
+    out = None
+    full = [("building_id", _rf_stage), ("longitude", _rf_stage), ("latitude", _rf_stage)]
+    for name, train, depth in config:
+        pred = models.cascade(train, unlabeled, full[:depth])
+        for t, _ in full[depth:]:
+            pred = pred.withColumn(f"{t}_pred", F.lit(None).cast("double"))
+        pred = pred.select(F.lit(name).alias("scenario"), "obs_id",
+                           *[f"{t}_pred" for t, _ in full])
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
+@register("prediction_table")
+def q_prediction_table(spark, sf):
+    """Refit on all labeled rows of the sample (``train_final``) and predict the
+    unlabeled scans; column names carry the model."""
+    d = flows.ml_data(spark, sf)
+    final_ids = d.split.filter(F.col("split") == "train_final").select("obs_id")
+    final = features.labeled_vectors(d.obs, final_ids, d.reading, d.index, d.n_features)
+    unlabeled = features.feature_vectors(d.obs.filter(F.col("dataset") == "test"), d.reading, d.index,
+                                         d.n_features)
+    floor = models.fit(models.rf_classifier("floor", num_trees=20, max_depth=10), final, "floor")
+    lat = models.fit(models.gbt_regressor("latitude", max_iter=20), final, "latitude")
+    lon = models.fit(models.gbt_regressor("longitude", max_iter=20), final, "longitude")
+    return (models.score(floor, unlabeled, "floor_rf")
+            .join(models.score(lat, unlabeled, "latitude_gbt"), "obs_id")
+            .join(models.score(lon, unlabeled, "longitude_gbt"), "obs_id"))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    d = flows.ml_data(spark, sf)
+    model = models.fit(models.rf_classifier("floor", num_trees=20, max_depth=10), d.train, "floor")
+    return models.feature_importance(model, d.index)
+
+
+@register("pca_explained")
+def q_pca(spark, sf):
+    d = flows.ml_data(spark, sf)
+    return features.pca_explained(d.train, k=3)
+
+
+@register("model_cache_roundtrip")
+def q_model_cache(spark, sf):
+    """Fit-or-load twice against one path: the second call loads the saved
+    model; its predictions are returned."""
+    d = flows.ml_data(spark, sf)
+    path = shared_dir(spark, "model_cache")
+    est = models.rf_classifier("building_id", num_trees=10, max_depth=8)
+    models.load_or_fit(path, est, d.train, "building_id")
+    loaded = models.load_or_fit(path, est, d.train, "building_id")
+    return models.score(loaded, d.test)
+
+
+@register("roundtrip_predictions")
+def q_roundtrip_predictions(spark, sf):
+    """kNN building predictions written as CSV (obs_id as the index column) and read back."""
+    p = flows.knn_run(spark, sf).predictions["building_id"]
+    return survey_io.roundtrip_csv(spark, p, "predictions")

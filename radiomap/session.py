@@ -22,6 +22,7 @@ def build_session(master: str | None = None, partitions: int | None = None,
     builder = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -55,6 +56,18 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     return f"{base.rstrip('/')}/{name or 'tables'}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` (a lost executor rereads the
+    files instead of recomputing the plan) but runs the plan once: an eager
+    RDD checkpoint computes its input a second time to write it."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 

@@ -6,10 +6,13 @@ unlabeled ``test`` set) and ``scan_wide`` (the CSV shape with the 100
 sentinel on four APs). They follow FIXTURES.md exactly, so the DuckDB oracle
 can rebuild the same rows with the SQL in ``radiomap.plans.oracle``.
 
-Scale notes: ``reading`` is one shuffle join of lineitem with the scan table
-on the order key (the AP catalogue joins by broadcast when the planner's size
-estimate allows it) followed by an aggregate on (obs_id, ap_id) that reuses
-the join's hash partitioning on obs_id, so it adds no second exchange.
+Scale notes: ``reading`` is a sort-merge join of lineitem with the scan table
+on the order key (a ``merge`` hint: the line table is never the side to
+broadcast, even when a file-size estimate says it is small) followed by an
+aggregate on (obs_id, ap_id) that reuses the join's hash partitioning on
+obs_id, so it adds no exchange; later per-scan windows, aggregates and joins
+on obs_id reuse it too. The AP catalogue joins by broadcast when the planner's
+size estimate allows it.
 """
 
 from __future__ import annotations
@@ -69,7 +72,7 @@ def reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_quantity")
     t = truth(spark, sf_dir).select("obs_id", "dataset", "building_id", "floor")
     a = ap(spark, sf_dir)
-    j = li.join(t, li.l_orderkey == t.obs_id).join(a, li.l_suppkey == a.ap_no)
+    j = li.hint("merge").join(t, li.l_orderkey == t.obs_id).join(a, li.l_suppkey == a.ap_no)
     no = F.col("ap_no")
     audible = (
         ((no % 4 == 0) | (no % 4 == F.col("building_id") + 1))

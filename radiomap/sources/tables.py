@@ -10,7 +10,17 @@ BASE_TABLES = (
 )
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read one base table; naming the columns lets the scan prune the rest."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one base table; naming the columns lets the scan prune the rest.
+
+    The relation is created once per session and path (schema discovery reads
+    parquet footers); DataFrames are immutable, so sharing it is safe."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
