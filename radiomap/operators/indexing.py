@@ -42,5 +42,4 @@ def row_index(df: DataFrame, order_cols, group_cols=(), name: str = "row_idx", s
                             F.coalesce(F.sum("__ri_cnt").over(before), F.lit(0)).alias("__ri_offset"))
     idx = F.col("__ri_offset") + (F.col("__ri_local") - F.col("__ri_first")) + F.lit(start)
     return (numbered.join(offsets, ["__ri_part", *group_cols])
-            .withColumn(name, idx.cast("bigint"))
-            .drop("__ri_mid", "__ri_part", "__ri_local", "__ri_first", "__ri_offset"))
+            .select(*df.columns, idx.cast("bigint").alias(name)))

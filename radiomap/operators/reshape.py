@@ -147,6 +147,7 @@ def duplicate_scans(obs: DataFrame, reading: DataFrame, cols=SIGNATURE_COLS) ->
         (F.col("obs_id") == F.col("first_id")).alias("keep"))
 
 
-def drop_duplicate_scans(obs: DataFrame, reading: DataFrame) -> DataFrame:
-    dup = duplicate_scans(obs, reading).filter(~F.col("keep")).select("obs_id")
+def drop_duplicate_scans(obs: DataFrame, reading: DataFrame, cols=SIGNATURE_COLS) -> DataFrame:
+    """``drop_duplicates``: keep the first scan of every group of copies."""
+    dup = duplicate_scans(obs, reading, cols).filter(~F.col("keep")).select("obs_id")
     return obs.join(dup, "obs_id", "left_anti")
