@@ -44,6 +44,8 @@ def knn_run(spark: SparkSession, sf: str, k: int = knn.K) -> KnnRun:
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
+    # At most 4 targets x 2 test sets x test rows; every metric reads it.
+    scored = materialize(scored, "scored")
     return KnnRun(obs, sp, nb, preds, scored)
 
 
