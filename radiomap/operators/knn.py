@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiomap.functions.signal import FILL_DBM
+from radiomap.session import materialize
 
 K = 3
 
@@ -56,7 +57,10 @@ def knn_neighbors(queries: DataFrame, train: DataFrame, reading: DataFrame, k: i
     """(query_id, neighbor_id, d2, rn) for the k nearest training scans of every
     query scan, ordered by (d2, neighbor_id). ``queries`` and ``train`` are scan
     tables with ``obs_id``; readings must satisfy rssi >= fill."""
-    qv, tv = _vectors(queries, reading, fill, "q"), _vectors(train, reading, fill, "t")
+    qv = _vectors(queries, reading, fill, "q")
+    # The training side feeds two jobs (the k-row norm list and the search),
+    # so it is written once to the shared folder instead of recomputed.
+    tv = materialize(_vectors(train, reading, fill, "t"), "knn_train_vectors")
     qn, tn = _norms(queries, qv, "q"), _norms(train, tv, "t")
 
     # (a) The k smallest training norms: a bounded k-row list, handed to every
