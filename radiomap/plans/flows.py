@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,17 +62,20 @@ class MlData:
 
 
 def ml_data(spark: SparkSession, sf: str) -> MlData:
-    """Feature vectors and labels for the 5:1 split. The AP index covers the
-    APs heard in the training rows; train/test vector tables are written once
-    to the shared folder because searches and cascades read them many times."""
+    """Feature vectors and labels for the 5:1 split. The AP index is the AP
+    catalogue (an AP no training scan heard is a constant zero feature, which
+    tree learners never split on). The train/test vector tables are persisted
+    (memory, spilling to disk) because every learner passes over its input
+    several times and searches and cascades fit many models; a lost block is
+    recomputed from lineage."""
     from radiomap.operators import features
 
     obs, reading = fx.survey(spark, sf)
     sp = materialize(splits.split_5_1(obs), "split_5_1")
     train_ids = sp.filter(F.col("split") == "train").select("obs_id")
     test_ids = sp.filter(F.col("split") == "test").select("obs_id")
-    index = features.ap_index(reading.join(train_ids, "obs_id", "left_semi"))
+    index = features.ap_index(fx.ap(spark, sf))
     n = index.count()
-    train = materialize(features.labeled_vectors(obs, train_ids, reading, index, n), "train_vectors")
-    test = materialize(features.labeled_vectors(obs, test_ids, reading, index, n), "test_vectors")
+    train = features.labeled_vectors(obs, train_ids, reading, index, n).persist(StorageLevel.MEMORY_AND_DISK)
+    test = features.labeled_vectors(obs, test_ids, reading, index, n).persist(StorageLevel.MEMORY_AND_DISK)
     return MlData(obs, reading, sp, index, n, train, test)
