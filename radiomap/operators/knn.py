@@ -2,27 +2,32 @@
 
 Each scan is a vector over the AP catalogue with x = rssi - fill (fill = -110
 dBm, so "not heard" is 0 and heard values are positive). The squared distance
-is n2(q) + n2(t) - 2 dot(q, t), and dot(q, t) only has terms for APs heard by
-both scans, so it is an equi-join of the two reading sets on ``ap_id``
-followed by a sum per (query, training scan) pair.
-
-Pairs that share no AP have dot = 0; among them only training scans of
-smallest norm can win. So the candidates are
-  (a) the k training scans smallest by (n2, id) - a fixed, k-row list given to
-      every query - and
-  (b) pairs sharing an AP whose norms pass the bound below.
-Both hold the exact top k: any zero-dot scan outside (a) is beaten by all k
-rows of (a), and by Cauchy-Schwarz d2(q, t) >= (|t| - |q|)^2 while the k-th
-nearest distance is at most n2(q) + c, where c is the largest norm in (a).
-The bound is tested in integers: B <= c or (B - c)^2 <= 4AB with A = n2(q),
-B = n2(t).
-
-Scale: the AP join is a sort-merge join on ``ap_id``; a hot AP heard in a third
-of all scans makes one skewed partition that AQE's skew-join handling splits
-(the training side is cut into slices, each joined with a copy of the query
-side). Partial aggregation on (query, training scan) follows the join inside
-the same stage, so only summed pairs are shuffled. The per-query top k is a
-``row_number() <= k`` window that the planner limits before its shuffle.
+is d2 = A + B - 2 dot(q, t) with A = n2(q), B = n2(t), and dot(q, t) only has
+terms for APs heard by both scans: an equi-join of the two reading sets on
+``ap_id`` summed per (query, training scan) pair.
+
+Candidates that provably contain the exact top k (ordered by (d2, id)):
+  (a) the k training scans smallest by (B, id), handed to every query as a
+      literal k-row list. A training scan sharing no AP with q has dot = 0 and
+      d2 = A + B, so any such scan outside (a) is beaten by all k rows of (a).
+  (b) training scans sharing an AP with q whose norm lies in the band
+      (|t| - |q|)^2 <= U_q, where U_q bounds the k-th nearest distance of q
+      (Cauchy-Schwarz: d2 >= (|t| - |q|)^2). The test is exact in integers:
+      A + B - U <= 0 or (A + B - U)^2 <= 4AB.
+
+U_q comes from a bounded probe: up to ``probes`` training scans whose
+strongest AP is q's strongest AP (representatives picked per AP with a
+limited window), plus the k rows of (a); U_q = min(k-th probe distance,
+A + max B of (a)). The probe only tightens the bound; exactness never depends
+on it.
+
+Pairs are generated per (AP, norm band): training readings carry the band of
+their scan's norm, query readings are repeated over the bands their U_q
+allows, and the join key is (ap_id, band). Pairs outside the band are never
+enumerated, and an AP heard in a third of all scans is split across bands
+(AQE's skew-join split covers what remains). Partial aggregation on
+(query, training scan) runs right after the join; the per-query top k is a
+``row_number() <= k`` window limited before its shuffle.
 """
 
 from __future__ import annotations
@@ -30,10 +35,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiomap.functions.hashing import hash_key
 from radiomap.functions.signal import FILL_DBM
 from radiomap.session import materialize
 
 K = 3
+PROBES = 4
+BAND_WIDTH = 16.0  # in units of x = rssi + 110; query readings repeat over ~2 sqrt(U) / width bands
 
 
 def _vectors(ids: DataFrame, reading: DataFrame, fill: int, prefix: str) -> DataFrame:
@@ -52,15 +60,27 @@ def _norms(ids: DataFrame, vec: DataFrame, prefix: str) -> DataFrame:
             .select(f"{prefix}id", F.coalesce("_n2", F.lit(0)).cast("bigint").alias(f"{prefix}n2")))
 
 
+def _strongest(vec: DataFrame, prefix: str) -> DataFrame:
+    """(id, ap_id) of each scan's strongest AP (ties: smallest AP name)."""
+    w = Window.partitionBy(f"{prefix}id").orderBy(F.desc(f"{prefix}x"), "ap_id")
+    return (vec.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+            .select(f"{prefix}id", "ap_id"))
+
+
+def _band(n2):
+    return F.floor(F.sqrt(n2.cast("double")) / F.lit(BAND_WIDTH)).cast("int")
+
+
 def knn_neighbors(queries: DataFrame, train: DataFrame, reading: DataFrame, k: int = K,
-                  fill: int = FILL_DBM) -> DataFrame:
+                  fill: int = FILL_DBM, probes: int = PROBES) -> DataFrame:
     """(query_id, neighbor_id, d2, rn) for the k nearest training scans of every
     query scan, ordered by (d2, neighbor_id). ``queries`` and ``train`` are scan
     tables with ``obs_id``; readings must satisfy rssi >= fill."""
     qv = _vectors(queries, reading, fill, "q")
-    # The training side feeds two jobs (the k-row norm list and the search),
-    # so it is written once to the shared folder instead of recomputed.
-    tv = materialize(_vectors(train, reading, fill, "t"), "knn_train_vectors")
+    # The training side feeds several jobs (norm list, probe, search), so it is
+    # written once to the shared folder instead of recomputed.
+    tv = materialize(_vectors(train, reading, fill, "t").withColumn("band", _band(F.col("tn2"))),
+                     "knn_train_vectors")
     qn, tn = _norms(queries, qv, "q"), _norms(train, tv, "t")
 
     # (a) The k smallest training norms: a bounded k-row list, handed to every
@@ -71,16 +91,42 @@ def knn_neighbors(queries: DataFrame, train: DataFrame, reading: DataFrame, k: i
                                F.lit(r["tn2"]).cast("bigint").alias("tn2")) for r in smallest]) \
         if smallest else F.array().cast("array<struct<tid:bigint,tn2:bigint>>")
     base = (qn.select("qid", "qn2", F.explode(fixed).alias("_s"))
-            .select("qid", F.col("_s.tid").alias("tid"), "qn2", F.col("_s.tn2").alias("tn2"),
-                    F.lit(0).cast("bigint").alias("part")))
-
-    # (b) Pairs sharing an AP, pruned by the norm bound before aggregation.
-    A, B, cc = F.col("qn2"), F.col("tn2"), F.lit(c).cast("bigint")
-    bound = (B <= cc) | ((B - cc) * (B - cc) <= F.lit(4) * A * B)
-    shared = (qv.join(tv, "ap_id").filter(bound)
+            .select("qid", F.col("_s.tid").alias("tid"), "qn2", F.col("_s.tn2").alias("tn2")))
+
+    # Probe: <= `probes` representatives per strongest AP, joined to queries
+    # with the same strongest AP, so at most `probes` pairs per query.
+    reps = (_strongest(tv, "t")
+            .withColumn("_r", F.row_number().over(Window.partitionBy("ap_id").orderBy(hash_key(7, "tid"), "tid")))
+            .filter(F.col("_r") <= probes).select("ap_id", "tid"))
+    probe = (_strongest(qv, "q").join(reps, "ap_id").select("qid", "tid")
+             .join(qn, "qid").join(tn, "tid"))
+    pairs1 = probe.select("qid", "tid", "qn2", "tn2").unionByName(base).distinct()
+    dots1 = (pairs1.select("qid", "tid").join(qv.select("qid", "ap_id", "qx"), "qid")
+             .join(tv.select("tid", "ap_id", "tx"), ["tid", "ap_id"])
+             .groupBy("qid", "tid").agg(F.sum(F.col("qx") * F.col("tx")).alias("dot")))
+    d2_1 = (pairs1.join(dots1, ["qid", "tid"], "left")
+            .select("qid", "tid", (F.col("qn2") + F.col("tn2") - 2 * F.coalesce("dot", F.lit(0))).alias("d2")))
+    kth = (d2_1.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "tid")))
+           .filter(F.col("_r") <= k).groupBy("qid")
+           .agg(F.max("d2").alias("_kth"), F.count(F.lit(1)).alias("_n")))
+    bound = (qn.join(kth, "qid", "left")
+             .select("qid", "qn2",
+                     F.least(F.when(F.col("_n") >= k, F.col("_kth")), F.col("qn2") + F.lit(c))
+                     .cast("bigint").alias("u")))
+
+    # (b) Banded AP join: query readings repeated over the bands their bound allows.
+    qa, ru = F.sqrt(F.col("qn2").cast("double")), F.sqrt(F.col("u").cast("double"))
+    lo = F.greatest(F.floor((qa - ru) / F.lit(BAND_WIDTH)).cast("int") - 1, F.lit(0))
+    hi = F.floor((qa + ru) / F.lit(BAND_WIDTH)).cast("int") + 1
+    qb = (qv.select("qid", "ap_id", "qx").join(bound, "qid")
+          .withColumn("band", F.explode(F.sequence(lo, hi))))
+    A, B, U = F.col("qn2"), F.col("tn2"), F.col("u")
+    slack = A + B - U
+    keep = (slack <= 0) | (slack * slack <= F.lit(4) * A * B)
+    shared = (qb.join(tv.select("tid", "ap_id", "tx", "tn2", "band"), ["ap_id", "band"]).filter(keep)
               .select("qid", "tid", "qn2", "tn2", (F.col("qx") * F.col("tx")).alias("part")))
 
-    cand = (shared.unionByName(base)
+    cand = (shared.unionByName(base.withColumn("part", F.lit(0).cast("bigint")))
             .groupBy("qid", "tid")
             .agg(F.sum("part").alias("dot"), F.max("qn2").alias("qn2"), F.max("tn2").alias("tn2")))
     d2 = (F.col("qn2") + F.col("tn2") - F.lit(2) * F.col("dot")).cast("bigint")
