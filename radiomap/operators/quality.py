@@ -131,28 +131,31 @@ def rssi_boxplot(obs: DataFrame, reading: DataFrame, by: str = "phone_id", datas
     """Box-plot statistics of dBm per group: quartiles (linear interpolation),
     whiskers at the most extreme values inside 1.5 IQR, and outlier count.
 
-    ``percentile`` keeps a value->count map per group, so its memory follows
-    the number of distinct dBm values (about 100), not the number of rows.
-    """
-    r = with_dataset(reading, obs, by).filter(F.col("dataset") == dataset) if dataset else \
-        with_dataset(reading, obs, by)
-    q = r.groupBy(by).agg(
-        F.percentile("rssi", 0.25).alias("q1"), F.percentile("rssi", 0.5).alias("median"),
-        F.percentile("rssi", 0.75).alias("q3"))
+    dBm is an integer with about a hundred values, so the readings are reduced
+    once to a (group, rssi, count) histogram with partial aggregation; the
+    quartiles (``percentile`` with a frequency column), fences and whiskers are
+    then computed on that small table. No second pass over the readings."""
+    r = with_dataset(reading, obs, by)
+    if dataset:
+        r = r.filter(F.col("dataset") == dataset)
+    hist = r.groupBy(by, "rssi").agg(F.count(F.lit(1)).alias("_n"))
+    q = hist.groupBy(by).agg(
+        F.percentile("rssi", 0.25, F.col("_n")).alias("q1"), F.percentile("rssi", 0.5, F.col("_n")).alias("median"),
+        F.percentile("rssi", 0.75, F.col("_n")).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(by, "q1", "median", "q3",
                       (F.col("q1") - whisker * iqr).alias("lo_fence"),
                       (F.col("q3") + whisker * iqr).alias("hi_fence"))
     inside = (F.col("rssi") >= F.col("lo_fence")) & (F.col("rssi") <= F.col("hi_fence"))
-    tails = (r.select(by, "rssi").join(fences, by)
+    tails = (hist.join(fences, by)
              .groupBy(by)
              .agg(F.min(F.when(inside, F.col("rssi"))).alias("lower_whisker"),
                   F.max(F.when(inside, F.col("rssi"))).alias("upper_whisker"),
-                  F.count(F.when(~inside, F.lit(1))).alias("n_outliers"),
-                  F.count(F.lit(1)).alias("n")))
+                  F.sum(F.when(~inside, F.col("_n")).otherwise(0)).alias("n_outliers"),
+                  F.sum("_n").alias("n")))
     return fences.join(tails, by).select(
-        by, "n", F.round("q1", 6).alias("q1"), F.round("median", 6).alias("median"),
-        F.round("q3", 6).alias("q3"), "lower_whisker", "upper_whisker",
+        by, F.col("n").cast("bigint").alias("n"), F.round("q1", 6).alias("q1"),
+        F.round("median", 6).alias("median"), F.round("q3", 6).alias("q3"), "lower_whisker", "upper_whisker",
         F.col("n_outliers").cast("bigint").alias("n_outliers"))
 
 
