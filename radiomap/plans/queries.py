@@ -641,3 +641,20 @@ def q_roundtrip_predictions(spark, sf):
     """kNN building predictions written as CSV (obs_id as the index column) and read back."""
     p = flows.knn_run(spark, sf).predictions["building_id"]
     return survey_io.roundtrip_csv(spark, p, "predictions")
+
+
+@register("model_report")
+def q_model_report(spark, sf):
+    """Two-level evaluation of the Spark ML models, as the published report:
+    forest floor (accuracy, kappa) and boosted latitude / longitude (MAE) on
+    the full test set and on its validation-only part (``hard_test``)."""
+    d = flows.ml_data(spark, sf)
+    tests = d.split.filter(F.col("split").isin("test", "hard_test"))
+    lab = d.obs.select("obs_id", "floor", "latitude", "longitude")
+    floor = models.fit(models.rf_classifier("floor", num_trees=20, max_depth=10), d.train, "floor")
+    parts = [evaluate.scored_table(models.score(floor, d.test), lab, "floor", tests)]
+    for t in ("latitude", "longitude"):
+        m = models.fit(models.gbt_regressor(t, max_iter=20, max_depth=5), d.train, t)
+        parts.append(evaluate.scored_table(models.score(m, d.test), lab, t, tests))
+    scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return evaluate.evaluation_report(scored, ("floor",), ("latitude", "longitude"))

@@ -10,17 +10,18 @@ BASE_TABLES = (
 )
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
+_READS: dict[str, tuple[SparkSession, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one base table; naming the columns lets the scan prune the rest.
 
-    The relation is created once per session and path (schema discovery reads
-    parquet footers); DataFrames are immutable, so sharing it is safe."""
+    The relation is created once per live session and path (schema discovery
+    reads parquet footers); DataFrames are immutable, so sharing it is safe.
+    A different or stopped session reads the file again."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    df = _READS.get(key)
-    if df is None:
-        df = _READS[key] = spark.read.parquet(path)
+    hit = _READS.get(path)
+    if hit is None or hit[0] is not spark or spark.sparkContext._jsc is None:
+        hit = _READS[path] = (spark, spark.read.parquet(path))
+    df = hit[1]
     return df.select(*columns) if columns else df

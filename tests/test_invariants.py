@@ -196,3 +196,26 @@ def test_duplicate_scans_groups(spark):
     got = {x.obs_id: (x.n_copies, x.keep) for x in reshape.duplicate_scans(obs, r, cols=("dataset", "floor")).collect()}
     assert got == {1: (2, True), 2: (2, False)}
     assert sorted(x.obs_id for x in reshape.drop_duplicate_scans(obs, r, cols=("dataset", "floor")).collect()) == [1, 3, 4]
+
+
+def test_sample_n_large_path_matches_take_ordered(spark, survey_mid, monkeypatch):
+    obs, _ = survey_mid
+    val = obs.filter(F.col("dataset") == "val").select("obs_id")
+    small = sorted(sampling.sample_n(val, 300, salt="x").collect())
+    monkeypatch.setattr(sampling, "TAKE_ORDERED_MAX_N", 10)
+    large = sorted(sampling.sample_n(val, 300, salt="x").collect())
+    assert small == large and len(small) == 300
+
+
+def test_survey_csv_roundtrip(spark):
+    from radiomap.sources import survey
+
+    schema = survey.survey_schema(n_aps=3)
+    rows = [(100, -50, 100, -7400.5, 4864800.25, 1, 0, 100, 2, 3, 11, 1371713733),
+            (-60, 100, -70, -7300.0, 4864790.0, 2, 1, 7, 1, 4, 13, 1371713800)]
+    df = spark.createDataFrame(rows, schema)
+    back = survey.roundtrip_csv(spark, df, "survey-csv-test")
+    assert sorted(back.collect()) == sorted(df.collect())
+    long = reshape.wide_to_long(back.withColumn("obs_id", F.col("TIMESTAMP")), ["obs_id"],
+                                ["WAP001", "WAP002", "WAP003"])
+    assert sorted((r.ap_id, r.rssi) for r in long.collect()) == [("WAP001", -60), ("WAP002", -50), ("WAP003", -70)]
