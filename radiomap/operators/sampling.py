@@ -20,8 +20,9 @@ SEED = 42
 # Up to this n per group the window is planned with a WindowGroupLimit before
 # the shuffle (spark.sql.optimizer.windowGroupLimitThreshold defaults to 1000).
 WINDOW_LIMIT_MAX_N = 1000
-# Up to this n an exact overall sample is a TakeOrdered (top-n per task, then a
-# merge of bounded size); above it the distributed row index is used.
+# Up to this n the exact overall sample is a TakeOrdered over the narrowed
+# superset (about n rows reach its merge task); above it the distributed row
+# index is used.
 TAKE_ORDERED_MAX_N = 100_000
 
 
@@ -57,13 +58,29 @@ def stratified_sample(df: DataFrame, by, n: int, seed: int = SEED, id_col: str =
 
 def sample_n(df: DataFrame, n: int, seed: int = SEED, id_col: str = "obs_id",
              salt: str | None = None) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows without replacement."""
+    """Exactly ``min(n, rows)`` rows without replacement: the n smallest by
+    ``draw_order``.
+
+    Rows are first narrowed to those whose hash-uniform falls under a cutoff a
+    little above n / rows (the uniform is the draw order's leading 52 bits, so
+    the n smallest always lie under the cutoff whenever at least n rows do).
+    The exact n are then taken from that superset of about n rows: a
+    TakeOrdered for moderate n (its single merge task sees ~n rows, not n per
+    input partition), the distributed row index above that. If the cutoff
+    ever keeps fewer than n rows, the whole input is ranked instead."""
     h = draw_order(seed, id_col, salt)
+    total = df.count()  # one number to the driver
+    if n >= total:
+        return df
+    cutoff = min(1.0, (n * 1.1 + 100.0) / total)
+    cols = df.columns
+    narrowed = df.filter(draw_uniform(seed, id_col, salt) < F.lit(cutoff))
+    if cutoff < 1.0 and narrowed.count() < n:
+        narrowed = df
     if n <= TAKE_ORDERED_MAX_N:
-        cols = df.columns
-        return df.withColumn("_h", h).orderBy("_h", id_col).limit(n).select(*cols)
-    return (row_index(df.withColumn("_h", h), ["_h", id_col], name="_rn")
-            .filter(F.col("_rn") <= n).drop("_rn", "_h"))
+        return narrowed.withColumn("_h", h).orderBy("_h", id_col).limit(n).select(*cols)
+    return (row_index(narrowed.withColumn("_h", h), ["_h", id_col], name="_rn")
+            .filter(F.col("_rn") <= n).select(*cols))
 
 
 def round_half_even(x: float) -> int:
@@ -74,7 +91,8 @@ def round_half_even(x: float) -> int:
 def sample_fraction(df: DataFrame, frac: float, seed: int = SEED, id_col: str = "obs_id",
                     salt: str | None = None) -> DataFrame:
     """Exactly ``round(frac * rows)`` rows (one count, then :func:`sample_n`)."""
-    return sample_n(df, round_half_even(frac * df.count()), seed, id_col, salt)
+    n = round_half_even(frac * df.count())
+    return sample_n(df, n, seed, id_col, salt) if n > 0 else df.limit(0)
 
 
 def poisson_cdf_steps(mean: float, tol: float = 1e-16) -> list[float]:
