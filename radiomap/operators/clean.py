@@ -26,6 +26,13 @@ def select_by_prefix(df: DataFrame, prefix: str = "WAP", keep=("obs_id",)) -> Da
     return df.select(*keep, *[c for c in df.columns if c.startswith(prefix) and c not in keep])
 
 
+def select_by_position(df: DataFrame, start: int, stop: int | None = None, keep=()) -> DataFrame:
+    """Columns ``start:stop`` by position (plus ``keep`` columns first); the
+    position is read from the schema, so it is fixed once the plan is built."""
+    cols = [c for c in df.columns[start:stop] if c not in keep]
+    return df.select(*keep, *cols)
+
+
 def with_dataset(reading: DataFrame, obs: DataFrame, *cols: str) -> DataFrame:
     """Attach the scan's dataset tag (and any other scan columns) to each reading."""
     extra = [c for c in cols if c != "dataset"]
