@@ -22,6 +22,7 @@ from radiomap.operators.features import standard_scaler
 SEED = 42
 TRAIN_PARTITIONS = 8
 MAX_TREE_DEPTH = 30  # Spark's limit; deeper settings are capped
+OVR_PARALLELISM = 4  # per-class binary models fitted as concurrent Spark jobs
 
 
 def stable_layout(df: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
@@ -54,13 +55,14 @@ def gbt_classifier(label: str, max_iter: int = 10, max_depth: int = 5, step: flo
     """Multi-class boosting: one binary GBT per class (GBTClassifier is binary)."""
     base = GBTClassifier(featuresCol=features, maxIter=max_iter, maxDepth=min(max_depth, MAX_TREE_DEPTH),
                          stepSize=step, seed=seed)
-    return OneVsRest(classifier=base, labelCol=label, featuresCol=features)
+    return OneVsRest(classifier=base, labelCol=label, featuresCol=features, parallelism=OVR_PARALLELISM)
 
 
 def svm_classifier(label: str, max_iter: int = 20, reg: float = 0.01, features: str = "features") -> Pipeline:
     """Standardize, then one-vs-rest linear SVM (hinge loss)."""
     scaler = standard_scaler(features, "_scaled")
-    ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), labelCol=label, featuresCol="_scaled")
+    ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), labelCol=label, featuresCol="_scaled",
+                    parallelism=OVR_PARALLELISM)
     return Pipeline(stages=[scaler, ovr])
 
 
