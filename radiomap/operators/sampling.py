@@ -44,16 +44,27 @@ def stratified_sample(df: DataFrame, by, n: int, seed: int = SEED, id_col: str =
 
     Small n: ``row_number() <= n`` over the group, which the planner limits to
     n rows per group per task before the shuffle, so no task ever receives
-    more than n x (map tasks) rows of a group however large it is. Large n: the
-    distributed row index inside each group."""
+    more than n x (map tasks) rows of a group however large it is. Large n:
+    each group is first narrowed to rows whose hash-uniform is under a
+    per-group cutoff a little above n / size (groups the cutoff leaves short
+    keep every row), then the distributed row index ranks the ~n survivors."""
     by = list(by)
     order = [draw_order(seed, id_col, salt), F.col(id_col)]
     if n <= WINDOW_LIMIT_MAX_N:
         w = Window.partitionBy(*by).orderBy(*order)
         return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-    keyed = df.withColumn("_h", order[0])
-    return (row_index(keyed, ["_h", id_col], group_cols=by, name="_rn")
-            .filter(F.col("_rn") <= n).drop("_rn", "_h"))
+    cols = df.columns
+    u = draw_uniform(seed, id_col, salt)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    cut = sizes.select(*by, F.least(F.lit(1.0), (F.lit(n * 1.1 + 100.0) / F.col("_size"))).alias("_cut"),
+                       F.least(F.lit(n), F.col("_size")).alias("_need"))
+    keyed = df.join(cut, by).withColumn("_under", u < F.col("_cut"))
+    short = (keyed.groupBy(*by).agg(F.sum(F.col("_under").cast("long")).alias("_got"), F.max("_need").alias("_need"))
+             .select(*by, (F.col("_got") < F.col("_need")).alias("_short")))
+    narrowed = keyed.join(short, by).filter(F.col("_under") | F.col("_short")).select(*cols)
+    keyed_h = narrowed.withColumn("_h", order[0])
+    return (row_index(keyed_h, ["_h", id_col], group_cols=by, name="_rn")
+            .filter(F.col("_rn") <= n).select(*cols))
 
 
 def sample_n(df: DataFrame, n: int, seed: int = SEED, id_col: str = "obs_id",

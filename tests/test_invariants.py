@@ -219,3 +219,12 @@ def test_survey_csv_roundtrip(spark):
     long = reshape.wide_to_long(back.withColumn("obs_id", F.col("TIMESTAMP")), ["obs_id"],
                                 ["WAP001", "WAP002", "WAP003"])
     assert sorted((r.ap_id, r.rssi) for r in long.collect()) == [("WAP001", -60), ("WAP002", -50), ("WAP003", -70)]
+
+
+def test_stratified_narrowed_path_matches_window(spark, survey_mid, monkeypatch):
+    obs, _ = survey_mid
+    tr = obs.filter(F.col("dataset") == "train").select("obs_id", "building_id", "floor")
+    ref = sorted(sampling.stratified_sample(tr, ["building_id", "floor"], 100, salt="n").collect())
+    monkeypatch.setattr(sampling, "WINDOW_LIMIT_MAX_N", 10)  # force the narrowed, row-index path
+    got = sorted(sampling.stratified_sample(tr, ["building_id", "floor"], 100, salt="n").collect())
+    assert got == ref and len(got) == 100 * 15
