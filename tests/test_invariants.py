@@ -228,3 +228,16 @@ def test_stratified_narrowed_path_matches_window(spark, survey_mid, monkeypatch)
     monkeypatch.setattr(sampling, "WINDOW_LIMIT_MAX_N", 10)  # force the narrowed, row-index path
     got = sorted(sampling.stratified_sample(tr, ["building_id", "floor"], 100, salt="n").collect())
     assert got == ref and len(got) == 100 * 15
+
+
+def test_survey_tables_from_wide(spark):
+    from radiomap.sources import survey
+
+    schema = survey.survey_schema(n_aps=3)
+    rows = [(100, -50, 100, -7400.5, 4864800.25, 1, 0, 100, 2, 3, 11, 1371713733),
+            (100, 100, 100, -7300.0, 4864790.0, 2, 1, 7, 1, 4, 13, 1371713800)]
+    obs, reading = survey.survey_tables(spark.createDataFrame(rows, schema), "train", name="survey-test")
+    assert obs.count() == 2 and {"building_id", "floor", "space_id"} <= set(obs.columns)
+    assert [(r.ap_id, r.rssi) for r in reading.collect()] == [("WAP002", -50)]
+    assert {r.sig_count for r in clean.signal_count(obs, reading).collect()} == {0, 1}
+    assert [r.space_id for r in obs.orderBy("ts").collect()] == [100, 7]
