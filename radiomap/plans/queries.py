@@ -9,11 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from radiomap.functions import signal as sig
+from radiomap.operators import (clean, evaluate, features, indexing, models, quality, rank, reshape,
+                                sampling, search, splits)
+from radiomap.plans import flows
+from radiomap.session import shared_dir
 from radiomap.sources import fixtures as fx
-from radiomap.operators import clean, quality
+from radiomap.sources import survey as survey_io
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -159,9 +165,6 @@ def q_loc_by_user(spark, sf):
 
 # --- sources, projections, filters, row-wise expressions ---------------------------
 
-from radiomap.functions import signal as sig  # noqa: E402
-from radiomap.operators import indexing, rank, reshape, sampling, splits  # noqa: E402
-from radiomap.sources import survey as survey_io  # noqa: E402
 
 
 @register("load_survey")
@@ -380,8 +383,6 @@ def q_ap_groups(spark, sf):
 
 # --- kNN prediction and evaluation ------------------------------------------------------
 
-from radiomap.operators import evaluate  # noqa: E402
-from radiomap.plans import flows  # noqa: E402
 
 
 @register("knn_neighbors")
@@ -472,9 +473,6 @@ def q_residual_surface(spark, sf):
 
 # --- Spark ML: features, models, search, cascades --------------------------------------
 
-from radiomap.operators import features, models, search  # noqa: E402
-from radiomap.operators import knn as knn_ops  # noqa: E402
-from radiomap.session import materialize, shared_dir  # noqa: E402
 
 
 @register("feature_vectors")
@@ -579,7 +577,8 @@ def q_scenarios(spark, sf):
     unlabeled = features.feature_vectors(obs.filter(F.col("dataset") == "test"), d.reading, d.index,
                                          d.n_features)
     s2 = splits.split_sample2(obs).select("obs_id").distinct()
-    sample2 = materialize(features.labeled_vectors(obs, s2, d.reading, d.index, d.n_features), "sample2_vectors")
+    sample2 = features.labeled_vectors(obs, s2, d.reading, d.index, d.n_features).persist(
+        StorageLevel.MEMORY_AND_DISK)
     config = [("sample1_building", d.train, 1), ("sample1_location", d.train, 3),
               ("sample2_location", sample2, 3)]
     out = None
