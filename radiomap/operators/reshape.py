@@ -12,6 +12,7 @@ from radiomap.functions.signal import NOT_HEARD, sentinel_to_null
 from radiomap.operators.clean import with_dataset
 from radiomap.operators.indexing import row_index
 from radiomap.operators.rank import TOP_K
+from radiomap.session import materialize
 
 LABEL_ORDER = ("building_id", "floor", "longitude", "latitude")
 
@@ -138,8 +139,11 @@ def duplicate_scans(obs: DataFrame, reading: DataFrame, cols=SIGNATURE_COLS) ->
           .agg(F.array_join(F.array_sort(F.collect_list(
               F.concat_ws("=", F.col("ap_id"), F.col("rssi").cast("string")))), ",").alias("fp")))
     attrs = [F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols]
-    sig = (obs.join(fp, "obs_id", "left")
-           .select("obs_id", F.sha2(F.concat_ws("|", F.coalesce("fp", F.lit("")), *attrs), 256).alias("sig")))
+    # Narrow (obs_id, sig) table used twice below: written once so the
+    # readings are not scanned and grouped a second time.
+    sig = materialize(obs.join(fp, "obs_id", "left")
+                      .select("obs_id", F.sha2(F.concat_ws("|", F.coalesce("fp", F.lit("")), *attrs), 256)
+                              .alias("sig")), "scan_signatures")
     groups = (sig.groupBy("sig").agg(F.count(F.lit(1)).alias("n_copies"), F.min("obs_id").alias("first_id"))
               .filter(F.col("n_copies") > 1))
     return sig.join(groups, "sig").select(
