@@ -241,3 +241,22 @@ def test_survey_tables_from_wide(spark):
     assert [(r.ap_id, r.rssi) for r in reading.collect()] == [("WAP002", -50)]
     assert {r.sig_count for r in clean.signal_count(obs, reading).collect()} == {0, 1}
     assert [r.space_id for r in obs.orderBy("ts").collect()] == [100, 7]
+
+
+def test_empty_inputs(spark):
+    obs = spark.createDataFrame([], "obs_id long, dataset string, building_id int, floor int, "
+                                    "longitude double, latitude double")
+    r = spark.createDataFrame([], "obs_id long, ap_id string, rssi int")
+    ap = spark.createDataFrame([(0, "A")], "ap_no long, ap_id string")
+    assert clean.signal_count(obs, r).count() == 0
+    assert clean.varying_aps(obs, r).count() == 0
+    assert clean.unheard_aps(obs, r, ap).count() == 3
+    assert rank.rank_signals(r).count() == 0
+    assert sampling.sample_n(obs, 5).count() == 0
+    assert sampling.stratified_sample(obs, ["building_id", "floor"], 5).count() == 0
+    assert indexing.row_index(obs.select("obs_id"), ["obs_id"]).count() == 0
+    one = spark.createDataFrame([(1, "val", 0, 0, 1.0, 1.0)], obs.schema)
+    r1 = spark.createDataFrame([(1, "A", -50)], r.schema)
+    assert knn.knn_neighbors(one.select("obs_id"), obs.select("obs_id"), r1).count() == 0
+    got = knn.knn_neighbors(one.select("obs_id"), one.select("obs_id"), r1).collect()
+    assert [(x.query_id, x.neighbor_id, x.d2, x.rn) for x in got] == [(1, 1, 0, 1)]
