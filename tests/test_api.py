@@ -31,3 +31,19 @@ def test_set_y_and_positions(spark):
     out = api.set_y(df, "floor")
     assert out.columns == ["obs_id", "features", "label"] and out.collect()[0].label == 2.0
     assert clean.select_by_position(df, 1, 3, keep=("obs_id",)).columns == ["obs_id", "x", "floor"]
+
+
+def test_model_helpers_end_to_end(spark):
+    from radiomap.operators import models
+    from radiomap.plans import flows
+    from tests.conftest import SF_SMALL
+
+    d = flows.ml_data(spark, SF_SMALL)
+    rep = api.rfc_pred(models.fit(models.rf_classifier("floor", 5, 4), d.train, "floor"), d.test, "floor")
+    assert rep["confusion"].count() > 0 and 0 <= rep["accuracy"].collect()[0]["accuracy"] <= 1
+    assert api.xgb_fit(d.train, "latitude", max_iter=3, max_depth=3).stages[-1].getNumTrees == 3
+    unlabeled = d.test.select("obs_id", "features")
+    out = api.lat_long_reg(d.train, d.test, d.train, unlabeled, "latitude", {"maxDepth": [3], "stepSize": [0.3]},
+                           n_iter=1, folds=2, patience=2, max_iter=5)
+    assert out["search"].count() == 1 and out["curve"].count() == 5
+    assert out["predictions"].count() == d.test.count()
