@@ -39,7 +39,7 @@ from radiomap.functions.hashing import hash_key
 from radiomap.functions.signal import FILL_DBM
 from radiomap.session import materialize
 
-K = 3
+K = 3  # fixed value: neighbours used by the survey's nearest-fingerprint models
 PROBES = 4
 BAND_WIDTH = 16.0  # in units of x = rssi + 110; query readings repeat over ~2 sqrt(U) / width bands
 

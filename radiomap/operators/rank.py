@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from radiomap.functions.hashing import hash_key
 
+# The survey's seed and number of strongest signals kept.
 SEED = 42
 TOP_K = 10
 

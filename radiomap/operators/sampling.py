@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from radiomap.functions.hashing import hash_key, hash_uniform
 from radiomap.operators.indexing import row_index
 
-SEED = 42
+SEED = 42  # fixed value: the survey's default seed
 # Up to this n per group the window is planned with a WindowGroupLimit before
 # the shuffle (spark.sql.optimizer.windowGroupLimitThreshold defaults to 1000).
 WINDOW_LIMIT_MAX_N = 1000

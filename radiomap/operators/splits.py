@@ -16,6 +16,13 @@ from radiomap.operators.sampling import SEED, bootstrap, sample_fraction, sample
 
 GROUP = ("building_id", "floor")
 
+# Fixed values of the surveyed splits: per-group sample sizes, test fractions
+# and seeds, in the order the splits use them.
+PER_GROUP_5_1, VAL_PER_GROUP_5_1, TEST_FRAC_5_1 = 400, 20, 0.25
+PER_GROUP_ALL, VAL_N_ALL = 400, 250
+PER_GROUP_HALF, VAL_FRAC_HALF, REST_FRAC_HALF, VAL_SEED_HALF, REST_SEED_HALF = 900, 0.5, 0.3, 32, 33
+PER_GROUP_SAMPLE2 = 500
+
 
 def _tag(df: DataFrame, name: str) -> DataFrame:
     return df.select("obs_id", F.lit(name).alias("split"))
@@ -29,8 +36,8 @@ def _labeled(obs: DataFrame, dataset: str) -> DataFrame:
     return obs.filter(F.col("dataset") == dataset).select("obs_id", *GROUP)
 
 
-def split_5_1(obs: DataFrame, per_group: int = 400, val_per_group: int = 20, test_frac: float = 0.25,
-              seed: int = SEED) -> DataFrame:
+def split_5_1(obs: DataFrame, per_group: int = PER_GROUP_5_1, val_per_group: int = VAL_PER_GROUP_5_1,
+              test_frac: float = TEST_FRAC_5_1, seed: int = SEED) -> DataFrame:
     """``5_1_train_val``: n per group from train plus validation, 25 % of the
     training sample and 20 per group of validation to test, the rest to train;
     ``train_final`` = all validation + the training sample."""
@@ -48,7 +55,8 @@ def split_5_1(obs: DataFrame, per_group: int = 400, val_per_group: int = 20, tes
         _tag(val, "train_final"), _tag(tr_samp, "train_final"))
 
 
-def split_all_train(obs: DataFrame, per_group: int = 400, val_n: int = 250, seed: int = SEED) -> DataFrame:
+def split_all_train(obs: DataFrame, per_group: int = PER_GROUP_ALL, val_n: int = VAL_N_ALL,
+                    seed: int = SEED) -> DataFrame:
     """``all_train``: test = n per group of train + ``val_n`` validation scans;
     train = every other labeled scan; ``train_final`` = all labeled scans."""
     tr, val = _labeled(obs, "train"), _labeled(obs, "val")
@@ -60,8 +68,9 @@ def split_all_train(obs: DataFrame, per_group: int = 400, val_n: int = 250, seed
                          _tag(tr, "train_final"), _tag(val, "train_final"))
 
 
-def split_half_val(obs: DataFrame, per_group: int = 900, val_frac: float = 0.5, rest_frac: float = 0.3,
-                   seed: int = SEED, val_seed: int = 32, rest_seed: int = 33) -> DataFrame:
+def split_half_val(obs: DataFrame, per_group: int = PER_GROUP_HALF, val_frac: float = VAL_FRAC_HALF,
+                   rest_frac: float = REST_FRAC_HALF, seed: int = SEED, val_seed: int = VAL_SEED_HALF,
+                   rest_seed: int = REST_SEED_HALF) -> DataFrame:
     """Half the validation survey drawn with replacement joins n per group of
     training for ``train``; the validation rows not drawn plus a 30 % draw with
     replacement of the unused training rows form ``test``. Output carries
@@ -79,7 +88,7 @@ def split_half_val(obs: DataFrame, per_group: int = 900, val_frac: float = 0.5,
         val2.select("obs_id", F.lit("test").alias("split"), one))
 
 
-def split_sample2(obs: DataFrame, per_group: int = 500, seed: int = SEED) -> DataFrame:
+def split_sample2(obs: DataFrame, per_group: int = PER_GROUP_SAMPLE2, seed: int = SEED) -> DataFrame:
     """n per group of training plus the whole validation survey."""
     tr, val = _labeled(obs, "train"), _labeled(obs, "val")
     return union_surveys(_tag(stratified_sample(tr, GROUP, per_group, seed, salt="sample2"), "train"),
