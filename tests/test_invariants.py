@@ -260,3 +260,12 @@ def test_empty_inputs(spark):
     assert knn.knn_neighbors(one.select("obs_id"), obs.select("obs_id"), r1).count() == 0
     got = knn.knn_neighbors(one.select("obs_id"), one.select("obs_id"), r1).collect()
     assert [(x.query_id, x.neighbor_id, x.d2, x.rn) for x in got] == [(1, 1, 0, 1)]
+
+
+def test_knn_stable_under_repartition(spark):
+    obs, r = fx.survey(spark, SF_SMALL)
+    q = obs.filter(F.col("dataset") == "val").select("obs_id")
+    t = obs.filter(F.col("dataset") == "train").select("obs_id")
+    a = knn.knn_neighbors(q, t, r).collect()
+    b = knn.knn_neighbors(q.repartition(5), t.repartition(3), r.repartition(7)).collect()
+    assert sorted(a) == sorted(b) and len(a) > 0
