@@ -1,0 +1,30 @@
+"""Sends this package to the executors of a session, once."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import SparkSession
+
+import radiomap
+
+_SENT: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """``spark``, whose Python workers can import this package from now on."""
+    app = spark.sparkContext.applicationId
+    if app not in _SENT:
+        root = os.path.dirname(os.path.abspath(radiomap.__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="radiomap-"), "radiomap.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        spark.sparkContext.addPyFile(path)
+        _SENT.add(app)
+    return spark
