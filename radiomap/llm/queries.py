@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiomap.llm import simhash
+from radiomap.llm import bpe, decontam, lattice, ngram_lm, quality, simhash
 from radiomap.llm.shipping import ship
 
 
@@ -12,9 +12,37 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"), size=3, max_bits=2)
 
 
-QUERIES = {"op2_simhash_dedup": op2_simhash_dedup}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "meta_score", "score", "keep")
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(read(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 5 = 1")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.embedding_groups(read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_quality, op4_lm_scores, op8_bpe, op9_embedding_dedup,
+                                   op10_decontaminate)}
 ORACLE: dict[str, str] = {}

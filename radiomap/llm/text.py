@@ -19,6 +19,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation: what is left are letters and digits.
+PUNCTUATION = np.array([not chr(b).isalnum() for b in range(128)] + [False] * 128)
 _LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -61,33 +63,32 @@ def pieces(texts: list[bytes], size: int = PIECE) -> Iterator[list[bytes]]:
         yield run
 
 
-def _hash_piece(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[raw]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(len(raw))
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_LOWER[raw] * up[:len(raw)], out=total[1:])
-    keys = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    begin = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return keys, np.diff(np.searchsorted(starts, begin))
+class Words:
+    """The words of a run of texts: raw bytes, starts, ends, keys, words per text."""
 
+    def __init__(self, texts: list[bytes], breaks: np.ndarray = _SPACE):
+        self.raw = raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+        space = breaks[raw]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        self.starts, self.ends = edges[::2], edges[1::2]
+        up, down = _powers(len(raw))
+        total = np.empty(len(raw) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_LOWER[raw] * up[:len(raw)], out=total[1:])
+        size = (self.ends - self.starts).astype(np.uint64)
+        self.keys = mix((total[self.ends] - total[self.starts]) * down[self.starts] + size)
+        #: Place of each text's first byte, and one past the last text's break.
+        self.begin = np.cumsum([1] + [len(t) + 1 for t in texts])
+        self.counts = np.diff(np.searchsorted(self.starts, self.begin))
 
-def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit key of every word of every text in order, words per text)."""
+
+def word_keys(texts: list[bytes], breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit key of every word of every text in order, words per text).
+
+    ``breaks``: by byte, whether it separates words."""
     keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for run in pieces(texts):
-        k, n = _hash_piece(run)
-        keys.append(k)
-        counts.append(n)
+        words = Words(run, breaks)
+        keys.append(words.keys)
+        counts.append(words.counts)
     return np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-
-
-def word_key(word: bytes) -> int:
-    """The key of one word, as ``word_keys`` gives it."""
-    keys, counts = word_keys([word])
-    if len(keys) != 1:
-        raise ValueError("not a single word")
-    return int(keys[0])
