@@ -87,7 +87,9 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterat
         if counts:
             out.append(majority(np.concatenate(held), np.array(counts)))
         bits = np.concatenate(out) if out else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+        rest = [i for i in range(batch.num_columns) if i != 1]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(bits.view(np.int64))],
+                                         [*(batch.schema.names[i] for i in rest), "fp"])
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -265,6 +267,16 @@ def _crowded_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return meet.join(least, "mid").where("fp <> a").select("a", F.col("fp").alias("b"))
 
 
+def _with_components(marks: DataFrame, max_bits: int, hot: int) -> DataFrame:
+    """(fp, component_id) of the fingerprints in ``marks`` (doc_id, fp)."""
+    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fps")
+    parts = components(links(distinct.select("fp"), max_bits, hot))
+    rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "rep", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rooted.join(first, "root").select("fp", "root", "component_id")
+
+
 def simhash_groups(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -274,11 +286,23 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BIT
     keeps its row; it never is a component_id unless no member has an id. Other
     columns are ignored; an empty table gives an empty table."""
     marks = materialize(fingerprints(docs, size), "fingerprints")
-    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fps")
-    parts = components(links(distinct.select("fp"), max_bits, hot))
-    rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = rooted.join(first, "root").select("fp", "component_id")
+    known = _with_components(marks, max_bits, hot).select("fp", "component_id")
     return marks.join(known, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
+    """``docs`` with one row left of each group: that of the smallest doc_id (rows
+    without one come last), ties by a hash of the row. All columns stay; cases
+    otherwise as in ``simhash_groups``."""
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", "text", key.alias("row"))
+    marks = materialize(rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "row").mapInArrow(
+        lambda b: _fingerprint_batches(b, size), "doc_id long, row long, fp long"), "fingerprints")
+    roots = _with_components(marks, max_bits, hot).select("fp", "root")
+    best = marks.join(roots, "fp").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("__doc"), F.col("best.row").alias("__row"))
+    kept = docs.withColumn("__key", key)
+    kept = kept.join(best, (F.col("__key") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    return kept.dropDuplicates(["__key", "doc_id"]).drop("__key")
