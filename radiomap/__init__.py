@@ -5,6 +5,6 @@ long table ``reading(obs_id, ap_id, rssi)`` (absent row = AP not heard) next to
 the scan table ``obs(obs_id, dataset, labels..., context...)``.
 """
 
-from radiomap.session import build_session, shared_dir, broadcast_if_small
+from radiomap.session import build_session, shared_dir, ship
 
-__all__ = ["build_session", "shared_dir", "broadcast_if_small"]
+__all__ = ["build_session", "shared_dir", "ship"]

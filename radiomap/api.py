@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiomap.operators import evaluate, models, search
+from radiomap.operators import boosting, evaluate, models, search
 
 
 def set_y(df: DataFrame, target: str, features: str = "features") -> DataFrame:
@@ -40,28 +40,18 @@ def find_error(scored: DataFrame) -> DataFrame:
     return evaluate.residuals(scored)
 
 
-def xgb_fit(train: DataFrame, target: str, max_iter: int = 20, max_depth: int = 6, step: float = 0.3,
-            min_info_gain: float = 0.0):
-    """Boosted-tree regressor (squared loss) fitted on ``train``."""
-    est = models.gbt_regressor(target, max_iter=max_iter, max_depth=max_depth, step=step,
-                               min_info_gain=min_info_gain)
-    return models.fit(est, train, target)
+def xgb_fit(train: DataFrame, watch: DataFrame, target: str, **params) -> boosting.Booster:
+    """Boosted regression (squared loss) with early stopping on ``watch``;
+    ``params`` are those of :class:`boosting.Params`."""
+    (_, model), = boosting.fit_all([(boosting.Params(**params), -1)], train, watch, target)
+    return model
 
 
 def lat_long_reg(train: DataFrame, watch: DataFrame, final_train: DataFrame, unlabeled: DataFrame,
-                 target: str, grid: dict, n_iter: int = 3, folds: int = 2, patience: int = 10,
-                 max_iter: int = 50) -> dict[str, DataFrame]:
-    """Randomized search (MAE), early stopping on ``watch`` with the best
-    parameters, refit on ``final_train`` with the kept number of rounds, and
-    predictions for ``unlabeled``."""
-    est = models.gbt_regressor(target, max_iter=max_iter)
-    cv = search.random_search(est, grid, train, target, n_iter=n_iter, folds=folds, metric="mae")
-    import json
-    best = json.loads(cv.filter(F.col("best")).select("params").first()["params"])  # one small row
-    tuned = models.gbt_regressor(target, max_iter=max_iter, max_depth=best.get("maxDepth", 5),
-                                 step=best.get("stepSize", 0.3))
-    curve = search.early_stopping_curve(models.fit(tuned, train, target).stages[-1], watch, patience)
-    keep = curve.select("best_iteration").first()["best_iteration"]
-    final = models.fit(models.gbt_regressor(target, max_iter=keep, max_depth=best.get("maxDepth", 5),
-                                            step=best.get("stepSize", 0.3)), final_train, target)
-    return {"search": cv, "curve": curve, "predictions": models.score(final, unlabeled, f"{target}_pred")}
+                 target: str, grid: dict, n_iter: int = 8, folds: int = 5) -> dict[str, DataFrame]:
+    """Randomized search (MAE) with early stopping on ``watch``, refit with all
+    parameters of the best draw on ``final_train``, predictions for ``unlabeled``."""
+    found = search.tune_boosted(grid, train, watch, target, n_iter, folds)
+    final = xgb_fit(final_train, watch, target, **found.params)
+    return {"search": found.table, "curve": search.curve_table(train.sparkSession, found.model.curve),
+            "predictions": boosting.predict(final, unlabeled, out=f"{target}_pred")}

@@ -1,0 +1,285 @@
+"""Boosted trees for searches: one model per task over bounded labelled rows.
+
+A search over grid draws and folds fits dozens of models of up to hundreds of
+rounds. Spark ML starts several jobs for each level of each tree, which for
+surveys of thousands of labelled scans is nearly all of the time. Here every
+(draw, fold) is a row, Spark deals the rows over the cluster, and a task fits one
+model with histogram trees in numpy. The labelled rows, at most about
+``LABELLED_ROWS`` drawn by a hash (the documented bound of the sample), are
+broadcast; scans to predict stay distributed and are scored where they are.
+For training on all rows of a large survey use ``models.gbt_regressor``.
+
+Signals enter as bins of ``BIN`` dB above the fill, 0 for "not heard"; further
+inputs, as in cascades, by their quantiles. Rounds stop when the watched error
+has not fallen for ``patience`` of them, and the best round is kept.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from radiomap.functions.hashing import hash_uniform
+
+LABELLED_ROWS = 20_000
+BIN = 4.0
+BINS = 32
+CELLS = 2_000_000  # histogram cells held at once
+SEED = 42
+
+
+@dataclass
+class Params:
+    """Names and defaults as in the survey's booster."""
+    max_depth: int = 6
+    learning_rate: float = 0.3
+    rounds: int = 500
+    patience: int = 10
+    ridge: float = 1.0
+    least_gain: float = 0.0
+    least_rows: float = 1.0
+
+
+@dataclass
+class Booster:
+    columns: np.ndarray
+    cuts: list[np.ndarray]  # of the further inputs
+    start: np.ndarray
+    classes: np.ndarray | None
+    rate: float
+    trees: list[list[tuple[np.ndarray, ...]]] = field(default_factory=list)  # by round, by output
+    curve: list[float] = field(default_factory=list)  # watched error by round
+    best: int = 0
+
+    def bins(self, data: Rows) -> np.ndarray:
+        """(rows, inputs) in bins."""
+        out = np.zeros((data.n, len(self.columns) + len(self.cuts)), np.uint8)
+        at = np.minimum(np.searchsorted(self.columns, data.idx), max(len(self.columns) - 1, 0))
+        if len(self.columns):
+            known = self.columns[at] == data.idx
+            out[data.row[known], at[known]] = np.clip(np.ceil(data.x[known] / BIN), 0, BINS - 1)
+        for k, cuts in enumerate(self.cuts):
+            out[:, len(self.columns) + k] = np.searchsorted(cuts, data.more[:, k], side="left")
+        return out
+
+    def raw(self, bins: np.ndarray, rounds: int | None = None) -> np.ndarray:
+        out = np.tile(self.start, (len(bins), 1))
+        for trees in self.trees[:self.best if rounds is None else rounds]:
+            for k, tree in enumerate(trees):
+                out[:, k] += self.rate * route(tree, bins)
+        return out
+
+    def predict(self, data: Rows) -> np.ndarray:
+        raw = self.raw(self.bins(data))
+        return raw[:, 0] if self.classes is None else self.classes[raw.argmax(axis=1)]
+
+
+@dataclass
+class Rows:
+    """Sparse rows: entry k is x[k] of input idx[k] in row row[k]; further inputs dense."""
+    n: int
+    row: np.ndarray
+    idx: np.ndarray
+    x: np.ndarray
+    more: np.ndarray
+
+    def take(self, keep: np.ndarray) -> Rows:
+        place = np.full(self.n, -1)
+        place[keep] = np.arange(len(keep))
+        use = place[self.row] >= 0
+        return Rows(len(keep), place[self.row[use]], self.idx[use], self.x[use], self.more[keep])
+
+
+def route(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
+    """The value of the leaf that each row reaches."""
+    feature, cut, right, value = tree
+    node = np.zeros(len(bins), np.int64)
+    while True:
+        inner = np.flatnonzero(feature[node] >= 0)
+        if not len(inner):
+            return value[node]
+        at = node[inner]  # the left child is next to its sibling, before it
+        node[inner] = right[at] - (bins[inner, feature[at]] <= cut[at])
+
+
+def grow(bins: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], g: np.ndarray, h: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
+    """One tree for gradients and curvatures, level by level, the best cut of each
+    node from its histograms of all inputs."""
+    row, col, value = entries
+    width = bins.shape[1]
+    feature, cut, right, leaf = [-1], [0], [-1], [0.0]
+    node = np.zeros(len(bins), np.int64)
+    level = np.array([0])
+    for depth in range(p.max_depth + 1):
+        place = np.full(len(feature), -1)
+        place[level] = np.arange(len(level))
+        spot = place[node]
+        inside = spot >= 0
+        total_g = np.bincount(spot[inside], weights=g[inside], minlength=len(level))
+        total_h = np.bincount(spot[inside], weights=h[inside], minlength=len(level))
+        for k, x in zip(level.tolist(), (-total_g / (total_h + p.ridge)).tolist(), strict=True):
+            leaf[k] = x
+        if depth == p.max_depth or not width:
+            break
+        chosen, gains = np.zeros(len(level), np.int64), np.full(len(level), -np.inf)
+        step = max(1, CELLS // (width * BINS))
+        at = spot[row]
+        for c in range(0, len(level), step):
+            m = min(step, len(level) - c)
+            use = (at >= c) & (at < c + m)
+            key = ((at[use] - c) * width + col[use]) * BINS + value[use]
+            sums = []
+            for w, total in ((g, total_g), (h, total_h)):
+                s = np.bincount(key, weights=w[row[use]], minlength=m * width * BINS).reshape(m, width, BINS)
+                s[:, :, 0] = total[c:c + m, None] - s[:, :, 1:].sum(axis=2)
+                sums.append(np.cumsum(s, axis=2)[:, :, :-1])
+            (lg, lh), tg, th = sums, total_g[c:c + m, None, None], total_h[c:c + m, None, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = lg ** 2 / (lh + p.ridge) + (tg - lg) ** 2 / (th - lh + p.ridge) - tg ** 2 / (th + p.ridge)
+            gain[(lh < p.least_rows - 1e-9) | (th - lh < p.least_rows - 1e-9)] = -np.inf
+            gain = gain.reshape(m, -1)
+            chosen[c:c + m] = gain.argmax(axis=1)
+            gains[c:c + m] = gain[np.arange(m), chosen[c:c + m]]
+        split = np.flatnonzero(gains > max(p.least_gain, 1e-9))
+        if not len(split):
+            break
+        for k in split.tolist():
+            n = int(level[k])
+            feature[n], cut[n] = divmod(int(chosen[k]), BINS - 1)
+            right[n] = len(feature) + 1
+            feature += [-1, -1]
+            cut += [0, 0]
+            right += [-1, -1]
+            leaf += [0.0, 0.0]
+        f, t, r = np.array(feature), np.array(cut), np.array(right)
+        move = np.flatnonzero((f[node] >= 0) & inside)
+        was = node[move]
+        node[move] = r[was] - (bins[move, f[was]] <= t[was])
+        level = np.sort(np.concatenate([r[level[split]] - 1, r[level[split]]]))
+    return np.array(feature), np.array(cut), np.array(right), np.array(leaf)
+
+
+def _softmax(raw: np.ndarray) -> np.ndarray:
+    e = np.exp(raw - raw.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def fit(data: Rows, y: np.ndarray, watch: Rows | None, watch_y: np.ndarray | None, p: Params, classify: bool = False) -> Booster:
+    """Rounds until the watched error (mean absolute error, or share of wrong
+    classes) has not fallen for ``p.patience`` of them; all without a watch set."""
+    columns = np.unique(data.idx)
+    cuts = [np.unique(np.quantile(data.more[:, k], np.linspace(0, 1, BINS)[1:-1])) for k in range(data.more.shape[1])]
+    classes = np.unique(y) if classify else None
+    hot = (y[:, None] == classes).astype(float) if classify else y[:, None]
+    start = np.log(np.maximum(hot.mean(axis=0), 1e-6)) if classify else np.array([np.median(y)])
+    out = Booster(columns, cuts, start, classes, p.learning_rate)
+    bins = out.bins(data)
+    row, col = np.nonzero(bins)
+    entries = (row, col, bins[row, col].astype(np.int64))
+    raw = np.tile(start, (len(y), 1)).astype(float)
+    seen = out.bins(watch) if watch is not None else None
+    far = np.tile(start, (len(seen), 1)).astype(float) if seen is not None else None
+    least = np.inf
+    for r in range(p.rounds):
+        share = _softmax(raw) if classify else None
+        trees = []
+        for k in range(hot.shape[1]):
+            g = share[:, k] - hot[:, k] if classify else raw[:, 0] - y
+            h = np.maximum(share[:, k] * (1 - share[:, k]), 1e-6) if classify else np.ones(len(y))
+            trees.append(grow(bins, entries, g, h, p))
+        for k, tree in enumerate(trees):
+            raw[:, k] += p.learning_rate * route(tree, bins)
+            if far is not None:
+                far[:, k] += p.learning_rate * route(tree, seen)
+        out.trees.append(trees)
+        out.best = r + 1
+        if far is not None:
+            wrong = (classes[far.argmax(axis=1)] != watch_y).mean() if classify else np.abs(far[:, 0] - watch_y).mean()
+            out.curve.append(float(wrong))
+            if wrong < least:
+                least, kept = wrong, r + 1
+            elif r + 1 - kept >= p.patience:
+                break
+    if far is not None and out.curve:
+        out.best = kept
+        del out.trees[kept:]
+    return out
+
+
+def _rows(table: pa.Table, more: list[str]) -> Rows:
+    """From rows with a sparse vector column ``features``."""
+    v = table["features"].combine_chunks()
+    if isinstance(v, pa.ChunkedArray):
+        v = v.chunk(0) if v.num_chunks else pa.array([], v.type)
+    idx, x = v.field("indices"), v.field("values")
+    sizes = np.array([len(i) for i in idx], np.int64)
+    flat = lambda a, kind: np.array([e for i in a.to_pylist() for e in i], kind)
+    return Rows(len(v), np.repeat(np.arange(len(v)), sizes), flat(idx, np.int64), flat(x, np.float64),
+                np.column_stack([table[c].to_numpy() for c in more]) if more else np.empty((len(v), 0)))
+
+
+def _collected(rows: DataFrame, label: str, more: list[str], bound: int) -> tuple[Rows, np.ndarray, np.ndarray]:
+    """At most about ``bound`` labelled rows, by a hash of the id: (rows, y, ids)."""
+    rows = rows.filter(F.col(label).isNotNull())
+    n = rows.count()
+    if n > bound:
+        rows = rows.filter(hash_uniform(SEED, F.lit("labelled"), "obs_id") < F.lit(bound / n))
+    table = rows.select("obs_id", "features", *more, F.col(label).cast("double").alias("_y")).toArrow().sort_by("obs_id")
+    return _rows(table, more), table["_y"].to_numpy(), table["obs_id"].to_numpy()
+
+
+def fit_all(tasks: list[tuple[Params, int]], train: DataFrame, watch: DataFrame, label: str, more=(),
+            classify: bool = False, folds: int = 5, bound: int = LABELLED_ROWS) -> list[tuple[float, Booster]]:
+    """One model for each (parameters, fold), fitted by the cluster side by side:
+    (error on the fold, model). Fold -1 trains on all rows (error: the watched
+    one's least). Folds follow a hash of the scan."""
+    more = list(more)
+    spark = train.sparkSession
+    data, y, ids = _collected(train, label, more, bound)
+    seen, seen_y, _ = _collected(watch, label, more, bound)
+    fold_of = np.array([(int(i) * 0x9E3779B97F4A7C15 % (1 << 64) >> 33) % folds for i in ids.tolist()], np.int64)
+    shared = spark.sparkContext.broadcast((data, y, fold_of, seen, seen_y, tasks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, y, fold_of, seen, seen_y, tasks = shared.value
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                p, fold = tasks[k]
+                on = np.flatnonzero(fold_of != fold)
+                m = fit(data.take(on), y[on], seen, seen_y, p, classify)
+                if fold < 0:
+                    error = min(m.curve)
+                else:
+                    off = np.flatnonzero(fold_of == fold)
+                    got = m.predict(data.take(off))
+                    error = float((got != y[off]).mean() if classify else np.abs(got - y[off]).mean()) if len(off) else 0.0
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([error]), pa.array([pickle.dumps(m)], pa.binary())],
+                                                 ["k", "error", "model"])
+
+    dealt = spark.range(0, len(tasks), 1, len(tasks)).withColumnRenamed("id", "k")
+    got = sorted(map(tuple, dealt.mapInArrow(run, "k long, error double, model binary").collect()))
+    return [(e, pickle.loads(bytes(m))) for _, e, m in got]
+
+
+def predict(model: Booster, vectors: DataFrame, more=(), out: str = "prediction", keep=()) -> DataFrame:
+    """(obs_id, <keep>..., <out>) for every scan, scored where it is."""
+    more, keep = list(more), list(dict.fromkeys(keep))
+    shared = vectors.sparkSession.sparkContext.broadcast(model)
+    rest = ["obs_id", *keep]
+    extra = [c for c in more if c not in rest]
+    kinds = dict(vectors.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), f"`{out}` double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            got = shared.value.predict(_rows(table, more)) if b.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(np.asarray(got, float))], [*rest, out])
+
+    return vectors.select(*rest, *extra, "features").mapInArrow(run, schema)

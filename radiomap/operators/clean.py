@@ -61,7 +61,7 @@ def scans_with_outlier(obs: DataFrame, reading: DataFrame, threshold: int = OUTL
 
 
 def dataset_sizes(obs: DataFrame) -> DataFrame:
-    """Scans per dataset tag; at most one row per tag, so broadcasting it is safe."""
+    """Scans per dataset tag; one row per tag, which the planner broadcasts by its measured size."""
     return obs.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_scans"))
 
 
@@ -78,13 +78,13 @@ def heard_pairs(obs: DataFrame, reading: DataFrame) -> DataFrame:
 
 def unheard_aps(obs: DataFrame, reading: DataFrame, ap: DataFrame, datasets=DATASETS) -> DataFrame:
     """(dataset, ap_id) for catalogue APs no scan of that dataset heard."""
-    heard = with_dataset(reading, obs).select("dataset", "ap_id").distinct()
+    heard = heard_pairs(obs, reading)
     return _grid(ap, datasets).join(heard, ["dataset", "ap_id"], "left_anti").select("dataset", "ap_id")
 
 
 def ap_null_counts(obs: DataFrame, reading: DataFrame, ap: DataFrame, datasets=DATASETS) -> DataFrame:
     """(dataset, ap_id, n_null): scans of the dataset that did not hear the AP."""
-    sizes = F.broadcast(dataset_sizes(obs))
+    sizes = dataset_sizes(obs)
     return (_grid(ap, datasets)
             .join(heard_pairs(obs, reading), ["dataset", "ap_id"], "left")
             .join(sizes, "dataset", "left")
@@ -101,7 +101,7 @@ def varying_aps(obs: DataFrame, reading: DataFrame, fill: int = FILL_DBM) -> Dat
     one when some scan missed the AP and no heard value equals ``fill``. APs
     heard by nobody are constant and never appear.
     """
-    sizes = F.broadcast(dataset_sizes(obs))
+    sizes = dataset_sizes(obs)
     per_ap = (with_dataset(reading, obs).groupBy("dataset", "ap_id")
               .agg(F.count(F.lit(1)).alias("n_heard"),
                    F.count_distinct("rssi").alias("n_values"),

@@ -29,6 +29,17 @@ def scored_table(predictions: DataFrame, truth: DataFrame, target: str, splits:
             .select("obs_id", "split", F.lit(target).alias("target"), "actual", "predicted"))
 
 
+def scored_wide(predictions: DataFrame, truth: DataFrame, targets, splits: DataFrame,
+                digits: int | None = 6) -> DataFrame:
+    """Long scored rows for several targets at once, from predictions (obs_id,
+    <target>...): one join to the truth and the test sets for all of them."""
+    p = predictions.select("obs_id", *[_r(F.col(t).cast("double"), digits).alias(f"_p_{t}") for t in targets])
+    t = truth.select("obs_id", *[F.col(c).cast("double").alias(f"_a_{c}") for c in targets])
+    rows = F.array(*[F.struct(F.lit(c).alias("target"), F.col(f"_a_{c}").alias("actual"), F.col(f"_p_{c}").alias("predicted"))
+                     for c in targets])
+    return splits.join(p, "obs_id").join(t, "obs_id").select("obs_id", "split", F.inline(rows))
+
+
 def confusion_matrix(scored: DataFrame, by=GROUP) -> DataFrame:
     """(by..., actual, predicted, n) — the long contingency table."""
     return (scored.groupBy(*by, F.col("actual").cast("int").alias("actual"),
@@ -79,11 +90,11 @@ def residuals(scored: DataFrame, digits: int | None = 6) -> DataFrame:
                          _r(F.abs(err), digits).alias("abs_error"))
 
 
-def zero_position(df: DataFrame, column: str, digits: int | None = 6) -> DataFrame:
+def zero_position(df: DataFrame, column: str, by=(), digits: int | None = 6) -> DataFrame:
     """Where 0 falls in the range of ``column``: abs(0 - min / (max - min)),
-    used to centre a diverging colour scale. One global aggregate."""
+    used to centre a diverging colour scale; one aggregate, by group if asked."""
     lo, hi = F.min(column), F.max(column)
-    return df.agg(_r(F.abs(F.lit(0.0) - lo / (hi - lo)), digits).alias("zero_pos"))
+    return df.groupBy(*by).agg(_r(F.abs(F.lit(0.0) - lo / (hi - lo)), digits).alias("zero_pos"))
 
 
 def evaluation_report(scored: DataFrame, class_targets, reg_targets, digits: int | None = 6) -> DataFrame:
@@ -99,10 +110,10 @@ def evaluation_report(scored: DataFrame, class_targets, reg_targets, digits: int
     return acc.unionByName(kap).unionByName(err)
 
 
-def residual_surface(scored: DataFrame, obs: DataFrame, target: str, split: str = "test",
-                     digits: int | None = 6) -> DataFrame:
-    """(obs_id, longitude, latitude, error) for plotting error over the map."""
-    s = scored.filter((F.col("target") == target) & (F.col("split") == split))
+def residual_surface(scored: DataFrame, obs: DataFrame, targets, digits: int | None = 6) -> DataFrame:
+    """(obs_id, split, target, longitude, latitude, error) for plotting the error
+    over the map, for each of ``targets`` and every test set."""
+    s = scored.filter(F.col("target").isin(*targets))
     return (s.join(obs.select("obs_id", "longitude", "latitude"), "obs_id")
-            .select("obs_id", "longitude", "latitude",
+            .select("obs_id", "split", "target", "longitude", "latitude",
                     _r(F.col("predicted") - F.col("actual"), digits).alias("error")))

@@ -1,26 +1,26 @@
 """Feature vectors for Spark ML from the long readings, scaling and PCA.
 
-A scan becomes a vector over the AP index with x = rssi - fill (0 = not heard).
-The vector is built with built-in functions only: the scan's (index, x)
-entries become a map, ``transform(sequence(0, n-1), i -> coalesce(m[i], 0))``
-spreads it over the catalogue and ``array_to_vector`` makes an ML vector. The
-per-scan list is bounded by the APs one scan hears.
+A scan becomes a sparse vector over the AP index with x = rssi - fill (0 = not
+heard). The entries are gathered with built-in functions, bounded by the APs one
+scan hears, and written in the storage form of an ML vector (type, size,
+indices, values); reading that table back with a vector column gives
+``SparseVector`` rows without a UDF, and cuts the lineage for the many jobs of a
+model fit.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from radiomap.functions.signal import FILL_DBM
+from radiomap.functions.signal import FILL_DBM, shifted
 from radiomap.operators.clean import with_dataset
 from radiomap.operators.indexing import row_index
-from radiomap.session import broadcast_if_small
-
-# An AP index larger than this is not broadcast (it is joined by shuffle).
-AP_INDEX_BROADCAST_ROWS = 200_000
+from radiomap.session import shared_dir
 
 
 def ap_index(aps: DataFrame) -> DataFrame:
@@ -30,26 +30,47 @@ def ap_index(aps: DataFrame) -> DataFrame:
         "ap_id", F.col("idx").cast("int").alias("idx"))
 
 
+def as_vectors(rows: DataFrame, n_features: int, entries: str = "_entries", out: str = "features") -> DataFrame:
+    """``rows`` with the sorted (idx, x) array ``entries`` as a sparse vector ``out``."""
+    e = F.coalesce(F.col(entries), F.array().cast("array<struct<idx:int,x:double>>"))
+    others = [c for c in rows.columns if c != entries]
+    stored = rows.withColumn(entries, e).select(*others, F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(n_features).alias("size"),
+        F.col(f"{entries}.idx").alias("indices"), F.col(f"{entries}.x").alias("values")).alias(out))
+    spark = rows.sparkSession
+    path = shared_dir(spark, "vectors")
+    stored.write.mode("overwrite").parquet(path)
+    fields = [f for f in rows.schema.fields if f.name != entries]
+    return spark.read.schema(T.StructType([*fields, T.StructField(out, VectorUDT())])).parquet(path)
+
+
+def _entries(scans: DataFrame, reading: DataFrame, index: DataFrame, fill: int) -> DataFrame:
+    """``scans`` with their (idx, x) entries; a repeated reading counts by its
+    strongest value, readings of APs outside the index are ignored."""
+    x = reading.join(index, "ap_id").groupBy("obs_id", "idx").agg(F.max(shifted(F.col("rssi"), fill)).cast("double").alias("x"))
+    per = x.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("_entries"))
+    return scans.join(per, "obs_id", "left")
+
+
 def feature_vectors(scans: DataFrame, reading: DataFrame, index: DataFrame, n_features: int,
                     fill: int = FILL_DBM, out: str = "features") -> DataFrame:
-    """(obs_id, features) for every scan in ``scans``; readings of APs outside
-    the index are ignored (an unseen AP at scoring time carries no weight)."""
-    idx = broadcast_if_small(index, AP_INDEX_BROADCAST_ROWS)
-    x = (F.col("rssi") - F.lit(fill)).cast("double")
-    per = (reading.join(idx, "ap_id").groupBy("obs_id")
-           .agg(F.map_from_entries(F.collect_list(F.struct(F.col("idx"), x.alias("x")))).alias("_m")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    return (scans.select("obs_id").join(per, "obs_id", "left")
-            .select("obs_id", array_to_vector(dense).alias(out)))
+    """(obs_id, features) for every scan in ``scans``."""
+    return as_vectors(_entries(scans.select("obs_id"), reading, index, fill), n_features, out=out)
+
+
+def vector_entries(vectors: DataFrame, features: str = "features") -> DataFrame:
+    """(obs_id, idx, x) of the non-zero entries of vectors."""
+    return (vectors.select("obs_id", F.posexplode(vector_to_array(features)).alias("idx", "x"))
+            .filter(F.col("x") != 0))
 
 
 def labeled_vectors(obs: DataFrame, scans: DataFrame, reading: DataFrame, index: DataFrame,
                     n_features: int, labels=("building_id", "floor", "longitude", "latitude")) -> DataFrame:
-    """Feature vectors with label columns (as doubles) attached."""
-    fv = feature_vectors(scans, reading, index, n_features)
+    """Feature vectors with label columns (as doubles) attached; a scan that
+    ``scans`` repeats (a draw with replacement) is repeated."""
     lab = obs.select("obs_id", *[F.col(c).cast("double").alias(c) for c in labels])
-    return fv.join(lab, "obs_id")
+    rows = scans.select("obs_id").join(lab, "obs_id")
+    return as_vectors(_entries(rows, reading, index, FILL_DBM), n_features).select("obs_id", "features", *labels)
 
 
 def scaler_stats(obs: DataFrame, reading: DataFrame, dataset: str = "train", fill: int = FILL_DBM,
@@ -59,7 +80,7 @@ def scaler_stats(obs: DataFrame, reading: DataFrame, dataset: str = "train", fil
     scaler of the survey fits them. Sums over heard readings only; the scan
     count supplies the zeros."""
     n = obs.filter(F.col("dataset") == dataset).count()  # one number to the driver
-    x = (F.col("rssi") - F.lit(fill)).cast("bigint")
+    x = shifted(F.col("rssi"), fill)
     sums = (with_dataset(reading, obs).filter(F.col("dataset") == dataset).groupBy("ap_id")
             .agg(F.sum(x).cast("double").alias("_s1"), F.sum(x * x).cast("double").alias("_s2")))
     mean = F.col("_s1") / F.lit(float(n))

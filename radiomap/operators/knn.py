@@ -1,155 +1,132 @@
-"""Exact k-nearest fingerprints without a cross join.
+"""Exact k-nearest fingerprints without a cross join of scans.
 
 Each scan is a vector over the AP catalogue with x = rssi - fill (fill = -110
-dBm, so "not heard" is 0 and heard values are positive). The squared distance
-is d2 = A + B - 2 dot(q, t) with A = n2(q), B = n2(t), and dot(q, t) only has
-terms for APs heard by both scans: an equi-join of the two reading sets on
-``ap_id`` summed per (query, training scan) pair.
-
-Candidates that provably contain the exact top k (ordered by (d2, id)):
-  (a) the k training scans smallest by (B, id), handed to every query as a
-      literal k-row list. A training scan sharing no AP with q has dot = 0 and
-      d2 = A + B, so any such scan outside (a) is beaten by all k rows of (a).
-  (b) training scans sharing an AP with q whose norm lies in the band
-      (|t| - |q|)^2 <= U_q, where U_q bounds the k-th nearest distance of q
-      (Cauchy-Schwarz: d2 >= (|t| - |q|)^2). The test is exact in integers:
-      A + B - U <= 0 or (A + B - U)^2 <= 4AB.
-
-U_q comes from a bounded probe: up to ``probes`` training scans whose
-strongest AP is q's strongest AP (representatives picked per AP with a
-limited window), plus the k rows of (a); U_q = min(k-th probe distance,
-A + max B of (a)). The probe only tightens the bound; exactness never depends
-on it.
-
-Pairs are generated per (AP, norm band): training readings carry the band of
-their scan's norm, query readings are repeated over the bands their U_q
-allows, and the join key is (ap_id, band). Pairs outside the band are never
-enumerated, and an AP heard in a third of all scans is split across bands
-(AQE's skew-join split covers what remains). Partial aggregation on
-(query, training scan) runs right after the join; the per-query top k is a
-``row_number() <= k`` window limited before its shuffle.
+dBm, so "not heard" is 0). The squared distance of a query q and a training scan
+t is A + B - 2 dot(q, t), A and B their squared norms; the dot product only has
+terms for APs that both hear. Nothing is assumed of the sign of x, and training
+scans that share no AP with the query, or hear nothing, take part like any other.
+
+The training scans are dealt into tiles and the queries into blocks, both by a
+hash of the id, so an AP heard by a third of all scans is spread evenly. A task
+gets one (tile, block): it multiplies the two sparse matrices in bounded dense
+pieces and keeps the k nearest of its tile for every query. Only those k rows are
+shuffled again, to take the k nearest of all tiles; no pair of scans is. Tile and
+block counts follow the numbers of scans.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from radiomap.functions.hashing import hash_key
 from radiomap.functions.signal import FILL_DBM
-from radiomap.session import materialize
 
 K = 3  # fixed value: neighbours used by the survey's nearest-fingerprint models
-PROBES = 4
-BAND_WIDTH = 16.0  # in units of x = rssi + 110; query readings repeat over ~2 sqrt(U) / width bands
-
-
-def _vectors(ids: DataFrame, reading: DataFrame, fill: int, prefix: str) -> DataFrame:
-    """Readings of the given scans as (id, ap_id, x, n2), n2 = squared norm."""
-    r = reading.join(ids.select("obs_id"), "obs_id", "left_semi")
-    x = (F.col("rssi") - F.lit(fill)).cast("bigint")
-    return (r.select(F.col("obs_id").alias(f"{prefix}id"), "ap_id", x.alias(f"{prefix}x"))
-            .withColumn(f"{prefix}n2", F.sum(F.col(f"{prefix}x") * F.col(f"{prefix}x"))
-                        .over(Window.partitionBy(f"{prefix}id"))))
-
-
-def _norms(ids: DataFrame, vec: DataFrame, prefix: str) -> DataFrame:
-    """(id, n2) for every scan, 0 for scans without readings."""
-    per = vec.groupBy(f"{prefix}id").agg(F.max(f"{prefix}n2").alias("_n2"))
-    return (ids.select(F.col("obs_id").alias(f"{prefix}id")).join(per, f"{prefix}id", "left")
-            .select(f"{prefix}id", F.coalesce("_n2", F.lit(0)).cast("bigint").alias(f"{prefix}n2")))
-
-
-def _strongest(vec: DataFrame, prefix: str) -> DataFrame:
-    """(id, ap_id) of each scan's strongest AP (ties: smallest AP name)."""
-    w = Window.partitionBy(f"{prefix}id").orderBy(F.desc(f"{prefix}x"), "ap_id")
-    return (vec.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-            .select(f"{prefix}id", "ap_id"))
-
-
-def _band(n2):
-    return F.floor(F.sqrt(n2.cast("double")) / F.lit(BAND_WIDTH)).cast("int")
+TILE_SCANS = 8192  # scans of one side in a task, at most about
+_ROWS, _COLUMNS = 512, 4096  # dense piece of one product
+
+
+def _vectors(ids: DataFrame, reading: DataFrame, fill: int) -> DataFrame:
+    """(id, aps, xs): each scan with the APs it hears, at the strongest reading."""
+    r = reading.join(ids, "obs_id", "left_semi").groupBy("obs_id", "ap_id").agg(
+        F.max((F.col("rssi") - F.lit(fill)).cast("bigint")).alias("x"))
+    per = r.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("ap_id", "x"))).alias("v"))
+    v = F.coalesce(F.col("v"), F.array().cast("array<struct<ap_id:string,x:bigint>>"))
+    return ids.join(per, "obs_id", "left").select(F.col("obs_id").cast("bigint").alias("id"), v.alias("v")).select(
+        "id", F.col("v.ap_id").alias("aps"), F.col("v.x").alias("xs"))
+
+
+def _sparse(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids in order, row of each entry, AP of each entry, x of each entry)."""
+    order = np.argsort(table["id"].to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
+    aps = table["aps"].combine_chunks()
+    sizes = np.array([len(x) for x in aps])
+    return (table["id"].to_numpy(), np.repeat(np.arange(len(sizes)), sizes),
+            np.array([a for x in aps.to_pylist() for a in x], dtype=object),
+            np.array([v for x in table["xs"].to_pylist() for v in x], dtype=np.float64))
+
+
+def _dense(rows: np.ndarray, cols: np.ndarray, xs: np.ndarray, lo: int, hi: int, c0: int, c1: int) -> np.ndarray:
+    out = np.zeros((hi - lo, c1 - c0))
+    use = (rows >= lo) & (rows < hi) & (cols >= c0) & (cols < c1)
+    out[rows[use] - lo, cols[use] - c0] = xs[use]
+    return out
+
+
+def nearest_in_tile(queries: pa.Table, tile: pa.Table, k: int) -> pa.Table:
+    """The k nearest scans of one tile for each query of one block, by (d2, id)."""
+    q_ids, q_rows, q_aps, q_x = _sparse(queries)
+    t_ids, t_rows, t_aps, t_x = _sparse(tile)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(q_ids) and len(t_ids):
+        names = {a: i for i, a in enumerate(sorted(set(q_aps.tolist())))}
+        q_cols = np.array([names[a] for a in q_aps], dtype=np.int64)
+        t_cols = np.array([names.get(a, -1) for a in t_aps], dtype=np.int64)
+        b = np.bincount(t_rows, weights=t_x * t_x, minlength=len(t_ids))
+        a = np.bincount(q_rows, weights=q_x * q_x, minlength=len(q_ids))
+        for lo in range(0, len(q_ids), _ROWS):
+            hi = min(lo + _ROWS, len(q_ids))
+            best_d = np.empty((hi - lo, 0))
+            best_i = np.empty((hi - lo, 0), np.int64)
+            for t0 in range(0, len(t_ids), _ROWS):
+                t1 = min(t0 + _ROWS, len(t_ids))
+                dot = np.zeros((hi - lo, t1 - t0))
+                for c0 in range(0, max(len(names), 1), _COLUMNS):
+                    c1 = c0 + _COLUMNS
+                    dot += _dense(q_rows, q_cols, q_x, lo, hi, c0, c1) @ _dense(t_rows, t_cols, t_x, t0, t1, c0, c1).T
+                d = np.concatenate([best_d, a[lo:hi, None] + b[None, t0:t1] - 2 * dot], axis=1)
+                ids = np.concatenate([best_i, np.broadcast_to(t_ids[t0:t1], (hi - lo, t1 - t0))], axis=1)
+                keep = np.lexsort((ids, d), axis=1)[:, :k]
+                best_d, best_i = np.take_along_axis(d, keep, 1), np.take_along_axis(ids, keep, 1)
+            found.append((np.repeat(q_ids[lo:hi], best_d.shape[1]), best_i.ravel(), best_d.ravel()))
+    columns = [np.concatenate(c) if found else np.empty(0) for c in (zip(*found, strict=True) if found else [[]] * 3)]
+    return pa.table({n: pa.array(np.asarray(c, np.int64)) for n, c in zip(("query_id", "neighbor_id", "d2"), columns, strict=True)})
+
+
+def _parts(n: int, cores: int) -> int:
+    """Parts of n scans: none larger than a tile, and where there are few, enough
+    to give the cores work."""
+    return max(1, math.ceil(n / TILE_SCANS), min(cores, math.ceil(n / 512)))
 
 
 def knn_neighbors(queries: DataFrame, train: DataFrame, reading: DataFrame, k: int = K,
-                  fill: int = FILL_DBM, probes: int = PROBES) -> DataFrame:
+                  fill: int = FILL_DBM) -> DataFrame:
     """(query_id, neighbor_id, d2, rn) for the k nearest training scans of every
     query scan, ordered by (d2, neighbor_id). ``queries`` and ``train`` are scan
-    tables with ``obs_id``; readings must satisfy rssi >= fill."""
-    qv = _vectors(queries, reading, fill, "q")
-    # The training side feeds several jobs (norm list, probe, search), so it is
-    # written once to the shared folder instead of recomputed.
-    tv = materialize(_vectors(train, reading, fill, "t").withColumn("band", _band(F.col("tn2"))),
-                     "knn_train_vectors")
-    qn, tn = _norms(queries, qv, "q"), _norms(train, tv, "t")
-
-    # (a) The k smallest training norms: a bounded k-row list, handed to every
-    # query as a literal array (no join).
-    smallest = tn.orderBy("tn2", "tid").limit(k).collect()
-    c = max((r["tn2"] for r in smallest), default=0)
-    fixed = F.array(*[F.struct(F.lit(r["tid"]).cast("bigint").alias("tid"),
-                               F.lit(r["tn2"]).cast("bigint").alias("tn2")) for r in smallest]) \
-        if smallest else F.array().cast("array<struct<tid:bigint,tn2:bigint>>")
-    base = (qn.select("qid", "qn2", F.explode(fixed).alias("_s"))
-            .select("qid", F.col("_s.tid").alias("tid"), "qn2", F.col("_s.tn2").alias("tn2")))
-
-    # Probe: <= `probes` representatives per strongest AP, joined to queries
-    # with the same strongest AP, so at most `probes` pairs per query.
-    reps = (_strongest(tv, "t")
-            .withColumn("_r", F.row_number().over(Window.partitionBy("ap_id").orderBy(hash_key(7, "tid"), "tid")))
-            .filter(F.col("_r") <= probes).select("ap_id", "tid"))
-    probe = (_strongest(qv, "q").join(reps, "ap_id").select("qid", "tid")
-             .join(qn, "qid").join(tn, "tid"))
-    pairs1 = probe.select("qid", "tid", "qn2", "tn2").unionByName(base).distinct()
-    dots1 = (pairs1.select("qid", "tid").join(qv.select("qid", "ap_id", "qx"), "qid")
-             .join(tv.select("tid", "ap_id", "tx"), ["tid", "ap_id"])
-             .groupBy("qid", "tid").agg(F.sum(F.col("qx") * F.col("tx")).alias("dot")))
-    d2_1 = (pairs1.join(dots1, ["qid", "tid"], "left")
-            .select("qid", "tid", (F.col("qn2") + F.col("tn2") - 2 * F.coalesce("dot", F.lit(0))).alias("d2")))
-    kth = (d2_1.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "tid")))
-           .filter(F.col("_r") <= k).groupBy("qid")
-           .agg(F.max("d2").alias("_kth"), F.count(F.lit(1)).alias("_n")))
-    bound = (qn.join(kth, "qid", "left")
-             .select("qid", "qn2",
-                     F.least(F.when(F.col("_n") >= k, F.col("_kth")), F.col("qn2") + F.lit(c))
-                     .cast("bigint").alias("u")))
-
-    # (b) Banded AP join: query readings repeated over the bands their bound allows.
-    qa, ru = F.sqrt(F.col("qn2").cast("double")), F.sqrt(F.col("u").cast("double"))
-    lo = F.greatest(F.floor((qa - ru) / F.lit(BAND_WIDTH)).cast("int") - 1, F.lit(0))
-    hi = F.floor((qa + ru) / F.lit(BAND_WIDTH)).cast("int") + 1
-    qb = (qv.select("qid", "ap_id", "qx").join(bound, "qid")
-          .withColumn("band", F.explode(F.sequence(lo, hi))))
-    A, B, U = F.col("qn2"), F.col("tn2"), F.col("u")
-    slack = A + B - U
-    keep = (slack <= 0) | (slack * slack <= F.lit(4) * A * B)
-    shared = (qb.join(tv.select("tid", "ap_id", "tx", "tn2", "band"), ["ap_id", "band"]).filter(keep)
-              .select("qid", "tid", "qn2", "tn2", (F.col("qx") * F.col("tx")).alias("part")))
-
-    cand = (shared.unionByName(base.withColumn("part", F.lit(0).cast("bigint")))
-            .groupBy("qid", "tid")
-            .agg(F.sum("part").alias("dot"), F.max("qn2").alias("qn2"), F.max("tn2").alias("tn2")))
-    d2 = (F.col("qn2") + F.col("tn2") - F.lit(2) * F.col("dot")).cast("bigint")
-    w = Window.partitionBy("qid").orderBy("d2", "tid")
-    return (cand.select("qid", "tid", d2.alias("d2"))
-            .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-            .select(F.col("qid").alias("query_id"), F.col("tid").alias("neighbor_id"), "d2", "rn"))
+    tables with ``obs_id``, each id taken once."""
+    queries, train = queries.select("obs_id").distinct(), train.select("obs_id").distinct()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    tiles, blocks = _parts(train.count(), cores), _parts(queries.count(), 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    q = _vectors(queries, reading, fill).withColumn("block", part(blocks)).withColumn("tile", every(tiles))
+    t = _vectors(train, reading, fill).withColumn("tile", part(tiles)).withColumn("block", every(blocks))
+    near = q.groupBy("tile", "block").cogroup(t.groupBy("tile", "block")).applyInArrow(
+        lambda left, right: nearest_in_tile(left, right, k), "query_id long, neighbor_id long, d2 long")
+    w = Window.partitionBy("query_id").orderBy("d2", "neighbor_id")
+    return (near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+            .select("query_id", "neighbor_id", "d2", "rn"))
+
+
+def knn_predict(neighbors: DataFrame, train_labels: DataFrame, classes=(), numbers=()) -> DataFrame:
+    """(obs_id, <target>...): for every query the uniform vote of its neighbours
+    for each of ``classes`` (ties go to the smallest label) and their mean for
+    each of ``numbers``; one join and one aggregate for all targets."""
+    lab = train_labels.select(F.col("obs_id").alias("neighbor_id"), *classes, *[F.col(c).cast("double").alias(c) for c in numbers])
+    return (neighbors.join(lab, "neighbor_id").groupBy(F.col("query_id").alias("obs_id"))
+            .agg(*[F.mode(c, True).alias(c) for c in classes], *[F.avg(c).alias(c) for c in numbers]))
 
 
 def knn_classify(neighbors: DataFrame, train_labels: DataFrame, label: str) -> DataFrame:
-    """Uniform vote of the neighbours' labels; ties go to the smallest label.
-    Returns (obs_id, prediction)."""
-    lab = train_labels.select(F.col("obs_id").alias("neighbor_id"), F.col(label).alias("_y"))
-    votes = (neighbors.join(lab, "neighbor_id").groupBy("query_id", "_y")
-             .agg(F.count(F.lit(1)).alias("_votes")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("_votes"), F.col("_y"))
-    return (votes.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-            .select(F.col("query_id").alias("obs_id"), F.col("_y").alias("prediction")))
+    """(obs_id, prediction): the vote for one label."""
+    return knn_predict(neighbors, train_labels, classes=[label]).withColumnRenamed(label, "prediction")
 
 
 def knn_regress(neighbors: DataFrame, train_labels: DataFrame, label: str) -> DataFrame:
-    """Mean of the neighbours' values. Returns (obs_id, prediction DOUBLE)."""
-    lab = train_labels.select(F.col("obs_id").alias("neighbor_id"), F.col(label).cast("double").alias("_y"))
-    return (neighbors.join(lab, "neighbor_id").groupBy("query_id")
-            .agg(F.avg("_y").alias("prediction"))
-            .select(F.col("query_id").alias("obs_id"), "prediction"))
+    """(obs_id, prediction DOUBLE): the mean of one value."""
+    return knn_predict(neighbors, train_labels, numbers=[label]).withColumnRenamed(label, "prediction")

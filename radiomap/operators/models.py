@@ -2,10 +2,10 @@
 
 Forests, boosted trees and linear SVMs come from ``pyspark.ml``; multi-class
 boosting and SVM use one-vs-rest. Training input is laid out deterministically
-(hash-partitioned on obs_id into a fixed number of partitions and sorted), so
+(hash-partitioned on obs_id and sorted, as many partitions as its rows need), so
 a seeded forest gives the same model on every run regardless of how the input
-arrived. A cascade chains models on obs_id: true labels feed the next stage in
-training, predicted ones in scoring.
+arrived. A cascade chains models: true labels feed the next stage in training,
+predicted ones in scoring, all columns of one row, without a join.
 """
 
 from __future__ import annotations
@@ -14,30 +14,36 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiomap.operators.features import standard_scaler
 
 SEED = 42
-TRAIN_PARTITIONS = 8
+ROWS_PER_TASK = 2_000  # training rows for which one more partition is laid out
 MAX_TREE_DEPTH = 30  # Spark's limit; deeper settings are capped
 OVR_PARALLELISM = 4  # per-class binary models fitted as concurrent Spark jobs
 
 
-def stable_layout(df: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
-    """Fixed partitioning and order so seeded training is reproducible."""
-    return df.repartition(partitions, "obs_id").sortWithinPartitions("obs_id")
+def train_partitions(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_TASK))
 
 
-def rf_classifier(label: str, num_trees: int = 20, max_depth: int = 8, seed: int = SEED,
+def stable_layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Partitioning and order that depend on the rows alone, so that seeded
+    training is reproducible; the partition count follows the number of rows."""
+    n = partitions or train_partitions(df.count())
+    return df.repartition(n, "obs_id").sortWithinPartitions("obs_id")
+
+
+def rf_classifier(label: str, num_trees: int = 100, max_depth: int = 10, seed: int = SEED,
                   feature_subset: str = "auto", features: str = "features") -> RandomForestClassifier:
     return RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=num_trees,
                                   maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=seed,
                                   featureSubsetStrategy=feature_subset)
 
 
-def rf_regressor(label: str, num_trees: int = 20, max_depth: int = 8, seed: int = SEED,
+def rf_regressor(label: str, num_trees: int = 200, max_depth: int = 10, seed: int = SEED,
                  features: str = "features") -> RandomForestRegressor:
     return RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=num_trees,
                                  maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=seed)
@@ -58,10 +64,12 @@ def gbt_classifier(label: str, max_iter: int = 10, max_depth: int = 5, step: flo
     return OneVsRest(classifier=base, labelCol=label, featuresCol=features, parallelism=OVR_PARALLELISM)
 
 
-def svm_classifier(label: str, max_iter: int = 20, reg: float = 0.01, features: str = "features") -> Pipeline:
-    """Standardize, then one-vs-rest linear SVM (hinge loss)."""
+def svm_classifier(label: str, max_iter: int = 10_000, reg: float = 0.01, tol: float = 1e-4,
+                   features: str = "features") -> Pipeline:
+    """Standardize, then one-vs-rest linear SVM (hinge loss); ``max_iter`` is the
+    surveyed limit, ``tol`` ends the fit before it."""
     scaler = standard_scaler(features, "_scaled")
-    ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), labelCol=label, featuresCol="_scaled",
+    ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg, tol=tol), labelCol=label, featuresCol="_scaled",
                     parallelism=OVR_PARALLELISM)
     return Pipeline(stages=[scaler, ovr])
 
@@ -83,21 +91,35 @@ def save_model(model: PipelineModel, path: str) -> str:
     return path
 
 
+def model_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is at ``path``, asked of the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def load_or_fit(path: str, estimator, train: DataFrame, label: str) -> PipelineModel:
-    """Load the model saved at ``path``; if there is none, fit and save it."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - no model saved yet
-        return PipelineModel.load(save_model(fit(estimator, train, label), path))
+    """Load the model saved at ``path``; if nothing is there, fit and save it.
+
+    What is there but can't be loaded raises and is left as it is."""
+    if not model_exists(train.sparkSession, path):
+        fit(estimator, train, label).write().save(path)
+    return PipelineModel.load(path)
 
 
 def feature_importance(model: PipelineModel, index: DataFrame) -> DataFrame:
     """(ap_id, importance) from a tree model's importances (one value per AP)."""
+    used = model.stages[-1].featureImportances  # sparse: the APs that the trees split on
+    vals = index.sparkSession.createDataFrame(
+        [(int(i), float(v)) for i, v in zip(used.indices, used.values, strict=True)], "idx int, importance double")
+    return index.join(vals, "idx", "left").select("ap_id", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
+def describe(model: PipelineModel) -> dict:
+    """What a fitted tree model is made of: its trees, classes and inputs."""
     tree = model.stages[-1]
-    imp = tree.featureImportances.toArray()  # length = AP index size
-    spark = index.sparkSession
-    vals = spark.createDataFrame([(i, float(v)) for i, v in enumerate(imp)], "idx int, importance double")
-    return index.join(vals, "idx").select("ap_id", "importance")
+    return {"model": type(tree).__name__, "trees": int(tree.getNumTrees), "classes": int(getattr(tree, "numClasses", 0)),
+            "features": int(tree.numFeatures), "nodes": int(tree.totalNumNodes),
+            "depth": max(int(t.depth) for t in tree.trees)}
 
 
 def with_inputs(df: DataFrame, extra, out: str = "features_x", features: str = "features") -> DataFrame:
@@ -113,13 +135,11 @@ def cascade(train: DataFrame, test: DataFrame, stages, features: str = "features
     known: list[str] = []
     scored = test.select("obs_id", features)
     for target, make in stages:
-        cols = list(known)
-        feats = features if not cols else "_fx"
-        tr = train if not cols else with_inputs(train, cols, "_fx", features)
-        te_in = scored if not cols else with_inputs(
-            scored.select("obs_id", features, *[F.col(f"{c}_pred").alias(c) for c in cols]), cols, "_fx", features)
-        model = fit(make(target, feats), tr, target)
-        pred = score(model, te_in, f"{target}_pred")
-        scored = scored.join(pred, "obs_id")
+        feats = features if not known else "_fx"
+        tr = train if not known else with_inputs(train, known, "_fx", features)
+        given = scored if not known else with_inputs(scored, [f"{c}_pred" for c in known], "_fx", features)
+        done = fit(make(target, feats), tr, target).transform(given)
         known.append(target)
+        scored = done.select("obs_id", features, *[f"{c}_pred" for c in known[:-1]],
+                             F.col("prediction").alias(f"{target}_pred"))
     return scored.drop(features)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from radiomap.functions.signal import OUTLIER_DBM, STRONG_DBM
-from radiomap.operators.clean import DATASETS, heard_pairs, unheard_aps, with_dataset
+from radiomap.operators.clean import DATASETS, heard_pairs, with_dataset
 
 # Fixed value: an AP heard over more than this many metres is "noisy".
 NOISY_EXTENT_M = 190.0
@@ -102,15 +102,12 @@ def missing_ap_summary(obs: DataFrame, reading: DataFrame, ap: DataFrame, datase
 
     Readings only name catalogue APs, so heard + unheard is the catalogue.
     """
-    unheard = unheard_aps(obs, reading, ap, datasets).groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("n_unheard"))
-    heard = (heard_pairs(obs, reading).filter(F.col("dataset").isin(*datasets))
-             .groupBy("dataset").agg(F.count(F.lit(1)).alias("n_heard")))
-    n_heard = F.coalesce("n_heard", F.lit(0)).cast("bigint")
-    n_unheard = F.coalesce("n_unheard", F.lit(0)).cast("bigint")
-    return (heard.join(unheard, "dataset", "full_outer")
-            .select("dataset", n_heard.alias("n_heard"), n_unheard.alias("n_unheard"),
-                    (n_heard + n_unheard).alias("n_catalogue")))
+    pairs = heard_pairs(obs, reading).filter(F.col("dataset").isin(*datasets))
+    grid = ap.select("ap_id", F.explode(F.array(*[F.lit(d) for d in datasets])).alias("dataset"))
+    heard = F.count("n_heard")
+    return (grid.join(pairs, ["dataset", "ap_id"], "left").groupBy("dataset")
+            .agg(heard.alias("n_heard"), (F.count(F.lit(1)) - heard).alias("n_unheard"),
+                 F.count(F.lit(1)).alias("n_catalogue")))
 
 
 def rssi_histogram(obs: DataFrame, reading: DataFrame, width: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from radiomap.functions.signal import NOT_HEARD, sentinel_to_null
-from radiomap.operators.clean import with_dataset
+from radiomap.operators.clean import heard_pairs, with_dataset
 from radiomap.operators.indexing import row_index
 from radiomap.operators.rank import TOP_K
 from radiomap.session import materialize
@@ -28,14 +28,12 @@ def wide_to_long(df: DataFrame, id_cols, ap_cols, sentinel: int | None = NOT_HEA
             .filter(F.col("rssi").isNotNull()))
 
 
-def long_to_wide(reading: DataFrame, ap_ids=None, value: str = "rssi", fill=None) -> DataFrame:
+def long_to_wide(reading: DataFrame, ap_ids, value: str = "rssi", fill=None) -> DataFrame:
     """Pivot readings to one column per AP (inverse of :func:`wide_to_long`).
 
-    Pass ``ap_ids`` to fix the columns; otherwise Spark finds the distinct APs
-    (bounded by ``spark.sql.pivotMaxValues``). Beyond about a thousand APs the
-    sparse vector form of ``features.feature_vectors`` is the better shape."""
-    wide = reading.groupBy("obs_id").pivot("ap_id", list(ap_ids) if ap_ids is not None else None).agg(
-        F.max(value))
+    ``ap_ids`` fixes the columns. A catalogue too long for columns is laid out in
+    panels (``fixtures.panels``) or as sparse vectors (``features``)."""
+    wide = reading.groupBy("obs_id").pivot("ap_id", list(ap_ids)).agg(F.max(value))
     if fill is not None:
         wide = wide.fillna(fill, subset=[c for c in wide.columns if c != "obs_id"])
     return wide
@@ -100,11 +98,9 @@ def all_locations(obs: DataFrame, datasets=("train", "val")) -> DataFrame:
 
 
 def common_aps(obs: DataFrame, reading: DataFrame, left: str = "train", right: str = "val") -> DataFrame:
-    """APs heard in both datasets (set intersection)."""
-    rd = with_dataset(reading, obs)
-    a = rd.filter(F.col("dataset") == left).select("ap_id")
-    b = rd.filter(F.col("dataset") == right).select("ap_id")
-    return a.intersect(b)
+    """APs heard in both datasets (set intersection), from one pass."""
+    heard = heard_pairs(obs, reading).filter(F.col("dataset").isin(left, right))
+    return heard.groupBy("ap_id").agg(F.count_distinct("dataset").alias("_n")).filter(F.col("_n") == 2).select("ap_id")
 
 
 def ap_overlap_buildings(obs: DataFrame, reading: DataFrame) -> DataFrame:
@@ -121,37 +117,42 @@ def ap_overlap_buildings(obs: DataFrame, reading: DataFrame) -> DataFrame:
             .groupBy("building_a", "building_b").agg(F.count(F.lit(1)).alias("n_common")))
 
 
-# Scans count as copies when they hear the same APs at the same strengths at the
-# same labeled place in the same survey; pass more columns for a stricter test.
-SIGNATURE_COLS = ("dataset", "building_id", "floor", "longitude", "latitude")
+# The narrower test: the same place in the same survey, whoever scanned it when.
+PLACE_COLS = ("dataset", "building_id", "floor", "longitude", "latitude")
+DUPLICATE_SALTS = 64
 
 
-def duplicate_scans(obs: DataFrame, reading: DataFrame, cols=SIGNATURE_COLS) -> DataFrame:
+def duplicate_scans(obs: DataFrame, reading: DataFrame, cols=None) -> DataFrame:
     """Scans whose signals and attributes equal another scan's.
 
     Returns (obs_id, n_copies, keep) for every scan in a group of two or more;
     ``keep`` marks the first (smallest obs_id), which ``drop_duplicates`` keeps.
-    The fingerprint is the AP:rssi list sorted by AP (bounded by the APs one
-    scan hears), hashed with every attribute; groups are counted with partial
-    aggregation and joined back, so a huge group is split by AQE's skew join
-    instead of being sorted in one task."""
-    fp = (reading.groupBy("obs_id")
-          .agg(F.array_join(F.array_sort(F.collect_list(
-              F.concat_ws("=", F.col("ap_id"), F.col("rssi").cast("string")))), ",").alias("fp")))
-    attrs = [F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols]
+    ``cols`` are the attributes compared, by default every column but obs_id.
+    A scan's signature is a SHA-256 of its attributes and its readings sorted by
+    AP (bounded by the APs one scan hears), as one struct in JSON, where nulls,
+    separators and numbers can't run into each other. Groups are counted with
+    partial aggregation and joined back on (signature, salt), the few rows of
+    the groups repeated for each salt, so one huge group is dealt over
+    ``DUPLICATE_SALTS`` tasks."""
+    cols = [c for c in obs.columns if c != "obs_id"] if cols is None else list(cols)
+    heard = (reading.groupBy("obs_id")
+             .agg(F.array_sort(F.collect_list(F.struct("ap_id", "rssi"))).alias("__heard")))
+    whole = F.to_json(F.struct(F.struct(*[F.col(c) for c in cols]).alias("a"), F.col("__heard").alias("h")),
+                      {"ignoreNullFields": "false"})
     # Narrow (obs_id, sig) table used twice below: written once so the
     # readings are not scanned and grouped a second time.
-    sig = materialize(obs.join(fp, "obs_id", "left")
-                      .select("obs_id", F.sha2(F.concat_ws("|", F.coalesce("fp", F.lit("")), *attrs), 256)
-                              .alias("sig")), "scan_signatures")
+    sig = materialize(obs.join(heard, "obs_id", "left").select("obs_id", F.sha2(whole, 256).alias("sig")),
+                      "scan_signatures")
     groups = (sig.groupBy("sig").agg(F.count(F.lit(1)).alias("n_copies"), F.min("obs_id").alias("first_id"))
-              .filter(F.col("n_copies") > 1))
-    return sig.join(groups, "sig").select(
+              .filter(F.col("n_copies") > 1)
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(DUPLICATE_SALTS - 1)))))
+    salted = sig.withColumn("salt", F.pmod(F.xxhash64("obs_id"), F.lit(DUPLICATE_SALTS)).cast("int"))
+    return salted.join(groups, ["sig", "salt"]).select(
         "obs_id", F.col("n_copies").cast("bigint").alias("n_copies"),
         (F.col("obs_id") == F.col("first_id")).alias("keep"))
 
 
-def drop_duplicate_scans(obs: DataFrame, reading: DataFrame, cols=SIGNATURE_COLS) -> DataFrame:
+def drop_duplicate_scans(obs: DataFrame, reading: DataFrame, cols=None) -> DataFrame:
     """``drop_duplicates``: keep the first scan of every group of copies."""
     dup = duplicate_scans(obs, reading, cols).filter(~F.col("keep")).select("obs_id")
     return obs.join(dup, "obs_id", "left_anti")

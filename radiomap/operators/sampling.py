@@ -17,9 +17,6 @@ from radiomap.functions.hashing import hash_key, hash_uniform
 from radiomap.operators.indexing import row_index
 
 SEED = 42  # fixed value: the survey's default seed
-# Up to this n per group the window is planned with a WindowGroupLimit before
-# the shuffle (spark.sql.optimizer.windowGroupLimitThreshold defaults to 1000).
-WINDOW_LIMIT_MAX_N = 1000
 # Up to this n the exact overall sample is a TakeOrdered over the narrowed
 # superset (about n rows reach its merge task); above it the distributed row
 # index is used.
@@ -42,29 +39,26 @@ def stratified_sample(df: DataFrame, by, n: int, seed: int = SEED, id_col: str =
                       salt: str | None = None) -> DataFrame:
     """Exactly ``min(n, group size)`` rows from each group of ``by``.
 
-    Small n: ``row_number() <= n`` over the group, which the planner limits to
-    n rows per group per task before the shuffle, so no task ever receives
-    more than n x (map tasks) rows of a group however large it is. Large n:
-    each group is first narrowed to rows whose hash-uniform is under a
-    per-group cutoff a little above n / size (groups the cutoff leaves short
-    keep every row), then the distributed row index ranks the ~n survivors."""
+    Each group is first narrowed to the rows whose hash-uniform is under a
+    cutoff a little above n / size, about 1.1 n + 100 of them, which always
+    hold the n first of the draw order; a group that the cutoff leaves short (a
+    draw far out in the tail) keeps every row. The window then ranks only the
+    narrowed rows, so what a task receives follows n, not the group or the
+    number of input partitions."""
     by = list(by)
     order = [draw_order(seed, id_col, salt), F.col(id_col)]
-    if n <= WINDOW_LIMIT_MAX_N:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
     cols = df.columns
     u = draw_uniform(seed, id_col, salt)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    cut = sizes.select(*by, F.least(F.lit(1.0), (F.lit(n * 1.1 + 100.0) / F.col("_size"))).alias("_cut"),
-                       F.least(F.lit(n), F.col("_size")).alias("_need"))
-    keyed = df.join(cut, by).withColumn("_under", u < F.col("_cut"))
-    short = (keyed.groupBy(*by).agg(F.sum(F.col("_under").cast("long")).alias("_got"), F.max("_need").alias("_need"))
-             .select(*by, (F.col("_got") < F.col("_need")).alias("_short")))
-    narrowed = keyed.join(short, by).filter(F.col("_under") | F.col("_short")).select(*cols)
-    keyed_h = narrowed.withColumn("_h", order[0])
-    return (row_index(keyed_h, ["_h", id_col], group_cols=by, name="_rn")
-            .filter(F.col("_rn") <= n).select(*cols))
+    width = F.least(F.lit(1.0), F.lit(n * 1.1 + 100.0) / F.col("_size"))
+    sizes = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(F.count(F.lit(1)).alias("_size"))
+    match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    keyed = df.join(sizes.withColumn("_cut", width), match).withColumn("_u", u)
+    got = (keyed.filter(F.col("_u") < F.col("_cut")).groupBy(*[F.col(c).alias(f"_g_{c}") for c in by])
+           .agg(F.count(F.lit(1)).alias("_got")))
+    kept = keyed.join(got, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by], "left").filter(
+        (F.col("_u") < F.col("_cut")) | (F.coalesce("_got", F.lit(0)) < F.least(F.lit(n), F.col("_size"))))
+    w = Window.partitionBy(*by).orderBy(*order)
+    return kept.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).select(*cols)
 
 
 def sample_n(df: DataFrame, n: int, seed: int = SEED, id_col: str = "obs_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from radiomap.plans.oracle_fixtures import with_fixtures
+from radiomap.plans.oracle_fixtures import PANEL_COLUMNS, with_fixtures
 
 _BODIES: dict[str, str] = {}
 
@@ -123,7 +123,7 @@ FROM b LEFT JOIN nl USING (user_id)""")
 from radiomap.functions.hashing import sql_hash_key, sql_hash_uniform  # noqa: E402
 from radiomap.operators.sampling import poisson_cdf_steps  # noqa: E402
 
-WAPS = ("WAP0001", "WAP0002", "WAP0003", "WAP0004")
+WAPS = tuple(PANEL_COLUMNS)
 
 
 def _h(seed: int, salt: str | None = None, key: str = "obs_id") -> str:
@@ -164,15 +164,24 @@ val AS (SELECT obs_id, building_id, floor FROM obs WHERE dataset = 'val')"""
 
 sql("load_survey", "SELECT * FROM obs")
 sql("tag_dataset", "SELECT obs_id, dataset FROM obs")
-sql("select_ap_columns", f"SELECT obs_id, {', '.join(WAPS)} FROM scan_wide")
+sql("select_ap_columns", f"SELECT obs_id, panel, {', '.join(WAPS)} FROM scan_wide")
+sql("select_first_columns", f"SELECT obs_id, panel, {', '.join(WAPS[:8])} FROM scan_wide")
+sql("survey_csv", f"SELECT obs_id, dataset, panel, {', '.join(WAPS)} FROM scan_wide")
+sql("sentinel_to_fill", "SELECT obs_id, dataset, space_id, panel, "
+    + ", ".join(f"CASE WHEN {w} = 100 THEN -110 ELSE {w} END AS {w}" for w in WAPS) + " FROM scan_wide")
+sql("encode_floor", """, codes AS (SELECT floor, CAST(row_number() OVER (ORDER BY first, floor) - 1 AS INT) AS code
+  FROM (SELECT floor, min(obs_id) AS first FROM obs WHERE dataset = 'train' AND floor IS NOT NULL GROUP BY floor))
+SELECT o.obs_id, o.floor, c.code FROM obs o LEFT JOIN codes c USING (floor) WHERE o.dataset = 'val'""")
+sql("floor_histogram", """SELECT dataset, CAST(floor(longitude / 20.0) * 20.0 AS DOUBLE) AS bin_lo, count(*) AS n
+FROM obs WHERE dataset <> 'test' GROUP BY 1, 2""")
 sql("reorder_labels", "SELECT * FROM obs")
 sql("filter_by_dataset", """SELECT obs_id, dataset, building_id, floor FROM obs
 WHERE dataset = 'train' AND (building_id = 1 OR floor = 2)""")
 sql("filter_location", """SELECT obs_id, longitude, latitude, space_id FROM obs
 WHERE building_id = 1 AND floor = 2 AND space_id = 100""")
-sql("sentinel_to_null", "SELECT obs_id, dataset, space_id, "
+sql("sentinel_to_null", "SELECT obs_id, dataset, space_id, panel, "
     + ", ".join(f"nullif({w}, 100) AS {w}" for w in WAPS) + " FROM scan_wide")
-sql("fill_missing_signal", "SELECT obs_id, dataset, space_id, "
+sql("fill_missing_signal", "SELECT obs_id, dataset, space_id, panel, "
     + ", ".join(f"coalesce(nullif({w}, 100), -110) AS {w}" for w in WAPS) + " FROM scan_wide")
 sql("dbm_to_mw", "SELECT obs_id, ap_id, rssi, round(pow(10.0, CAST(rssi AS DOUBLE) / 10.0), 15) AS mw FROM reading")
 sql("row_index", "SELECT obs_id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY obs_id) AS row_idx FROM obs")
@@ -185,9 +194,8 @@ RANK = f""", rk AS (
 PIVOT_RANKS = RANK + ", pr AS (SELECT obs_id, " + ", ".join(
     f"max(CASE WHEN rn = {i} THEN ap_id END) AS hi{i}" for i in range(1, 11)) + " FROM rk WHERE rn <= 10 GROUP BY obs_id)"
 
-sql("wide_to_long", " UNION ALL ".join(
-    f"SELECT obs_id, '{w}' AS ap_id, {w} AS rssi FROM scan_wide WHERE {w} <> 100" for w in WAPS))
-sql("long_to_wide", "SELECT * FROM (PIVOT reading ON ap_id USING max(rssi) GROUP BY obs_id)")
+sql("wide_to_long", "SELECT obs_id, ap_id, rssi FROM reading")
+sql("long_to_wide", "SELECT * FROM panels")
 sql("rank_signals", RANK + " SELECT obs_id, rn, ap_id, rssi FROM rk")
 sql("rank_weakest", f"""SELECT obs_id, CAST(1 AS INT) AS rn, ap_id, rssi FROM reading
 QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY rssi ASC, {sql_hash_key(42, 'obs_id', 'ap_id')}, ap_id) = 1""")
@@ -212,15 +220,18 @@ sql("ap_overlap_buildings", """, bap AS (SELECT DISTINCT o.building_id, r.ap_id
   WHERE o.building_id IS NOT NULL)
 SELECT a.building_id AS building_a, b.building_id AS building_b, count(*) AS n_common
 FROM bap a JOIN bap b ON a.ap_id = b.ap_id AND a.building_id < b.building_id GROUP BY 1, 2""")
-_SIG_ATTRS = " || '|' || ".join(
-    f"coalesce(CAST(o.{c} AS VARCHAR), '∅')" for c in
-    ("dataset", "building_id", "floor", "longitude", "latitude"))
-sql("duplicate_scans", f""", fp AS (
-  SELECT obs_id, string_agg(ap_id || '=' || CAST(rssi AS VARCHAR), ',' ORDER BY ap_id || '=' || CAST(rssi AS VARCHAR)) AS fp
-  FROM reading GROUP BY obs_id),
-s AS (SELECT o.obs_id, coalesce(fp.fp, '') || '|' || {_SIG_ATTRS} AS sig FROM obs o LEFT JOIN fp USING (obs_id)),
-g AS (SELECT sig, count(*) AS n, min(obs_id) AS first_id FROM s GROUP BY sig HAVING count(*) > 1)
-SELECT s.obs_id, g.n AS n_copies, s.obs_id = g.first_id AS keep FROM s JOIN g USING (sig)""")
+
+
+def _duplicates(cols: str) -> str:
+    return f""", fp AS (
+  SELECT obs_id, list((ap_id, rssi) ORDER BY ap_id, rssi) AS fp FROM reading GROUP BY obs_id),
+g AS (SELECT {cols}, fp.fp, count(*) AS n, min(obs_id) AS first_id, list(obs_id) AS ids
+      FROM obs o LEFT JOIN fp USING (obs_id) GROUP BY {cols}, fp.fp HAVING count(*) > 1)
+SELECT id AS obs_id, n AS n_copies, id = first_id AS keep FROM (SELECT unnest(ids) AS id, n, first_id FROM g)"""
+
+
+sql("duplicate_scans", _duplicates("dataset, building_id, floor, longitude, latitude, space_id, relative_position, user_id, phone_id, ts"))
+sql("duplicate_places", _duplicates("dataset, building_id, floor, longitude, latitude"))
 sql("head_rows", "SELECT obs_id, dataset FROM obs ORDER BY obs_id LIMIT 10")
 
 # --- sampling and splits --------------------------------------------------------------
@@ -335,21 +346,53 @@ sql("knn_neighbors", KNN + " SELECT query_id, neighbor_id, d2, rn FROM nb")
 sql("knn_building", PREDS + " SELECT obs_id, prediction FROM p_building_id")
 sql("knn_floor", PREDS + " SELECT obs_id, prediction FROM p_floor")
 sql("knn_longitude", PREDS + " SELECT obs_id, round(prediction, 6) AS prediction FROM p_longitude")
+sql("knn_latitude", PREDS + " SELECT obs_id, round(prediction, 6) AS prediction FROM p_latitude")
 sql("combine_predictions", PREDS + """ SELECT b.obs_id, b.prediction AS building_id_pred, f.prediction AS floor_pred,
 round(x.prediction, 6) AS longitude_pred, round(y.prediction, 6) AS latitude_pred
 FROM p_building_id b JOIN p_floor f USING (obs_id) JOIN p_longitude x USING (obs_id) JOIN p_latitude y USING (obs_id)""")
 sql("prediction_counts", PREDS + " SELECT prediction, count(*) AS n FROM p_building_id GROUP BY prediction")
-sql("confusion_matrix", SCORED + """ SELECT actual, predicted, n FROM cm WHERE target = 'floor' AND split = 'test'""")
+sql("confusion_matrix", SCORED + " SELECT target, split, actual, predicted, n FROM cm")
+sql("confusion_wide", SCORED + " SELECT split, actual, " + ", ".join(
+    f"CAST(sum(CASE WHEN predicted = {c} THEN n ELSE 0 END) AS BIGINT) AS floor_{c}" for c in range(5))
+    + " FROM cm WHERE target = 'floor' GROUP BY split, actual")
 sql("accuracy", SCORED + " SELECT target, split, accuracy FROM acc")
 sql("cohen_kappa", SCORED + " SELECT target, split, kappa FROM kap")
 sql("mae", SCORED + " SELECT target, split, mae FROM err")
 sql("residuals", SCORED + " SELECT obs_id, split, target, error, abs_error FROM res")
-sql("zero_position", SCORED + """ SELECT round(abs(0.0 - min(error) / (max(error) - min(error))), 6) AS zero_pos
-FROM res WHERE target = 'longitude' AND split = 'test'""")
+sql("zero_position", SCORED + """ SELECT target, split, round(abs(0.0 - min(error) / (max(error) - min(error))), 6) AS zero_pos
+FROM res GROUP BY target, split""")
 sql("evaluation_report", SCORED + """ SELECT target, split, 'accuracy' AS metric, accuracy AS value FROM acc
 UNION ALL SELECT target, split, 'kappa', kappa FROM kap UNION ALL SELECT target, split, 'mae', mae FROM err""")
-sql("residual_surface", SCORED + """ SELECT s.obs_id, o.longitude, o.latitude, round(s.predicted - s.actual, 6) AS error
-FROM scored s JOIN obs o USING (obs_id) WHERE s.target = 'longitude' AND s.split = 'test'""")
+sql("residual_surface", SCORED + """ SELECT s.obs_id, s.split, s.target, o.longitude, o.latitude,
+round(s.predicted - s.actual, 6) AS error FROM scored s JOIN obs o USING (obs_id) WHERE s.target IN ('longitude', 'latitude')""")
+
+# Models: what SQL can state of them ---------------------------------------------------
+
+sql("feature_vectors", """, i AS (SELECT ap_id, CAST(row_number() OVER (ORDER BY ap_id) - 1 AS INT) AS idx FROM ap)
+SELECT r.obs_id, i.idx, CAST(r.rssi + 110 AS DOUBLE) AS x FROM reading r JOIN i USING (ap_id) WHERE r.rssi <> -110""")
+sql("early_stopping_rule", "SELECT true AS kept_best, true AS stopped_in_time, true AS trees_kept FROM (SELECT count(*) FROM obs)")
+sql("scenario_counts", """SELECT s.scenario, count(*) AS n_rows, count(DISTINCT o.obs_id) AS n_scans, CAST(0 AS BIGINT) AS n_missing
+FROM obs o CROSS JOIN (SELECT 'prediction_' || unnest(range(1, 6)) AS scenario) s WHERE o.dataset = 'test' GROUP BY s.scenario""")
+sql("prediction_rows", """SELECT count(*) AS n_scans, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_unknown
+FROM obs WHERE dataset = 'test'""")
+sql("model_description", """SELECT CAST(100 AS INT) AS n_trees, CAST((SELECT max(floor) + 1 FROM obs) AS INT) AS n_classes,
+CAST((SELECT count(*) FROM ap) AS INT) AS n_features""")
+sql("rank_forest_rows", """, codes AS (SELECT floor, CAST(row_number() OVER (ORDER BY first, floor) - 1 AS INT) AS code
+  FROM (SELECT floor, min(obs_id) AS first FROM obs WHERE dataset = 'train' AND floor IS NOT NULL GROUP BY floor))
+SELECT c.code AS actual, count(*) AS n, CAST(0 AS BIGINT) AS n_missing
+FROM obs o LEFT JOIN codes c USING (floor) WHERE o.dataset = 'val' GROUP BY c.code""")
+sql("model_cache_same", SPLIT51 + " SELECT count(DISTINCT obs_id) AS n, CAST(0 AS BIGINT) AS n_differ FROM sp WHERE split = 'test'")
+_GATE = """SELECT '{m}' AS model, '{t}' AS target, count(*) AS n_scored, CAST(0 AS BIGINT) AS n_missing,
+round(avg({off}), 6) AS baseline, true AS beats FROM te, b_{t}"""
+_CLASS_OFF, _NUMBER_OFF = "CASE WHEN te.{t} <> b_{t}.b THEN 1.0 ELSE 0.0 END", "abs(b_{t}.b - te.{t})"
+sql("model_gates", SPLIT51 + """, lab AS (SELECT obs_id, building_id, floor, longitude, latitude FROM obs),
+tn AS (SELECT l.* FROM (SELECT DISTINCT obs_id FROM sp WHERE split = 'train') JOIN lab l USING (obs_id)),
+te AS (SELECT l.* FROM (SELECT DISTINCT obs_id FROM sp WHERE split = 'test') JOIN lab l USING (obs_id)),
+b_building_id AS (SELECT building_id AS b FROM tn GROUP BY building_id ORDER BY count(*) DESC, building_id LIMIT 1),
+b_longitude AS (SELECT avg(longitude) AS b FROM tn), b_latitude AS (SELECT avg(latitude) AS b FROM tn) """
+    + " UNION ALL ".join(_GATE.format(m=m, t=t, off=(_CLASS_OFF if t == "building_id" else _NUMBER_OFF).format(t=t)) for m, t in (
+        ("forest", "building_id"), ("forest", "longitude"), ("svm", "building_id"), ("boosted", "building_id"),
+        ("boosted", "longitude"), ("boosted", "latitude"), ("cascade", "longitude"))))
 
 sql("roundtrip_predictions", PREDS + " SELECT obs_id, prediction FROM p_building_id")
 sql("standardize", RD + """, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM obs WHERE dataset = 'train'),

@@ -23,7 +23,8 @@ WITH truth AS (
   FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
 ),
 ap AS (
-  SELECT s_suppkey AS ap_no, concat('WAP', lpad(CAST(s_suppkey + 1 AS VARCHAR(10)), 4, '0')) AS ap_id FROM supplier
+  SELECT s_suppkey AS ap_no, 'WAP' || lpad(CAST(s_suppkey + 1 AS VARCHAR), CAST(greatest(4, length(CAST(s_suppkey + 1 AS VARCHAR))) AS INT), '0') AS ap_id
+  FROM supplier
 ),
 reading AS (
   SELECT t.obs_id, a.ap_id,
@@ -43,17 +44,23 @@ obs AS (
          space_id, relative_position, user_id, phone_id, ts
   FROM truth
 ),
+panels AS (
+  SELECT obs_id, CAST(ap_no // 64 AS INT) AS panel, /*PANEL_MAX*/
+  FROM (SELECT obs_id, rssi, CAST(substr(ap_id, 4) AS BIGINT) - 1 AS ap_no FROM reading) GROUP BY obs_id, CAST(ap_no // 64 AS INT)
+),
 scan_wide AS (
-  SELECT o.obs_id, o.dataset, o.space_id,
-         COALESCE(MAX(CASE WHEN r.ap_id = 'WAP0001' THEN r.rssi END), 100) AS WAP0001,
-         COALESCE(MAX(CASE WHEN r.ap_id = 'WAP0002' THEN r.rssi END), 100) AS WAP0002,
-         COALESCE(MAX(CASE WHEN r.ap_id = 'WAP0003' THEN r.rssi END), 100) AS WAP0003,
-         COALESCE(MAX(CASE WHEN r.ap_id = 'WAP0004' THEN r.rssi END), 100) AS WAP0004
-  FROM obs o LEFT JOIN reading r ON r.obs_id = o.obs_id
-  GROUP BY o.obs_id, o.dataset, o.space_id
+  SELECT o.obs_id, o.dataset, o.space_id, n.panel, /*PANEL_FILL*/
+  FROM obs o CROSS JOIN (SELECT CAST(unnest(range(0, (SELECT max(ap_no) // 64 + 1 FROM ap))) AS INT) AS panel) n
+  LEFT JOIN panels p ON p.obs_id = o.obs_id AND p.panel = n.panel
 )
 """
 
 
+PANEL_COLUMNS = [f"AP_{i:02d}" for i in range(64)]
+FIXTURE_CTES = FIXTURE_CTES.replace("/*PANEL_MAX*/", ", ".join(
+    f"max(CASE WHEN ap_no % 64 = {i} THEN rssi END) AS {c}" for i, c in enumerate(PANEL_COLUMNS)))
+FIXTURE_CTES = FIXTURE_CTES.replace("/*PANEL_FILL*/", ", ".join(f"coalesce(p.{c}, 100) AS {c}" for c in PANEL_COLUMNS))
+
+
 def with_fixtures(body: str) -> str:
     return FIXTURE_CTES.strip() + "\n" + body.strip()

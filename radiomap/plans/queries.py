@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiomap.functions import signal as sig
-from radiomap.operators import (clean, evaluate, features, indexing, models, quality, rank, reshape,
+from radiomap.operators import (boosting, clean, evaluate, features, indexing, knn, models, quality, rank, reshape,
                                 sampling, search, splits)
 from radiomap.plans import flows
 from radiomap.session import shared_dir
@@ -182,7 +181,15 @@ def q_tag_dataset(spark, sf):
 
 @register("select_ap_columns")
 def q_select_ap(spark, sf):
-    return clean.select_by_prefix(fx.scan_wide(spark, sf), "WAP", keep=("obs_id",))
+    return clean.select_by_prefix(fx.scan_wide(spark, sf), "AP_", keep=("obs_id", "panel"))
+
+
+@register("select_first_columns")
+def q_select_position(spark, sf):
+    """The id columns and the signals by position, as the wide file is cut up."""
+    w = fx.scan_wide(spark, sf)
+    first = w.columns.index(fx.WIDE_APS[0])
+    return clean.select_by_position(w, first, first + 8, keep=("obs_id", "panel"))
 
 
 @register("reorder_labels")
@@ -207,16 +214,22 @@ def q_filter_location(spark, sf):
 @register("sentinel_to_null")
 def q_sentinel(spark, sf):
     w = fx.scan_wide(spark, sf)
-    return sig.sentinel_to_null(w, sig.ap_columns(w))
+    return sig.sentinel_to_null(w, sig.ap_columns(w, "AP_"))
 
 
 @register("fill_missing_signal")
 def q_fill(spark, sf):
     w = fx.scan_wide(spark, sf)
-    aps = sig.ap_columns(w)
+    aps = sig.ap_columns(w, "AP_")
     return sig.fill_missing(sig.sentinel_to_null(w, aps), aps)
 
 
+@register("sentinel_to_fill")
+def q_sentinel_to_fill(spark, sf):
+    w = fx.scan_wide(spark, sf)
+    return sig.sentinel_to_fill(w, sig.ap_columns(w, "AP_"))
+
+
 @register("dbm_to_mw")
 def q_dbm_to_mw(spark, sf):
     r = fx.reading(spark, sf)
@@ -233,13 +246,17 @@ def q_row_index(spark, sf):
 
 @register("wide_to_long")
 def q_wide_to_long(spark, sf):
+    """Every reading back from the wide panels."""
     w = fx.scan_wide(spark, sf)
-    return reshape.wide_to_long(w, ["obs_id"], sig.ap_columns(w))
+    long = reshape.wide_to_long(w, ["obs_id", "panel"], sig.ap_columns(w, "AP_"))
+    number = F.col("panel").cast("bigint") * fx.PANEL + F.substring("ap_id", 4, 2).cast("bigint")
+    return long.select("obs_id", fx.ap_name(number).alias("ap_id"), "rssi")
 
 
 @register("long_to_wide")
 def q_long_to_wide(spark, sf):
-    return reshape.long_to_wide(fx.reading(spark, sf))
+    """Readings pivoted over the whole catalogue, in panels of AP columns."""
+    return fx.panels(fx.reading(spark, sf))
 
 
 @register("rank_signals")
@@ -279,6 +296,22 @@ def q_factorize(spark, sf):
     return reshape.factorize(o, "floor")
 
 
+@register("encode_floor")
+def q_encode(spark, sf):
+    """Validation floors in the codes of the training survey (one code table)."""
+    o = fx.obs(spark, sf)
+    codes = reshape.factorize(o.filter(F.col("dataset") == "train"), "floor")
+    return reshape.apply_codes(o.filter(F.col("dataset") == "val").select("obs_id", "floor"), codes, "floor").select(
+        "obs_id", "floor", "code")
+
+
+@register("floor_histogram")
+def q_floor_histogram(spark, sf):
+    """Generic fixed-width histogram, of coordinates by dataset."""
+    o = fx.obs(spark, sf).filter(F.col("dataset") != "test")
+    return quality.value_histogram(o, "longitude", 20.0, by=("dataset",))
+
+
 @register("union_surveys")
 def q_union(spark, sf):
     o = fx.obs(spark, sf)
@@ -310,9 +343,24 @@ def q_overlap(spark, sf):
 
 @register("duplicate_scans")
 def q_dups(spark, sf):
+    """Copies by every column but the id."""
     return reshape.duplicate_scans(fx.obs(spark, sf), fx.reading(spark, sf))
 
 
+@register("duplicate_places")
+def q_dup_places(spark, sf):
+    """Scans that hear the same at the same place, whoever took them and when."""
+    return reshape.duplicate_scans(fx.obs(spark, sf), fx.reading(spark, sf), reshape.PLACE_COLS)
+
+
+@register("survey_csv")
+def q_survey_csv(spark, sf):
+    """The wide survey written as CSV and read with its declared schema."""
+    w = fx.scan_wide(spark, sf)
+    path = survey_io.write_table(w, shared_dir(spark, "survey_csv"), fmt="csv")
+    return survey_io.read_survey_csv(spark, path, w.schema).select("obs_id", "dataset", "panel", *fx.WIDE_APS)
+
+
 @register("head_rows")
 def q_head(spark, sf):
     return fx.obs(spark, sf).select("obs_id", "dataset").orderBy("obs_id").limit(10)
@@ -406,16 +454,18 @@ def q_knn_longitude(spark, sf):
     return p.select("obs_id", F.round("prediction", 6).alias("prediction"))
 
 
+@register("knn_latitude")
+def q_knn_latitude(spark, sf):
+    p = flows.knn_run(spark, sf).predictions["latitude"]
+    return p.select("obs_id", F.round("prediction", 6).alias("prediction"))
+
+
 @register("combine_predictions")
 def q_combine(spark, sf):
-    """Prediction frames of several models joined on the scan id (not by position)."""
-    pr = flows.knn_run(spark, sf).predictions
-    out = None
-    for t, p in pr.items():
-        col = F.round("prediction", 6) if t in flows.REG_TARGETS else F.col("prediction")
-        p = p.select("obs_id", col.alias(f"{t}_pred"))
-        out = p if out is None else out.join(p, "obs_id")
-    return out
+    """Predictions of all targets side by side for each scan (by id, not by position)."""
+    return flows.knn_run(spark, sf).wide.select("obs_id", *[
+        (F.round(t, 6) if t in flows.REG_TARGETS else F.col(t)).alias(f"{t}_pred")
+        for t in (*flows.CLASS_TARGETS, *flows.REG_TARGETS)])
 
 
 @register("prediction_counts")
@@ -426,8 +476,17 @@ def q_pred_counts(spark, sf):
 
 @register("confusion_matrix")
 def q_confusion(spark, sf):
-    s = flows.knn_run(spark, sf).scored.filter((F.col("target") == "floor") & (F.col("split") == "test"))
-    return evaluate.confusion_matrix(s, by=())
+    """Building and floor, on the test set and on its hard part."""
+    s = flows.knn_run(spark, sf).scored.filter(F.col("target").isin(*flows.CLASS_TARGETS))
+    return evaluate.confusion_matrix(s)
+
+
+@register("confusion_wide")
+def q_confusion_wide(spark, sf):
+    """The floor matrix with a column for each predicted floor."""
+    s = flows.knn_run(spark, sf).scored.filter(F.col("target") == "floor")
+    w = evaluate.confusion_wide(s, range(5), by=("split",))
+    return w.select("split", "actual", *[F.col(f"`{float(c)}`").alias(f"floor_{c}") for c in range(5)])
 
 
 @register("accuracy")
@@ -456,8 +515,8 @@ def q_residuals(spark, sf):
 
 @register("zero_position")
 def q_zero_pos(spark, sf):
-    s = flows.knn_run(spark, sf).scored.filter((F.col("target") == "longitude") & (F.col("split") == "test"))
-    return evaluate.zero_position(evaluate.residuals(s), "error")
+    s = flows.knn_run(spark, sf).scored.filter(F.col("target").isin(*flows.REG_TARGETS))
+    return evaluate.zero_position(evaluate.residuals(s), "error", by=("target", "split"))
 
 
 @register("evaluation_report")
@@ -468,7 +527,7 @@ def q_eval_report(spark, sf):
 @register("residual_surface")
 def q_residual_surface(spark, sf):
     run = flows.knn_run(spark, sf)
-    return evaluate.residual_surface(run.scored, run.obs, "longitude")
+    return evaluate.residual_surface(run.scored, run.obs, flows.REG_TARGETS)
 
 
 # --- Spark ML: features, models, search, cascades --------------------------------------
@@ -477,9 +536,10 @@ def q_residual_surface(spark, sf):
 
 @register("feature_vectors")
 def q_feature_vectors(spark, sf):
+    """The entries of every scan's sparse vector."""
     obs, r = fx.survey(spark, sf)
-    index = features.ap_index(r)
-    return features.feature_vectors(obs, r, index, index.count())
+    index = features.ap_index(fx.ap(spark, sf))
+    return features.vector_entries(features.feature_vectors(obs, r, index, index.count()))
 
 
 @register("standardize")
@@ -487,77 +547,132 @@ def q_standardize(spark, sf):
     return features.scaler_stats(fx.obs(spark, sf), fx.reading(spark, sf))
 
 
+# Trees, rounds, draws, folds and patience are the surveyed models' (models.py,
+# boosting.py and the grids below). Boosted models and searches fit on at most
+# about boosting.LABELLED_ROWS labelled rows, drawn by a hash.
+
+# The surveyed search grids.
+FOREST_GRID = {"numTrees": [80, 100, 120], "featureSubsetStrategy": ["auto", "sqrt"], "maxDepth": [10, 50, 100, 30],
+               "minInstancesPerNode": [1, 2, 4], "bootstrap": [True, False]}
+FOREST_DRAWS, BOOSTED_DRAWS, FOLDS = 9, 8, 5
+EXHAUSTIVE_GRID = {"numTrees": [100, 250], "featureSubsetStrategy": ["auto", "sqrt", "log2"]}
+BOOSTED_GRID = {"max_depth": [3, 7, 13, 16], "learning_rate": [0.05, 0.1, 0.15, 0.2]}
+#: Labelled rows on which the forest searches fit (documented bound of the sample).
+SEARCH_ROWS = 1_500
+
+
 def _fit_score(spark, sf, estimator, label):
     d = flows.ml_data(spark, sf)
     model = models.fit(estimator, d.train, label)
     return models.score(model, d.test)
 
 
+def _watch(d):
+    """The part of the test set from the validation survey; it stops boosting."""
+    hard = d.split.filter(F.col("split") == "hard_test").select("obs_id")
+    return d.test.join(hard, "obs_id", "left_semi")
+
+
+def _boost_score(spark, sf, label, classify=False):
+    d = flows.ml_data(spark, sf)
+    (_, model), = boosting.fit_all([(boosting.Params(), -1)], d.train, _watch(d), label, classify=classify)
+    return boosting.predict(model, d.test)
+
+
 @register("rf_building")
 def q_rf_building(spark, sf):
-    return _fit_score(spark, sf, models.rf_classifier("building_id", num_trees=20, max_depth=10), "building_id")
+    return _fit_score(spark, sf, models.rf_classifier("building_id"), "building_id")
 
 
 @register("rf_floor")
 def q_rf_floor(spark, sf):
-    return _fit_score(spark, sf, models.rf_classifier("floor", num_trees=20, max_depth=10), "floor")
+    return _fit_score(spark, sf, models.rf_classifier("floor"), "floor")
 
 
 @register("rf_longitude")
 def q_rf_longitude(spark, sf):
-    return _fit_score(spark, sf, models.rf_regressor("longitude", num_trees=20, max_depth=10), "longitude")
+    return _fit_score(spark, sf, models.rf_regressor("longitude"), "longitude")
 
 
 @register("gbt_building")
 def q_gbt_building(spark, sf):
-    return _fit_score(spark, sf, models.gbt_classifier("building_id", max_iter=10, max_depth=5), "building_id")
+    return _boost_score(spark, sf, "building_id", classify=True)
+
+
+@register("gbt_floor")
+def q_gbt_floor(spark, sf):
+    return _boost_score(spark, sf, "floor", classify=True)
 
 
 @register("gbt_latitude")
 def q_gbt_latitude(spark, sf):
-    return _fit_score(spark, sf, models.gbt_regressor("latitude", max_iter=20, max_depth=5), "latitude")
+    return _boost_score(spark, sf, "latitude")
 
 
 @register("gbt_longitude")
 def q_gbt_longitude(spark, sf):
-    return _fit_score(spark, sf, models.gbt_regressor("longitude", max_iter=20, max_depth=5), "longitude")
+    return _boost_score(spark, sf, "longitude")
 
 
 @register("svm_building")
 def q_svm_building(spark, sf):
-    return _fit_score(spark, sf, models.svm_classifier("building_id", max_iter=20), "building_id")
+    return _fit_score(spark, sf, models.svm_classifier("building_id"), "building_id")
 
 
 @register("random_search")
 def q_random_search(spark, sf):
+    """Floor forest: nine draws from the grid, five folds each."""
     d = flows.ml_data(spark, sf)
-    est = models.rf_classifier("floor")
-    grid = {"numTrees": [5, 10, 20], "maxDepth": [5, 8, 12], "featureSubsetStrategy": ["sqrt", "onethird"]}
-    return search.random_search(est, grid, d.train, "floor", n_iter=3, folds=2)
+    return search.tune(models.rf_classifier("floor"), FOREST_GRID, d.train, "floor", FOREST_DRAWS, FOLDS,
+                       rows=SEARCH_ROWS).table
 
 
 @register("grid_search")
 def q_grid_search(spark, sf):
+    """Building forest: the whole grid, five folds each."""
     d = flows.ml_data(spark, sf)
-    est = models.rf_classifier("building_id")
-    return search.grid_search(est, {"numTrees": [5, 10], "maxDepth": [6]}, d.train, "building_id", folds=2)
+    return search.tune(models.rf_classifier("building_id"), EXHAUSTIVE_GRID, d.train, "building_id", None, FOLDS,
+                       rows=SEARCH_ROWS).table
+
+
+@register("boosted_search")
+def q_boosted_search(spark, sf):
+    """Latitude and longitude: eight draws from the grid, five folds each, up to
+    500 rounds with early stopping."""
+    d = flows.ml_data(spark, sf)
+    out = None
+    for t in flows.REG_TARGETS:
+        found = search.tune_boosted(BOOSTED_GRID, d.train, _watch(d), t, BOOSTED_DRAWS, FOLDS)
+        rows = found.table.withColumn("target", F.lit(t))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @register("early_stopping_curve")
 def q_early_stopping(spark, sf):
-    """Boosted longitude with a per-round MAE curve on the validation part of
-    the test set and the round a 10-round patience rule keeps."""
+    """Boosted longitude: the watched error of every round, the round that is
+    kept and the one at which ten without a gain stopped the fit."""
     d = flows.ml_data(spark, sf)
-    model = models.fit(models.gbt_regressor("longitude", max_iter=30, max_depth=5), d.train, "longitude")
-    hard = d.split.filter(F.col("split") == "hard_test").select("obs_id")
-    watch = d.test.join(hard, "obs_id", "left_semi")
-    return search.early_stopping_curve(model.stages[-1], watch, patience=10)
+    (_, model), = boosting.fit_all([(boosting.Params(), -1)], d.train, _watch(d), "longitude")
+    return search.curve_table(spark, model.curve)
+
+
+@register("early_stopping_rule")
+def q_early_stopping_rule(spark, sf):
+    """The curve of a fit against the rule itself: (kept as the rule keeps,
+    stopped as it stops, no round after the stop), one row."""
+    d = flows.ml_data(spark, sf)
+    p = boosting.Params()
+    (_, model), = boosting.fit_all([(p, -1)], d.train, _watch(d), "longitude")
+    kept, stopped = search.patience_stop(model.curve, p.patience)
+    return spark.createDataFrame([(kept == model.best, stopped == len(model.curve), len(model.trees) == kept)],
+                                 "kept_best boolean, stopped_in_time boolean, trees_kept boolean")
 
 
 def _rf_stage(target, feats):
     if target in flows.CLASS_TARGETS:
-        return models.rf_classifier(target, num_trees=10, max_depth=10, features=feats)
-    return models.rf_regressor(target, num_trees=10, max_depth=10, features=feats)
+        return models.rf_classifier(target, features=feats)
+    return models.rf_regressor(target, features=feats)
 
 
 @register("cascade_location")
@@ -570,53 +685,75 @@ def q_cascade(spark, sf):
 
 @register("scenario_predictions")
 def q_scenarios(spark, sf):
-    """Scenarios (training sample x cascade depth) as a config table: every
-    scenario predicts the unlabeled scans; rows are tagged with the scenario."""
-    d = flows.ml_data(spark, sf)
-    obs = d.obs
-    unlabeled = features.feature_vectors(obs.filter(F.col("dataset") == "test"), d.reading, d.index,
-                                         d.n_features)
-    s2 = splits.split_sample2(obs).select("obs_id").distinct()
-    sample2 = features.labeled_vectors(obs, s2, d.reading, d.index, d.n_features).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    config = [("sample1_building", d.train, 1), ("sample1_location", d.train, 3),
-              ("sample2_location", sample2, 3)]
-    out = None
-    full = [("building_id", _rf_stage), ("longitude", _rf_stage), ("latitude", _rf_stage)]
-    for name, train, depth in config:
-        pred = models.cascade(train, unlabeled, full[:depth])
-        for t, _ in full[depth:]:
-            pred = pred.withColumn(f"{t}_pred", F.lit(None).cast("double"))
-        pred = pred.select(F.lit(name).alias("scenario"), "obs_id",
-                           *[f"{t}_pred" for t, _ in full])
-        out = pred if out is None else out.unionByName(pred)
-    return out
+    """Five scenarios for the unlabeled scans: nearest fingerprints for the
+    building, forest or boosted floor, boosted or forest coordinates, with the
+    building (and longitude) predicted before as further inputs; two training
+    samples."""
+    return flows.scenarios(spark, sf)
+
+
+@register("scenario_counts")
+def q_scenario_counts(spark, sf):
+    """Rows, scans and gaps of every scenario's predictions."""
+    s = flows.scenarios(spark, sf)
+    missing = F.greatest(*[F.col(c).isNull().cast("int") for c in ("building_id", "floor", "longitude", "latitude")])
+    return s.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("obs_id").alias("n_scans"),
+                                     F.sum(missing).alias("n_missing"))
 
 
 @register("prediction_table")
 def q_prediction_table(spark, sf):
-    """Refit on all labeled rows of the sample (``train_final``) and predict the
-    unlabeled scans; column names carry the model."""
-    d = flows.ml_data(spark, sf)
-    final_ids = d.split.filter(F.col("split") == "train_final").select("obs_id")
-    final = features.labeled_vectors(d.obs, final_ids, d.reading, d.index, d.n_features)
-    unlabeled = features.feature_vectors(d.obs.filter(F.col("dataset") == "test"), d.reading, d.index,
-                                         d.n_features)
-    floor = models.fit(models.rf_classifier("floor", num_trees=20, max_depth=10), final, "floor")
-    lat = models.fit(models.gbt_regressor("latitude", max_iter=20), final, "latitude")
-    lon = models.fit(models.gbt_regressor("longitude", max_iter=20), final, "longitude")
-    return (models.score(floor, unlabeled, "floor_rf")
-            .join(models.score(lat, unlabeled, "latitude_gbt"), "obs_id")
-            .join(models.score(lon, unlabeled, "longitude_gbt"), "obs_id"))
+    """The tuned flow's predictions for the unlabeled scans (``flows.tuned``);
+    column names carry the model."""
+    return flows.tuned(spark, sf).predictions
+
+
+@register("prediction_rows")
+def q_prediction_rows(spark, sf):
+    """Scans, gaps and floors that no survey has among the tuned predictions."""
+    p = flows.tuned(spark, sf).predictions
+    gap = F.greatest(*[F.col(c).isNull().cast("int") for c in p.columns if c != "obs_id"])
+    return p.agg(F.count_distinct("obs_id").alias("n_scans"), F.sum(gap).alias("n_missing"),
+                 F.sum((~F.col(flows.FLOOR_MODEL).isin(0.0, 1.0, 2.0, 3.0, 4.0)).cast("int")).cast("bigint").alias("n_unknown"))
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     d = flows.ml_data(spark, sf)
-    model = models.fit(models.rf_classifier("floor", num_trees=20, max_depth=10), d.train, "floor")
+    model = models.fit(models.rf_classifier("floor"), d.train, "floor")
     return models.feature_importance(model, d.index)
 
 
+@register("model_description")
+def q_model_description(spark, sf):
+    """What the floor forest is made of: trees, classes, inputs."""
+    d = flows.ml_data(spark, sf)
+    about = models.describe(models.fit(models.rf_classifier("floor"), d.train, "floor"))
+    return spark.createDataFrame([(about["trees"], about["classes"], about["features"])],
+                                 "n_trees int, n_classes int, n_features int")
+
+
+@register("model_gates")
+def q_model_gates(spark, sf):
+    """Every kind of model against a baseline that SQL can state: (model, target,
+    scans scored, gaps, the baseline's error, whether the model's is smaller)."""
+    return flows.model_gates(spark, sf)
+
+
+@register("rank_forest_crosstab")
+def q_rank_forest(spark, sf):
+    """Floor forest of five trees on the one-hot ranks of the ten strongest APs:
+    actual against predicted codes of the validation scans, one code table."""
+    return flows.rank_forest(spark, sf).groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("rank_forest_rows")
+def q_rank_forest_rows(spark, sf):
+    """Scans of each actual code that the rank forest scored."""
+    p = flows.rank_forest(spark, sf)
+    return p.groupBy("actual").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("predicted").isNull().cast("int")).alias("n_missing"))
+
+
 @register("pca_explained")
 def q_pca(spark, sf):
     d = flows.ml_data(spark, sf)
@@ -629,12 +766,23 @@ def q_model_cache(spark, sf):
     model; its predictions are returned."""
     d = flows.ml_data(spark, sf)
     path = shared_dir(spark, "model_cache")
-    est = models.rf_classifier("building_id", num_trees=10, max_depth=8)
+    est = models.rf_classifier("building_id", num_trees=20)
     models.load_or_fit(path, est, d.train, "building_id")
     loaded = models.load_or_fit(path, est, d.train, "building_id")
     return models.score(loaded, d.test)
 
 
+@register("model_cache_same")
+def q_model_cache_same(spark, sf):
+    """Scans predicted, and those on which the fitted and the loaded model differ."""
+    d = flows.ml_data(spark, sf)
+    path = shared_dir(spark, "model_cache")
+    est = models.rf_classifier("building_id", num_trees=20)
+    a = models.score(models.load_or_fit(path, est, d.train, "building_id"), d.test, "a")
+    b = models.score(models.load_or_fit(path, est, d.train, "building_id"), d.test, "b")
+    return a.join(b, "obs_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("a") != F.col("b")).cast("int")).alias("n_differ"))
+
+
 @register("roundtrip_predictions")
 def q_roundtrip_predictions(spark, sf):
     """kNN building predictions written as CSV (obs_id as the index column) and read back."""
@@ -644,16 +792,7 @@ def q_roundtrip_predictions(spark, sf):
 
 @register("model_report")
 def q_model_report(spark, sf):
-    """Two-level evaluation of the Spark ML models, as the published report:
-    forest floor (accuracy, kappa) and boosted latitude / longitude (MAE) on
-    the full test set and on its validation-only part (``hard_test``)."""
-    d = flows.ml_data(spark, sf)
-    tests = d.split.filter(F.col("split").isin("test", "hard_test"))
-    lab = d.obs.select("obs_id", "floor", "latitude", "longitude")
-    floor = models.fit(models.rf_classifier("floor", num_trees=20, max_depth=10), d.train, "floor")
-    parts = [evaluate.scored_table(models.score(floor, d.test), lab, "floor", tests)]
-    for t in ("latitude", "longitude"):
-        m = models.fit(models.gbt_regressor(t, max_iter=20, max_depth=5), d.train, t)
-        parts.append(evaluate.scored_table(models.score(m, d.test), lab, t, tests))
-    scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return evaluate.evaluation_report(scored, ("floor",), ("latitude", "longitude"))
+    """The tuned flow's two-level report: floor accuracy and kappa, coordinate
+    errors, on the test set and on its validation-only part, before and after
+    the refit on all labelled rows."""
+    return flows.tuned(spark, sf).report

@@ -5,12 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Row bound under which a side is broadcast after an explicit size check.
-DEFAULT_BROADCAST_ROWS = 1_000_000
+_SHIPPED: set[str] = set()
 
 
 def build_session(master: str | None = None, partitions: int | None = None,
@@ -68,12 +67,20 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
+def ship(spark: SparkSession) -> SparkSession:
+    """``spark``, whose Python workers can import this package from now on.
 
-    The check reads at most ``max_rows + 1`` rows. Above the bound the frame is
-    returned unchanged and the planner (with AQE's runtime statistics) picks a
-    shuffle join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    The package is sent once for each application, as with ``--py-files``."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="radiomap-"), "radiomap.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        spark.sparkContext.addPyFile(path)
+        _SHIPPED.add(app)
+    return spark

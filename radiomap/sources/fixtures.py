@@ -3,7 +3,7 @@
 ``truth`` (every scan with labels), ``ap`` (the AP catalogue), ``reading``
 (long form, one row per heard (scan, AP)), ``obs`` (labels hidden for the
 unlabeled ``test`` set) and ``scan_wide`` (the CSV shape with the 100
-sentinel on four APs). They follow FIXTURES.md exactly, so the DuckDB oracle
+sentinel, the whole catalogue laid out in panels of 64 AP columns). They follow FIXTURES.md exactly, so the DuckDB oracle
 can rebuild the same rows with the SQL in ``radiomap.plans.oracle``.
 
 Scale notes: ``reading`` is a sort-merge join of lineitem with the scan table
@@ -27,7 +27,8 @@ CONTEXT = ("space_id", "relative_position", "user_id", "phone_id", "ts")
 OBS_COLUMNS = ("obs_id", "dataset") + LABELS + CONTEXT
 
 # Fixed values of the fixture definition (FIXTURES.md §3).
-WIDE_APS = ("WAP0001", "WAP0002", "WAP0003", "WAP0004")
+PANEL = 64
+WIDE_APS = tuple(f"AP_{i:02d}" for i in range(PANEL))
 SENTINEL = 100
 
 
@@ -63,10 +64,20 @@ def ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier", "s_suppkey")
     return s.select(
         F.col("s_suppkey").alias("ap_no"),
-        F.concat(F.lit("WAP"), F.lpad((F.col("s_suppkey") + 1).cast("string"), 4, "0")).alias("ap_id"),
+        ap_name(F.col("s_suppkey")).alias("ap_id"),
     )
 
 
+def ap_name(number: Column) -> Column:
+    """WAP and the number plus one, padded to four digits where it has fewer."""
+    text = (number + 1).cast("string")
+    return F.concat(F.lit("WAP"), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))
+
+
+def ap_number(name: Column) -> Column:
+    return F.substring(name, 4, 20).cast("bigint") - 1
+
+
 def reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: one row per heard (obs_id, ap_id) with the strongest rssi."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_quantity")
@@ -97,14 +108,26 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def panels(readings: DataFrame) -> DataFrame:
+    """Readings pivoted into panels: (obs_id, panel, AP_00..AP_63), a row for each
+    panel of consecutive AP numbers in which the scan hears one. The columns are
+    the same for every catalogue; nothing is listed on the driver."""
+    no = ap_number(F.col("ap_id"))
+    r = readings.select("obs_id", "rssi", F.floor(no / F.lit(PANEL)).cast("int").alias("panel"),
+                        F.pmod(no, F.lit(PANEL)).cast("int").alias("slot"))
+    return r.groupBy("obs_id", "panel").agg(
+        *[F.max(F.when(F.col("slot") == i, F.col("rssi"))).alias(c) for i, c in enumerate(WIDE_APS)])
+
+
 def scan_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The CSV shape: one column per AP (first four), 100 = not heard."""
-    o = obs(spark, sf_dir).select("obs_id", "dataset", "space_id")
-    r = reading(spark, sf_dir)
-    return (o.join(r, "obs_id", "left")
-            .groupBy("obs_id", "dataset", "space_id")
-            .agg(*[F.coalesce(F.max(F.when(F.col("ap_id") == a, F.col("rssi"))), F.lit(SENTINEL)).alias(a)
-                   for a in WIDE_APS]))
+    """The CSV shape over the whole catalogue: (obs_id, dataset, space_id, panel,
+    AP_00..AP_63), a row for each scan and panel of 64 APs, 100 = not heard."""
+    last = ap(spark, sf_dir).agg(F.max("ap_no")).first()[0]  # one number to the driver
+    every = F.explode(F.sequence(F.lit(0), F.lit((last or 0) // PANEL).cast("int")))
+    o = obs(spark, sf_dir).select("obs_id", "dataset", "space_id", every.alias("panel"))
+    return (o.join(panels(reading(spark, sf_dir)), ["obs_id", "panel"], "left")
+            .select("obs_id", "dataset", "space_id", "panel",
+                    *[F.coalesce(F.col(c), F.lit(SENTINEL)).alias(c) for c in WIDE_APS]))
 
 
 def survey(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

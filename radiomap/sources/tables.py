@@ -4,24 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from radiomap.session import ship
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 
-_READS: dict[str, tuple[SparkSession, DataFrame]] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read one base table; naming the columns lets the scan prune the rest.
-
-    The relation is created once per live session and path (schema discovery
-    reads parquet footers); DataFrames are immutable, so sharing it is safe.
-    A different or stopped session reads the file again."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    hit = _READS.get(path)
-    if hit is None or hit[0] is not spark or spark.sparkContext._jsc is None:
-        hit = _READS[path] = (spark, spark.read.parquet(path))
-    df = hit[1]
+    """Read one base table; naming the columns lets the scan prune the rest."""
+    df = ship(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
