@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from radiomap.llm import bpe, decontam, pii, quality, simhash
 from radiomap.llm.queries import read, tokenizer
-from radiomap.llm.shipping import ship
-from radiomap.session import materialize
+from radiomap.session import materialize, ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
