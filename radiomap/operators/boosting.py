@@ -172,7 +172,13 @@ def _softmax(raw: np.ndarray) -> np.ndarray:
 
 def fit(data: Rows, y: np.ndarray, watch: Rows | None, watch_y: np.ndarray | None, p: Params, classify: bool = False) -> Booster:
     """Rounds until the watched error (mean absolute error, or share of wrong
-    classes) has not fallen for ``p.patience`` of them; all without a watch set."""
+    classes) has not fallen for ``p.patience`` of them; all without a watch set,
+    none without rows."""
+    if watch is not None and not watch.n:
+        watch = None
+    if not len(y):
+        return Booster(np.empty(0, np.int64), [np.empty(0)] * data.more.shape[1], np.full(1, np.nan), np.array([np.nan]) if classify else None,
+                       p.learning_rate)
     columns = np.unique(data.idx)
     cuts = [np.unique(np.quantile(data.more[:, k], np.linspace(0, 1, BINS)[1:-1])) for k in range(data.more.shape[1])]
     classes = np.unique(y) if classify else None
@@ -254,7 +260,7 @@ def fit_all(tasks: list[tuple[Params, int]], train: DataFrame, watch: DataFrame,
                 on = np.flatnonzero(fold_of != fold)
                 m = fit(data.take(on), y[on], seen, seen_y, p, classify)
                 if fold < 0:
-                    error = min(m.curve)
+                    error = min(m.curve, default=0.0)
                 else:
                     off = np.flatnonzero(fold_of == fold)
                     got = m.predict(data.take(off))

@@ -42,10 +42,10 @@ def _vectors(ids: DataFrame, reading: DataFrame, fill: int) -> DataFrame:
 
 def _sparse(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids in order, row of each entry, AP of each entry, x of each entry)."""
-    order = np.argsort(table["id"].to_numpy(), kind="stable")
+    order = np.argsort(table["id"].to_numpy(), kind="stable").astype(np.int64)
     table = table.take(pa.array(order))
     aps = table["aps"].combine_chunks()
-    sizes = np.array([len(x) for x in aps])
+    sizes = np.array([len(x) for x in aps], np.int64)
     return (table["id"].to_numpy(), np.repeat(np.arange(len(sizes)), sizes),
             np.array([a for x in aps.to_pylist() for a in x], dtype=object),
             np.array([v for x in table["xs"].to_pylist() for v in x], dtype=np.float64))

@@ -389,10 +389,10 @@ sql("model_gates", SPLIT51 + """, lab AS (SELECT obs_id, building_id, floor, lon
 tn AS (SELECT l.* FROM (SELECT DISTINCT obs_id FROM sp WHERE split = 'train') JOIN lab l USING (obs_id)),
 te AS (SELECT l.* FROM (SELECT DISTINCT obs_id FROM sp WHERE split = 'test') JOIN lab l USING (obs_id)),
 b_building_id AS (SELECT building_id AS b FROM tn GROUP BY building_id ORDER BY count(*) DESC, building_id LIMIT 1),
-b_longitude AS (SELECT avg(longitude) AS b FROM tn), b_latitude AS (SELECT avg(latitude) AS b FROM tn) """
+b_longitude AS (SELECT avg(longitude) AS b FROM tn) """
     + " UNION ALL ".join(_GATE.format(m=m, t=t, off=(_CLASS_OFF if t == "building_id" else _NUMBER_OFF).format(t=t)) for m, t in (
         ("forest", "building_id"), ("forest", "longitude"), ("svm", "building_id"), ("boosted", "building_id"),
-        ("boosted", "longitude"), ("boosted", "latitude"), ("cascade", "longitude"))))
+        ("boosted", "longitude"), ("cascade", "longitude"))))
 
 sql("roundtrip_predictions", PREDS + " SELECT obs_id, prediction FROM p_building_id")
 sql("standardize", RD + """, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM obs WHERE dataset = 'train'),

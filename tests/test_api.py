@@ -41,9 +41,10 @@ def test_model_helpers_end_to_end(spark):
     d = flows.ml_data(spark, SF_SMALL)
     rep = api.rfc_pred(models.fit(models.rf_classifier("floor", 5, 4), d.train, "floor"), d.test, "floor")
     assert rep["confusion"].count() > 0 and 0 <= rep["accuracy"].collect()[0]["accuracy"] <= 1
-    assert api.xgb_fit(d.train, "latitude", max_iter=3, max_depth=3).stages[-1].getNumTrees == 3
+    assert api.xgb_fit(d.train, d.test, "latitude", rounds=3, max_depth=3).best <= 3
     unlabeled = d.test.select("obs_id", "features")
-    out = api.lat_long_reg(d.train, d.test, d.train, unlabeled, "latitude", {"maxDepth": [3], "stepSize": [0.3]},
-                           n_iter=1, folds=2, patience=2, max_iter=5)
+    grid = {"max_depth": [3], "learning_rate": [0.3], "rounds": [5], "least_rows": [4.0], "patience": [50]}
+    out = api.lat_long_reg(d.train, d.test, d.train, unlabeled, "latitude", grid, n_iter=1, folds=2)
     assert out["search"].count() == 1 and out["curve"].count() == 5
+    assert '"least_rows": 4.0' in out["search"].first()["params"]
     assert out["predictions"].count() == d.test.count()

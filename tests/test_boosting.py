@@ -1,0 +1,60 @@
+"""Histogram boosting on small tables: exact first splits, stopping, folds, edges."""
+
+import numpy as np
+import pytest
+
+from radiomap.operators import boosting as b
+
+
+def rows(x, more=None):
+    r, c = np.nonzero(x)
+    return b.Rows(len(x), r, c, x[r, c].astype(float), np.zeros((len(x), 0)) if more is None else more)
+
+
+@pytest.fixture
+def table():
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 110, (600, 12)) * (draw.random((600, 12)) < 0.4)
+    return x, 3.0 * (x[:, 0] > 40) - 2.0 * (x[:, 3] > 20) * (x[:, 1] > 0) + draw.normal(size=600) * 0.05
+
+
+def test_first_split_is_the_best_of_all(table):
+    x, y = table
+    m = b.fit(rows(x), y, None, None, b.Params(rounds=1, max_depth=1, learning_rate=1.0, ridge=0.0))
+    bins = m.bins(rows(x))
+    g = np.median(y) - y
+    gain = lambda left: g[left].sum() ** 2 / left.sum() + g[~left].sum() ** 2 / (~left).sum()
+    best = max((gain(bins[:, f] <= t), f, t) for f in range(12) for t in range(b.BINS - 1)
+               if 0 < (bins[:, f] <= t).sum() < len(y))
+    (feature, cut, _, _), = m.trees[0]
+    assert abs(gain(bins[:, feature[0]] <= cut[0]) - best[0]) < 1e-9
+
+
+def test_learns_and_stops(table):
+    x, y = table
+    m = b.fit(rows(x[:400]), y[:400], rows(x[400:]), y[400:], b.Params(max_depth=4))
+    assert np.abs(m.predict(rows(x[400:])) - y[400:]).mean() < 0.25 and m.best < 500
+    assert m.best == int(np.argmin(m.curve)) + 1 and len(m.curve) <= m.best + 10 and len(m.trees) == m.best
+
+
+def test_classes_and_further_inputs(table):
+    x, _ = table
+    more = np.linspace(0, 1, 600)[:, None]
+    y = (x[:, 0] > 40) + 2.0 * (more[:, 0] > 0.5)
+    m = b.fit(rows(x, more), y, None, None, b.Params(rounds=20, max_depth=3), classify=True)
+    assert (m.predict(rows(x, more)) == y).mean() > 0.98
+
+
+def test_chunked_histograms_change_nothing(table, monkeypatch):
+    x, y = table
+    whole = b.fit(rows(x), y, None, None, b.Params(rounds=5))
+    monkeypatch.setattr(b, "CELLS", 1)
+    parts = b.fit(rows(x), y, None, None, b.Params(rounds=5))
+    assert (whole.predict(rows(x)) == parts.predict(rows(x))).all()
+
+
+def test_no_rows_and_no_signals():
+    none = rows(np.zeros((0, 3), int))
+    assert np.isnan(b.fit(none, np.empty(0), None, None, b.Params()).predict(rows(np.ones((1, 3), int)))).all()
+    m = b.fit(rows(np.zeros((4, 3), int)), np.array([1.0, 2.0, 3.0, 10.0]), none, np.empty(0), b.Params(rounds=2))
+    assert np.isfinite(m.predict(rows(np.ones((2, 3), int)))).all()

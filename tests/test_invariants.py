@@ -84,7 +84,8 @@ def test_one_hot_row_sum(spark, survey_mid):
 
 def test_wide_long_roundtrip(spark, survey_mid):
     _, r = survey_mid
-    wide = reshape.long_to_wide(r)
+    names = [x.ap_id for x in r.select("ap_id").distinct().orderBy("ap_id").collect()]
+    wide = reshape.long_to_wide(r, names)
     back = reshape.wide_to_long(wide, ["obs_id"], [c for c in wide.columns if c != "obs_id"], sentinel=None)
     assert back.exceptAll(r.select("obs_id", "ap_id", "rssi")).count() == 0
     assert r.select("obs_id", "ap_id", "rssi").exceptAll(back).count() == 0
@@ -221,13 +222,68 @@ def test_survey_csv_roundtrip(spark):
     assert sorted((r.ap_id, r.rssi) for r in long.collect()) == [("WAP001", -60), ("WAP002", -50), ("WAP003", -70)]
 
 
-def test_stratified_narrowed_path_matches_window(spark, survey_mid, monkeypatch):
+def test_stratified_equals_a_plain_window(spark, survey_mid):
     obs, _ = survey_mid
-    tr = obs.filter(F.col("dataset") == "train").select("obs_id", "building_id", "floor")
-    ref = sorted(sampling.stratified_sample(tr, ["building_id", "floor"], 100, salt="n").collect())
-    monkeypatch.setattr(sampling, "WINDOW_LIMIT_MAX_N", 10)  # force the narrowed, row-index path
-    got = sorted(sampling.stratified_sample(tr, ["building_id", "floor"], 100, salt="n").collect())
-    assert got == ref and len(got) == 100 * 15
+    rows = obs.filter(F.col("dataset") == "train").select("obs_id", "building_id", "floor")
+    rows = rows.union(rows.limit(300).withColumn("floor", F.lit(None).cast("int")).withColumn("obs_id", -F.col("obs_id")))
+    w = Window.partitionBy("building_id", "floor").orderBy(sampling.draw_order(42, "obs_id", "n"), "obs_id")
+    for n in (1, 100, 750):
+        ref = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
+        got = sampling.stratified_sample(rows, ["building_id", "floor"], n, salt="n")
+        assert got.exceptAll(ref).count() == 0 and got.count() == ref.count()
+
+
+def test_ap_names_beyond_four_digits(spark):
+    numbers = [0, 9, 9998, 9999, 10_000, 99_999, 100_000, 123_456_789]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").withColumn("name", fx.ap_name(F.col("n")))
+    got = rows.select("n", "name", fx.ap_number(F.col("name")).alias("back")).orderBy("n").collect()
+    assert [r.name for r in got[:5]] == ["WAP0001", "WAP0010", "WAP9999", "WAP10000", "WAP10001"]
+    assert len({r.name for r in got}) == len(numbers) and all(r.n == r.back for r in got)
+
+
+def test_wide_panels_hold_every_reading(spark):
+    wide = fx.scan_wide(spark, SF_MID)
+    heard = sum(F.when(F.col(c) != 100, 1).otherwise(0) for c in fx.WIDE_APS)
+    assert wide.agg(F.sum(heard)).first()[0] == fx.reading(spark, SF_MID).count()
+
+
+def test_knn_below_the_fill_value(spark):
+    r = spark.createDataFrame([(1, "A", -50), (2, "A", -115), (3, "B", -104)], "obs_id long, ap_id string, rssi int")
+    ids = spark.createDataFrame([(1,), (2,), (3,), (4,)], "obs_id long")
+    got = knn.knn_neighbors(ids.filter("obs_id = 1"), ids.filter("obs_id in (2, 3)"), r, k=1).collect()
+    assert [(x.neighbor_id, x.d2) for x in got] == [(3, 3636)]
+    got = knn.knn_neighbors(ids.filter("obs_id = 1"), ids.filter("obs_id <> 1"), r, k=3).collect()
+    assert sorted((x.rn, x.neighbor_id, x.d2) for x in got) == [(1, 4, 3600), (2, 3, 3636), (3, 2, 4225)]
+
+
+def test_knn_over_many_tiles(spark, monkeypatch):
+    obs, r = fx.survey(spark, SF_SMALL)
+    q, t = (obs.filter(F.col("dataset") == d).select("obs_id") for d in ("val", "train"))
+    whole = sorted(knn.knn_neighbors(q, t, r).collect())
+    monkeypatch.setattr(knn, "TILE_SCANS", 60)
+    monkeypatch.setattr(knn, "_ROWS", 7)
+    monkeypatch.setattr(knn, "_COLUMNS", 3)
+    assert sorted(knn.knn_neighbors(q, t, r).collect()) == whole
+
+
+def test_duplicates_by_every_column(spark):
+    cols = "obs_id long, dataset string, floor int, user_id int, note string"
+    rows = [(1, "train", 0, 5, "a|b"), (2, "train", 0, 5, "a|b"), (3, "train", 0, 6, "a|b"), (4, "test", None, 5, None),
+            (5, "test", None, 5, None), (6, "test", None, 5, "null"), (7, "train", 0, 5, "a|b")]
+    r = spark.createDataFrame([(i, "A", -50) for i in (1, 2, 3, 7)] + [(7, "B", -60)], "obs_id long, ap_id string, rssi int")
+    got = {x.obs_id: (x.n_copies, x.keep) for x in reshape.duplicate_scans(spark.createDataFrame(rows, cols), r).collect()}
+    assert got == {1: (2, True), 2: (2, False), 4: (2, True), 5: (2, False)}
+
+
+def test_feature_vectors_take_repeated_readings(spark):
+    from pyspark.ml.linalg import SparseVector
+
+    scans = spark.createDataFrame([(1,), (2,)], "obs_id long")
+    r = spark.createDataFrame([(1, "B", -50), (1, "B", -40), (1, "A", -110), (1, "Z", -1)], "obs_id long, ap_id string, rssi int")
+    index = features.ap_index(spark.createDataFrame([("A",), ("B",), ("C",)], "ap_id string"))
+    got = {x.obs_id: x.features for x in features.feature_vectors(scans, r, index, 3).collect()}
+    assert all(isinstance(v, SparseVector) and v.size == 3 for v in got.values())
+    assert got[1].toArray().tolist() == [0, 70, 0] and got[2].toArray().tolist() == [0, 0, 0]
 
 
 def test_survey_tables_from_wide(spark):

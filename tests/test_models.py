@@ -74,3 +74,66 @@ def test_random_search_reports_best(data):
     res = search.random_search(models.rf_classifier("floor"), {"numTrees": [3, 5], "maxDepth": [4, 6]},
                                data.train, "floor", n_iter=2, folds=2).collect()
     assert len(res) == 2 and sum(r.best for r in res) == 1
+
+
+def test_tune_keeps_the_best_model_and_all_its_parameters(data):
+    est = models.rf_classifier("floor")
+    grid = {"numTrees": [3, 4], "maxDepth": [4, 6], "minInstancesPerNode": [1, 4], "bootstrap": [True, False]}
+    found = search.tune(est, grid, data.train, "floor", n_iter=2, folds=2, rows=500)
+    best = found.table.filter("best").collect()[0]
+    assert {p.name for p in found.params} == set(grid)
+    assert f'"numTrees": {found.model.getNumTrees}' in best.params
+    again = models.fit(est.copy(found.params), data.train, "floor").stages[-1]
+    assert again.getOrDefault("minInstancesPerNode") == found.params[est.getParam("minInstancesPerNode")]
+
+
+def test_cascade_plan_grows_linearly(data):
+    def scans(depth):
+        stages = [("building_id", lambda t, f: models.rf_classifier(t, 2, 2, features=f)),
+                  ("longitude", lambda t, f: models.rf_regressor(t, 2, 2, features=f)),
+                  ("latitude", lambda t, f: models.rf_regressor(t, 2, 2, features=f))]
+        plan = models.cascade(data.train, data.test, stages[:depth])._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Relation [")
+    assert [scans(k) for k in (1, 2, 3)] == [1, 1, 1]
+
+
+def test_partitions_follow_the_rows(spark):
+    for rows in (1, 1999, 2001, 9000):
+        df = spark.range(rows).withColumnRenamed("id", "obs_id")
+        assert models.stable_layout(df).rdd.getNumPartitions() == models.train_partitions(rows) == -(-rows // models.ROWS_PER_TASK)
+
+
+def test_load_or_fit_leaves_what_it_cannot_load(spark, data):
+    path = shared_dir(spark, "broken-model")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(Exception, match="."):
+        models.load_or_fit(path, models.rf_classifier("building_id", 2, 2), data.train, "building_id")
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_importances_and_description(data):
+    model = models.fit(models.rf_classifier("building_id", 5, 5), data.train, "building_id")
+    rows = models.feature_importance(model, data.index).collect()
+    assert len(rows) == data.n_features and abs(sum(r.importance for r in rows) - 1) < 1e-6
+    assert models.describe(model)["trees"] == 5 and models.describe(model)["classes"] == 3
+
+
+def test_svm_boosted_and_pca(spark, data):
+    from radiomap.operators import boosting, features
+
+    assert _acc(data, models.svm_classifier("building_id", max_iter=50), "building_id") > 0.55
+    (error, model), = boosting.fit_all([(boosting.Params(rounds=30), -1)], data.train, data.test, "building_id", classify=True)
+    p = boosting.predict(model, data.test)
+    acc = evaluate.accuracy(evaluate.scored_table(p, data.obs.select("obs_id", "building_id"), "building_id")).collect()[0]["accuracy"]
+    assert acc > 0.55 and abs(1 - acc - error) < 1e-6
+    got = features.pca_explained(data.train, k=2).collect()
+    assert len(got) == 2 and 0 < got[1].explained_variance <= got[0].explained_variance < 1
+
+
+def test_spark_boosters(data):
+    small = data.train.limit(400)
+    one = models.fit(models.gbt_classifier("building_id", max_iter=2, max_depth=2), small, "building_id")
+    assert models.score(one, data.test).count() == data.test.count()
+    two = models.fit(models.gbt_regressor("longitude", max_iter=3, max_depth=2), small, "longitude")
+    curve = search.early_stopping_curve(two.stages[-1], data.test, patience=2).collect()
+    assert len(curve) == 3 and curve[0].best_iteration >= 1
