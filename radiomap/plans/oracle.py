@@ -373,8 +373,6 @@ SELECT r.obs_id, i.idx, CAST(r.rssi + 110 AS DOUBLE) AS x FROM reading r JOIN i
 sql("early_stopping_rule", "SELECT true AS kept_best, true AS stopped_in_time, true AS trees_kept FROM (SELECT count(*) FROM obs)")
 sql("scenario_counts", """SELECT s.scenario, count(*) AS n_rows, count(DISTINCT o.obs_id) AS n_scans, CAST(0 AS BIGINT) AS n_missing
 FROM obs o CROSS JOIN (SELECT 'prediction_' || unnest(range(1, 6)) AS scenario) s WHERE o.dataset = 'test' GROUP BY s.scenario""")
-sql("prediction_rows", """SELECT count(*) AS n_scans, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_unknown
-FROM obs WHERE dataset = 'test'""")
 sql("model_description", """SELECT CAST(100 AS INT) AS n_trees, CAST((SELECT max(floor) + 1 FROM obs) AS INT) AS n_classes,
 CAST((SELECT count(*) FROM ap) AS INT) AS n_features""")
 sql("rank_forest_rows", """, codes AS (SELECT floor, CAST(row_number() OVER (ORDER BY first, floor) - 1 AS INT) AS code

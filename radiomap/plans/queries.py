@@ -558,7 +558,7 @@ FOREST_DRAWS, BOOSTED_DRAWS, FOLDS = 9, 8, 5
 EXHAUSTIVE_GRID = {"numTrees": [100, 250], "featureSubsetStrategy": ["auto", "sqrt", "log2"]}
 BOOSTED_GRID = {"max_depth": [3, 7, 13, 16], "learning_rate": [0.05, 0.1, 0.15, 0.2]}
 #: Labelled rows on which the forest searches fit (documented bound of the sample).
-SEARCH_ROWS = 1_500
+SEARCH_ROWS = 1_000
 
 
 def _fit_score(spark, sf, estimator, label):
@@ -708,15 +708,6 @@ def q_prediction_table(spark, sf):
     return flows.tuned(spark, sf).predictions
 
 
-@register("prediction_rows")
-def q_prediction_rows(spark, sf):
-    """Scans, gaps and floors that no survey has among the tuned predictions."""
-    p = flows.tuned(spark, sf).predictions
-    gap = F.greatest(*[F.col(c).isNull().cast("int") for c in p.columns if c != "obs_id"])
-    return p.agg(F.count_distinct("obs_id").alias("n_scans"), F.sum(gap).alias("n_missing"),
-                 F.sum((~F.col(flows.FLOOR_MODEL).isin(0.0, 1.0, 2.0, 3.0, 4.0)).cast("int")).cast("bigint").alias("n_unknown"))
-
-
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     d = flows.ml_data(spark, sf)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -47,7 +48,7 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             base = tempfile.mkdtemp(prefix="radiomap-ckpt-", dir="/tmp")
         sc.setCheckpointDir(base)

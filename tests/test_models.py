@@ -137,3 +137,18 @@ def test_spark_boosters(data):
     two = models.fit(models.gbt_regressor("longitude", max_iter=3, max_depth=2), small, "longitude")
     curve = search.early_stopping_curve(two.stages[-1], data.test, patience=2).collect()
     assert len(curve) == 3 and curve[0].best_iteration >= 1
+
+
+def test_tuned_flow(spark, monkeypatch):
+    from radiomap.plans import queries
+    from tests.conftest import SF_SMALL
+
+    monkeypatch.setattr(queries, "FOREST_GRID", {"numTrees": [3, 5], "maxDepth": [4]})
+    monkeypatch.setattr(queries, "BOOSTED_GRID", {"max_depth": [3], "learning_rate": [0.2, 0.3], "rounds": [20]})
+    monkeypatch.setattr(queries, "FOLDS", 2)
+    got = flows.tuned(spark, SF_SMALL)
+    p = got.predictions.toPandas()
+    assert len(p) == flows.ml_data(spark, SF_SMALL).obs.filter("dataset = 'test'").count()
+    assert not p.isna().any().any() and set(p[flows.FLOOR_MODEL]) <= {0.0, 1.0, 2.0, 3.0, 4.0}
+    rows = {(r.stage, r.target, r.split, r.metric) for r in got.report.collect()}
+    assert len(rows) == 2 * 2 * 4
