@@ -30,7 +30,6 @@ from radiomap.functions.hashing import hash_uniform
 LABELLED_ROWS = 20_000
 BIN = 4.0
 BINS = 32
-CELLS = 2_000_000  # histogram cells held at once
 SEED = 42
 
 
@@ -109,10 +108,12 @@ def route(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
 
 
 def grow(bins: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], g: np.ndarray, h: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
-    """One tree for gradients and curvatures, level by level, the best cut of each
-    node from its histograms of all inputs."""
+    """One tree for gradients and curvatures, level by level.
+
+    ``entries``: row, input and bin of everything above bin 0, ordered by input
+    and bin. A level sums them by (node, input, bin); what is not in the bins from
+    a cut on is on its left. The work follows the entries, not nodes times inputs."""
     row, col, value = entries
-    width = bins.shape[1]
     feature, cut, right, leaf = [-1], [0], [-1], [0.0]
     node = np.zeros(len(bins), np.int64)
     level = np.array([0])
@@ -121,38 +122,41 @@ def grow(bins: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], g
         place[level] = np.arange(len(level))
         spot = place[node]
         inside = spot >= 0
-        total_g = np.bincount(spot[inside], weights=g[inside], minlength=len(level))
-        total_h = np.bincount(spot[inside], weights=h[inside], minlength=len(level))
-        for k, x in zip(level.tolist(), (-total_g / (total_h + p.ridge)).tolist(), strict=True):
+        tg = np.bincount(spot[inside], weights=g[inside], minlength=len(level))
+        th = np.bincount(spot[inside], weights=h[inside], minlength=len(level))
+        for k, x in zip(level.tolist(), (-tg / (th + p.ridge)).tolist(), strict=True):
             leaf[k] = x
-        if depth == p.max_depth or not width:
-            break
-        chosen, gains = np.zeros(len(level), np.int64), np.full(len(level), -np.inf)
-        step = max(1, CELLS // (width * BINS))
         at = spot[row]
-        for c in range(0, len(level), step):
-            m = min(step, len(level) - c)
-            use = (at >= c) & (at < c + m)
-            key = ((at[use] - c) * width + col[use]) * BINS + value[use]
-            sums = []
-            for w, total in ((g, total_g), (h, total_h)):
-                s = np.bincount(key, weights=w[row[use]], minlength=m * width * BINS).reshape(m, width, BINS)
-                s[:, :, 0] = total[c:c + m, None] - s[:, :, 1:].sum(axis=2)
-                sums.append(np.cumsum(s, axis=2)[:, :, :-1])
-            (lg, lh), tg, th = sums, total_g[c:c + m, None, None], total_h[c:c + m, None, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = lg ** 2 / (lh + p.ridge) + (tg - lg) ** 2 / (th - lh + p.ridge) - tg ** 2 / (th + p.ridge)
-            gain[(lh < p.least_rows - 1e-9) | (th - lh < p.least_rows - 1e-9)] = -np.inf
-            gain = gain.reshape(m, -1)
-            chosen[c:c + m] = gain.argmax(axis=1)
-            gains[c:c + m] = gain[np.arange(m), chosen[c:c + m]]
-        split = np.flatnonzero(gains > max(p.least_gain, 1e-9))
-        if not len(split):
+        use = np.flatnonzero(at >= 0)
+        if depth == p.max_depth or not len(use):
+            break
+        use = use[np.argsort(at[use], kind="stable")]
+        n, c, v = at[use], col[use], value[use]
+        new = np.append(True, (n[1:] != n[:-1]) | (c[1:] != c[:-1]) | (v[1:] != v[:-1]))
+        first = np.flatnonzero(new)
+        n, c, v = n[first], c[first], v[first]
+        last = np.flatnonzero(np.append((n[1:] != n[:-1]) | (c[1:] != c[:-1]), True))
+        ends = np.repeat(last, np.diff(np.append(-1, last)))  # of each bin's (node, input)
+        above = []
+        for w in (g, h):
+            sums = np.add.reduceat(w[row[use]], first)
+            run = np.cumsum(sums)
+            above.append(run[ends] - run + sums)  # from this bin on
+        rg, rh = above
+        lg, lh = tg[n] - rg, th[n] - rh
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = lg ** 2 / (lh + p.ridge) + rg ** 2 / (rh + p.ridge) - tg[n] ** 2 / (th[n] + p.ridge)
+        gain[(lh < p.least_rows - 1e-9) | (rh < p.least_rows - 1e-9)] = -np.inf
+        begin = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+        most = np.repeat(np.maximum.reduceat(gain, begin), np.diff(np.append(begin, len(n))))
+        best = np.flatnonzero((gain == most) & (gain > max(p.least_gain, 1e-9)))
+        best = best[np.append(True, n[best][1:] != n[best][:-1])] if len(best) else best
+        if not len(best):
             break
-        for k in split.tolist():
-            n = int(level[k])
-            feature[n], cut[n] = divmod(int(chosen[k]), BINS - 1)
-            right[n] = len(feature) + 1
+        for k in best.tolist():
+            parent = int(level[n[k]])
+            feature[parent], cut[parent] = int(c[k]), int(v[k]) - 1
+            right[parent] = len(feature) + 1
             feature += [-1, -1]
             cut += [0, 0]
             right += [-1, -1]
@@ -161,7 +165,8 @@ def grow(bins: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], g
         move = np.flatnonzero((f[node] >= 0) & inside)
         was = node[move]
         node[move] = r[was] - (bins[move, f[was]] <= t[was])
-        level = np.sort(np.concatenate([r[level[split]] - 1, r[level[split]]]))
+        parents = level[n[best]]
+        level = np.sort(np.concatenate([r[parents] - 1, r[parents]]))
     return np.array(feature), np.array(cut), np.array(right), np.array(leaf)
 
 
@@ -188,6 +193,8 @@ def fit(data: Rows, y: np.ndarray, watch: Rows | None, watch_y: np.ndarray | Non
     bins = out.bins(data)
     row, col = np.nonzero(bins)
     entries = (row, col, bins[row, col].astype(np.int64))
+    order = np.lexsort((entries[2], col))
+    entries = tuple(e[order] for e in entries)
     raw = np.tile(start, (len(y), 1)).astype(float)
     seen = out.bins(watch) if watch is not None else None
     far = np.tile(start, (len(seen), 1)).astype(float) if seen is not None else None
