@@ -9,7 +9,8 @@ ends with the symbols that merging its lowest pair again and again would give.
 
 The vocabulary file (about 2 MB, fixed) is read on the driver and broadcast. Words
 already encoded are remembered by each task, up to ``REMEMBERED``; the memory of a
-task is bounded by that and one Arrow batch. No text is cut.
+task is bounded by that, the new words of ``TOGETHER`` code points (or of one
+longer text) and one Arrow batch. No text is cut.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words a task remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Code points of text whose new words are merged together.
+TOGETHER = 6_000_000
+#: Rows of ids handed over together.
+SENT_ROWS = 256
 #: White space of Unicode; ``str.split`` also splits at the four separators U+001C to U+001F.
 _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -58,8 +63,8 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         chars = _byte_characters()
-        self.inner = np.array([vocab[c] for c in chars], np.int64)
-        self.final = np.array([vocab[c + end] for c in chars], np.int64)
+        self.inner = np.array([vocab[c] for c in chars], np.int32)
+        self.final = np.array([vocab[c + end] for c in chars], np.int32)
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.tokens = [b""] * size
         for token, k in chain(vocab.items(), self.special.items()):
@@ -82,7 +87,7 @@ class Codec:
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank at which each pair merges; -1 for pairs that don't."""
-        key = (a << _SHIFT) | b
+        key = (a.astype(np.int64) << _SHIFT) | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], -1)
 
@@ -90,10 +95,10 @@ class Codec:
         """(ids of all words in order, ids per word); no word may be empty."""
         sizes = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
-        n, ends = len(raw), np.cumsum(sizes)
+        n, ends = len(raw), np.cumsum(sizes)  # positions fit 32 bits: the words of a piece are distinct
         sym = self.inner[raw]
         sym[ends - 1] = self.final[raw[ends - 1]]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - sizes] = -1
         alive = np.ones(n, bool)
@@ -179,15 +184,22 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text, in order."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new: set[str] = set()
-        for t in texts:
-            new.update(self.split(t))
-        new.difference_update(self.known.keys())
-        self.learn(new)
-        for t in texts:
-            yield list(chain.from_iterable(map(self.known.__getitem__, self.split(t))))
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop == start or (stop < len(texts) and size + len(texts[stop]) <= TOGETHER):
+                size += len(texts[stop])
+                stop += 1
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            new: set[str] = set()
+            for t in texts[start:stop]:
+                new.update(self.split(t))
+            new.difference_update(self.known.keys())
+            self.learn(new)
+            for t in texts[start:stop]:
+                yield list(chain.from_iterable(map(self.known.__getitem__, self.split(t))))
+            start = stop
 
     def decode(self, ids: list[int]) -> bytes:
         """The text (UTF-8) of ids; without a decoder, tokens are joined by a space."""
@@ -218,8 +230,14 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for b in batches:
-            ids = pa.array(codec.encode(_texts(b.column(len(rest)))), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(rest)], ids], [*rest, "ids"])
+            coded = codec.encode(_texts(b.column(len(rest))))
+            for start in range(0, b.num_rows, SENT_ROWS):
+                part = b.slice(start, SENT_ROWS)
+                lists = list(islice(coded, part.num_rows))
+                ends = np.cumsum([0, *map(len, lists)])
+                flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(rest)], ids], [*rest, "ids"])
 
     return source.mapInArrow(run, schema)
 
