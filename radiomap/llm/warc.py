@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from radiomap.session import materialize
 
 ARCHIVE_BYTES = 4 << 20
-DICTIONARY_PAGES, DICTIONARY_PIECE, DICTIONARY_BYTES = 500, 16_384, 32_768
+DICTIONARY_PAGES, DICTIONARY_PIECE, DICTIONARY_BYTES = 500, 4_096, 32_768
 LEAST_REVISITED = 100
 DATE = "2000-01-01T00:00:00Z"
 #: The magic numbers of a dictionary's skippable frame and of a Zstandard frame.
@@ -94,9 +94,10 @@ def write(pages: DataFrame) -> DataFrame:
     are records of their own; of equal payloads those with the smallest id are
     responses. A row without id is a response that nothing revisits. An empty
     table gives no archive."""
-    pages_in = pages.where(F.length(_payload_column()) > 0)
-    sample = [bytes(r[0]) for r in pages_in.select(F.substring(_payload_column(), 1, DICTIONARY_PIECE).alias("p"),
-              F.xxhash64("page_id", "url").alias("h")).orderBy("h").limit(DICTIONARY_PAGES).select("p").collect()]
+    full = pages.where(F.length(_payload_column()) > 0)
+    share = min(1.0, DICTIONARY_PAGES / max(full.count(), 1))
+    drawn = full.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = [bytes(r[0]) for r in drawn.select(F.substring(_payload_column(), 1, DICTIONARY_PIECE)).limit(2 * DICTIONARY_PAGES).collect()]
     shared = pages.sparkSession.sparkContext.broadcast(train_dictionary(sample) or b"WARC/1.1\r\n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
