@@ -12,10 +12,12 @@ simulation of pairs exactly at the threshold needs for the recall aimed at
 (closer pairs meet more often).
 
 Equal vectors are one row of the search. Rows travel with their vector to a
-bucket of cells; a bucket compares cell by cell with bounded matrix products
-and sends on links only. A cell that would be too large for one task is laid
-out over several by the hash of the vector on the storing side; the probing side
-goes to each of them.
+bucket of cells, which compares cell by cell with bounded matrix products. A cell
+that would be too large for one task is laid out over a grid of tasks: storing
+rows are dealt to its lines, probing rows to its columns. Pairs never leave a
+task. A pair counts in the first table in which its vectors meet, which their keys
+in the tables before tell, so that partial counts add up; a vector that has links
+in a cell sends on its count and one link to a member of its component there.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +47,12 @@ MAX_TABLES = 64
 SEED = 20
 #: Vectors for which one more task is laid out.
 PER_BUCKET = 20_000
-#: Storing vectors of a cell beyond which the cell is laid out over several tasks.
-CELL_ROWS = 20_000
-_BLOCK = 2048
+#: Rows of a cell beyond which it is laid out over several tasks, and rows of
+#: either side that such a task holds.
+CELL_ROWS = 10_000
+_BLOCK = 1024
+#: Pairs whose keys are laid side by side.
+_PAIRS = 1 << 17
 
 
 def _shortest() -> np.ndarray:
@@ -142,26 +148,73 @@ def _units(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _merge(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the components of x and y; ``root`` has the least member of each."""
+    while True:
+        a, b = root[x], root[y]
+        far = a != b
+        if not far.any():
+            return
+        x, y, a, b = x[far], y[far], a[far], b[far]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root[:] = up
+
+
+def _first_met(keys: np.ndarray, node: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x stores, y probes) of a cell count there. ``keys``:
+    (rows, tables, keys) of the tables up to that of the cell.
+
+    They have met in no table before; if either finds the other in this one, the
+    cell of the lesser node counts."""
+    at = np.flatnonzero((node[x] < node[y]) | ~(keys[x, -1] == keys[y, -1, :1]).any(axis=1))
+    for t in range(keys.shape[1] - 1):
+        a, b = keys[x[at], t], keys[y[at], t]
+        at = at[~((a == b[:, :1]) | (b == a[:, :1])).any(axis=1)]
+    return at
+
+
 def _links(table: pa.Table, cosine: float, kind: str) -> pa.Table:
-    """True links (a < b) of one bucket: in each cell, storing against all rows."""
-    ids, key, own = (table[c].to_numpy() for c in ("id", "cell", "own"))
-    order = np.lexsort((~own, key))
-    units = _units(table["vector"].to_pylist(), kind)[order]
-    key, own, ids = key[order], own[order], ids[order]
-    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-    stored = np.add.reduceat(own.astype(np.int64), edges[:-1])
-    found = [np.empty((0, 2), np.int64)]
-    for c in np.flatnonzero((stored > 0) & (np.diff(edges) > 1)).tolist():
-        lo, hi, n = edges[c], edges[c + 1], int(stored[c])
-        for s in range(lo, lo + n, _BLOCK):
-            left = units[s:min(s + _BLOCK, lo + n)]
-            for t in range(lo, hi, _BLOCK):
-                i, j = np.nonzero(left @ units[t:min(t + _BLOCK, hi)].T >= cosine)
-                x, y = ids[s + i], ids[t + j]
-                keep = x != y
-                found.append(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    """(node, id, star, links) of one bucket: for each vector with links in a
+    cell, the id of a member of its component there, and the rows it links with
+    that count there."""
+    tab, cell, line, column, stores, probes, node, ids, copies = (
+        table[c].to_numpy() for c in ("tab", "cell", "line", "col", "stores", "probes", "node", "id", "copies"))
+    units = _units(table["vector"].to_pylist(), kind)
+    packed = table["keys"].to_pylist()
+    order = np.lexsort((column, line, cell, tab))
+    same = np.ones(len(order), bool)
+    same[:1] = False
+    for c in (tab, cell, line, column):
+        same[1:] &= c[order[1:]] == c[order[:-1]]
+    edges = np.append(np.flatnonzero(~same), len(order))
+    stored = np.add.reduceat(stores[order].astype(np.int64), edges[:-1])
+    out: list[tuple] = []
+    for e in np.flatnonzero((stored > 0) & (np.diff(edges) > 1)).tolist():
+        rows = order[edges[e]:edges[e + 1]]
+        left, right = np.flatnonzero(stores[rows]), np.flatnonzero(probes[rows])
+        own, times, root, count, keys = node[rows], copies[rows], np.arange(len(rows)), np.zeros(len(rows), np.int64), None
+        for s in range(0, len(left), _BLOCK):
+            for t in range(0, len(right), _BLOCK):
+                a, b = left[s:s + _BLOCK], right[t:t + _BLOCK]
+                i, j = np.nonzero(units[rows[a]] @ units[rows[b]].T >= cosine)
+                x, y = a[i], b[j]
+                x, y = x[x != y], y[x != y]
+                if not len(x):
+                    continue
+                if keys is None:
+                    keys = np.frombuffer(b"".join([packed[r] for r in rows]), np.int64).reshape(len(rows), -1, 1 + PROBES)
+                _merge(root, x, y)
+                for c in range(0, len(x), _PAIRS):
+                    u, v = x[c:c + _PAIRS], y[c:c + _PAIRS]
+                    new = _first_met(keys, own, u, v)
+                    np.add.at(count, u[new], times[v[new]])
+                    np.add.at(count, v[new], times[u[new]])
+        if keys is not None:
+            linked = np.flatnonzero((count > 0) | (root != np.arange(len(rows))))
+            out.append((own[linked], ids[rows[linked]], ids[rows[root[linked]]], count[linked]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.empty(0, np.int64)] * 4
+    return pa.table(dict(zip(("node", "id", "star", "links"), columns, strict=True)))
 
 
 def _packed(batches: Iterator[pa.RecordBatch], dims: int, kind: str) -> Iterator[pa.RecordBatch]:
@@ -177,40 +230,69 @@ def _packed(batches: Iterator[pa.RecordBatch], dims: int, kind: str) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vector"])
 
 
-def find_links(vectors: DataFrame, dims: int, kind: str, cosine: float = COSINE) -> DataFrame:
-    """Links (a < b) between rows (id, vector) of distinct packed vectors."""
+def lay_out(vectors: DataFrame, dims: int, kind: str, cosine: float = COSINE) -> DataFrame:
+    """Rows (node, id, copies, vector) by bucket and by the cells they store in
+    (``stores``) and probe (``probes``); large cells by line and column of a grid."""
     n = vectors.count()
     blocks, tables = size_index(n, dims, cosine)
     index = Index(dims, blocks, tables)
-    buckets = max(1, math.ceil(n * tables / PER_BUCKET))
+    each = 1 + PROBES
 
-    def place(batches: Iterator[pa.RecordBatch], probing: bool) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            raw = batch.column(1)
-            unit = _units(raw.to_pylist(), kind)
+            unit = _units(batch.column(3).to_pylist(), kind)
+            keys = np.stack([index.cells(unit, t).view(np.int64) for t in range(tables)], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k.tobytes() for k in keys], pa.binary())],
+                                             ["node", "id", "copies", "vector", "keys"])
+
+    def cells(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            keys = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(rows, tables, each)
             for t in range(tables):
-                keys = index.cells(unit, t)
-                keys = keys if probing else keys[:, :1]
-                for k in range(keys.shape[1]):
+                rest = [*batch.columns[:4], pc.binary_slice(batch.column(4), 0, 8 * each * (t + 1))] if whole else []
+                names = ["node", "id", "copies", "vector", "keys"] if whole else []
+                for k in range(each):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[:, k].view(np.int64)), pa.array(np.full(len(ids), k == 0)), pa.array(ids), raw],
-                        ["cell", "own", "id", "vector"])
-
-    schema = "cell long, own boolean, id long, vector binary"
-    placed = vectors.mapInArrow(lambda b: place(b, True), schema)
-    sizes = vectors.select("id", "vector").mapInArrow(lambda b: place(b, False), schema).groupBy("cell").count()
-    large = sizes.where(F.col("count") > CELL_ROWS).select("cell", F.ceil(F.col("count") / CELL_ROWS).alias("shares"))
-    if large.isEmpty():
-        spread = placed.withColumn("share", F.lit(0))
+                        [pa.array(np.full(rows, t, np.int32)), pa.array(keys[:, t, k]), pa.array(np.full(rows, k == 0)), *rest],
+                        ["tab", "cell", "own", *names])
+
+    row = "node long, id long, copies long, vector binary, keys binary"
+    schema = "tab int, cell long, own boolean"
+    known = materialize(vectors.select("node", "id", "copies", "vector").mapInArrow(keyed, row), "vector-keys")
+    placed = known.mapInArrow(lambda b: cells(b, True), f"{schema}, {row}")
+    rows, large = each * n * tables, None
+    if n > CELL_ROWS:
+        sizes = known.mapInArrow(lambda b: cells(b, False), schema).groupBy("tab", "cell").agg(
+            F.count_if("own").alias("storing"), F.count("*").alias("probing")).where(f"storing > 0 and probing > {CELL_ROWS}")
+        large = materialize(sizes.select("tab", "cell", *(
+            F.ceil(F.col(c) / CELL_ROWS).cast("int").alias(k) for c, k in (("storing", "lines"), ("probing", "cols"))),
+            "storing", "probing"), "large-cells")
+        rows += large.agg(F.sum(F.expr("storing * cols + probing * lines"))).first()[0] or 0
+    if large is None or rows == each * n * tables:
+        spread = placed.withColumns({"line": F.lit(0), "col": F.lit(0), "stores": F.col("own"), "probes": F.lit(True)})
     else:
-        spread = placed.join(large, "cell", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-        spread = spread.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("shares")))
-        spread = spread.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        spread = spread.withColumn("own", F.col("own") & (F.col("share") == F.col("mine")))
-    bucket = F.pmod(F.xxhash64("cell", "share"), F.lit(buckets))
-    return (spread.select(bucket.alias("bucket"), "cell", "own", "id", "vector").groupBy("bucket")
-            .applyInArrow(lambda t: _links(t, cosine, kind), "a long, b long").distinct())
+        spread = placed.join(F.broadcast(large.select("tab", "cell", "lines", "cols")), ["tab", "cell"], "left")
+        spread = spread.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("lines", "cols")})
+        spread = spread.withColumns({"my_line": F.expr("int(pmod(xxhash64(node), lines))"),
+                                     "my_col": F.expr("int(pmod(xxhash64(node, 1), cols))")})
+        at = F.expr("""inline(array_distinct(concat(
+            transform(sequence(0, lines - 1), k -> struct(k as line, my_col as col)),
+            if(own, transform(sequence(0, cols - 1), k -> struct(my_line as line, k as col)),
+               array_repeat(struct(0 as line, my_col as col), 0)))))""")
+        spread = spread.select("*", at).withColumns({"stores": F.expr("own and line = my_line"), "probes": F.expr("col = my_col")})
+    buckets = max(1, math.ceil(rows / (each * PER_BUCKET)))
+    bucket = F.pmod(F.xxhash64("tab", "cell", "line", "col"), F.lit(buckets))
+    return spread.select(bucket.alias("bucket"), "tab", "cell", "line", "col", "stores", "probes", "node", "id", "copies",
+                         "vector", "keys")
+
+
+def find_links(vectors: DataFrame, dims: int, kind: str, cosine: float = COSINE) -> DataFrame:
+    """(node, id, star, links) of rows (node, id, copies, vector) with distinct
+    nodes and packed vectors: the sum of ``links`` by node is the number of rows it
+    links with, the links (id, star) have the components of all links."""
+    return (lay_out(vectors, dims, kind, cosine).groupBy("bucket")
+            .applyInArrow(lambda t: _links(t, cosine, kind), "node long, id long, star long, links long"))
 
 
 def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -219,8 +301,8 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     A vector that is null, empty, zero, of another length than most or that
     holds a null or non-finite component links with nothing. Equal vectors link
-    with each other. Rows that repeat an id count as rows but are one node. A
-    row without id is returned with no links and a null component. Other columns,
+    with each other. Rows that repeat an id count as rows but are one node of a
+    component. A row without id is returned with no links and a null component. Other columns,
     labels included, are ignored; an empty table gives an empty table."""
     kind = "<f4" if dict(rows.dtypes)[vector_col] == "array<float>" else "<f8"
     element = "float" if kind == "<f4" else "double"
@@ -229,14 +311,12 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     dims = length["n"] if length else 0
     every = materialize(source.mapInArrow(lambda b: _packed(b, dims, kind), "vec_id long, vector binary"), "vectors")
     usable = every.where("vector is not null")
-    same = materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")),
-                       "distinct-vectors")
-    found = materialize(find_links(same.select("id", "vector"), max(dims, 1), kind, cosine), "vector-links")
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = same.select(F.col("id").alias("b"), "copies")
-    others = both.join(size, "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
-    parts = components(found).withColumnRenamed("node", "id")
-    known = same.join(others, "id", "left").join(parts, "id", "left").select(
+    same = materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+                       .withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
+    found = materialize(find_links(same, max(dims, 1), kind, cosine), "vector-links")
+    others = found.groupBy("node").agg(F.sum("links").alias("others"))
+    parts = components(found, "id", "star").withColumnRenamed("node", "id")
+    known = same.join(others, "node", "left").join(parts, "id", "left").select(
         "vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     linked = usable.join(known, "vector").select("vec_id", "n_links", "component_id")
     lone = every.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from radiomap.llm import lattice
 
@@ -84,3 +85,24 @@ def test_ids_and_empty(spark):
     got = lattice.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted((r.vec_id or 0, r.component_id) for r in got) == [(0, None), (1, 1), (1, 1), (2, 1)]
     assert lattice.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pairs_are_counted_once_within_the_tasks(spark, monkeypatch):
+    """A group of near copies in hot cells: no pair leaves a task, and no task holds a whole cell."""
+    draw = np.random.default_rng(11)
+    first = draw.normal(size=64)
+    group = [(first + draw.normal(size=64) * 0.02).tolist() for _ in range(600)]
+    far = [v.tolist() for v in draw.normal(size=(100, 64))]
+    rows = [(k, v) for k, v in enumerate(group + far)] + [(700 + k, group[k]) for k in range(50)]
+    monkeypatch.setattr(lattice, "CELL_ROWS", 100)
+    got = lattice.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = sorted(brute([r[0] for r in rows], [r[1] for r in rows]))
+    assert sorted(map(tuple, got.collect())) == want
+
+    vectors = spark.createDataFrame([(k, k, 1, np.array(v).tobytes()) for k, v in enumerate(group + far)],
+                                    "node long, id long, copies long, vector binary")
+    sides = lattice.lay_out(vectors, 64, "<f8").groupBy("tab", "cell", "line", "col").agg(
+        F.count_if("stores").alias("storing"), F.count_if("probes").alias("probing"))
+    assert sides.where("storing > 200 or (storing > 0 and probing > 200)").count() == 0  # 100, but for the deal by hash
+    held = lattice.find_links(vectors, 64, "<f8").collect()
+    assert len(held) < 600 * 599 / 4 and sum(r.links for r in held) == 600 * 599
