@@ -37,9 +37,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids): the training tokens."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer())
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, lang, source, n_tokens, ids, decoded_sha256): the training tokens,
+    and the digest of the text that they decode to."""
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer(), digest="decoded_sha256")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 def _shipped(stage):
@@ -55,7 +56,7 @@ STAGES = [
     ("SimHash near-dedup", _shipped(keep_distinct)),
     ("benchmark decontamination", _shipped(keep_clean_of_benchmark)),
     ("PII", _shipped(redact_personal_data)),
-    ("BPE encoding", _shipped(encode_texts)),
+    ("BPE encoding and decoding", _shipped(encode_texts)),
 ]
 
 #: No stage but the plainest can be stated in SQL; tests compare with brute force instead.

@@ -216,16 +216,18 @@ def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids array<int>`` in place of its text.
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", digest: str | None = None) -> DataFrame:
+    """``docs`` with ``ids array<int>`` in place of its text, and, if a name for it
+    is given, the SHA-256 of the text decoded from the ids in the column ``digest``.
 
     A null or empty text, or one of white space only, has no ids. Other columns
     pass through unchanged, repeated rows and null keys included; a column of
-    ``docs`` that is called ids is replaced."""
+    ``docs`` that is called ids or like ``digest`` is replaced."""
     shared = _codec_for(docs, tokenizer)
-    rest = [c for c in docs.columns if c not in (text, "ids")]
+    rest = [c for c in docs.columns if c not in (text, "ids", digest)]
     source = docs.select(*rest, F.col(text).cast("string").alias(text))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text), "ids array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text), "ids array<int>",
+                        *([f"`{digest}` string"] if digest else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
@@ -237,7 +239,11 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
                 ends = np.cumsum([0, *map(len, lists)])
                 flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(rest)], ids], [*rest, "ids"])
+                columns, names = [*part.columns[:len(rest)], ids], [*rest, "ids"]
+                if digest:
+                    columns.append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in lists], pa.string()))
+                    names.append(digest)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return source.mapInArrow(run, schema)
 

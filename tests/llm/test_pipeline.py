@@ -1,5 +1,7 @@
 """The corpus pipeline, its stages against brute force, and the registered queries."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -47,6 +49,13 @@ def test_each_decision(spark, stages):
     assert {r.doc_id: r.ids for r in stages[5].collect()} == want
 
 
+def test_ids_are_decoded_again(stages):
+    assert corpus_pipeline.STAGES[-1][0] == "BPE encoding and decoding"
+    codec = bpe.Codec(open(tokenizer(), encoding="utf-8").read())
+    got = {r.doc_id: r for r in stages[5].collect()}
+    assert got and all(r.decoded_sha256 == hashlib.sha256(codec.decode(r.ids)).hexdigest() for r in got.values())
+
+
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, SF_SMALL)
     assert got.exceptAll(stages[-1]).count() == 0 and got.count() == stages[-1].count()
