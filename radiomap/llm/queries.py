@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiomap.llm import bpe, chat, decontam, html_blocks, lattice, ngram_lm, pii, quality, simhash, warc
+from radiomap.llm import bpe, chat, decontam, filter_audit, html_blocks, importance, lattice, ngram_lm, pii, piece_bpe, quality, simhash, warc
 from radiomap.session import ship
 
 
@@ -12,11 +12,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tokenizer() -> str:
-    """The vocabulary of op8, wherever the public tokenizers are installed."""
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """The vocabulary of op8 (or another), wherever the public tokenizers are installed."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -66,9 +66,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_simhash_dedup, op3_quality, op4_lm_scores, op5_html_text, op6_pii, op7_warc, op8_bpe,
-    op9_embedding_dedup, op10_decontaminate)}
+    op9_embedding_dedup, op10_decontaminate, op11_importance, op12_filter_audit, op13_sentencepiece)}
 
 ORACLE = {
     "op1_chat_format": r"""
@@ -91,4 +103,67 @@ ORACLE = {
           CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN page_id > first THEN first END AS refers_to
         FROM p LEFT JOIN f USING (digest)""",
+    "op11_importance": r"""
+        WITH bits AS (SELECT list(c ORDER BY n) AS step FROM (
+          SELECT n, list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) AS c
+          FROM (SELECT unnest(range(256)) AS n))),
+        texts AS (
+          SELECT 's' AS side, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
+        words AS (
+          SELECT row_number() OVER () AS k, side, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM texts),
+        grams AS (
+          SELECT k, side, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words),
+        hashed AS (
+          SELECT g, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, len(hex(encode(g))) + 1, 2),
+              lambda i: CAST('0x' || substr(hex(encode(g)), i, 2) AS BIGINT)),
+              lambda c, b: xor(c >> 8, step[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) % 10000 AS bucket
+          FROM (SELECT DISTINCT g FROM grams), bits),
+        counts AS (
+          SELECT bucket, CAST(count(*) FILTER (WHERE side = 's') AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE side = 't') AS DOUBLE) AS t
+          FROM grams JOIN hashed USING (g) GROUP BY bucket),
+        gains AS (
+          SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000)
+            / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000)))) AS BIGINT) AS gain
+          FROM counts),
+        weights AS (
+          SELECT k, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+          FROM grams JOIN hashed USING (g) JOIN gains USING (bucket) WHERE side = 's' GROUP BY k),
+        scored AS (
+          SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+              / 4294967296::DOUBLE))) AS BIGINT) AS score
+          FROM words LEFT JOIN weights USING (k) WHERE side = 's')
+        SELECT doc_id, n_features, weight, score,
+          CASE WHEN n_words >= 20 AND rank <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN rank END AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS rank FROM scored)""",
+    "op12_filter_audit": r"""
+        WITH RECURSIVE orders AS (
+          SELECT '' AS o UNION ALL
+          SELECT o || c FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE len(o) < 5 AND NOT contains(o, c)),
+        docs AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        fails AS (
+          SELECT doc_id, part, EXISTS (FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AS good,
+            EXISTS (FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS toxic,
+            CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS f
+          FROM docs d),
+        steps AS (
+          SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, o[step] AS own, good, toxic, f,
+            contains(f, o[step]) AS fails, regexp_matches(f, '[' || o[1:step - 1] || '0]') AS gone
+          FROM fails, (SELECT o FROM orders WHERE len(o) = 5), (SELECT unnest(range(1, 6)) AS step)),
+        sums AS (
+          SELECT part, filter_order, step, own, count(*) FILTER (WHERE NOT gone AND NOT fails) AS kept,
+            count(*) FILTER (WHERE NOT gone AND fails) AS removed, count(*) FILTER (WHERE gone AND fails) AS redundant,
+            count(*) FILTER (WHERE f = own) AS unique_fails, count(*) FILTER (WHERE NOT gone AND fails AND good) AS good_lost,
+            count(*) FILTER (WHERE NOT gone AND fails AND toxic) AS toxic_lost
+          FROM steps GROUP BY ALL)
+        SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM sums""",
 }

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -63,6 +65,20 @@ def pieces(texts: list[bytes], size: int = PIECE) -> Iterator[list[bytes]]:
         yield run
 
 
+def named(column: str) -> str:
+    """A column's name as SQL takes it, whatever it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def carried(frame: DataFrame, last: Column, *without: str) -> tuple[DataFrame, list[str], str]:
+    """``frame`` without some columns and with ``last`` behind, under plain names, as
+    functions in Python need them; the carried columns' own names; their schema."""
+    fields = [f for f in frame.schema if f.name not in without]
+    columns = [F.col(named(f.name)).alias(f"c{k}") for k, f in enumerate(fields)]
+    schema = "".join(f"c{k} {f.dataType.simpleString()}, " for k, f in enumerate(fields))
+    return frame.select(*columns, last.alias("last")), [f.name for f in fields], schema
+
+
 class Words:
     """The words of a run of texts: raw bytes, starts, ends, keys, words per text."""
 
