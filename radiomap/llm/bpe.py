@@ -7,10 +7,11 @@ the lists of the pairs next to a merge are updated. Because a merge can only giv
 rise to pairs of higher rank (checked when a vocabulary is loaded), each word
 ends with the symbols that merging its lowest pair again and again would give.
 
-The vocabulary file (about 2 MB, fixed) is read on the driver and broadcast. Words
-already encoded are remembered by each task, up to ``REMEMBERED``; the memory of a
-task is bounded by that, the new words of ``TOGETHER`` code points (or of one
-longer text) and one Arrow batch. No text is cut.
+The vocabulary file (about 2 MB, fixed) is read on the driver and broadcast. A
+worker process keeps the codec and the words it has met, up to twice
+``REMEMBERED`` and across tasks, so its memory is bounded by that, the new words of
+``TOGETHER`` bytes of text (or of one longer text), and one Arrow batch. No text is
+cut.
 """
 
 from __future__ import annotations
@@ -28,16 +29,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words a task remembers before it starts afresh.
-REMEMBERED = 200_000
-#: Code points of text whose new words are merged together.
-TOGETHER = 6_000_000
+from radiomap.llm.pairs import PairTable, joined
+from radiomap.llm.text import carried, named, slices
+
+#: Words a worker has met lately; when they are more, only those of them that it meets again stay.
+REMEMBERED = 150_000
+#: Bytes of text whose new words are merged together.
+TOGETHER = 8_000_000
 #: Rows of ids handed over together.
 SENT_ROWS = 256
 #: White space of Unicode; ``str.split`` also splits at the four separators U+001C to U+001F.
 _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = regex.compile("[\x1c-\x1f]")
-_SHIFT = 20
 
 
 def _byte_characters() -> list[str]:
@@ -59,6 +62,7 @@ class Codec:
                 or spec["decoder"] is not None or model["end_of_word_suffix"] is None):
             raise ValueError("not a word-end byte-level vocabulary of the supported kind")
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+        self.lines = regex.compile(steps[0]["pattern"]["Regex"] + "|\n")
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
@@ -69,8 +73,9 @@ class Codec:
         self.tokens = [b""] * size
         for token, k in chain(vocab.items(), self.special.items()):
             self.tokens[k] = token.encode()
-        self.ints = list(range(size))
-        self.numbers = [b"%d" % k for k in range(size)]
+        #: Tokens and numbers, a space behind each.
+        self.parts = pa.array([t + b" " for t in self.tokens], pa.binary())
+        self.numbers = pa.array([b"%d " % k for k in range(size)], pa.binary())
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.left = np.array([vocab[a] for a, _ in pairs], np.int64)
         self.right = np.array([vocab[b] for _, b in pairs], np.int64)
@@ -80,16 +85,11 @@ class Codec:
         if (len(np.unique(self.made)) != len(pairs)
                 or (np.maximum(born[self.left], born[self.right]) >= np.arange(len(pairs))).any()):
             raise ValueError("a merge of this vocabulary precedes the merge that makes its parts")
-        keys = (self.left << _SHIFT) | self.right
-        self.rank = np.argsort(keys)
-        self.keys = keys[self.rank]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The rank at which each pair merges; -1 for pairs that don't."""
-        key = (a.astype(np.int64) << _SHIFT) | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], -1)
+        #: The rank at which each pair merges; -1 for pairs that don't.
+        self.ranks = PairTable(self.left, self.right, size, np.arange(len(pairs), dtype=np.int32))
+        #: Words met lately and before, with their ids as 32-bit integers.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, ids per word); no word may be empty."""
@@ -106,7 +106,7 @@ class Codec:
         active: list[int] = []
 
         def add(at: np.ndarray) -> None:
-            ranks = self._ranks(sym[at], sym[after[at]])
+            ranks, = self.ranks(sym[at], sym[after[at]])
             hit = np.flatnonzero(ranks >= 0)
             hit = hit[np.argsort(ranks[hit], kind="stable")]
             if not len(hit):
@@ -122,7 +122,8 @@ class Codec:
         add(np.flatnonzero(after >= 0))
         while active:
             r = heapq.heappop(active)
-            at = np.unique(np.concatenate(index.pop(r)))
+            at = np.sort(np.concatenate(index.pop(r)))
+            at = at[np.append(True, at[1:] != at[:-1])]
             a, b = self.left[r], self.right[r]
             at = at[alive[at] & (sym[at] == a) & (after[at] >= 0)]
             at = at[sym[after[at]] == b]
@@ -168,21 +169,46 @@ class Codec:
         plain(word[start:])
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words not met before, all together."""
-        pieces = {w: self._pieces(w) for w in words}
-        distinct = list({p for ps in pieces.values() for p in ps if isinstance(p, str)})
-        ids: dict[str, tuple[int, ...]] = {}
-        if distinct:
-            flat, sizes = self.merge([p.encode() for p in distinct])
-            shared, at = [self.ints[k] for k in flat.tolist()], 0
-            for p, k in zip(distinct, sizes.tolist(), strict=True):
-                ids[p] = tuple(shared[at:at + k])
-                at += k
-        for w, ps in pieces.items():
-            self.known[w] = tuple(chain.from_iterable(ids[p] if isinstance(p, str) else (p,) for p in ps))
+    def _together(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """(pieces of all words in order, pieces of each), by one pass of normalisation and
+        of the pattern over all words; none may hold a special token."""
+        text = unicodedata.normalize("NFC", "\n".join(words))
+        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        found = [m for m in self.lines.findall(text) if m]
+        ends = [-1, *(k for k, m in enumerate(found) if m == "\n"), len(found)]
+        return [m for m in found if m != "\n"], [b - a - 1 for a, b in zip(ends, ends[1:])]
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def learn(self, words: set[str]) -> None:
+        """Make known ``words`` that are not; those not met before either are encoded all together."""
+        again = self.before.keys() & words
+        self.known.update(zip(again, map(self.before.__getitem__, again)))
+        words = words - again
+        odd = [w for w in words if "<" in w] if self.specials else []
+        new = list(words.difference(odd))
+        if not words:
+            return
+        pieces, counts = self._together(new) if new else ([], [])
+        for w in odd:
+            more = self._pieces(w)
+            pieces.extend(more)
+            counts.append(len(more))
+        new += odd
+        distinct = list(dict.fromkeys(pieces))
+        place = np.fromiter(map(dict(zip(distinct, range(len(distinct)))).__getitem__, pieces), np.int64, len(pieces))
+        plain = [p for p in distinct if isinstance(p, str)]
+        flat, some = self.merge([p.encode() for p in plain]) if plain else (np.empty(0, np.int32), np.empty(0, np.int64))
+        sizes = np.ones(len(distinct), np.int64)
+        text = np.array([isinstance(p, str) for p in distinct], bool)
+        sizes[text] = some
+        starts = np.cumsum(sizes) - sizes
+        ids = np.array([p if isinstance(p, int) else -1 for p in distinct], np.int32).repeat(sizes)
+        ids[np.repeat(text, sizes)] = flat
+        wide = sizes[place]
+        raw = ids[np.repeat(starts[place] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())].astype(np.int32).tobytes()
+        ends = (4 * np.append(0, np.cumsum(wide))[np.cumsum(counts)]).tolist()
+        self.known.update(zip(new, [raw[i:j] for i, j in zip([0, *ends], ends)]))
+
+    def arrays(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         start = 0
         while start < len(texts):
@@ -191,23 +217,38 @@ class Codec:
                 size += len(texts[stop])
                 stop += 1
             if len(self.known) > REMEMBERED:
-                self.known.clear()
+                self.known, self.before = {}, self.known
             new: set[str] = set()
             for t in texts[start:stop]:
                 new.update(self.split(t))
-            new.difference_update(self.known.keys())
-            self.learn(new)
+            self.learn(new.difference(self.known))
             for t in texts[start:stop]:
-                yield list(chain.from_iterable(map(self.known.__getitem__, self.split(t))))
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, self.split(t))), np.int32)
             start = stop
 
-    def decode(self, ids: list[int]) -> bytes:
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text in order, as lists."""
+        return (ids.tolist() for ids in self.arrays(texts))
+
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
         """The text (UTF-8) of ids; without a decoder, tokens are joined by a space."""
-        return b" ".join(map(self.tokens.__getitem__, ids))
+        return joined(self.parts, np.asarray(ids, np.int32))[:-1]
+
+
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_of(source: str) -> Codec:
+    """The codec of a vocabulary's JSON text; a worker process builds it once and keeps what it has learnt."""
+    key = hashlib.sha256(source.encode()).hexdigest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(source)
+    return _CODECS[key]
 
 
 def _codec_for(docs: DataFrame, tokenizer: str):
-    """The vocabulary as a broadcast, which each task turns into a codec once."""
+    """The vocabulary as a broadcast, which each worker turns into a codec once."""
     with open(tokenizer, encoding="utf-8") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -216,52 +257,56 @@ def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def _coded(codec: Codec, batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
+    """Runs of ``SENT_ROWS`` rows of a batch at most, and the ids of their texts."""
+    for some in slices(batch, column, TOGETHER):
+        arrays = codec.arrays(_texts(some.column(column)))
+        for start in range(0, some.num_rows, SENT_ROWS):
+            part = some.slice(start, SENT_ROWS)
+            yield part, islice(arrays, part.num_rows)
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", digest: str | None = None) -> DataFrame:
     """``docs`` with ``ids array<int>`` in place of its text, and, if a name for it
     is given, the SHA-256 of the text decoded from the ids in the column ``digest``.
 
     A null or empty text, or one of white space only, has no ids. Other columns
-    pass through unchanged, repeated rows and null keys included; a column of
-    ``docs`` that is called ids or like ``digest`` is replaced."""
+    pass through unchanged, repeated rows, null keys and names with dots included; a
+    column of ``docs`` that is called ids or like ``digest`` is replaced."""
     shared = _codec_for(docs, tokenizer)
-    rest = [c for c in docs.columns if c not in (text, "ids", digest)]
-    source = docs.select(*rest, F.col(text).cast("string").alias(text))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text), "ids array<int>",
-                        *([f"`{digest}` string"] if digest else [])])
+    source, names, schema = carried(docs, F.col(named(text)).cast("string"), text, "ids", digest)
+    schema += "ids array<int>" + (", digest string" if digest else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for b in batches:
-            coded = codec.encode(_texts(b.column(len(rest))))
-            for start in range(0, b.num_rows, SENT_ROWS):
-                part = b.slice(start, SENT_ROWS)
-                lists = list(islice(coded, part.num_rows))
+            for part, coded in _coded(codec, b, len(names)):
+                lists = list(coded)
                 ends = np.cumsum([0, *map(len, lists)])
-                flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                columns, names = [*part.columns[:len(rest)], ids], [*rest, "ids"]
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))
+                columns, fields = [*part.columns[:len(names)], ids], [*part.schema.names[:-1], "ids"]
                 if digest:
                     columns.append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in lists], pa.string()))
-                    names.append(digest)
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    fields.append("digest")
+                yield pa.RecordBatch.from_arrays(columns, fields)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*names, "ids", *([digest] if digest else []))
 
 
 def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
     """``coded`` with the decoded ``text`` in place of ``ids`` (null: empty)."""
     shared = _codec_for(coded, tokenizer)
-    rest = [c for c in coded.columns if c not in ("ids", "text")]
-    source = coded.select(*rest, "ids")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "ids"), "text string"])
+    source, names, schema = carried(coded, F.col("ids"), "ids", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for b in batches:
-            texts = pa.array([codec.decode(x or []).decode() for x in b.column(len(rest)).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(rest)], texts], [*rest, "text"])
+            for start in range(0, b.num_rows, SENT_ROWS):
+                part = b.slice(start, SENT_ROWS)
+                texts = pa.array([codec.decode(x or []).decode() for x in part.column(len(names)).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], texts], [*part.schema.names[:-1], "text"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema + "text string").toDF(*names, "text")
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -270,16 +315,17 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     shared = _codec_for(docs, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for b in batches:
-            sizes, ids_hash, text_hash = [], [], []
-            for ids in codec.encode(_texts(b.column(1))):
-                sizes.append(len(ids))
-                ids_hash.append(hashlib.sha256(b" ".join(map(codec.numbers.__getitem__, ids))).hexdigest())
-                text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, coded in _coded(codec, b, 1):
+                sizes, ids_hash, text_hash = [], [], []
+                for ids in coded:
+                    sizes.append(len(ids))
+                    ids_hash.append(hashlib.sha256(joined(codec.numbers, ids)[:-1]).hexdigest())
+                    text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from radiomap.llm.pairs import PairTable, joined
 from radiomap.llm.text import carried, named
 
 #: Words a worker has met lately; when they are more, only those of them that it meets again stay.
@@ -151,36 +152,16 @@ class Codec:
         self.beside = np.zeros((len(heads) + 1, len(tails) + 1), bool)
         for a, b in beside:
             self.beside[self.head[ord(a)], self.tail[ord(b)]] = True
-        self._lay_out(np.array([*made], np.int64), np.array([*made.values()], np.int32).reshape(-1, 2))
+        pairs, values = np.array([*made], np.int64), np.array([*made.values()], np.int32).reshape(-1, 2)
+        self.pairs = PairTable(pairs // self.wide, pairs % self.wide, self.wide, values[:, 0], values[:, 1], missing=-1)
         #: Words met lately and before, with their ids as 32-bit integers.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def _lay_out(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Pairs as an open hash table: a pair takes the first free slot from its home on."""
-        self.slot_bits = (8 * len(keys) + 8).bit_length()
-        slots, home, rest = np.full(1 << self.slot_bits, -1), self._home(keys), np.arange(len(keys))
-        while len(rest):
-            free = rest[slots[home[rest]] < 0]
-            slots[home[free]] = free
-            rest = rest[slots[home[rest]] != rest]
-            home[rest] = (home[rest] + 1) & (len(slots) - 1)
-        self.keys = np.append(keys, -1)[slots]
-        self.ranks, self.made = np.append(values[:, 0], _NEVER)[slots], np.append(values[:, 1], np.int32(-1))[slots]
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
-
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, piece made) of each pair of symbols; never for those that make none."""
-        key = a.astype(np.int64) * self.wide + b
-        at = self._home(key)
-        rest = np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))
-        while len(rest):
-            at[rest] = (at[rest] + 1) & (len(self.keys) - 1)
-            there = self.keys[at[rest]]
-            rest = rest[(there != key[rest]) & (there >= 0)]
-        return self.ranks[at], self.made[at]
+        rank, made = self.pairs(a, b)
+        return np.where(made < 0, _NEVER, rank), made
 
     def cut(self, codes: np.ndarray, words: np.ndarray) -> np.ndarray:
         """True where a symbol begins a part of its own: the first of a word (by
@@ -303,12 +284,6 @@ class Codec:
         return raw.decode("utf-8", "piece-bytes")
 
 
-def joined(parts: pa.BinaryArray, at: np.ndarray) -> bytes:
-    """The parts at the given places, one after another."""
-    data = parts.take(pa.array(at)).buffers()[2] if len(at) else None
-    return data.to_pybytes() if data else b""
-
-
 _CODECS: dict[str, Codec] = {}
 
 

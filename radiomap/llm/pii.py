@@ -20,12 +20,15 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from radiomap.llm.text import carried, releasing, slices
+
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,6 +39,8 @@ _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S*[0-9@]\S*")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 SEED = 6
+#: Bytes of text read together, and tokens whose features are laid out together.
+_TOGETHER, _RUN = 4 << 20, 4096
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 
@@ -154,6 +159,15 @@ class Field:
             own[i + 1] = _own_features(t, self)
         return np.concatenate([own[1:-1], own[:-2], own[2:], np.ones((len(tokens), 1))], axis=1)
 
+    def _weights(self, tokens: list[str]) -> np.ndarray:
+        """Each token's weight for each label; features are laid out for a run of tokens at a time."""
+        out = np.empty((len(tokens), len(LABELS)))
+        for start in range(0, len(tokens), _RUN):
+            before, stop = max(start - 1, 0), start + _RUN
+            rows = self.features(tokens[before:stop + 1])[start - before:]
+            out[start:stop] = rows[:len(out[start:stop])] @ self.emit
+        return out
+
     def _gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the negative log-likelihood, by the forward and backward recursions."""
         emit = x @ self.emit
@@ -196,7 +210,7 @@ class Field:
     def _viterbi(self, batch: list[list[str]]) -> list[list[int]]:
         """Segments stand between certain O tokens, whose weights to and from O enter."""
         sizes = np.array([len(s) for s in batch])
-        flat = np.concatenate([self.features(s) for s in batch]) @ self.emit
+        flat = np.concatenate([self._weights(s) for s in batch])
         k, n = int(sizes.max()), len(LABELS)
         emit = np.zeros((len(batch), k, n))
         inside = np.arange(k) < sizes[:, None]
@@ -351,14 +365,14 @@ def find(docs: DataFrame) -> DataFrame:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(slices(b, 1, _TOGETHER) for b in batches):
             base, every = _all_spans(_texts(b.column(1)), shared.value)
             counts = [pa.array([sum(x[1] == k for x in s) for s in base], pa.int64()) for k in range(len(KINDS))]
             digest = pa.array([hashlib.sha256(_name(s).encode()).hexdigest() for s in base], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array(map(_name, every), pa.string())], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+        releasing(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def replace(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -380,20 +394,19 @@ def redact(docs: DataFrame) -> DataFrame:
     All rows and columns stay; ``n_chars``, where there is one, becomes the new
     length in rows that changed. Null text stays null."""
     shared = docs.sparkSession.sparkContext.broadcast(train())
-    others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "text string, __new long"])
+    source, others, schema = carried(docs, F.col("text").cast("string"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(slices(b, len(others), _TOGETHER) for b in batches):
             texts = _texts(b.column(len(others)))
             _, every = _all_spans(texts, shared.value)
             new = [replace(t, s) if s else old for t, s, old in zip(texts, every, b.column(len(others)).to_pylist(), strict=True)]
             size = [len(t) if s else None for t, s in zip(new, every, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:len(others)], pa.array(new, pa.string()), pa.array(size, pa.int64())],
-                                             [*others, "text", "__new"])
+                                             [*b.schema.names[:-1], "text", "size"])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in others], F.col("text").cast("string").alias("text"))
-    out = source.mapInArrow(run, schema)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.coalesce("__new", "n_chars").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = source.mapInArrow(releasing(run), schema + "text string, size long")
+    new = {c: F.col(f"c{k}") for k, c in enumerate(others)} | {"text": F.col("text")}
+    if "n_chars" in new:
+        new["n_chars"] = F.coalesce("size", new["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) for c in docs.columns])

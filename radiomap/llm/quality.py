@@ -16,6 +16,7 @@ a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiomap.llm.text import Words, pieces, utf8
+from radiomap.llm.text import Words, named, pieces, releasing, sample_condition, slices, utf8
 
 LABELLED = 12_000
 POOL = 12_000
@@ -37,7 +38,8 @@ PSEUDO_WEIGHT = 0.3
 KEEP = 0.5
 SEED = 3
 _HASHED = 64
-_MOD = 1 << 20
+#: Bytes of text whose features are taken together.
+_TOGETHER = 4 << 20
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -185,23 +187,27 @@ def _sample(docs: DataFrame, bound: int) -> DataFrame:
     """At most about ``bound`` rows, by a hash of the id."""
     rows = docs.count()
     share = min(1.0, bound / max(rows, 1))
-    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(_MOD)) < int(share * _MOD))
+    return docs.where(sample_condition(share, SEED, "doc_id"))
 
 
 _META = ("lang", "source", "n_chars")
 
 
 def _feature_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, y, text, meta): features of rows (doc_id, text, lang, source, n_chars, y)."""
+    """(doc_id, y, text, meta): features of rows (doc_id, text, lang, source, n_chars, y),
+    one row for each id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(slices(b, 1, _TOGETHER) for b in batches):
             x = text_features(utf8(b.column(1)))
             m = meta_features(*(b.column(k).to_pylist() for k in (2, 3, 4)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(5), pa.array([r.tobytes() for r in x], pa.binary()),
                  pa.array([r.tobytes() for r in m], pa.binary())], ["doc_id", "y", "text", "meta"])
 
-    return rows.mapInArrow(run, "doc_id long, y int, text binary, meta binary")
+    # Of an id's rows one, however many there are, so that what is collected is bounded by the sample.
+    row = F.struct("text", *_META, "y")
+    one = rows.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text", *_META)).alias("r")).select("doc_id", "r.*")
+    return one.mapInArrow(releasing(run), "doc_id long, y int, text binary, meta binary")
 
 
 def _typed(docs: DataFrame) -> DataFrame:
@@ -246,17 +252,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kept = [f for f in docs.schema if f.name not in added]
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept),
-                        "text_score double, meta_score double, score double, keep boolean"])
     names = [f.name for f in kept]
-    inputs = [F.col(c).cast(k).alias(f"__{c}") for c, k in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))]
+    schema = ", ".join([*(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(kept)),
+                        "text_score double, meta_score double, score double, keep boolean"])
+    inputs = [F.col(c).cast(k).alias(f"own_{c}") for c, k in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(slices(b, len(names), _TOGETHER) for b in batches):
             a, own = b.columns[:len(names)], b.columns[len(names):]
             scores = [np.ones(b.num_rows)] * 3
             if shared.value is not None:
                 scores = shared.value.scores(text_features(utf8(own[0])), meta_features(*(c.to_pylist() for c in own[1:])))
-            yield pa.RecordBatch.from_arrays([*a, *map(pa.array, scores), pa.array(scores[2] >= KEEP)], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*a, *map(pa.array, scores), pa.array(scores[2] >= KEEP)],
+                                             [*b.schema.names[:len(names)], *added])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], *inputs).mapInArrow(run, schema)
+    plain = docs.select(*[F.col(named(c)).alias(f"c{k}") for k, c in enumerate(names)], *inputs)
+    return plain.mapInArrow(releasing(run), schema).toDF(*names, *added)

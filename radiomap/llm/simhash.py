@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radiomap.llm.graph import components
-from radiomap.llm.text import utf8
+from radiomap.llm.text import named, unused, utf8
 from radiomap.session import materialize
 
 BITS = 64
@@ -295,14 +295,14 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, hot
     """``docs`` with one row left of each group: that of the smallest doc_id (rows
     without one come last), ties by a hash of the row. All columns stay; cases
     otherwise as in ``simhash_groups``."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    key, mark, doc, row = F.xxhash64(*[F.col(named(c)) for c in docs.columns]), *(unused(docs, c) for c in ("the_key", "best_doc", "best_row"))
     rows = docs.select("doc_id", "text", key.alias("row"))
     marks = materialize(rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "row").mapInArrow(
         lambda b: _fingerprint_batches(b, size), "doc_id long, row long, fp long"), "fingerprints")
     roots = _with_components(marks, max_bits, hot).select("fp", "root")
     best = marks.join(roots, "fp").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("__doc"), F.col("best.row").alias("__row"))
-    kept = docs.withColumn("__key", key)
-    kept = kept.join(best, (F.col("__key") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
-    return kept.dropDuplicates(["__key", "doc_id"]).drop("__key")
+    best = best.select(F.col("best.doc_id").alias(doc), F.col("best.row").alias(row))
+    kept = docs.withColumn(mark, key)
+    kept = kept.join(best, (F.col(mark) == F.col(row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_semi")
+    return kept.dropDuplicates([mark, "doc_id"]).drop(mark)

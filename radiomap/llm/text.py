@@ -9,10 +9,14 @@ not grow with the batch; a single longer text is one piece.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +83,47 @@ def carried(frame: DataFrame, last: Column, *without: str) -> tuple[DataFrame, l
     return frame.select(*columns, last.alias("last")), [f.name for f in fields], schema
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """``name``, or one like it, that no column of ``frame`` has."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def sample_condition(share: float, seed: int, *columns: str) -> Column:
+    """Whether a hash of the columns, a number of 63 bits, falls in the given share of all
+    numbers: the same rows at every run, and some at however small a share."""
+    if share >= 1:
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 1) < F.lit(int(share * 2.0 ** 63))
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about ``size`` bytes of text together, or one longer text."""
+    held = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(held), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which the worker process, which Spark keeps for
+    later tasks, hands memory that it no longer uses back to the system."""
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run_and_release
+
+
 class Words:
     """The words of a run of texts: raw bytes, starts, ends, keys, words per text."""
 
