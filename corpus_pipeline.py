@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from radiomap.llm import bpe, decontam, pii, quality, simhash
 from radiomap.llm.queries import read, tokenizer
+from radiomap.llm.text import named
 from radiomap.session import materialize, ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on ``labels``, accepts."""
     scored = quality.classify(docs, read(spark, sf_dir, "labels"))
-    return scored.where("keep").select(*docs.columns)
+    return scored.where("keep").select(*[F.col(named(c)) for c in docs.columns])
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
