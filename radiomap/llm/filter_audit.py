@@ -3,8 +3,9 @@ sparse document-term matrix.
 
 The matrix. Texts are packed into blocks of about ``BLOCK_BYTES``; each block counts
 the words of its rows under numbers of its own. The blocks' distinct words are then
-numbered across the corpus: dealt by a hash into buckets, ranked inside a bucket, so
-that number = rank * buckets + bucket, without any table of all words in one place.
+numbered across the corpus: dealt by a hash into buckets, encoded inside a bucket by
+their rank there, so that number = rank * buckets + bucket, without any table of all
+words in one place.
 A block's numbers come back to it and it becomes a CSR shard (row starts, global
 column numbers, counts). Row sums are words, nonzero entries distinct words.
 
@@ -29,9 +30,10 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radiomap.llm.text import named
@@ -129,6 +131,16 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      pa.array(part, pa.binary())], ["block", "place", "word"])
 
 
+def _ranks(words: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """(distinct words in order, the place there of each word): the same however the
+    rows arrive, so that a task that runs again gives the same numbers."""
+    coded = words.cast(pa.large_binary()).combine_chunks().dictionary_encode()
+    order = pa.compute.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return coded.dictionary.take(order), rank[coded.indices.to_numpy()]
+
+
 def _shard(block: pa.Table, numbers: pa.Table) -> pa.Table:
     """A block with the global number of each of its words: a CSR shard."""
     out = []
@@ -156,12 +168,19 @@ def matrix(docs: DataFrame, part: str = "source") -> tuple[DataFrame, DataFrame]
     found = blocks.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(found / BUCKET_WORDS))
     words = blocks.select("block", "words").mapInArrow(_words, "block long, place int, word binary")
-    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
-    numbered = words.withColumn("bucket", bucket).withColumn("column", (rank.cast("long") - 1) * buckets + F.col("bucket"))
-    shards = (blocks.groupBy("block").cogroup(numbered.select("block", "place", "column").groupBy("block"))
-              .applyInArrow(_shard, _SHARD))
-    return shards, numbered.select("word", "column").distinct()
+    dealt = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")).groupBy("bucket")
+
+    def number(key: tuple, table: pa.Table) -> pa.Table:
+        _, rank = _ranks(table.column("word"))
+        return pa.table({"block": table.column("block"), "place": table.column("place"), "column": rank * buckets + key[0].as_py()})
+
+    def entries(key: tuple, table: pa.Table) -> pa.Table:
+        distinct, _ = _ranks(table.column("word"))
+        return pa.table({"word": distinct.cast(pa.binary()), "column": np.arange(len(distinct)) * buckets + key[0].as_py()})
+
+    numbered = dealt.applyInArrow(number, "block long, place int, column long")
+    shards = blocks.groupBy("block").cogroup(numbered.groupBy("block")).applyInArrow(_shard, _SHARD)
+    return shards, dealt.applyInArrow(entries, "word binary, column long")
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
