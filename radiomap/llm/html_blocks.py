@@ -1,20 +1,19 @@
 """Main text of web pages by two passes of block rules.
 
 A page is read as blocks: runs of text between the tags of block elements.
-The first pass decides each block on its own, by the element it stands in (menus,
-headers, footers, forms and the like are out), its link density, its length and
-its density of function words; short or middling blocks stay undecided. The
-second pass lets these inherit the label of the nearest decided block.
-
-A page that marks its article is judged within it: outside, all is out; inside,
-a block can only be undecided or main text unless it is made of links or stands
-in a part of the article that is none, and undecided blocks look no further than
-the article for a neighbour.
+The first pass weighs each block on its own: length, density of function words and
+of links, with the element it stands in (article, menu, footer, form and the like)
+as one more piece of evidence. What the evidence leaves open, short or middling
+blocks above all, is undecided. The second pass lets these inherit the label of the
+nearest decided block. In an article only its own blocks are neighbours: short
+paragraphs and headings go with the prose around them, and captions and labels with
+the lists of links that they head.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -53,6 +52,9 @@ _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 _STOPS = frozenset(STOP_WORDS)
 _CLOSES_P = BLOCKS - {"html", "body"}
 
+#: Elements of an article that links beside them do not take along.
+_TEXT = frozenset("p blockquote pre h1".split())
+
 GOOD, BAD, UNDECIDED = "good", "bad", "undecided"
 
 
@@ -89,6 +91,8 @@ def blocks(html: str) -> list[Block]:
     linked = links = articles = 0
     tag = ""
     opened: list[tuple[str, bool, int]] = [("", False, 0)]  # (element, outside, article) of open containers
+    open_names: Counter[str] = Counter()
+    unclosed: set[str] = set()  # elements whose closing tag does not come any more
 
     def flush() -> None:
         nonlocal parts, linked
@@ -127,20 +131,25 @@ def blocks(html: str) -> list[Block]:
             links = 0
             if name in CONTAINERS:
                 if closing:
-                    k = next((i for i in range(len(opened) - 1, 0, -1) if opened[i][0] == name), 0)
-                    if k:
-                        del opened[k:]
+                    while open_names[name]:
+                        last = opened.pop()[0]
+                        open_names[last] -= 1
+                        if last == name:
+                            break
                 elif not source.endswith("/"):
                     _, outside, article = opened[-1]
                     own = _is_outside(name, source, article > 0)
                     if name in ("article", "main") and not article and not own:
                         articles += 1
-                        outside, article = any(o[0] in OUTSIDE for o in opened), articles
+                        outside, article = any(open_names[o] for o in OUTSIDE), articles
                     opened.append((name, outside or own, article))
-            elif not closing and source.strip(" /") and _is_outside(name, source, opened[-1][2] > 0):
+                    open_names[name] += 1
+            elif not closing and name not in unclosed and source.strip(" /") and _is_outside(name, source, opened[-1][2] > 0):
                 k = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)  # an element of text that is none
                 if k:
                     at = k.end()
+                else:
+                    unclosed.add(name)
             tag = "" if closing else name
         m = _MARKUP.search(html, at)
     text(html[at:])
@@ -154,49 +163,57 @@ def stop_density(text: str) -> float:
 
 
 def first_pass(b: Block, marked: bool) -> str:
-    """A block's label on its own; ``marked``: the page marks an article."""
-    if b.outside or (marked and not b.article):
-        return BAD
+    """A block's label on its own; ``marked``: the page marks an article.
+
+    Prose speaks for a block: length together with many function words most, fewer of
+    either less, and standing in the article. Links, an element that is none of the
+    main text and, where there is an article, not standing in it speak against it."""
     size = len(b.text)
-    density = b.linked / max(len("".join(b.text.split())), 1)
-    if marked:
-        if density > LINKED and (b.tag == "li" or size < SHORT):
-            return BAD
-        return GOOD if size >= LONG or stop_density(b.text) >= MANY_STOPS else UNDECIDED
+    density, stops = b.linked / max(len("".join(b.text.split())), 1), stop_density(b.text)
+    evidence = 0
+    if size >= LONG and stops >= MANY_STOPS:
+        evidence += 2
+    elif size >= SHORT or b.article:
+        evidence += 1 if stops >= (FEW_STOPS if size >= SHORT else MANY_STOPS) else 0 if b.article else -2
     if density > LINKED:
-        return BAD
-    if size < SHORT:
-        return BAD if b.linked and density > 0.2 else UNDECIDED
-    stops = stop_density(b.text)
-    if stops >= MANY_STOPS and size >= LONG:
-        return GOOD
-    return UNDECIDED if stops >= FEW_STOPS else BAD
+        evidence -= 4 if b.tag == "li" or size < LONG else 2
+    elif size < SHORT and density > 0.2 and not b.article:
+        evidence -= 2
+    if b.article:
+        evidence += 1
+    if b.outside or (marked and not b.article):
+        evidence -= 5
+    return GOOD if evidence >= 2 else BAD if evidence <= -2 else UNDECIDED
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Every block's label after undecided ones have taken the nearest decided
-    neighbour's. Equally near ones that differ: the one that is not out by its
-    element, else the next for headings, else out.
-    Within a marked article only that article's good blocks count, and without
-    any an undecided block is main text."""
+    neighbour's. Equally near ones that differ: the next for headings, else main text
+    in an article; elsewhere the one that is not out by its element, else the next
+    for headings, else out. Within an article only its own blocks are neighbours, but
+    for those in elements that are none of it, and for its paragraphs and title only
+    good ones; without any, a block of an article is main text and any other is out."""
     out = [x == GOOD for x in labels]
     n = len(found)
     before, after = [-1] * n, [-1] * n
     for near, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
-        last = -1
+        last: dict[int, int] = {}  # by article, the last decided block; 0: of all blocks
         for i in order:
-            near[i] = last
+            b = found[i]
+            near[i] = last.get(b.article, -1)
             if labels[i] != UNDECIDED:
-                last = i
+                last[0] = i
+                if b.article and not b.outside:
+                    last[b.article] = i
     for i, b in enumerate(found):
         if labels[i] != UNDECIDED:
             continue
-        if b.article:
-            out[i] = True  # the article's decided blocks are good; what is out of it is no neighbour
-            continue
         p, q = before[i], after[i]
-        if p < 0 or q < 0:
-            out[i] = (p >= 0 and out[p]) or (q >= 0 and out[q])
+        heading = re.fullmatch("h[1-6]", b.tag)
+        if (p < 0 and q < 0) or (b.article and b.tag in _TEXT):
+            out[i] = b.article > 0
+        elif p < 0 or q < 0:
+            out[i] = out[max(p, q)]
         elif out[p] == out[q]:
             out[i] = out[p]
         elif i - p != q - i:
@@ -204,7 +221,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
         elif found[p].outside != found[q].outside:
             out[i] = out[q] if found[p].outside else out[p]
         else:
-            out[i] = out[q] if re.fullmatch("h[1-6]", b.tag) else False
+            out[i] = out[q] if heading else b.article > 0
     return out
 
 
