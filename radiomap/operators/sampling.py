@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from radiomap.functions.hashing import hash_key, hash_uniform
 from radiomap.operators.indexing import row_index
+from radiomap.session import materialize
 
 SEED = 42  # fixed value: the survey's default seed
 # Up to this n the exact overall sample is a TakeOrdered over the narrowed
 # superset (about n rows reach its merge task); above it the distributed row
 # index is used.
 TAKE_ORDERED_MAX_N = 100_000
+BINS_PER_HALVING = 8
 
 
 def _keys(seed: int, salt: str | None, id_col: str):
@@ -39,25 +41,25 @@ def stratified_sample(df: DataFrame, by, n: int, seed: int = SEED, id_col: str =
                       salt: str | None = None) -> DataFrame:
     """Exactly ``min(n, group size)`` rows from each group of ``by``.
 
-    Each group is first narrowed to the rows whose hash-uniform is under a
-    cutoff a little above n / size, about 1.1 n + 100 of them, which always
-    hold the n first of the draw order; a group that the cutoff leaves short (a
-    draw far out in the tail) keeps every row. The window then ranks only the
-    narrowed rows, so what a task receives follows n, not the group or the
-    number of input partitions."""
+    The draw order refines the hash-uniform, so a histogram of the uniform by group
+    shows how far the first n rows reach. Its bins are equally wide in the logarithm,
+    ``BINS_PER_HALVING`` for each halving, so the bin in which the n-th row falls adds
+    about a tenth to n however large the group is. Histograms of partitions add up to
+    those of the table, at most ``52 * BINS_PER_HALVING`` numbers a group. ``df`` is
+    derived once: the rows are written with their bins, read once for the histogram and
+    once for the rows up to the cut-offs, and only these are ranked."""
     by = list(by)
-    order = [draw_order(seed, id_col, salt), F.col(id_col)]
     cols = df.columns
     u = draw_uniform(seed, id_col, salt)
-    width = F.least(F.lit(1.0), F.lit(n * 1.1 + 100.0) / F.col("_size"))
-    sizes = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(F.count(F.lit(1)).alias("_size"))
+    step = F.when(u <= 0, F.lit(-(1 << 30))).otherwise(F.floor(F.log2(u) * BINS_PER_HALVING)).cast("int")
+    binned = materialize(df.withColumn("_bin", step), "stratified")
+    counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = (counts.withColumn("_before", before).filter(F.col("_before") < n)
+            .groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(F.max("_bin").alias("_cut")))
     match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
-    keyed = df.join(sizes.withColumn("_cut", width), match).withColumn("_u", u)
-    got = (keyed.filter(F.col("_u") < F.col("_cut")).groupBy(*[F.col(c).alias(f"_g_{c}") for c in by])
-           .agg(F.count(F.lit(1)).alias("_got")))
-    kept = keyed.join(got, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by], "left").filter(
-        (F.col("_u") < F.col("_cut")) | (F.coalesce("_got", F.lit(0)) < F.least(F.lit(n), F.col("_size"))))
-    w = Window.partitionBy(*by).orderBy(*order)
+    kept = binned.join(cuts, [*match, F.col("_bin") <= F.col("_cut")])
+    w = Window.partitionBy(*by).orderBy(draw_order(seed, id_col, salt), F.col(id_col))
     return kept.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).select(*cols)
 
 
