@@ -6,27 +6,42 @@ t is A + B - 2 dot(q, t), A and B their squared norms; the dot product only has
 terms for APs that both hear. Nothing is assumed of the sign of x, and training
 scans that share no AP with the query, or hear nothing, take part like any other.
 
-The training scans are dealt into tiles and the queries into blocks, both by a
-hash of the id, so an AP heard by a third of all scans is spread evenly. A task
-gets one (tile, block): it multiplies the two sparse matrices in bounded dense
+Where the training scans fit a tile for each core, they are dealt into tiles by a hash
+of the id, so an AP heard by a third of all scans is spread evenly. A task gets one
+tile and one block of queries: it multiplies the two sparse matrices in bounded dense
 pieces and keeps the k nearest of its tile for every query. Only those k rows are
-shuffled again, to take the k nearest of all tiles; no pair of scans is. Tile and
-block counts follow the numbers of scans.
+shuffled again.
+
+Beyond that a pivot index decides which scans a query meets at all. Pivots are training
+scans drawn by a hash, at most ``MOST_PIVOTS``, sent to the tasks; every training
+scan belongs to its nearest pivot. A query first meets the nearest groups that hold
+k scans. The k-th distance found there bounds what can still matter: by the
+triangle inequality a group is left out if its ring around the pivot, or its side of
+the plane between its pivot and the query's nearest, is farther away. The other
+groups are met in a second pass. A group of many scans or visitors is laid out over a
+grid of tasks, by hashes of both ids. The result is exact; how much is left out
+depends on how the scans cluster.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiomap.functions.signal import FILL_DBM
+from radiomap.session import materialize, ship
 
 K = 3  # fixed value: neighbours used by the survey's nearest-fingerprint models
 TILE_SCANS = 8192  # scans of one side in a task, at most about
+PIVOT_SCANS = 2048  # training scans for which a pivot is drawn
+MOST_PIVOTS = 2048  # bounds what the tasks are sent and the work of finding a scan's pivot
 _ROWS, _COLUMNS = 512, 4096  # dense piece of one product
 
 
@@ -40,15 +55,17 @@ def _vectors(ids: DataFrame, reading: DataFrame, fill: int) -> DataFrame:
         "id", F.col("v.ap_id").alias("aps"), F.col("v.x").alias("xs"))
 
 
-def _sparse(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sparse(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """(ids in order, row of each entry, AP of each entry, x of each entry)."""
-    order = np.argsort(table["id"].to_numpy(), kind="stable").astype(np.int64)
-    table = table.take(pa.array(order))
-    aps = table["aps"].combine_chunks()
-    sizes = np.array([len(x) for x in aps], np.int64)
-    return (table["id"].to_numpy(), np.repeat(np.arange(len(sizes)), sizes),
-            np.array([a for x in aps.to_pylist() for a in x], dtype=object),
-            np.array([v for x in table["xs"].to_pylist() for v in x], dtype=np.float64))
+    table = table.select(["id", "aps", "xs"]).sort_by("id").combine_chunks()
+    aps, xs = table["aps"].combine_chunks(), table["xs"].combine_chunks()
+    sizes = pa.compute.list_value_length(aps).to_numpy(zero_copy_only=False).astype(np.int64)
+    return table["id"].to_numpy(), np.repeat(np.arange(len(sizes)), sizes), aps.flatten(), xs.flatten().to_numpy().astype(np.float64)
+
+
+def _columns(aps: pa.Array, names: pa.Array) -> np.ndarray:
+    """The place of each AP among ``names``, -1 for others."""
+    return pa.compute.fill_null(pa.compute.index_in(aps, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _dense(rows: np.ndarray, cols: np.ndarray, xs: np.ndarray, lo: int, hi: int, c0: int, c1: int) -> np.ndarray:
@@ -64,9 +81,8 @@ def nearest_in_tile(queries: pa.Table, tile: pa.Table, k: int) -> pa.Table:
     t_ids, t_rows, t_aps, t_x = _sparse(tile)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(q_ids) and len(t_ids):
-        names = {a: i for i, a in enumerate(sorted(set(q_aps.tolist())))}
-        q_cols = np.array([names[a] for a in q_aps], dtype=np.int64)
-        t_cols = np.array([names.get(a, -1) for a in t_aps], dtype=np.int64)
+        names = q_aps.unique()
+        q_cols, t_cols = _columns(q_aps, names), _columns(t_aps, names)
         b = np.bincount(t_rows, weights=t_x * t_x, minlength=len(t_ids))
         a = np.bincount(q_rows, weights=q_x * q_x, minlength=len(q_ids))
         for lo in range(0, len(q_ids), _ROWS):
@@ -94,6 +110,125 @@ def _parts(n: int, cores: int) -> int:
     return max(1, math.ceil(n / TILE_SCANS), min(cores, math.ceil(n / 512)))
 
 
+@dataclass
+class Pivots:
+    """The pivots' vectors over the APs that they hear, and, once known, the scans, the
+    least and the largest distance of each pivot's group."""
+
+    names: pa.Array
+    vectors: np.ndarray
+    count: np.ndarray | None = None
+    near: np.ndarray | None = None
+    far: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Pivots:
+        ids, row, aps, x = _sparse(rows)
+        names = aps.unique()
+        vectors = np.zeros((len(ids), max(len(names), 1)))
+        vectors[row, _columns(aps, names)] = x
+        return cls(names, vectors)
+
+    def distances(self, batch: pa.RecordBatch) -> np.ndarray:
+        """(rows, pivots), exact but for the root: entries are whole numbers."""
+        aps, xs = batch.column("aps"), batch.column("xs")
+        row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(aps).to_numpy(zero_copy_only=False).astype(np.int64))
+        col, x = _columns(aps.flatten(), self.names), xs.flatten().to_numpy().astype(np.float64)
+        own = np.bincount(row, weights=x * x, minlength=batch.num_rows)
+        dense = np.zeros((batch.num_rows, self.vectors.shape[1]))
+        dense[row[col >= 0], col[col >= 0]] = x[col >= 0]
+        square = own[:, None] + (self.vectors ** 2).sum(axis=1)[None, :] - 2 * dense @ self.vectors.T
+        return np.sqrt(np.maximum(square, 0))
+
+    def first(self, distance: np.ndarray, k: int) -> np.ndarray:
+        """Whether a query meets a group at first: the nearest that together hold k scans."""
+        order = np.argsort(distance, axis=1, kind="stable")
+        held = np.cumsum(self.count[order], axis=1) - self.count[order]
+        out = np.zeros(distance.shape, bool)
+        np.put_along_axis(out, order, held < k, axis=1)
+        return out & (self.count > 0)
+
+    def possible(self, distance: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Whether a group can hold a scan within ``bound`` of a query."""
+        nearest = np.where(self.count > 0, distance, np.inf).min(axis=1)
+        least = np.maximum(np.maximum(distance - self.far, self.near - distance), (distance - nearest[:, None]) / 2)
+        return (least <= bound[:, None] * (1 + 1e-9) + 1e-6) & (self.count > 0)
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few enough rows to stand beside all pivots."""
+    return (b.slice(start, _ROWS) for b in batches for start in range(0, b.num_rows, _ROWS))
+
+
+_SCAN = "id long, aps array<string>, xs array<bigint>"
+
+
+def _meet(visits: DataFrame, scans: DataFrame, count: np.ndarray, k: int) -> DataFrame:
+    """(query_id, neighbor_id, d2): the k nearest scans of each visited group, or of each
+    part of a large one. ``visits``: (query scan, pivot), ``scans``: (scan, pivot)."""
+    callers = {r["pivot"]: r["n"] for r in visits.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
+    sides = [(p, int(-(-count[p] // TILE_SCANS)), int(-(-n // TILE_SCANS))) for p, n in callers.items()]
+    grid = visits.sparkSession.createDataFrame(sides, "pivot int, tiles int, blocks int")
+    part, every = (lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    q = visits.join(grid, "pivot").withColumn("block", part("blocks")).withColumn("tile", every("tiles")).drop("tiles", "blocks")
+    t = scans.join(grid, "pivot").withColumn("tile", part("tiles")).withColumn("block", every("blocks")).drop("tiles", "blocks")
+    return q.groupBy("pivot", "tile", "block").cogroup(t.groupBy("pivot", "tile", "block")).applyInArrow(
+        lambda left, right: nearest_in_tile(left, right, k), "query_id long, neighbor_id long, d2 long")
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("d2", "neighbor_id")
+    return near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("query_id", "neighbor_id", "d2", "rn")
+
+
+def indexed_neighbors(queries: DataFrame, scans: DataFrame, n_scans: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(neighbours as from ``knn_neighbors``, the visits (id, pivot) paid), by the pivot index.
+    ``queries`` and ``scans`` are vectors (id, aps, xs)."""
+    sc = ship(scans.sparkSession).sparkContext
+    scans, queries = materialize(scans, "knn-scans"), materialize(queries, "knn-queries")
+    wanted = min(MOST_PIVOTS, math.ceil(n_scans / PIVOT_SCANS))
+    drawn = scans.orderBy(F.xxhash64("id"), "id").limit(wanted)  # a bounded number of rows
+    pivots = Pivots.of(drawn.toArrow())
+    shared = sc.broadcast(pivots)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches):
+            d = shared.value.distances(b)
+            own = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(own)), own])],
+                                             ["id", "aps", "xs", "pivot", "radius"])
+
+    dealt = materialize(scans.mapInArrow(assign, f"{_SCAN}, pivot int, radius double"), "knn-groups")
+    groups = dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("near"), F.max("radius").alias("far")).collect()
+    pivots.count, pivots.near, pivots.far = np.zeros(len(pivots.vectors), np.int64), np.zeros(len(pivots.vectors)), np.zeros(len(pivots.vectors))
+    for g in groups:
+        pivots.count[g["pivot"]], pivots.near[g["pivot"]], pivots.far[g["pivot"]] = g["n"], g["near"], g["far"]
+    known = sc.broadcast(pivots)
+    dealt = dealt.drop("radius")
+
+    def visits(again: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = known.value
+            for b in _small(batches):
+                d = index.distances(b)
+                meets = index.first(d, k)
+                if again:
+                    meets = index.possible(d, np.sqrt(b.column("bound").to_numpy())) & ~meets
+                row, pivot = np.nonzero(meets)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in b.columns[:3]), pa.array(pivot.astype(np.int32))],
+                                                 ["id", "aps", "xs", "pivot"])
+        return run
+
+    schema = f"{_SCAN}, pivot int"
+    first = materialize(queries.mapInArrow(visits(False), schema), "knn-first")
+    found = materialize(_best(_meet(first, dealt, pivots.count, k), k), "knn-found")
+    bound = found.groupBy(F.col("query_id").alias("id")).agg(F.max("d2").cast("double").alias("bound"))
+    second = materialize(queries.join(bound, "id").select("id", "aps", "xs", "bound").mapInArrow(visits(True), schema), "knn-second")
+    more = _meet(second, dealt, pivots.count, k)
+    paid = first.select("id", "pivot").unionByName(second.select("id", "pivot"))
+    return _best(found.drop("rn").unionByName(more), k), paid
+
+
 def knn_neighbors(queries: DataFrame, train: DataFrame, reading: DataFrame, k: int = K,
                   fill: int = FILL_DBM) -> DataFrame:
     """(query_id, neighbor_id, d2, rn) for the k nearest training scans of every
@@ -101,16 +236,17 @@ def knn_neighbors(queries: DataFrame, train: DataFrame, reading: DataFrame, k: i
     tables with ``obs_id``, each id taken once."""
     queries, train = queries.select("obs_id").distinct(), train.select("obs_id").distinct()
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    tiles, blocks = _parts(train.count(), cores), _parts(queries.count(), 1)
+    n_train = train.count()
+    if n_train > max(cores, 1) * TILE_SCANS:
+        return indexed_neighbors(_vectors(queries, reading, fill), _vectors(train, reading, fill), n_train, k)[0]
+    tiles, blocks = _parts(n_train, cores), _parts(queries.count(), 1)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     q = _vectors(queries, reading, fill).withColumn("block", part(blocks)).withColumn("tile", every(tiles))
     t = _vectors(train, reading, fill).withColumn("tile", part(tiles)).withColumn("block", every(blocks))
     near = q.groupBy("tile", "block").cogroup(t.groupBy("tile", "block")).applyInArrow(
         lambda left, right: nearest_in_tile(left, right, k), "query_id long, neighbor_id long, d2 long")
-    w = Window.partitionBy("query_id").orderBy("d2", "neighbor_id")
-    return (near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-            .select("query_id", "neighbor_id", "d2", "rn"))
+    return _best(near, k)
 
 
 def knn_predict(neighbors: DataFrame, train_labels: DataFrame, classes=(), numbers=()) -> DataFrame:
