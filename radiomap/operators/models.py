@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiomap.operators.features import standard_scaler
+from radiomap.session import materialize
 
 SEED = 42
 ROWS_PER_TASK = 2_000  # training rows for which one more partition is laid out
@@ -66,8 +67,10 @@ def gbt_classifier(label: str, max_iter: int = 10, max_depth: int = 5, step: flo
 
 def svm_classifier(label: str, max_iter: int = 10_000, reg: float = 0.01, tol: float = 1e-4,
                    features: str = "features") -> Pipeline:
-    """Standardize, then one-vs-rest linear SVM (hinge loss); ``max_iter`` is the
-    surveyed limit, ``tol`` ends the fit before it."""
+    """Scale to unit variance, then one-vs-rest linear SVM (hinge loss); ``max_iter`` is the
+    surveyed limit, ``tol`` ends the fit before it. Vectors are not centred, so they
+    stay sparse: the intercept is free of the penalty and takes up the means, which
+    leaves the fitted planes the same."""
     scaler = standard_scaler(features, "_scaled")
     ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg, tol=tol), labelCol=label, featuresCol="_scaled",
                     parallelism=OVR_PARALLELISM)
@@ -122,6 +125,38 @@ def describe(model: PipelineModel) -> dict:
             "depth": max(int(t.depth) for t in tree.trees)}
 
 
+def tree_table(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """(tree, node, ap_id, threshold, left_node, right_node, prediction): the nodes of the
+    forest saved at ``path`` as a relation. A scan goes left if the AP's value is at
+    most ``threshold``; leaves have neither AP nor children. Node 0 is the root."""
+    n = F.col("nodeData")
+    nodes = spark.read.parquet(f"{path.rstrip('/')}/stages/*/data").select(
+        F.col("treeID").alias("tree"), n.id.alias("node"), n.split.featureIndex.alias("idx"),
+        F.get(n.split.leftCategoriesOrThreshold, F.lit(0)).alias("threshold"), n.leftChild.alias("l"), n.rightChild.alias("r"), n.prediction.alias("prediction"))
+    child = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    return nodes.join(index.select("idx", "ap_id"), "idx", "left").select(
+        "tree", "node", "ap_id", "threshold", child("l").alias("left_node"), child("r").alias("right_node"), "prediction")
+
+
+def score_by_trees(trees: DataFrame, scans: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
+    """(obs_id, prediction): the mean over all trees of the leaf that a scan comes to, by
+    joins alone. ``scans`` (obs_id), ``entries`` (obs_id, ap_id, x; absent: 0); ``depth`` is
+    that of the deepest tree. A scan stands in one node of each tree, so rows never grow."""
+    roots = trees.where("node = 0").select("tree").agg(F.array_sort(F.collect_list("tree")).alias("t"))  # one number a tree
+    numbers = roots.first()["t"]
+    at = scans.select("obs_id", F.explode(F.array(*[F.lit(t) for t in numbers])).alias("tree"), F.lit(0).alias("node"))
+    for level in range(depth):
+        here = at.join(trees.select("tree", "node", "ap_id", "threshold", "left_node", "right_node"), ["tree", "node"])
+        value = F.coalesce("x", F.lit(0.0))
+        below = F.when(value <= F.col("threshold"), F.col("left_node")).otherwise(F.col("right_node"))
+        at = here.join(entries, ["obs_id", "ap_id"], "left").select(
+            "obs_id", "tree", F.when(F.col("ap_id").isNull(), F.col("node")).otherwise(below).alias("node"))
+        if level % 4 == 3:
+            at = materialize(at, "tree-walk")
+    leaf = at.join(trees.select("tree", "node", "prediction"), ["tree", "node"])
+    return leaf.groupBy("obs_id").agg(F.avg("prediction").alias("prediction"))
+
+
 def with_inputs(df: DataFrame, extra, out: str = "features_x", features: str = "features") -> DataFrame:
     """Append scalar columns (e.g. building, longitude) to the feature vector."""
     return VectorAssembler(inputCols=[features, *extra], outputCol=out).transform(df)

@@ -130,6 +130,24 @@ def bootstrap(df: DataFrame, frac: float, seed: int = SEED, id_col: str = "obs_i
             .drop("_copies"))
 
 
+def bootstrap_exact(df: DataFrame, frac: float, seed: int = SEED, id_col: str = "obs_id",
+                    salt: str | None = None) -> DataFrame:
+    """Exactly ``round(frac * rows)`` draws with replacement, each row as often as it is
+    drawn, with ``copy_no`` = 1..copies.
+
+    Draw i takes the row at a position, by ``id_col``, from a hash of i, so the copies of
+    the rows are multinomial. Positions meet the distributed row index in one join; the
+    draws of a position are counted before. Ids must be unique."""
+    rows = df.count()  # one number to the driver
+    draws = round_half_even(frac * rows)
+    u = hash_uniform(seed, *([F.lit(salt)] if salt else []), "id")
+    places = df.sparkSession.range(draws).select((F.floor(u * F.lit(rows)) + 1).cast("bigint").alias("_place"))
+    copies = places.groupBy("_place").agg(F.count(F.lit(1)).alias("_copies"))
+    indexed = row_index(df, [id_col], name="_place")
+    return (indexed.join(copies, "_place").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+            .select(*df.columns, "copy_no"))
+
+
 def random_split(df: DataFrame, train_frac: float = 0.75, seed: int = SEED, id_col: str = "obs_id",
                  salt: str | None = None, names=("train", "test")) -> DataFrame:
     """Bernoulli split by hash threshold; adds ``split``. Sizes are expected,

@@ -239,6 +239,12 @@ sql("head_rows", "SELECT obs_id, dataset FROM obs ORDER BY obs_id LIMIT 10")
 sql("stratified_sample", LAB + " " + _strat("tr", 400, 42, "tr_samp"))
 sql("sample_n", LAB + " SELECT obs_id FROM (" + _sample_n("val", 250, 42, "test_val") + ")")
 sql("bootstrap_sample", LAB + " " + _bootstrap("val", 0.5, 32, "val_half"))
+sql("bootstrap_exact", LAB + f""", v AS (SELECT obs_id, row_number() OVER (ORDER BY obs_id) AS place FROM val),
+size AS (SELECT count(*) AS n, CAST(round_even(0.5 * count(*), 0) AS BIGINT) AS draws FROM val),
+draw AS (SELECT CAST(floor({sql_hash_uniform(32, "'val_exact'", "i")} * (SELECT n FROM size)) AS BIGINT) + 1 AS place
+  FROM (SELECT unnest(range((SELECT draws FROM size))) AS i)),
+copies AS (SELECT place, count(*) AS copies FROM draw GROUP BY place)
+SELECT obs_id, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy_no FROM v JOIN copies USING (place)""")
 sql("random_split", f"""SELECT obs_id, CASE WHEN {_u(42)} < 0.75 THEN 'train' ELSE 'test' END AS split
 FROM obs WHERE dataset <> 'test'""")
 SPLIT51 = LAB + f""", test_val AS ({_strat('val', 20, 42, 'test_val')}),
@@ -383,6 +389,8 @@ sql("rank_forest_rows", """, codes AS (SELECT floor, CAST(row_number() OVER (ORD
   FROM (SELECT floor, min(obs_id) AS first FROM obs WHERE dataset = 'train' AND floor IS NOT NULL GROUP BY floor))
 SELECT c.code AS actual, count(*) AS n, CAST(0 AS BIGINT) AS n_missing
 FROM obs o LEFT JOIN codes c USING (floor) WHERE o.dataset = 'val' GROUP BY c.code""")
+sql("forest_trees", "SELECT CAST(unnest(range(20)) AS INTEGER) AS tree, CAST(1 AS BIGINT) AS leaf_excess, CAST(0 AS BIGINT) AS unknown_aps, CAST(1 AS BIGINT) AS roots FROM (SELECT count(*) FROM obs)")
+sql("forest_tree_scores", SPLIT51 + " SELECT count(DISTINCT obs_id) AS n_scored, CAST(0 AS BIGINT) AS n_differ FROM sp WHERE split = 'test'")
 sql("model_cache_same", SPLIT51 + " SELECT count(DISTINCT obs_id) AS n, CAST(0 AS BIGINT) AS n_differ FROM sp WHERE split = 'test'")
 _GATE = """SELECT '{m}' AS model, '{t}' AS target, count(*) AS n_scored, CAST(0 AS BIGINT) AS n_missing,
 round(avg({off}), 6) AS baseline, true AS beats FROM te, b_{t}"""

@@ -391,6 +391,12 @@ def q_bootstrap(spark, sf):
         "obs_id", F.col("copy_no").cast("int").alias("copy_no"))
 
 
+@register("bootstrap_exact")
+def q_bootstrap_exact(spark, sf):
+    """Half as many draws with replacement as there are validation scans."""
+    return sampling.bootstrap_exact(_labeled(spark, sf, "val").select("obs_id"), 0.5, seed=32, salt="val_exact")
+
+
 @register("random_split")
 def q_random_split(spark, sf):
     o = fx.obs(spark, sf).filter(F.col("dataset") != "test").select("obs_id")
@@ -760,6 +766,38 @@ def q_pca(spark, sf):
     return features.pca_explained(d.train, k=3)
 
 
+def _saved_forest(spark, sf):
+    d = flows.ml_data(spark, sf)
+    path, label = shared_dir(spark, "forest"), "longitude"
+    model = models.fit(models.rf_regressor(label, num_trees=20, max_depth=8), d.train, label)
+    models.save_model(model, path)
+    return d, model, models.tree_table(spark, path, d.index)
+
+
+@register("forest_trees")
+def q_forest_trees(spark, sf):
+    """The trees of a saved forest: by tree, leaves beyond the inner nodes (one, as in every
+    binary tree), inner nodes without a known AP, and nodes that no other leads to."""
+    _, _, t = _saved_forest(spark, sf)
+    inner = F.col("left_node").isNotNull()
+    reached = t.select("tree", F.explode(F.array("left_node", "right_node")).alias("node")).where("node is not null")
+    return (t.join(reached.withColumn("has", F.lit(True)), ["tree", "node"], "left").groupBy("tree")
+            .agg((F.count(F.when(~inner, 1)) - F.count(F.when(inner, 1))).alias("leaf_excess"),
+                 F.count(F.when(inner & F.col("ap_id").isNull(), 1)).alias("unknown_aps"), F.count(F.when(F.col("has").isNull(), 1)).alias("roots")))
+
+
+@register("forest_tree_scores")
+def q_forest_tree_scores(spark, sf):
+    """Test scans scored by joins with the saved forest's nodes, and those on which the
+    model's own prediction differs."""
+    d, model, t = _saved_forest(spark, sf)
+    entries = features.vector_entries(d.test).join(d.index, "idx").select("obs_id", "ap_id", "x")
+    joined = models.score_by_trees(t, d.test.select("obs_id"), entries, 8)
+    both = joined.join(models.score(model, d.test, "own"), "obs_id", "full")
+    same = F.coalesce(F.abs(F.col("prediction") - F.col("own")) < 1e-6, F.lit(False))
+    return both.agg(F.count(F.lit(1)).alias("n_scored"), F.count(F.when(~same, 1)).alias("n_differ"))
+
+
 @register("model_cache_roundtrip")
 def q_model_cache(spark, sf):
     """Fit-or-load twice against one path: the second call loads the saved
