@@ -36,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radiomap.llm.text import named
+from radiomap.llm.text import named, release, releasing
 from radiomap.session import materialize
 
 #: Text in one block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Words of blocks that one bucket of the dictionary is laid out for.
 BUCKET_WORDS = 500_000
 FILTERS = "ABCDE"
@@ -143,16 +143,14 @@ def _ranks(words: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
 
 def _shard(block: pa.Table, numbers: pa.Table) -> pa.Table:
     """A block with the global number of each of its words: a CSR shard."""
-    out = []
-    for row in block.to_pylist():
-        column = np.empty(numbers.num_rows, np.int64)
-        column[numbers.column("place").to_numpy()] = numbers.column("column").to_numpy()
-        out.append({k: row[k] for k in ("block", "doc_ids", "parts", "digests", "fails")} | {
-            "starts": _unpack(row["starts"], np.int64).tobytes(), "columns": column[_unpack(row["columns"], np.int32)].tobytes(),
-            "counts": _unpack(row["counts"], np.int32).tobytes()})
-    names = ["block", "doc_ids", "parts", "digests", "fails", "starts", "columns", "counts"]
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.int32()), *[pa.binary()] * 3]
-    return pa.Table.from_pylist(out, pa.schema(list(zip(names, types, strict=True))))
+    release()
+    column = np.empty(numbers.num_rows, np.int64)
+    column[numbers.column("place").to_numpy()] = numbers.column("column").to_numpy()
+    kept = block.select(["block", "doc_ids", "parts", "digests", "fails"])
+    for name, kind in (("starts", np.int64), ("columns", np.int32), ("counts", np.int32)):
+        values = [_unpack(x.as_py(), kind) for x in block.column(name)]
+        kept = kept.append_column(name, pa.array([(column[v] if name == "columns" else v).tobytes() for v in values], pa.binary()))
+    return kept
 
 
 def matrix(docs: DataFrame, part: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -164,14 +162,15 @@ def matrix(docs: DataFrame, part: str = "source") -> tuple[DataFrame, DataFrame]
     A null or empty text is a row without entries."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col(named(part)).cast("string"), F.col("text").cast("string"))
-    blocks = materialize(source.mapInArrow(_blocks, _BLOCK), "matrix-blocks")
+    blocks = materialize(source.mapInArrow(releasing(_blocks), _BLOCK), "matrix-blocks")
     found = blocks.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(found / BUCKET_WORDS))
-    words = blocks.select("block", "words").mapInArrow(_words, "block long, place int, word binary")
+    words = blocks.select("block", "words").mapInArrow(releasing(_words), "block long, place int, word binary")
     dealt = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")).groupBy("bucket")
 
     def number(key: tuple, table: pa.Table) -> pa.Table:
         _, rank = _ranks(table.column("word"))
+        release()
         return pa.table({"block": table.column("block"), "place": table.column("place"), "column": rank * buckets + key[0].as_py()})
 
     def entries(key: tuple, table: pa.Table) -> pa.Table:
@@ -186,19 +185,19 @@ def matrix(docs: DataFrame, part: str = "source") -> tuple[DataFrame, DataFrame]
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """CSR shards as rows (doc_id, part, digest, failed filters A to D)."""
     for batch in batches:
-        for shard in batch.to_pylist():
-            starts = np.frombuffer(shard["starts"], np.int64)
-            total = np.append(0, np.cumsum(np.frombuffer(shard["counts"], np.int32), dtype=np.int64))
+        for row in range(batch.num_rows):
+            shard = {name: batch.column(name)[row] for name in ("doc_ids", "parts", "digests", "fails", "starts", "counts")}
+            starts = np.frombuffer(shard["starts"].as_buffer(), np.int64)
+            total = np.append(0, np.cumsum(np.frombuffer(shard["counts"].as_buffer(), np.int32), dtype=np.int64))
             words, distinct = total[starts[1:]] - total[starts[:-1]], np.diff(starts)
-            fails = np.array(shard["fails"], np.int32) + 1 * (words < 200) + 2 * (100 * distinct < 50 * words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard["doc_ids"], pa.int64()), pa.array(shard["parts"], pa.string()),
-                 pa.array(shard["digests"], pa.binary()), pa.array(fails.astype(np.int32))], ["doc_id", "part", "digest", "fails"])
+            fails = shard["fails"].values.to_numpy() + 1 * (words < 200) + 2 * (100 * distinct < 50 * words)
+            yield pa.RecordBatch.from_arrays([shard["doc_ids"].values, shard["parts"].values, shard["digests"].values, pa.array(fails.astype(np.int32))],
+                                             ["doc_id", "part", "digest", "fails"])
 
 
 def failures(docs: DataFrame, part: str = "source") -> DataFrame:
     """(doc_id, part, digest, fails) of each row: a bit for each failed filter, 1 (A) to 8 (D)."""
-    return matrix(docs, part)[0].mapInArrow(_decide, _ROW)
+    return matrix(docs, part)[0].mapInArrow(releasing(_decide), _ROW)
 
 
 def _cells(docs: DataFrame, labels: DataFrame, part: str) -> DataFrame:
