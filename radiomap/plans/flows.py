@@ -123,7 +123,7 @@ def tuned(spark: SparkSession, sf: str) -> Tuned:
     refit = {"floor": models.score(last, d.test, "floor")}
     out = models.score(last, unlabeled, FLOOR_MODEL)
     for t in REG_TARGETS:
-        got = search.tune_boosted(q.BOOSTED_GRID, d.train, watch, t, q.BOOSTED_DRAWS, q.FOLDS)
+        got = search.tune_boosted(q.BOOSTED_GRID, d.train, watch, t, q.BOOSTED_DRAWS, q.FOLDS, rows=q.SEARCH_ROWS)
         model = StagedBooster(t, watch).copy(got.params).fit(final)
         first[t] = models.score(got.model, d.test, t)
         refit[t] = models.score(model, d.test, t)
