@@ -50,6 +50,8 @@ PER_BUCKET = 20_000
 #: Rows of a cell beyond which it is laid out over several tasks, and rows of
 #: either side that such a task holds.
 CELL_ROWS = 10_000
+#: Large cells that are sent to every task at most; more are joined by a shuffle.
+SENT_CELLS = 50_000
 _BLOCK = 1024
 #: Pairs whose keys are laid side by side.
 _PAIRS = 1 << 17
@@ -272,7 +274,8 @@ def lay_out(vectors: DataFrame, dims: int, kind: str, cosine: float = COSINE) ->
     if large is None or rows == each * n * tables:
         spread = placed.withColumns({"line": F.lit(0), "col": F.lit(0), "stores": F.col("own"), "probes": F.lit(True)})
     else:
-        spread = placed.join(F.broadcast(large.select("tab", "cell", "lines", "cols")), ["tab", "cell"], "left")
+        side = large.select("tab", "cell", "lines", "cols")
+        spread = placed.join(F.broadcast(side) if side.count() <= SENT_CELLS else side, ["tab", "cell"], "left")
         spread = spread.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("lines", "cols")})
         spread = spread.withColumns({"my_line": F.expr("int(pmod(xxhash64(node), lines))"),
                                      "my_col": F.expr("int(pmod(xxhash64(node, 1), cols))")})

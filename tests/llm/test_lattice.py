@@ -53,9 +53,10 @@ def vectors():
     return out
 
 
-@pytest.mark.parametrize("cell", [20_000, 4])
-def test_groups(spark, vectors, cell, monkeypatch):
+@pytest.mark.parametrize(("cell", "sent"), [(20_000, 50_000), (4, 50_000), (4, 0)])
+def test_groups(spark, vectors, cell, sent, monkeypatch):
     monkeypatch.setattr(lattice, "CELL_ROWS", cell)
+    monkeypatch.setattr(lattice, "SENT_CELLS", sent)
     ids = [3 * k + 1 for k in range(len(vectors))]
     rows = [(i, v, 1, "clash") for i, v in zip(ids, vectors, strict=True)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string")
