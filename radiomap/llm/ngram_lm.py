@@ -1,29 +1,38 @@
-"""Language-model scores from a weighted backoff automaton of smoothed bigrams.
-
-Model. Modified Kneser-Ney of order two, interpolated, trained on the rows that
-are not held out. As an automaton: the root state has an arc for every word
-with the weight of the lower-order distribution; every word (and the begin of a
-text) is a state with an arc for each bigram seen after it and one failure arc,
-weighted with its backoff mass, to the root. A text's score is the sum of the
-weights on its path, one traversal from left to right.
+"""Language-model scores from a weighted backoff automaton of smoothed trigrams.
+
+Model. Modified Kneser-Ney of order three, interpolated, trained on the rows that
+are not held out; a text begins with two marks and ends with one. As an automaton:
+the root state has an arc for every word with the weight of the lowest order. Every
+word after which training goes on is a state, with an arc for each bigram seen from
+it and a failure arc to the root; every such pair of words is a state, with an arc
+for each trigram and a failure arc to the state of its last word. A failure arc
+weighs what smoothing leaves to the shorter context. A text is read once from left
+to right: the state is carried, failure arcs are followed until one has an arc for
+the word, and the weights add up.
 
 Scale. The model grows with the corpus and is never held by one process. The
 texts are packed once into blocks of about ``BLOCK_BYTES`` (word ids local to
-the block plus the 64-bit keys of its words). Three rounds follow, each by
+the block plus the 64-bit keys of its words). Four rounds follow, each by
 Spark's grouping of packed rows:
 
-1. every block sends its distinct words and bigrams with their training counts,
-   cut by key range into buckets; a bucket adds them up and answers each block
-   with the totals in the order it asked, so no keys travel back. One asking
-   block is named the owner of each bigram;
-2. every block adds up, for the bigrams it owns, the continuation counts of
-   their words; buckets of words add these and answer in the same way;
-3. every block builds the part of the automaton that its texts can reach and
+1. every block asks for the training counts of its distinct words and trigrams. A
+   request is cut by key range; a range adds up what it is sent and answers in the
+   order asked, so no keys travel back. One asking block is named the owner of each
+   trigram;
+2. every block adds up, for the trigrams it owns, the continuation counts of their
+   last pair and the followers of their first pair, and asks for these by pair;
+3. the same again from the owned pairs to their words;
+4. every block builds the part of the automaton that its texts can reach and
    walks it.
 
+A request has at most ``FAN`` rows. Where the corpus needs more ranges than that,
+requests go through levels of relays: a relay joins the requests of up to about
+``FAN`` blocks for one range, passes them on to the ranges inside it, and hands the
+answers back. So rows grow with the blocks, not with blocks times ranges.
+
 No list is kept by word, so a very frequent word is a row for each block at most.
-Keys are 64-bit hashes: with v distinct words or bigrams two share a key with
-odds of about v^2 / 2^65.
+Keys are 64-bit hashes: with v distinct words, pairs or trigrams two share a key
+with odds of about v^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -38,20 +47,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiomap.llm.text import mix, utf8, word_keys
+from radiomap.llm.text import mix, release, utf8, word_keys
 from radiomap.session import materialize
 
 #: Text in one block.
-BLOCK_BYTES = 16 << 20
-#: Tokens for which a bucket of words and one of bigrams is laid out.
-BUCKET_TOKENS = 2_500_000
+BLOCK_BYTES = 12 << 20
+#: Tokens for which one more key range is laid out.
+BUCKET_TOKENS = 2_000_000
+#: Rows of a request at most, and about as many requests for a relay.
+FAN = 512
+#: Tokens that the walk takes out of arrays at a time.
+STRIDE = 1 << 16
 END, BEGIN = np.uint64(0), np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-WORDS, BIGRAMS, CONTEXTS = 0, 1, 2
+WORDS, TRIGRAMS, PAIRS, HEADS = 0, 1, 2, 3
 
 _BLOCK_SCHEMA = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, ids binary"
-_ASK_SCHEMA = "kind int, bucket int, block long, keys binary, counts binary"
-_ANSWER_SCHEMA = "block long, kind int, bucket int, totals binary, stats array<long>"
+_ASK_SCHEMA = "kind int, lane long, node long, keys binary, counts binary"
+_ANSWER_SCHEMA = "node long, kind int, lane long, totals binary, stats array<long>"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -104,8 +117,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+class _Types:
+    """The distinct keys of a stream, sorted: training counts, one position of each."""
+
+    def __init__(self, stream: np.ndarray, trains: np.ndarray):
+        order = np.argsort(stream)
+        ranked = stream[order]
+        fresh = np.append(True, ranked[1:] != ranked[:-1])
+        first = np.flatnonzero(fresh)
+        self.keys, self.at = ranked[first], order[first]
+        self.counts = np.add.reduceat(trains[order], first, dtype=np.int64)
+        self.of = np.empty(len(order), np.int32)
+        self.of[order] = np.cumsum(fresh) - 1
+
+
 class _Block:
-    """One block: words (begin first), the token stream and its bigram types."""
+    """One block: words (begin first), the token stream, its pairs and trigrams.
+
+    A place behind the stream stands for the two marks before a text's first word."""
 
     def __init__(self, row: dict):
         self.block = row["block"]
@@ -113,155 +142,244 @@ class _Block:
         self.held = np.array(row["held"], bool)
         self.sizes = np.array(row["sizes"], np.int64)
         self.words = np.append(BEGIN, np.frombuffer(row["words"], np.uint64))
-        self.ids = _unpack(row["ids"], np.uint32).astype(np.int64) + 1
+        self.ids = np.append(_unpack(row["ids"], np.uint32).astype(np.int32) + 1, np.int32(0))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.before = np.append(0, self.ids[:-1])
-        self.before[self.starts] = 0
-        self.trains = np.repeat(~self.held, self.sizes)
+        self.last = np.arange(-1, len(self.ids) - 1)  # the place before each token
+        self.last[self.starts] = len(self.ids) - 1
+        self.before = self.ids[self.last]
+        self.before[-1] = 0
+        self.trains = np.append(np.repeat(~self.held, self.sizes), False)
         self.sorted_words = np.argsort(self.words)
 
     def word_counts(self) -> tuple[np.ndarray, np.ndarray]:
         n = np.bincount(self.ids[self.trains], minlength=len(self.words))
         return self.words[self.sorted_words], n[self.sorted_words]
 
-    def types(self) -> None:
-        """Distinct bigrams in key order: keys, training counts, one position of each."""
-        key = mix(self.words[self.before] * _STEP + self.words[self.ids])
-        self.order = np.argsort(key)
-        key = key[self.order]
-        self.fresh = np.append(True, key[1:] != key[:-1])
-        first = np.flatnonzero(self.fresh)
-        self.keys, self.at = key[first], self.order[first]
-        self.counts = np.add.reduceat(self.trains[self.order], first, dtype=np.int64)
-
-    def type_of_token(self) -> np.ndarray:
-        out = np.empty(len(self.order), np.int64)
-        out[self.order] = np.cumsum(self.fresh) - 1
-        return out
+    def types(self, trigrams: bool = True) -> None:
+        keys = mix(self.words[self.before] * _STEP + self.words[self.ids])
+        self.pairs = _Types(keys, self.trains)
+        if trigrams:
+            self.trigrams = _Types(mix(keys[self.last[:-1]] * _STEP + self.words[self.ids[:-1]]), self.trains[:-1])
 
 
-def _ask(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[dict]:
-    """Sorted keys with a row of counts each, cut into equal key ranges."""
-    edges = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], np.uint64)
+def _ask(kind: int, node: int, parent: int, fan: int, ranges: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
+    """Sorted keys of the range ``parent`` with a row of counts each, cut into the
+    ``fan`` ranges that lie inside it, of ``ranges`` in all."""
+    edges = np.array([-(-((parent * fan + k) << 64) // ranges) for k in range(1, fan)], np.uint64)
     cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-    for b in range(buckets):
+    for b in range(fan):
         lo, hi = cut[b], cut[b + 1]
         if hi > lo:
-            yield {"kind": kind, "bucket": b, "block": block, "keys": keys[lo:hi].tobytes(),
-                   "counts": _pack(counts[lo:hi].astype(np.int64))}
+            yield {"kind": kind, "lane": parent * fan + b, "node": node,
+                   "keys": _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), "counts": _pack(counts[lo:hi].astype(np.int64))}
+
+
+_ASK = pa.schema([("kind", pa.int32()), ("lane", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ANSWER = pa.schema([("node", pa.int64()), ("kind", pa.int32()), ("lane", pa.int64()), ("totals", pa.binary()), ("stats", pa.list_(pa.int64()))])
+
+
+def _wide(kind: int) -> int:
+    return 5 if kind in (PAIRS, HEADS) else 1
+
+
+class _Requests:
+    """The requests for one key range joined: distinct keys with summed counts."""
+
+    def __init__(self, table: pa.Table):
+        rows = sorted(table.select(["kind", "lane", "node", "keys", "counts"]).to_pylist(), key=lambda r: r["node"])
+        self.kind, self.lane, self.nodes = rows[0]["kind"], rows[0]["lane"], [r["node"] for r in rows]
+        lists = [np.cumsum(_unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+        self.sizes = [len(x) for x in lists]
+        keys = np.concatenate(lists)
+        counts = np.concatenate([_unpack(r["counts"], np.int64) for r in rows]).reshape(-1, _wide(self.kind))
+        order = np.argsort(keys, kind="stable")
+        fresh = np.append(True, keys[order][1:] != keys[order][:-1])
+        first = np.flatnonzero(fresh)
+        self.keys, self.sums = keys[order[first]], np.add.reduceat(counts[order], first, axis=0)
+        self.first = order[first]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(fresh) - 1
+
+    def answers(self, codes: np.ndarray) -> list[dict]:
+        """``codes``, one row a distinct key, in the order of every request. The first
+        column is a total doubled, plus one for an owner; of several requests for a key
+        that of the least number keeps the mark."""
+        out = codes[self.of]
+        mark = out[self.first, 0] % 2
+        out[:, 0] -= out[:, 0] % 2
+        out[self.first, 0] += mark
+        rows, at = [], 0
+        for node, n in zip(self.nodes, self.sizes, strict=True):
+            rows.append({"node": node, "kind": self.kind, "lane": self.lane, "totals": _pack(out[at:at + n]), "stats": None})
+            at += n
+        return rows
 
 
-def _table(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema)
+def _answer(table: pa.Table) -> pa.Table:
+    """One range: totals for every request, and statistics of the first column: its
+    sum, how many are 1, 2, 3 and 4, and how many are above 0."""
+    asked = _Requests(table)
+    n = asked.sums[:, 0]
+    stats = [int(n.sum()), *(int((n == k).sum()) for k in (1, 2, 3, 4)), int((n > 0).sum())]
+    codes = asked.sums.copy()
+    codes[:, 0] = codes[:, 0] * 2 + 1
+    rows = [{"node": None, "kind": asked.kind, "lane": asked.lane, "totals": None, "stats": stats}, *asked.answers(codes)]
+    release()
+    return pa.Table.from_pylist(rows, _ANSWER)
+
+
+def _exchange(asks: DataFrame, fan: int, levels: int, nodes: int, level: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(answers to ``nodes`` askers, statistics of the ranges)."""
+    if level == levels:
+        out = materialize(asks.groupBy("kind", "lane").applyInArrow(_answer, _ANSWER_SCHEMA), "lm-totals")
+        return out.where("node is not null").drop("stats"), out.where("node is null")
+    teams = math.ceil(nodes / fan)
+    held = materialize(asks.withColumn("team", F.pmod(F.xxhash64("node"), F.lit(teams))), "lm-asks")
+
+    def relay(table: pa.Table) -> pa.Table:
+        asked = _Requests(table)
+        rows = list(_ask(asked.kind, table["team"][0].as_py(), asked.lane, fan, fan ** (level + 1), asked.keys, asked.sums))
+        release()
+        return pa.Table.from_pylist(rows, _ASK)
+
+    def hand_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = _Requests(left)
+        rows = asked.answers(_totals(right, asked.kind))
+        release()
+        return pa.Table.from_pylist(rows, _ANSWER)
+
+    got, stats = _exchange(held.groupBy("kind", "lane", "team").applyInArrow(relay, _ASK_SCHEMA), fan, levels, teams, level + 1)
+    got = got.withColumn("parent", F.expr(f"lane div {fan}")).withColumnRenamed("node", "team")
+    back = held.groupBy("kind", "lane", "team").cogroup(got.groupBy("kind", "parent", "team"))
+    return materialize(back.applyInArrow(hand_back, _ANSWER_SCHEMA).drop("stats"), "lm-back"), stats
 
 
-_ASK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("stats", pa.list_(pa.int64()))])
+def _totals(table: pa.Table, kind: int) -> np.ndarray:
+    """An asker's answers of one kind, in the order of its sorted keys."""
+    rows = sorted((r for r in table.select(["kind", "lane", "totals"]).to_pylist() if r["kind"] == kind), key=lambda r: r["lane"])
+    return np.concatenate([_unpack(r["totals"], np.int64) for r in rows]).reshape(-1, _wide(kind))
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """One bucket: totals for every block that asked, in its order, and statistics.
-
-    Words: [tokens, distinct words]. Bigrams: total doubled, plus one for the
-    owner (the asking block of least number), and the numbers of types seen 1, 2,
-    3 and 4 times and of all. Contexts: rows of four sums."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    kind, bucket = rows[0]["kind"], rows[0]["bucket"]
-    wide = 4 if kind == CONTEXTS else 1
-    sizes = [len(r["keys"]) // 8 for r in rows]
-    keys = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64)
-    counts = np.concatenate([_unpack(r["counts"], np.int64) for r in rows]).reshape(-1, wide)
-    order = np.argsort(keys, kind="stable")
-    fresh = np.append(True, keys[order][1:] != keys[order][:-1])
-    first = np.flatnonzero(fresh)
-    sums = np.add.reduceat(counts[order], first, axis=0)
-    out = np.empty_like(counts)
-    out[order] = sums[np.cumsum(fresh) - 1]
-    stats: list[int] = []
-    if kind == WORDS:
-        stats = [int(sums.sum()), int((sums > 0).sum())]
-    elif kind == BIGRAMS:
-        stats = [int((sums == k).sum()) for k in (1, 2, 3, 4)] + [int((sums > 0).sum())]
-        out = out * 2
-        out[order[first]] += 1
-    back, at = [{"block": None, "kind": kind, "bucket": bucket, "totals": None, "stats": stats}], 0
-    for r, n in zip(rows, sizes, strict=True):
-        back.append({"block": r["block"], "kind": kind, "bucket": bucket, "totals": _pack(out[at:at + n]), "stats": None})
-        at += n
-    return pa.Table.from_pylist(back, _ANSWER)
+def _sums(tails: np.ndarray, heads: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """From owned types seen n times: by tail the types, by head those seen once,
+    twice and more often, and n in all."""
+    return np.stack([np.bincount(tails, minlength=size)]
+                    + [np.bincount(heads[hit], minlength=size) for hit in (n == 1, n == 2, n > 2)]
+                    + [np.bincount(heads, n, minlength=size).astype(np.int64)], axis=1)
 
 
-def _totals(table: pa.Table, kind: int) -> np.ndarray:
-    """A block's answers of one kind, in the order of its sorted keys."""
-    rows = sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
-    return np.concatenate([_unpack(r["totals"], np.int64) for r in rows])
+def _owned(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Types that this block owns and that training has seen, and how often."""
+    own = np.flatnonzero((codes % 2 == 1) & (codes > 1))
+    return own, codes[own] // 2
 
 
-def _contexts(block: _Block, answers: pa.Table, buckets: int) -> Iterator[dict]:
-    """Continuation counts from the bigrams that this block owns: of their last
-    words, and by first word the types seen once, twice and more often."""
+def _pair_sums(block: _Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     block.types()
-    code = _totals(answers, BIGRAMS)
-    own = np.flatnonzero((code % 2 == 1) & (code > 1))
-    n, at = code[own] // 2, block.at[own]
-    size, heads = len(block.words), block.before[at]
-    sums = np.stack([np.bincount(block.ids[at], minlength=size)]
-                    + [np.bincount(heads[hit], minlength=size) for hit in (n == 1, n == 2, n > 2)], axis=1)
-    yield from _ask(CONTEXTS, block.block, block.words[block.sorted_words], sums[block.sorted_words], buckets)
+    own, n = _owned(_totals(answers, TRIGRAMS)[:, 0])
+    at = block.trigrams.at[own]
+    return block.pairs.keys, _sums(block.pairs.of[at], block.pairs.of[block.last[at]], n, len(block.pairs.keys))
+
+
+def _head_sums(block: _Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    block.types(trigrams=False)
+    own, n = _owned(_totals(answers, PAIRS)[:, 0])
+    at = block.pairs.at[own]
+    sums = _sums(block.ids[at], block.before[at], n, len(block.words))
+    return block.words[block.sorted_words], sums[block.sorted_words]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    """What is taken from bigrams seen 0, 1, 2 and more times (modified Kneser-Ney
-    estimates, kept within [0, 1], [0, 2] and [0, 3]; 0.5 where a count is 0)."""
+    """What is taken from n-grams seen 0, 1, 2 and more times (modified Kneser-Ney
+    estimates, kept between 0.1 and 1, 2 and 3, so that every failure arc has a weight;
+    0.5 where a count is 0)."""
     if not (n1 and n2):
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = n1 / (n1 + 2 * n2)
     d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.5]
-    return np.array([0.0, *(min(max(x, 0.0), k) for k, x in zip((1, 2, 3), d, strict=True))])
+    return np.array([0.0, *(min(max(x, 0.1), k) for k, x in zip((1, 2, 3), d, strict=True))])
 
 
 class Automaton:
     """The states and arcs that one block can reach.
 
-    ``root[w]``: weight of the root's arc for word w. ``fail[u]``: weight of
-    state u's failure arc. ``arc[k]``: weight of the arc of bigram type k, nan if
-    the state has none for it."""
+    ``root[w]``: weight of the root's arc for word w. ``fail1[u]``, ``fail2[k]``:
+    weights of the failure arcs of the states of word u and of pair k; ``is1``, ``is2``:
+    whether there are such states. ``arc2[k]``, ``arc3[k]``: weight of the arc of pair
+    or trigram type k, nan if its context's state has none for it."""
 
     def __init__(self, block: _Block, answers: pa.Table, model: dict):
         order = block.sorted_words
-        count, more = np.empty(len(order), np.int64), np.empty((len(order), 4), np.int64)
-        count[order] = _totals(answers, WORDS)
-        more[order] = _totals(answers, CONTEXTS).reshape(-1, 4)
-        self.count = count
-        heads = count.copy()  # every token but the end is followed by one; the begin comes as often as the end
-        heads[0] = count[np.flatnonzero(block.words == END)[0]]
-        d, half = model["discounts"], 0.5 * (model["vocabulary"] + 1)
-        low = (more[:, 0] + 0.5) / (model["types"] + half)
+        count, heads = np.empty(len(order), np.int64), np.empty((len(order), 5), np.int64)
+        count[order] = _totals(answers, WORDS)[:, 0] // 2
+        heads[order] = _totals(answers, HEADS)
+        heads[:, 0] //= 2
+        pairs = _totals(answers, PAIRS)
+        pairs[:, 0] //= 2
+        n = _totals(answers, TRIGRAMS)[:, 0] // 2
+        self.count, half = count, 0.5 * (model["vocabulary"] + 1)
+        d2, d3 = model["discounts2"], model["discounts3"]
+        low = (heads[:, 0] + 0.5) / (model["types"] + half)
         with np.errstate(divide="ignore", invalid="ignore"):
-            mass = np.where(heads > 0, more[:, 1:] @ d[1:] / np.maximum(heads, 1), 1.0)
-            self.root, self.fail = np.log10(low), np.log10(mass)
-            n = _totals(answers, BIGRAMS) // 2
-            u, w = block.before[block.at], block.ids[block.at]
-            seen = (n - d[np.minimum(n, 3)]) / np.maximum(heads[u], 1) + mass[u] * low[w]
-            self.arc = np.where(n > 0, np.log10(seen), np.nan)
+            left = lambda x, d: np.where(x[:, 4] > 0, x[:, 1:4] @ d[1:] / np.maximum(x[:, 4], 1), 1.0)
+            mass1, mass2 = left(heads, d2), left(pairs, d3)
+            u, w = block.before[block.pairs.at], block.ids[block.pairs.at]
+            seen = (pairs[:, 0] - d2[np.minimum(pairs[:, 0], 3)]) / np.maximum(heads[u, 4], 1) + mass1[u] * low[w]
+            self.arc2 = np.where(pairs[:, 0] > 0, np.log10(seen), np.nan)
+            at = block.trigrams.at
+            context, ending = block.pairs.of[block.last[at]], block.pairs.of[at]
+            higher = (n - d3[np.minimum(n, 3)]) / np.maximum(pairs[context, 4], 1) + mass2[context] * seen[ending]
+            self.arc3 = np.where(n > 0, np.log10(higher), np.nan)
+            self.root, self.fail1, self.fail2 = np.log10(low), np.log10(mass1), np.log10(mass2)
             self.base = np.log10((count + 0.5) / (model["tokens"] + half))
+        self.is1, self.is2 = heads[:, 4] > 0, pairs[:, 4] > 0
 
     def walk(self, block: _Block) -> np.ndarray:
-        """The weight of every step of the traversal: reading a word leads to its
-        state, from where the next word takes its arc, or fails to the root."""
-        direct = self.arc[block.type_of_token()]
-        return np.where(np.isnan(direct), self.fail[block.before] + self.root[block.ids], direct)
+        """The weight of every step of the traversal. The state is carried by how many
+        words of the history it holds (0: root); which ones, the place in the stream says."""
+        size = len(block.ids) - 1
+        out, state, begin = np.empty(size), 0, 0
+        fresh = np.zeros(size, bool)
+        fresh[block.starts] = True
+        kept = np.where(self.is2[block.pairs.of], 2, self.is1[block.ids].astype(np.int8))
+        begin = int(kept[-1])
+        for lo in range(0, size, STRIDE):
+            part = slice(lo, min(lo + STRIDE, size))
+            last, words = block.last[part], block.ids[part]
+            columns = (fresh[part], self.arc3[block.trigrams.of[part]], self.arc2[block.pairs.of[part]], self.root[words],
+                       self.fail2[block.pairs.of[last]], self.fail1[block.ids[last]], kept[part])
+            weights = []
+            for first, arc3, arc2, root, fail2, fail1, target in zip(*(x.tolist() for x in columns), strict=True):
+                if first:
+                    state = begin
+                weight = 0.0
+                if state == 2:
+                    if arc3 == arc3:
+                        weights.append(arc3)
+                        state = target
+                        continue
+                    weight, state = fail2, 1
+                if state == 1:
+                    if arc2 == arc2:
+                        weights.append(weight + arc2)
+                        state = target
+                        continue
+                    weight += fail1
+                weights.append(weight + root)
+                state = target
+            out[part] = weights
+        return out
 
 
 def _score(block: _Block, answers: pa.Table, model: dict) -> pa.RecordBatch:
     block.types()
     machine = Automaton(block, answers, model)
-    known = machine.count[block.ids] > 0
+    words = block.ids[:-1]
     add = lambda x: np.add.reduceat(x, block.starts)
     return pa.RecordBatch.from_arrays(
         [pa.array(block.doc_ids, pa.int64()), pa.array(block.held), pa.array(block.sizes),
-         pa.array(add(known.astype(np.int64))), pa.array(np.full(len(block.sizes), model["tokens"], np.int64)),
-         pa.array(add(machine.base[block.ids])), pa.array(add(machine.walk(block)))],
+         pa.array(add((machine.count[words] > 0).astype(np.int64))), pa.array(np.full(len(block.sizes), model["tokens"], np.int64)),
+         pa.array(add(machine.base[words])), pa.array(add(machine.walk(block)))],
         ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
@@ -280,34 +398,44 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
                          F.coalesce(F.expr(held_out), F.lit(False)).alias("held"))
     blocks = materialize(source.mapInArrow(_blocks, _BLOCK_SCHEMA), "lm-blocks")
-    tokens = blocks.select(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
-    buckets = max(1, math.ceil(tokens / BUCKET_TOKENS))
+    size = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")).alias("tokens"), F.count("*").alias("blocks")).first()
+    if not size["blocks"]:
+        return blocks.sparkSession.createDataFrame([], _SCORES)
+    buckets = math.ceil(size["tokens"] / BUCKET_TOKENS)
+    levels = max(1, math.ceil(math.log(buckets) / math.log(FAN) - 1e-9))
+    fan = math.ceil(buckets ** (1 / levels) - 1e-9)
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                block = _Block(batch.slice(row, 1).to_pylist()[0])
+            for row in batch.to_pylist():
+                block = _Block(row)
                 block.types()
-                for kind, keys, counts in ((WORDS, *block.word_counts()), (BIGRAMS, block.keys, block.counts)):
-                    yield _table(list(_ask(kind, block.block, keys, counts, buckets)), _ASK)
-
-    def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([x for row in left.to_pylist() for x in _contexts(_Block(row), right, buckets)], _ASK)
-
-    asked = blocks.mapInArrow(asks, _ASK_SCHEMA).groupBy("kind", "bucket")
-    first = materialize(asked.applyInArrow(_answer, _ANSWER_SCHEMA), "lm-totals")
-    sums = {r["kind"]: r for r in first.where("stats is not null").groupBy("kind").agg(
-        *[F.sum(F.get("stats", F.lit(k))).alias(f"s{k}") for k in range(5)]).collect()}
-    if not sums:
-        return blocks.sparkSession.createDataFrame([], _SCORES)
-    model = {"tokens": sums[WORDS]["s0"], "vocabulary": sums[WORDS]["s1"], "types": sums[BIGRAMS]["s4"],
-             "discounts": discounts(*(sums[BIGRAMS][f"s{k}"] for k in range(4)))}
-    totals = first.where("block is not null").drop("stats")
-    more = blocks.groupBy("block").cogroup(totals.where(F.col("kind") == BIGRAMS).groupBy("block")) \
-        .applyInArrow(contexts, _ASK_SCHEMA).groupBy("kind", "bucket").applyInArrow(_answer, _ANSWER_SCHEMA)
-    answers = totals.unionByName(more.where("block is not null").drop("stats"))
+                for kind, keys, counts in ((WORDS, *block.word_counts()), (TRIGRAMS, block.trigrams.keys, block.trigrams.counts)):
+                    yield pa.RecordBatch.from_pylist(list(_ask(kind, block.block, 0, fan, fan, keys, counts)), _ASK)
+                release()
+
+    def asks_again(kind: int, sums, answers: DataFrame) -> DataFrame:
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            row = left.to_pylist()[0]
+            out = pa.Table.from_pylist(list(_ask(kind, row["block"], 0, fan, fan, *sums(_Block(row), right))), _ASK)
+            release()
+            return out
+
+        return blocks.groupBy("block").cogroup(answers.groupBy("node")).applyInArrow(run, _ASK_SCHEMA)
+
+    first, stats1 = _exchange(blocks.mapInArrow(asks, _ASK_SCHEMA), fan, levels, size["blocks"])
+    second, stats2 = _exchange(asks_again(PAIRS, _pair_sums, first.where(F.col("kind") == TRIGRAMS)), fan, levels, size["blocks"])
+    third, _ = _exchange(asks_again(HEADS, _head_sums, second), fan, levels, size["blocks"])
+    sums = {r["kind"]: r for r in stats1.unionByName(stats2).groupBy("kind").agg(
+        *[F.sum(F.get("stats", F.lit(k))).alias(f"s{k}") for k in range(6)]).collect()}
+    model = {"tokens": sums[WORDS]["s0"], "vocabulary": sums[WORDS]["s5"], "types": sums[PAIRS]["s5"],
+             "discounts2": discounts(*(sums[PAIRS][f"s{k}"] for k in (1, 2, 3, 4))),
+             "discounts3": discounts(*(sums[TRIGRAMS][f"s{k}"] for k in (1, 2, 3, 4)))}
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_score(_Block(row), right, model) for row in left.to_pylist()])
+        out = pa.Table.from_batches([_score(_Block(left.to_pylist()[0]), right, model)])
+        release()
+        return out
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scores, _SCORES)
+    answers = first.unionByName(second).unionByName(third)
+    return blocks.groupBy("block").cogroup(answers.groupBy("node")).applyInArrow(scores, _SCORES)
