@@ -411,3 +411,22 @@ s AS (SELECT ap_id, CAST(sum(CAST(rssi + 110 AS BIGINT)) AS DOUBLE) AS s1,
       FROM rd WHERE dataset = 'train' GROUP BY ap_id)
 SELECT ap_id, round(s1 / n, 6) AS mean, round(sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0.0)), 6) AS std
 FROM s, n""")
+
+_CLEAN = "obs_id % 50 NOT IN (7, 11, 13)"
+sql("dirty_csv_rows", f"SELECT obs_id, dataset, floor, longitude, user_id FROM obs WHERE {_CLEAN}")
+sql("dirty_csv_faults", f"""SELECT dataset, CASE WHEN obs_id % 50 = 7 THEN 'value' ELSE 'fields' END AS fault, count(*) AS n
+FROM obs WHERE NOT ({_CLEAN}) GROUP BY ALL""")
+sql("longitude_boxplot", """, r AS (SELECT phone_id, longitude AS v FROM obs WHERE dataset = 'train' AND longitude IS NOT NULL),
+q AS (SELECT phone_id, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+  FROM r GROUP BY phone_id),
+x AS (SELECT q.*, v, v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM r JOIN q USING (phone_id))
+SELECT phone_id, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(CASE WHEN inside THEN v END) AS lower_whisker,
+  max(CASE WHEN inside THEN v END) AS upper_whisker, count(CASE WHEN NOT inside THEN 1 END) AS n_outliers FROM x GROUP BY ALL""")
+sql("price_quantiles", "SELECT l_returnflag, count(*) AS n, " + ", ".join(
+    f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.{p}), 6) AS p{p}" for p in ("01", "10", "50", "90", "99")) + " FROM lineitem GROUP BY l_returnflag")
+_BAGS = SPLIT51 + f""", tree_uniform AS (SELECT tree, obs_id, {sql_hash_uniform(42, "'bag'", "tree", "obs_id")} AS u
+  FROM (SELECT obs_id FROM sp WHERE split = 'train') CROSS JOIN (SELECT CAST(unnest(range(20)) AS INTEGER) AS tree)),
+bags AS (SELECT tree, obs_id, {" + ".join(f"CAST(u >= {c!r} AS BIGINT)" for c in poisson_cdf_steps(1.0))} AS copies FROM tree_uniform)"""
+sql("oob_bags", _BAGS + """ SELECT tree, count(CASE WHEN copies > 0 THEN 1 END) AS n_in_bag, CAST(sum(copies) AS BIGINT) AS n_copies,
+count(CASE WHEN copies = 0 THEN 1 END) AS n_oob FROM bags GROUP BY tree""")
+sql("oob_score", _BAGS + """ SELECT count(DISTINCT obs_id) AS n_scored, count(*) AS n_votes, true AS beats_majority FROM bags WHERE copies = 0""")

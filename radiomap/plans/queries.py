@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiomap.functions import signal as sig
-from radiomap.operators import (clean, evaluate, features, indexing, knn, models, quality, rank, reshape,
-                                sampling, search, splits)
+from radiomap.operators import (bagging, clean, evaluate, features, indexing, knn, models, quality, quantiles, rank,
+                                reshape, sampling, search, splits)
 from radiomap.operators import boosted
 from radiomap.operators.boosted import StagedBooster, boosted_classes
 from radiomap.plans import flows
@@ -363,6 +363,78 @@ def q_survey_csv(spark, sf):
     return survey_io.read_survey_csv(spark, path, w.schema).select("obs_id", "dataset", "panel", *fx.WIDE_APS)
 
 
+# Lines that the dirty survey spoils, by obs_id modulo 50.
+DIRTY_VALUE, DIRTY_SHORT, DIRTY_LONG = 7, 11, 13
+DIRTY_SCHEMA = "obs_id long, dataset string, floor int, longitude double, user_id int"
+
+
+def _dirty_csv(spark, sf):
+    """The scans as CSV files, one folder a dataset, of which some lines are spoilt: a
+    floor that is no number, a field too few, a field too many."""
+    o = fx.obs(spark, sf)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rule = F.pmod("obs_id", F.lit(50))
+    floor = F.when(rule == DIRTY_VALUE, F.lit("ground")).otherwise(text("floor"))
+    line = F.concat_ws(",", text("obs_id"), text("dataset"), floor, text("longitude"))
+    line = F.when(rule == DIRTY_SHORT, line).when(rule == DIRTY_LONG, F.concat_ws(",", line, text("user_id"), F.lit("9"))).otherwise(
+        F.concat_ws(",", line, text("user_id")))
+    header = "obs_id,dataset,floor,longitude,user_id"  # one column, written under the names of five
+    path = shared_dir(spark, "dirty_csv")
+    (o.select(line.alias(header), F.col("dataset").alias("part")).write.partitionBy("part")
+     .option("header", True).option("sep", "\u0001").option("escapeQuotes", False).csv(path))
+    return survey_io.read_checked_csv(spark, f"{path}/*", spark.createDataFrame([], DIRTY_SCHEMA).schema)
+
+
+@register("dirty_csv_rows")
+def q_dirty_csv_rows(spark, sf):
+    """The rows of the good lines."""
+    return _dirty_csv(spark, sf)[0]
+
+
+@register("dirty_csv_faults")
+def q_dirty_csv_faults(spark, sf):
+    """Faulty lines by folder and fault."""
+    folder = F.regexp_extract("file", "part=([^/]*)/", 1)
+    return survey_io.fault_counts(_dirty_csv(spark, sf)[1].withColumn("file", folder)).withColumnRenamed("file", "dataset")
+
+
+@register("longitude_boxplot")
+def q_longitude_boxplot(spark, sf):
+    """Box plot of the training scans' longitude by phone."""
+    return quantiles.boxplot(fx.obs(spark, sf).filter("dataset = 'train'"), "phone_id", "longitude")
+
+
+@register("price_quantiles")
+def q_price_quantiles(spark, sf):
+    """Percentiles 1, 10, 50, 90 and 99 of all line prices by flag: groups far larger
+    than the sketch, so the ranges decide."""
+    li = fx.table(spark, sf, "lineitem", "l_returnflag", "l_extendedprice")
+    q = quantiles.exact_quantiles(li, ["l_returnflag"], "l_extendedprice", (0.01, 0.1, 0.5, 0.9, 0.99), accuracy=1_000)
+    return q.select("l_returnflag", "n", *[F.round(F.get("quantiles", F.lit(k)), 6).alias(c) for k, c in enumerate(("p01", "p10", "p50", "p90", "p99"))])
+
+
+OOB_TREES = 20
+
+
+@register("oob_bags")
+def q_oob_bags(spark, sf):
+    """By tree: training scans in its bag, their copies, and those that it has not seen."""
+    bags = bagging.bag_table(flows.ml_data(spark, sf).train, OOB_TREES)
+    inside = F.col("copies") > 0
+    return bags.groupBy("tree").agg(F.count(F.when(inside, 1)).alias("n_in_bag"), F.sum("copies").alias("n_copies"),
+                                    F.count(F.when(~inside, 1)).alias("n_oob"))
+
+
+@register("oob_score")
+def q_oob_score(spark, sf):
+    """Out-of-bag score of a building forest: scans and votes that count, and whether
+    more are right than the most frequent building would give."""
+    models_, data = bagging.fit_bagged(flows.ml_data(spark, sf).train, "building_id", OOB_TREES)
+    score = bagging.out_of_bag_score(bagging.out_of_bag_votes(models_, data), data, "building_id")
+    most = data.groupBy("building_id").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("base"))
+    return score.join(most).select("n_scored", "n_votes", (F.col("score") > F.col("base")).alias("beats_majority"))
+
+
 @register("head_rows")
 def q_head(spark, sf):
     return fx.obs(spark, sf).select("obs_id", "dataset").orderBy("obs_id").limit(10)
