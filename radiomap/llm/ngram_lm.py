@@ -155,9 +155,10 @@ class _Block:
         n = np.bincount(self.ids[self.trains], minlength=len(self.words))
         return self.words[self.sorted_words], n[self.sorted_words]
 
-    def types(self, trigrams: bool = True) -> None:
+    def types(self, pairs: bool = True, trigrams: bool = True) -> None:
         keys = mix(self.words[self.before] * _STEP + self.words[self.ids])
-        self.pairs = _Types(keys, self.trains)
+        if pairs:
+            self.pairs = _Types(keys, self.trains)
         if trigrams:
             self.trigrams = _Types(mix(keys[self.last[:-1]] * _STEP + self.words[self.ids[:-1]]), self.trains[:-1])
 
@@ -336,36 +337,26 @@ class Automaton:
 
     def walk(self, block: _Block) -> np.ndarray:
         """The weight of every step of the traversal. The state is carried by how many
-        words of the history it holds (0: root); which ones, the place in the stream says."""
+        words of the history it holds (0: root); which ones, the place in the stream says.
+
+        What a word weighs from each of the three states, failure arcs followed, is laid
+        out for a stretch of the stream; the walk takes the one of the state it is in."""
         size = len(block.ids) - 1
-        out, state, begin = np.empty(size), 0, 0
+        out, state = np.empty(size), 0
         fresh = np.zeros(size, bool)
         fresh[block.starts] = True
         kept = np.where(self.is2[block.pairs.of], 2, self.is1[block.ids].astype(np.int8))
         begin = int(kept[-1])
         for lo in range(0, size, STRIDE):
             part = slice(lo, min(lo + STRIDE, size))
-            last, words = block.last[part], block.ids[part]
-            columns = (fresh[part], self.arc3[block.trigrams.of[part]], self.arc2[block.pairs.of[part]], self.root[words],
-                       self.fail2[block.pairs.of[last]], self.fail1[block.ids[last]], kept[part])
+            last, pairs = block.last[part], block.pairs.of[part]
+            arc3, arc2, from0 = self.arc3[block.trigrams.of[part]], self.arc2[pairs], self.root[block.ids[part]]
+            from1 = np.where(np.isnan(arc2), self.fail1[block.ids[last]] + from0, arc2)
+            from2 = np.where(np.isnan(arc3), self.fail2[block.pairs.of[last]] + from1, arc3)
             weights = []
-            for first, arc3, arc2, root, fail2, fail1, target in zip(*(x.tolist() for x in columns), strict=True):
-                if first:
-                    state = begin
-                weight = 0.0
-                if state == 2:
-                    if arc3 == arc3:
-                        weights.append(arc3)
-                        state = target
-                        continue
-                    weight, state = fail2, 1
-                if state == 1:
-                    if arc2 == arc2:
-                        weights.append(weight + arc2)
-                        state = target
-                        continue
-                    weight += fail1
-                weights.append(weight + root)
+            steps = zip(*(x.tolist() for x in (from0, from1, from2)), strict=True)
+            for first, arcs, target in zip(fresh[part].tolist(), steps, kept[part].tolist(), strict=True):
+                weights.append(arcs[begin if first else state])
                 state = target
             out[part] = weights
         return out
@@ -409,7 +400,7 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 block = _Block(row)
-                block.types()
+                block.types(pairs=False)
                 for kind, keys, counts in ((WORDS, *block.word_counts()), (TRIGRAMS, block.trigrams.keys, block.trigrams.counts)):
                     yield pa.RecordBatch.from_pylist(list(_ask(kind, block.block, 0, fan, fan, keys, counts)), _ASK)
                 release()
