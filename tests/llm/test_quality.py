@@ -1,6 +1,10 @@
-"""Co-trained quality classifier: held-out accuracy and edge cases."""
+"""Co-trained quality classifier: a plain co-training, held-out accuracy and edge cases."""
+
+import math
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from radiomap.llm import quality
@@ -35,3 +39,91 @@ def test_features_of_whole_texts():
     both = quality.text_features(texts)
     alone = np.concatenate([quality.text_features([t]) for t in texts])
     assert np.isfinite(both).all() and np.allclose(both, alone)
+
+
+def _solve(a, b):
+    """Gaussian elimination with pivoting."""
+    n = len(b)
+    rows = [[*a[i], b[i]] for i in range(n)]
+    for i in range(n):
+        top = max(range(i, n), key=lambda k: abs(rows[k][i]))
+        rows[i], rows[top] = rows[top], rows[i]
+        for k in range(n):
+            if k != i:
+                share = rows[k][i] / rows[i][i]
+                rows[k] = [x - share * y for x, y in zip(rows[k], rows[i], strict=True)]
+    return [rows[i][n] / rows[i][i] for i in range(n)]
+
+
+class _PlainLogistic:
+    def __init__(self, x, y, weight, ridge):
+        size = len(x[0])
+        self.mean = [sum(r[j] for r in x) / len(x) for j in range(size)]
+        self.scale = [max((sum((r[j] - self.mean[j]) ** 2 for r in x) / len(x)) ** 0.5, 1e-6) for j in range(size)]
+        self.beta = [0.0] * (size + 1)
+        rows = [self.row(r) for r in x]
+        penalty = [1e-6, *[ridge] * size]
+        for _ in range(30):
+            slope = [p * b for p, b in zip(penalty, self.beta, strict=True)]
+            bend = [[penalty[i] if i == j else 0.0 for j in range(size + 1)] for i in range(size + 1)]
+            for r, t, w in zip(rows, y, weight, strict=True):
+                p = 1 / (1 + math.exp(-min(max(sum(a * b for a, b in zip(r, self.beta, strict=True)), -30), 30)))
+                for i in range(size + 1):
+                    slope[i] += w * (p - t) * r[i]
+                    for j in range(size + 1):
+                        bend[i][j] += w * max(p * (1 - p), 1e-6) * r[i] * r[j]
+            step = _solve(bend, slope)
+            self.beta = [b - s for b, s in zip(self.beta, step, strict=True)]
+            if max(map(abs, step)) < 1e-6:
+                break
+
+    def row(self, r):
+        return [1.0, *(min(max((v - m) / s, -8), 8) for v, m, s in zip(r, self.mean, self.scale, strict=True))]
+
+    def logit(self, r):
+        return min(max(sum(a * b for a, b in zip(self.row(r), self.beta, strict=True)), -30), 30)
+
+
+def _plain_co_training(views, y, pool, rounds):
+    """Two views, each taught by the other's surest guesses, row by row."""
+    fit = [k for k in range(len(y)) if k % 4]
+    cal = [k for k in range(len(y)) if k % 4 == 0]
+    given = [{}, {}]
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for turn in range(rounds + 1):
+        models = []
+        for v in (0, 1):
+            extra = sorted(given[v])
+            models.append(_PlainLogistic([views[v][k] for k in fit] + [pool[v][k] for k in extra], [y[k] for k in fit] + [given[v][k] for k in extra],
+                                         [1.0] * len(fit) + [quality.PSEUDO_WEIGHT] * len(extra), 1.0))
+        marks = [_PlainLogistic([[models[v].logit(views[v][k])] for k in cal], [y[k] for k in cal], [1.0] * len(cal), 1e-3) for v in (0, 1)]
+        view = lambda v, r: marks[v].logit([models[v].logit(r)])  # noqa: E731, B023
+        if turn == rounds:
+            break
+        for v in (0, 1):
+            sure = [sigmoid(view(v, r)) for r in pool[v]]
+            for c in (1, 0):
+                order = sorted(range(len(sure)), key=lambda k: (-sure[k] if c else sure[k], k))[:quality.GIVEN]
+                for k in order:
+                    if (sure[k] if c else 1 - sure[k]) >= quality.SURE:
+                        given[1 - v].setdefault(k, c)
+    both = _PlainLogistic([[view(0, views[0][k]), view(1, views[1][k])] for k in cal], [y[k] for k in cal], [1.0] * len(cal), 1e-3)
+    assert all(given)
+    return [[sigmoid(view(0, a)), sigmoid(view(1, b)), sigmoid(both.logit([view(0, a), view(1, b)]))] for a, b in zip(*pool, strict=True)]
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_plain_co_training(rounds, monkeypatch):
+    """The classifier gives what a plain co-training gives, pseudo-labels included."""
+    monkeypatch.setattr(quality, "GIVEN", 6)
+    draw = random.Random(rounds)
+
+    def rows(classes):
+        return [[[(c - 0.5) * 1.6 + draw.gauss(0, 1) for _ in range(3)] for c in classes], [[(c - 0.5) * 1.6 + draw.gauss(0, 1) for _ in range(2)] for c in classes]]
+    y = [draw.randrange(2) for _ in range(80)]
+    views, pool = rows(y), rows([draw.randrange(2) for _ in range(150)])
+    model = quality.CoTrained([np.array(v) for v in views], np.array(y, float), [np.array(v) for v in pool], rounds)
+    got = np.column_stack(model.scores(*(np.array(v) for v in pool)))
+    assert np.allclose(got, _plain_co_training(views, y, pool, rounds), atol=1e-6)
+    untaught = quality.CoTrained([np.array(v) for v in views], np.array(y, float), [np.array(v) for v in pool], 0)
+    assert not np.allclose(got, np.column_stack(untaught.scores(*(np.array(v) for v in pool))), atol=1e-4)
