@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from radiomap.session import materialize
 
 ARCHIVE_BYTES = 4 << 20
+READ_BYTES = 8 << 20
 DICTIONARY_PAGES, DICTIONARY_PIECE, DICTIONARY_BYTES = 500, 4_096, 32_768
 LEAST_REVISITED = 100
 DATE = "2000-01-01T00:00:00Z"
@@ -222,19 +223,29 @@ def read(archives: DataFrame) -> DataFrame:
     """One row for each record: (page_id, url, payload, payload_bytes,
     payload_digest, record_type, refers_to); a revisit has no payload.
 
+    Records leave an archive as they are decoded, ``READ_BYTES`` of them at a time.
     Anything that is not as the headers say fails the job, naming the archive."""
     kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
     names = [c.split()[0] for c in _ROWS.split(", ")]
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows, held = [], 0
                 try:
-                    rows = [page_row(r) for r in records(content)]
+                    for r in records(content):
+                        rows.append(page_row(r))
+                        held += len(r)
+                        if held >= READ_BYTES:
+                            yield batch(rows)
+                            rows, held = [], 0
                 except (ValueError, zstandard.ZstdError) as e:
                     raise ValueError(f"{name}: {e}") from e
-                columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                if rows:
+                    yield batch(rows)
 
     return archives.select("archive", "content").mapInArrow(run, _ROWS)
 

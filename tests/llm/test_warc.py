@@ -40,6 +40,14 @@ def test_round_trip(spark, rows, monkeypatch, tmp_path):
     assert all(r.payload is None or hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in back)
 
 
+def test_an_archive_is_read_in_parts(spark, rows, monkeypatch):
+    """One large archive gives the same rows however many of them are held at a time."""
+    archives = warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    whole = sorted(map(str, warc.read(archives).collect()))
+    monkeypatch.setattr(warc, "READ_BYTES", 300)
+    assert sorted(map(str, warc.read(archives).collect())) == whole and len(whole) == len(rows)
+
+
 def test_query_form_and_empty(spark, rows):
     assert warc.round_trip(spark.createDataFrame(rows, SCHEMA)).count() == len(rows)
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
