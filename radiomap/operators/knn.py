@@ -43,6 +43,7 @@ TILE_SCANS = 8192  # scans of one side in a task, at most about
 PIVOT_SCANS = 2048  # training scans for which a pivot is drawn
 MOST_PIVOTS = 2048  # bounds what the tasks are sent and the work of finding a scan's pivot
 _ROWS, _COLUMNS = 512, 4096  # dense piece of one product
+_MEETINGS = 4  # meetings of entries for each product of two rows, up to which they are multiplied one by one
 
 
 def _vectors(ids: DataFrame, reading: DataFrame, fill: int) -> DataFrame:
@@ -75,6 +76,44 @@ def _dense(rows: np.ndarray, cols: np.ndarray, xs: np.ndarray, lo: int, hi: int,
     return out
 
 
+def _products(q: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...], rows: int, others: int, columns: int) -> np.ndarray:
+    """The dot products (rows, others) of two sets of sparse rows, each (row, column,
+    value) with columns below ``columns``. Entries that meet are multiplied one by
+    one where that is less than a dense product, else in bounded dense pieces. Values
+    are whole numbers, so both give the same."""
+    (q_rows, q_cols, q_x), (t_rows, t_cols, t_x) = q, t
+    order = np.argsort(q_cols, kind="stable")
+    held = np.bincount(q_cols, minlength=columns)
+    n = held[t_cols]
+    if n.sum() <= _MEETINGS * rows * others:
+        token = np.repeat(np.arange(len(t_cols)), n)
+        own = order[np.arange(len(token)) - np.repeat(np.cumsum(n) - n - (np.cumsum(held) - held)[t_cols], n)]
+        place = q_rows[own] * others + t_rows[token]
+        return np.bincount(place, weights=q_x[own] * t_x[token], minlength=rows * others).reshape(rows, others)
+    out = np.zeros((rows, others))
+    for c0 in range(0, columns, _COLUMNS):
+        c1 = c0 + _COLUMNS
+        out += _dense(q_rows, q_cols, q_x, 0, rows, c0, c1) @ _dense(t_rows, t_cols, t_x, 0, others, c0, c1).T
+    return out
+
+
+def _span(rows: np.ndarray, cols: np.ndarray, xs: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of rows lo to hi whose column is known; ``rows`` ascends."""
+    at = slice(*np.searchsorted(rows, (lo, hi)))
+    use = cols[at] >= 0
+    return rows[at][use] - lo, cols[at][use], xs[at][use]
+
+
+def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least of every row by (d, id), in that order."""
+    k = min(k, d.shape[1])
+    row, col = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1:k])
+    order = np.lexsort((ids[row, col], d[row, col], row))
+    first = np.searchsorted(row, np.arange(len(d)))
+    at = order[first[:, None] + np.arange(k)]
+    return d[row[at], col[at]], ids[row[at], col[at]]
+
+
 def nearest_in_tile(queries: pa.Table, tile: pa.Table, k: int) -> pa.Table:
     """The k nearest scans of one tile for each query of one block, by (d2, id)."""
     q_ids, q_rows, q_aps, q_x = _sparse(queries)
@@ -89,16 +128,13 @@ def nearest_in_tile(queries: pa.Table, tile: pa.Table, k: int) -> pa.Table:
             hi = min(lo + _ROWS, len(q_ids))
             best_d = np.empty((hi - lo, 0))
             best_i = np.empty((hi - lo, 0), np.int64)
+            q = _span(q_rows, q_cols, q_x, lo, hi)
             for t0 in range(0, len(t_ids), _ROWS):
                 t1 = min(t0 + _ROWS, len(t_ids))
-                dot = np.zeros((hi - lo, t1 - t0))
-                for c0 in range(0, max(len(names), 1), _COLUMNS):
-                    c1 = c0 + _COLUMNS
-                    dot += _dense(q_rows, q_cols, q_x, lo, hi, c0, c1) @ _dense(t_rows, t_cols, t_x, t0, t1, c0, c1).T
+                dot = _products(q, _span(t_rows, t_cols, t_x, t0, t1), hi - lo, t1 - t0, len(names))
                 d = np.concatenate([best_d, a[lo:hi, None] + b[None, t0:t1] - 2 * dot], axis=1)
                 ids = np.concatenate([best_i, np.broadcast_to(t_ids[t0:t1], (hi - lo, t1 - t0))], axis=1)
-                keep = np.lexsort((ids, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, keep, 1), np.take_along_axis(ids, keep, 1)
+                best_d, best_i = _least(d, ids, k)
             found.append((np.repeat(q_ids[lo:hi], best_d.shape[1]), best_i.ravel(), best_d.ravel()))
     columns = [np.concatenate(c) if found else np.empty(0) for c in (zip(*found, strict=True) if found else [[]] * 3)]
     return pa.table({n: pa.array(np.asarray(c, np.int64)) for n, c in zip(("query_id", "neighbor_id", "d2"), columns, strict=True)})
@@ -112,11 +148,13 @@ def _parts(n: int, cores: int) -> int:
 
 @dataclass
 class Pivots:
-    """The pivots' vectors over the APs that they hear, and, once known, the scans, the
-    least and the largest distance of each pivot's group."""
+    """The entries (row, column, value) of the pivots' vectors over the APs that they hear,
+    their squared norms, and, once known, the scans, the least and the largest distance
+    of each pivot's group."""
 
     names: pa.Array
-    vectors: np.ndarray
+    entries: tuple[np.ndarray, np.ndarray, np.ndarray]
+    norms: np.ndarray
     count: np.ndarray | None = None
     near: np.ndarray | None = None
     far: np.ndarray | None = None
@@ -125,9 +163,7 @@ class Pivots:
     def of(cls, rows: pa.Table) -> Pivots:
         ids, row, aps, x = _sparse(rows)
         names = aps.unique()
-        vectors = np.zeros((len(ids), max(len(names), 1)))
-        vectors[row, _columns(aps, names)] = x
-        return cls(names, vectors)
+        return cls(names, (row, _columns(aps, names), x), np.bincount(row, weights=x * x, minlength=len(ids)))
 
     def distances(self, batch: pa.RecordBatch) -> np.ndarray:
         """(rows, pivots), exact but for the root: entries are whole numbers."""
@@ -135,9 +171,9 @@ class Pivots:
         row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(aps).to_numpy(zero_copy_only=False).astype(np.int64))
         col, x = _columns(aps.flatten(), self.names), xs.flatten().to_numpy().astype(np.float64)
         own = np.bincount(row, weights=x * x, minlength=batch.num_rows)
-        dense = np.zeros((batch.num_rows, self.vectors.shape[1]))
-        dense[row[col >= 0], col[col >= 0]] = x[col >= 0]
-        square = own[:, None] + (self.vectors ** 2).sum(axis=1)[None, :] - 2 * dense @ self.vectors.T
+        known = col >= 0
+        dot = _products((row[known], col[known], x[known]), self.entries, batch.num_rows, len(self.norms), len(self.names))
+        square = own[:, None] + self.norms[None, :] - 2 * dot
         return np.sqrt(np.maximum(square, 0))
 
     def first(self, distance: np.ndarray, k: int) -> np.ndarray:
@@ -200,7 +236,7 @@ def indexed_neighbors(queries: DataFrame, scans: DataFrame, n_scans: int, k: int
 
     dealt = materialize(scans.mapInArrow(assign, f"{_SCAN}, pivot int, radius double"), "knn-groups")
     groups = dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("near"), F.max("radius").alias("far")).collect()
-    pivots.count, pivots.near, pivots.far = np.zeros(len(pivots.vectors), np.int64), np.zeros(len(pivots.vectors)), np.zeros(len(pivots.vectors))
+    pivots.count, pivots.near, pivots.far = np.zeros(len(pivots.norms), np.int64), np.zeros(len(pivots.norms)), np.zeros(len(pivots.norms))
     for g in groups:
         pivots.count[g["pivot"]], pivots.near[g["pivot"]], pivots.far[g["pivot"]] = g["n"], g["near"], g["far"]
     known = sc.broadcast(pivots)

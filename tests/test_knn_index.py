@@ -69,3 +69,28 @@ def test_fewer_scans_than_neighbours_and_none(spark, places, monkeypatch):
     got, _ = knn.indexed_neighbors(q, knn._vectors(ids.where("obs_id in (7, 8)"), reading, -110), 2, 3)
     assert sorted(map(tuple, got.collect())) == brute(rows, range(5), [7, 8], 3)
     assert got.agg(F.count("*")).first()[0] == 10
+
+
+def test_products_follow_the_entries_that_meet(monkeypatch):
+    """Sparse and dense products agree, and rows over a wide catalogue take no dense piece of it."""
+    draw = np.random.default_rng(1)
+    rows, others, columns = 9, 7, 50
+    dense = [draw.integers(-5, 6, (n, columns)) * (draw.random((n, columns)) < 0.3) for n in (rows, others)]
+    q, t = ((*np.nonzero(d), d[np.nonzero(d)].astype(float)) for d in dense)
+    want = dense[0] @ dense[1].T
+    for meetings in (0, 10**6):
+        monkeypatch.setattr(knn, "_MEETINGS", meetings)
+        assert (knn._products(q, t, rows, others, columns) == want).all()
+    monkeypatch.setattr(knn, "_dense", None)
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    assert not knn._products(none, none, 3, 2, 0).any()
+    assert knn._products(q, t, rows, others, columns).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_least_by_distance_then_id(k):
+    draw = np.random.default_rng(2)
+    d, ids = draw.integers(0, 4, (6, 11)).astype(float), np.stack([draw.permutation(11) for _ in range(6)])
+    order = np.lexsort((ids, d), axis=1)[:, :k]
+    got = knn._least(d, ids, k)
+    assert (got[0] == np.take_along_axis(d, order, 1)).all() and (got[1] == np.take_along_axis(ids, order, 1)).all()
