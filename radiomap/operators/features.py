@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +37,14 @@ def ap_index(aps: DataFrame) -> DataFrame:
 
 
 def as_vectors(rows: DataFrame, n_features: int, entries: str = "_entries", out: str = "features") -> DataFrame:
-    """``rows`` with the sorted (idx, x) array ``entries`` as a sparse vector ``out``."""
+    """``rows`` with the sorted (idx, x) array ``entries`` as a sparse vector ``out``;
+    a null x is 0."""
     e = F.coalesce(F.col(entries), F.array().cast("array<struct<idx:int,x:double>>"))
     others = [c for c in rows.columns if c != entries]
     stored = rows.withColumn(entries, e).select(*others, F.struct(
         F.lit(0).cast("tinyint").alias("type"), F.lit(n_features).alias("size"),
-        F.col(f"{entries}.idx").alias("indices"), F.col(f"{entries}.x").alias("values")).alias(out))
+        F.col(f"{entries}.idx").alias("indices"),
+        F.transform(f"{entries}.x", lambda x: F.coalesce(x, F.lit(0.0))).alias("values")).alias(out))
     spark = rows.sparkSession
     path = shared_dir(spark, "vectors")
     stored.write.mode("overwrite").parquet(path)
@@ -66,9 +67,19 @@ def feature_vectors(scans: DataFrame, reading: DataFrame, index: DataFrame, n_fe
 
 
 def vector_entries(vectors: DataFrame, features: str = "features") -> DataFrame:
-    """(obs_id, idx, x) of the non-zero entries of vectors."""
-    return (vectors.select("obs_id", F.posexplode(vector_to_array(features)).alias("idx", "x"))
-            .filter(F.col("x") != 0))
+    """(obs_id, idx, x) of the non-zero entries of vectors, taken from what a vector
+    stores: the work follows the entries, not the length of the vectors."""
+    ship(vectors.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, x = _entries_of(b.column(1))
+            use = x != 0
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[use])), pa.array(at[use].astype(np.int32)), pa.array(x[use])],
+                                             ["obs_id", "idx", "x"])
+
+    kind = vectors.schema["obs_id"].dataType.simpleString()
+    return vectors.select("obs_id", features).mapInArrow(run, f"obs_id {kind}, idx int, x double")
 
 
 def labeled_vectors(obs: DataFrame, scans: DataFrame, reading: DataFrame, index: DataFrame,

@@ -78,3 +78,14 @@ def test_draws_with_replacement_have_the_exact_size(spark, frac):
 
 def test_draws_from_nothing(spark):
     assert sampling.bootstrap_exact(spark.range(0).withColumnRenamed("id", "obs_id"), 0.5).count() == 0
+
+
+def test_entries_come_from_what_vectors_store(spark):
+    """Stored zeros and nulls are no entries, ids and order are kept, and a vector's length costs nothing."""
+    from radiomap.operators import features
+
+    rows = spark.createDataFrame([(1, [(3, 2.5), (2_000_000_000, 1.0)]), (2, [(0, 0.0), (5, None)]), (3, None), (None, [(7, 4.0)])],
+                                 "obs_id long, _entries array<struct<idx:int,x:double>>")
+    got = features.vector_entries(features.as_vectors(rows, 2_100_000_000))
+    assert got.schema.simpleString() == "struct<obs_id:bigint,idx:int,x:double>"
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 3, 2.5), (1, 2_000_000_000, 1.0), (None, 7, 4.0)], key=str)
