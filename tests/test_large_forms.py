@@ -89,3 +89,27 @@ def test_entries_come_from_what_vectors_store(spark):
     got = features.vector_entries(features.as_vectors(rows, 2_100_000_000))
     assert got.schema.simpleString() == "struct<obs_id:bigint,idx:int,x:double>"
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 3, 2.5), (1, 2_000_000_000, 1.0), (None, 7, 4.0)], key=str)
+
+
+def test_silent_rows_are_not_spread_over_their_columns(spark):
+    from radiomap.operators import reshape
+
+    rows = [(1, None, 100, 100), (2, 100, 100, -7), (3, None, None, None), (4, -60, 100, None)]
+    wide = spark.createDataFrame(rows, "obs_id long, WAP1 int, WAP2 int, WAP3 int")
+    aps = ["WAP1", "WAP2", "WAP3"]
+    long = reshape.wide_to_long(wide, ["obs_id"], aps)
+    assert sorted(map(tuple, long.collect())) == [(2, "WAP3", -7), (4, "WAP1", -60)]
+    plain = reshape.wide_to_long(wide, ["obs_id"], aps, sentinel=None)
+    assert plain.count() == 7
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan.split("Expand", 1)[1]
+
+
+def test_scans_by_panels_are_not_shuffled(spark):
+    """The rows of a wide survey are laid out where the scan is: no exchange or join above the explosion."""
+    from radiomap.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+
+    plan = fx.scan_wide(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(plan) if "Generate explode" in line)
+    assert not any("Join" in line or "Aggregate" in line for line in plan[:at])
