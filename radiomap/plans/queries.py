@@ -258,7 +258,7 @@ def q_wide_to_long(spark, sf):
 @register("long_to_wide")
 def q_long_to_wide(spark, sf):
     """Readings pivoted over the whole catalogue, in panels of AP columns."""
-    return fx.panels(fx.reading(spark, sf))
+    return fx.panels(fx.panel_readings(spark, sf))
 
 
 @register("rank_signals")

@@ -29,6 +29,7 @@ OBS_COLUMNS = ("obs_id", "dataset") + LABELS + CONTEXT
 
 # Fixed values of the fixture definition (FIXTURES.md §3).
 PANEL = 64
+PANEL_LINES = 200_000  # rows of the line table for which one more partition of panels is laid out
 WIDE_APS = tuple(f"AP_{i:02d}" for i in range(PANEL))
 SENTINEL = 100
 
@@ -79,10 +80,13 @@ def ap_number(name: Column) -> Column:
     return F.substring(name, 4, 20).cast("bigint") - 1
 
 
-def reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form: one row per heard (obs_id, ap_id) with the strongest rssi."""
+def reading(spark: SparkSession, sf_dir: str, parts: int = 0) -> DataFrame:
+    """Long form: one row per heard (obs_id, ap_id) with the strongest rssi; ``parts``: tasks
+    that scans are dealt to, if not as many as Spark chooses."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_quantity")
     t = truth(spark, sf_dir).select("obs_id", "dataset", "building_id", "floor")
+    if parts:
+        li, t = li.repartition(parts, "l_orderkey"), t.repartition(parts, "obs_id")
     a = ap(spark, sf_dir)
     j = li.hint("merge").join(t, li.l_orderkey == t.obs_id).join(a, li.l_suppkey == a.ap_no)
     no = F.col("ap_no")
@@ -112,7 +116,8 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panels(readings: DataFrame) -> DataFrame:
     """Readings pivoted into panels: (obs_id, panel, AP_00..AP_63), a row for each
     panel of consecutive AP numbers in which the scan hears one. The columns are
-    the same for every catalogue; nothing is listed on the driver."""
+    the same for every catalogue; nothing is listed on the driver.
+    ``panel_readings`` deals the readings out for this."""
     no = ap_number(F.col("ap_id"))
     r = readings.select("obs_id", "rssi", F.floor(no / F.lit(PANEL)).cast("int").alias("panel"),
                         F.pmod(no, F.lit(PANEL)).cast("int").alias("slot"))
@@ -120,6 +125,14 @@ def panels(readings: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("slot") == i, F.col("rssi"))).alias(c) for i, c in enumerate(WIDE_APS)])
 
 
+def panel_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings as ``panels`` takes them. A task holds its panels while it fills them, each many
+    times the size of its readings, so the tasks follow the rows of the line table. Left to itself,
+    Spark merges the readings, small as they are when shuffled, down to a task for each core."""
+    parts = -(-table(spark, sf_dir, "lineitem", "l_orderkey").count() // PANEL_LINES)  # one number to the driver
+    return reading(spark, sf_dir, parts if parts > spark.sparkContext.defaultParallelism else 0)
+
+
 def scan_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV shape over the whole catalogue: (obs_id, dataset, space_id, panel,
     AP_00..AP_63), a row for each scan and panel of 64 APs, 100 = not heard.
@@ -130,7 +143,7 @@ def scan_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = ap(spark, sf_dir).agg(F.max("ap_no")).first()[0]  # one number to the driver
     every = F.sequence(F.lit(0), F.lit((last or 0) // PANEL).cast("int"))
     o = obs(spark, sf_dir).select("obs_id", "dataset", "space_id")
-    heard = materialize(o.join(panels(reading(spark, sf_dir)), "obs_id").filter(F.array_contains(every, F.col("panel"))).select(
+    heard = materialize(o.join(panels(panel_readings(spark, sf_dir)), "obs_id").filter(F.array_contains(every, F.col("panel"))).select(
         *o.columns, "panel", *[F.coalesce(F.col(c), F.lit(SENTINEL)).alias(c) for c in WIDE_APS]), "heard-panels")
     known = heard.groupBy("obs_id").agg(F.collect_set("panel").alias("_known"))
     silent = o.join(known, "obs_id", "left").select(

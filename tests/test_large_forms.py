@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from radiomap.operators import features, models, sampling
 from radiomap.plans import flows
+from radiomap.plans.queries import QUERIES
 from radiomap.session import shared_dir
+from radiomap.sources import fixtures
 from tests.conftest import SF_SMALL
 
 
@@ -113,3 +115,12 @@ def test_scans_by_panels_are_not_shuffled(spark):
     plan = fx.scan_wide(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(k for k, line in enumerate(plan) if "Generate explode" in line)
     assert not any("Join" in line or "Aggregate" in line for line in plan[:at])
+
+
+def test_panels_are_dealt_by_the_rows_of_the_line_table(spark, monkeypatch):
+    whole = QUERIES["long_to_wide"](spark, SF_SMALL)
+    monkeypatch.setattr(fixtures, "PANEL_LINES", 100)
+    dealt = QUERIES["long_to_wide"](spark, SF_SMALL)
+    parts = -(-spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count() // 100)
+    assert parts > spark.sparkContext.defaultParallelism and dealt.rdd.getNumPartitions() == parts
+    assert whole.count() > 0 and whole.exceptAll(dealt).count() == dealt.exceptAll(whole).count() == 0
