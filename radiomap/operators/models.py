@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,13 @@ def train_partitions(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_TASK))
 
 
+def linear_partitions(rows: int, width: int) -> int:
+    """Partitions for a linear model over ``width`` inputs. Each sends a gradient of that width in
+    every step, whatever its rows hold, so it has at least as many rows: what a step sends grows
+    with the rows and not with rows x inputs."""
+    return max(1, -(-rows // max(ROWS_PER_TASK, width)))
+
+
 def stable_layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Partitioning and order that depend on the rows alone, so that seeded
     training is reproducible; the partition count follows the number of rows."""
@@ -79,11 +86,22 @@ def svm_classifier(label: str, max_iter: int = 10_000, reg: float = 0.01, tol: f
 
 def fit(estimator, train: DataFrame, label: str) -> PipelineModel:
     """Fit on rows with a label, in a stable layout; always returns a PipelineModel."""
-    data = stable_layout(train.filter(F.col(label).isNotNull()))
+    rows = train.filter(F.col(label).isNotNull())
     stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
+    width = _linear_width(stages, rows)
+    data = stable_layout(rows, linear_partitions(rows.count(), width) if width else None)
     return Pipeline(stages=stages).fit(data)
 
 
+def _linear_width(stages: list, rows: DataFrame) -> int:
+    """Inputs of the linear model behind a scaler that ``stages`` are; 0 for other models."""
+    last = stages[-1]
+    if not (isinstance(last, OneVsRest) and isinstance(last.getClassifier(), LinearSVC) and isinstance(stages[0], StandardScaler)):
+        return 0
+    one = rows.select(stages[0].getInputCol()).first()
+    return one[0].size if one and one[0] is not None else 0
+
+
 def score(model: PipelineModel, df: DataFrame, name: str = "prediction") -> DataFrame:
     """(obs_id, prediction) for every row of ``df``."""
     return model.transform(df).select("obs_id", F.col("prediction").alias(name))

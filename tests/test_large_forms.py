@@ -124,3 +124,19 @@ def test_panels_are_dealt_by_the_rows_of_the_line_table(spark, monkeypatch):
     parts = -(-spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count() // 100)
     assert parts > spark.sparkContext.defaultParallelism and dealt.rdd.getNumPartitions() == parts
     assert whole.count() > 0 and whole.exceptAll(dealt).count() == dealt.exceptAll(whole).count() == 0
+
+
+def test_a_linear_model_sends_no_more_than_its_rows(spark, monkeypatch):
+    """Gradients are as wide as the inputs, so partitions times inputs stay within the rows."""
+    for rows, width in ((1_000, 10), (90_000, 6_000), (900_000, 60_000), (5_400_000, 360_000)):
+        assert (models.linear_partitions(rows, width) - 1) * width < rows
+    assert models.linear_partitions(0, 5) == 1 and models.linear_partitions(9_000, 10) == models.train_partitions(9_000)
+    laid = []
+    layout = models.stable_layout
+    monkeypatch.setattr(models, "stable_layout", lambda df, n=None: laid.append(n) or layout(df, n))
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 2)
+    rows = [(k, Vectors.sparse(20, [k % 20], [1.0 + k]), float(k % 2)) for k in range(40)]
+    kind = T.StructType([T.StructField("obs_id", T.LongType()), T.StructField("features", VectorUDT()), T.StructField("y", T.DoubleType())])
+    models.fit(models.svm_classifier("y", max_iter=3), spark.createDataFrame(rows, kind), "y")
+    models.fit(models.rf_classifier("y", num_trees=1), spark.createDataFrame(rows, kind), "y")
+    assert laid == [2, None]
