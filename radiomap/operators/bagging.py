@@ -3,26 +3,23 @@
 Spark ML's forests don't tell which rows a tree has not seen. Here the bag is a
 function of the tree and the row: a scan is in tree t as often as a Poisson(1) draw from
 the hash of (seed, t, obs_id) says. So the bag table can be written down, recounted
-in SQL, and is the same on every run. Each tree is a Spark ML forest of one tree,
-with a random subset of the features at every split, fitted on its bag by weights.
+in SQL, and is the same on every run. The trees are those of one forest (``sparse_trees``)
+with a random subset of the features at every split, fitted on these bags by weights.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from radiomap.functions.hashing import hash_uniform
-from radiomap.operators.models import MAX_TREE_DEPTH, SEED, stable_layout, train_partitions
+from radiomap.operators.models import MAX_TREE_DEPTH, SEED, stable_layout
 from radiomap.operators.sampling import poisson_copies
+from radiomap.operators.sparse_trees import fit_forest
 from radiomap.session import materialize
 
 SALT = "bag"
-TREES_AT_ONCE = 4  # trees fitted as concurrent Spark jobs
 
 
 def copies(tree, seed: int = SEED, id_col: str = "obs_id"):
@@ -37,25 +34,20 @@ def bag_table(rows: DataFrame, trees: int, seed: int = SEED, id_col: str = "obs_
 
 
 def fit_bagged(train: DataFrame, label: str, trees: int = 100, max_depth: int = 10, seed: int = SEED,
-               features: str = "features") -> tuple[list[RandomForestClassificationModel], DataFrame]:
-    """(one model a tree, the labelled rows in the layout that they were fitted on).
+               features: str = "features") -> tuple[list[DecisionTreeClassificationModel], DataFrame]:
+    """(one model a tree, the labelled rows that they were fitted on).
 
-    Rows without a label are left out; a tree whose bag is empty is an error."""
+    All trees are grown in the same passes. Rows without a label are left out; a tree
+    whose bag is empty is an error."""
     labelled = train.filter(F.col(label).isNotNull()).select("obs_id", features, F.col(label).cast("double").alias(label))
     data = materialize(stable_layout(labelled), "bagged")
-    partitions = train_partitions(data.count())
-
-    def one(tree: int) -> RandomForestClassificationModel:
-        bag = data.withColumn("_copies", copies(tree, seed).cast("double")).filter("_copies > 0")
-        make = RandomForestClassifier(labelCol=label, featuresCol=features, weightCol="_copies", numTrees=1, bootstrap=False,
-                                      featureSubsetStrategy="sqrt", maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=seed + tree)
-        return make.fit(stable_layout(bag, partitions))
-
-    with ThreadPoolExecutor(TREES_AT_ONCE) as pool:
-        return list(pool.map(inheritable_thread_target(train.sparkSession)(one), range(trees))), data
+    every = F.array(*[copies(t, seed).cast("tinyint") for t in range(trees)])
+    make = RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=trees, featureSubsetStrategy="sqrt",
+                                  maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=seed)
+    return list(fit_forest(make, data.withColumn("_bags", every), "_bags").trees), data
 
 
-def out_of_bag_votes(models: list[RandomForestClassificationModel], data: DataFrame, seed: int = SEED) -> DataFrame:
+def out_of_bag_votes(models: list[DecisionTreeClassificationModel], data: DataFrame, seed: int = SEED) -> DataFrame:
     """(tree, obs_id, vote): what each tree says of the rows that it has not seen."""
     votes = None
     for tree, model in enumerate(models):
