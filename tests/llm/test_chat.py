@@ -59,6 +59,18 @@ def test_examples_are_prefixes(spark, rows):
         assert chat.START not in r.text[r.start:] and r.context_turns == r.text.count(chat.START) - 1
 
 
+def test_examples_are_written_out_whole(spark, rows, monkeypatch):
+    """Every example holds all turns before its reply, also where it is longer than a batch."""
+    monkeypatch.setattr(chat, "_TOGETHER", 5_000)
+    pieces = chat.format_turns(spark.createDataFrame(rows, SCHEMA)).cache()
+    whole = {}
+    for r in pieces.orderBy("conv_id", "position").collect():
+        whole[r.conv_id] = whole.get(r.conv_id, "") + r.piece
+    got = chat.examples(pieces).collect()
+    assert len(got) == pieces.where("target").count() > 200
+    assert all(r.text == whole[r.conv_id][:r.end] and r.text.count(chat.START) == r.context_turns + 1 for r in got)
+
+
 def test_empty(spark):
     assert chat.digests(chat.format_turns(spark.createDataFrame([], SCHEMA))).count() == 0
 
