@@ -70,6 +70,26 @@ def test_paraphrases_copies_and_nulls(spark, bench):
     assert left == {r[0] for r in rows} - {d for d, _ in got}
 
 
+def test_the_space_is_fitted_on_all_documents(spark, bench):
+    """The map of more than 5,000 documents equals that of a plain matrix of all their passages."""
+    draw = random.Random(9)
+    own = [w for _, t in bench for w in words(t)]
+    rows = [(k, " ".join(draw.choice(own) for _ in range(24))) for k in range(6000)]
+    items = decontam.Items(bench)
+    weight = 1.0 + np.arange(len(items.vocabulary)) % 3
+    got = decontam.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), items, weight)
+    passages = []
+    for w in [*items.words, *(items.columns(decontam.word_keys([t.encode()], decontam.PUNCTUATION)[0])[a:b] for _, t in rows for a, b in ((0, 16), (16, 24)))]:
+        x = np.bincount(w, minlength=len(weight)) * weight
+        first = len(passages) < len(items.words)
+        passages.append(x / (np.sqrt((x ** 2).sum()) if first else np.sqrt((weight[w] ** 2).sum())))
+    a = np.array(passages)
+    start = np.random.default_rng(decontam.SEED).standard_normal(got.shape)
+    head = a[:len(items.words)]
+    want = np.linalg.qr(a.T @ (a @ np.linalg.qr(head.T @ (head @ start) + 1e-3 * start)[0]))[0]
+    assert np.allclose(np.linalg.svd(got.T @ want)[1][:20], 1.0, atol=1e-3)
+
+
 def test_empty(spark, bench):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     items = spark.createDataFrame(bench, "item_id long, text string")
