@@ -7,15 +7,17 @@ pool rows it is surest of as pseudo-labels. Then both are calibrated on labelled
 rows that neither has seen, and a logistic regression on the two calibrated
 logits combines them. Every document is scored with its whole text.
 
-Fitting uses at most about ``LABELLED`` labelled and ``POOL`` other rows, drawn
-by a hash of the id; these two numbers are the documented bounds of the sample.
-Only their feature rows reach the driver. Scoring reads each row once, without
-a shuffle.
+Fitting uses all labelled rows and all others as the pool. Their features are
+written once; every step of Newton's method is a pass over them of which sums
+reach the driver. In a round a view gives ``GIVEN`` pseudo-labels a class for
+``POOL`` rows of the pool, and the same share of a larger pool. Scoring reads each
+row once, without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,14 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiomap.llm.text import Words, named, pieces, releasing, sample_condition, slices, utf8
+from radiomap.llm.text import Words, named, pieces, releasing, slices, utf8
+from radiomap.session import materialize
 
-LABELLED = 12_000
+#: Rows of the pool that ``GIVEN`` is for.
 POOL = 12_000
 ROUNDS = 3
 #: Probability from which a prediction on the pool becomes a pseudo-label.
 SURE = 0.98
-#: Pseudo-labels that a view gives in a round, at most, by class.
+#: Pseudo-labels that a view gives in a round by class, besides any as sure as the last of them.
 GIVEN = 1_500
 #: Weight of a pseudo-label against a true one.
 PSEUDO_WEIGHT = 0.3
@@ -113,67 +116,148 @@ def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
 
 
 class Logistic:
-    """L2-regularised logistic regression by Newton's method, inputs standardised."""
+    """L2-regularised logistic regression, inputs standardised."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0):
-        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-        a = self._inputs(x)
-        self.beta = np.zeros(a.shape[1])
-        penalty = np.full(a.shape[1], ridge)
-        penalty[0] = 1e-6
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a @ self.beta, -30, 30)))
-            slope = a.T @ (weight * (p - y)) + penalty * self.beta
-            bend = (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + np.diag(penalty)
-            step = np.linalg.solve(bend, slope)
-            self.beta -= step
-            if np.abs(step).max() < 1e-6:
-                break
+    def __init__(self, n: float, total: np.ndarray, squares: np.ndarray):
+        self.mean = total / n
+        self.scale = np.maximum(np.sqrt(np.maximum(squares / n - self.mean ** 2, 0.0)), 1e-6)
+        self.beta = np.zeros(len(total) + 1)
 
     def _inputs(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.column_stack([np.ones(len(z)), z])
 
+    def sums(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """What rows add to the slope and the bend of the loss."""
+        a = self._inputs(x)
+        p = 1 / (1 + np.exp(-np.clip(a @ self.beta, -30, 30)))
+        return [a.T @ (weight * (p - y)), (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a]
+
+    def step(self, slope: np.ndarray, bend: np.ndarray, ridge: float) -> bool:
+        """A step of Newton's method; whether it was the last."""
+        penalty = np.full(len(self.beta), ridge)
+        penalty[0] = 1e-6
+        step = np.linalg.solve(bend + np.diag(penalty), slope + penalty * self.beta)
+        self.beta = self.beta - step
+        return bool(np.abs(step).max() < 1e-6)
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self._inputs(x) @ self.beta, -30, 30)
 
 
+#: Some rows: both views, the label (not a number: a row of the pool) and whether the row may be held out.
+Part = tuple[list[np.ndarray], np.ndarray, np.ndarray]
+#: The sums over all rows of what a function gives for each part.
+Total = Callable[[Callable[[Part], list[np.ndarray]]], list[np.ndarray]]
+
+
+def _fitted(total: Total, of: Callable[[Part], list[tuple]], ridge: float) -> list[Logistic]:
+    """Models fitted together, each on the inputs, labels and weights that ``of`` gives for it."""
+    sums = total(lambda part: [s for x, _, _ in of(part) for s in (np.array([float(len(x))]), x.sum(axis=0), (x * x).sum(axis=0))])
+    models = [Logistic(sums[k][0], *sums[k + 1:k + 3]) for k in range(0, len(sums), 3)]
+    going = list(range(len(models)))
+    for _ in range(30):
+        if not going:
+            break
+        sums = total(lambda part, now=tuple(going): [s for k, rows in enumerate(of(part)) if k in now for s in models[k].sums(*rows)])
+        going = [k for i, k in enumerate(tuple(going)) if not models[k].step(sums[2 * i], sums[2 * i + 1], ridge)]
+    return models
+
+
+def _calibrations(total: Total, of: Callable[[Part], list[tuple]], ridge: float) -> list[Logistic]:
+    """As ``_fitted`` for models of one logit, in one pass: logits are summed by class in ``_CELLS`` cells,
+    of which the mean counts for all that lie there."""
+    def count(part: Part) -> list[np.ndarray]:
+        out = []
+        for z, t in of(part):
+            at = np.minimum(((z + 30.0) / 60.0 * _CELLS).astype(np.int64), _CELLS - 1)
+            out.append(np.array([len(z), z.sum(), (z * z).sum()]))
+            for c in (0, 1):
+                out += [np.bincount(at[t == c], minlength=_CELLS).astype(np.float64), np.bincount(at[t == c], z[t == c], _CELLS)]
+        return out
+
+    sums, models = total(count), []
+    for k in range(0, len(sums), 5):
+        model, weight = Logistic(sums[k][0], *(np.array([x]) for x in sums[k][1:])), np.concatenate(sums[k + 1:k + 5:2])
+        use = weight > 0
+        x, y = np.concatenate(sums[k + 2:k + 5:2])[use] / weight[use], np.repeat([0.0, 1.0], _CELLS)[use]
+        for _ in range(30):
+            if model.step(*model.sums(x[:, None], y, weight[use]), ridge):
+                break
+        models.append(model)
+    return models
+
+
 def _probability(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-logit))
 
 
+#: Cells of a logit between -30 and 30.
+_CELLS = 8192
+#: A logit from which a prediction is sure, as numbers of three digits in base ``_BASE`` up to the largest logit.
+_SURE, _BASE, _DIGITS = float(np.log(SURE / (1 - SURE))), 4096, 3
+
+
+def _sureness(logit: np.ndarray) -> np.ndarray:
+    """Sure logits as whole numbers; -1: not sure."""
+    at = np.floor((logit - _SURE) / (30.0 - _SURE) * (_BASE ** _DIGITS - 1)).astype(np.int64)
+    return np.where(_probability(logit) >= SURE, np.maximum(at, 0), -1)
+
+
 class CoTrained:
     """Both views, their calibrations and the combination."""
 
     def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS):
-        rows = np.arange(len(y))
-        held = rows % 4 == 0  # rows come in the order of a hash
-        for c in (0, 1):
-            if not (y[held] == c).any() or not (y[~held] == c).any():
-                held = np.zeros(len(y), bool)
-        fit = ~held
-        cal = held if held.any() else fit
-        given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that a view has been given, by pool row
+        """From rows that are here, in the order of a hash."""
+        n = len(pool[0])
+        part = [np.concatenate(x) for x in zip(views, pool, strict=True)], np.append(y, np.full(n, np.nan)), np.append(np.arange(len(y)) % 4 == 0, np.zeros(n, bool))
+        self._fit(lambda fn: fn(part), rounds)
+
+    @classmethod
+    def over(cls, total: Total, rounds: int = ROUNDS) -> CoTrained | None:
+        """From rows of which only sums are here; None if they don't hold both classes."""
+        model = cls.__new__(cls)
+        return model if model._fit(total, rounds) else None
+
+    def _fit(self, total: Total, rounds: int) -> bool:
+        def count(part: Part) -> list[np.ndarray]:
+            _, y, held = part
+            return [np.array([(held & (y == c)).sum() for c in (0, 1)] + [(~held & (y == c)).sum() for c in (0, 1)] + [np.isnan(y).sum()])]
+
+        *by_class, pool = total(count)[0].tolist()
+        if not by_class[0] + by_class[2] or not by_class[1] + by_class[3]:
+            return False
+        hold = all(by_class)  # else all labelled rows fit and calibrate
+        known = lambda part: ~np.isnan(part[1])
+        calibrates = lambda part: known(part) & (part[2] | (not hold))
+        most = int(GIVEN * max(1.0, pool / POOL))
+        past: list[tuple] = []  # of each round: both views as they were, and the least sureness that was given on
         for r in range(rounds + 1):
-            self.models = []
-            for v in (0, 1):
-                at = np.array(sorted(given[v]), np.int64)
-                x = np.concatenate([views[v][fit], pool[v][at]])
-                t = np.concatenate([y[fit], [given[v][k] for k in at.tolist()]])
-                weight = np.concatenate([np.ones(fit.sum()), np.full(len(at), PSEUDO_WEIGHT)])
-                self.models.append(Logistic(x, t, weight))
-            self.calibrated = [Logistic(m.logit(x[cal])[:, None], y[cal], np.ones(cal.sum()), 1e-3)
-                               for m, x in zip(self.models, views, strict=True)]
-            if r == rounds:
-                break
-            for v in (0, 1):
-                p = _probability(self._view(v, pool[v]))
-                for c, sure in ((1, p), (0, 1 - p)):
-                    best = np.argsort(-sure, kind="stable")[:GIVEN]
-                    for k in best[sure[best] >= SURE].tolist():
-                        given[1 - v].setdefault(k, c)
-        both = np.column_stack([self._view(v, views[v][cal]) for v in (0, 1)])
-        self.combine = Logistic(both, y[cal], np.ones(cal.sum()), 1e-3)
+            def taught(part: Part, past: tuple = tuple(past)) -> list[tuple]:
+                own = known(part) & ~(part[2] & hold)
+                out = []
+                for v, given in enumerate(_given(past, part)):
+                    use = own | ~np.isnan(given)
+                    out.append((part[0][v][use], np.where(own, part[1], given)[use], np.where(own, 1.0, PSEUDO_WEIGHT)[use]))
+                return out
+
+            self.models = models = _fitted(total, taught, 1.0)
+
+            def marked(part: Part, models: list = models) -> list[tuple]:
+                cal = calibrates(part)
+                return [(m.logit(x[cal]), part[1][cal]) for m, x in zip(models, part[0], strict=True)]
+
+            self.calibrated = _calibrations(total, marked, 1e-3)
+            if r < rounds:
+                now = [(m, c) for m, c in zip(self.models, self.calibrated, strict=True)]
+                past.append((now, _least(total, now, most)))
+
+        def both(part: Part, view=self._view) -> list[tuple]:
+            cal = calibrates(part)
+            return [(np.column_stack([view(v, part[0][v][cal]) for v in (0, 1)]), part[1][cal], np.ones(cal.sum()))]
+
+        self.combine, = _fitted(total, both, 1e-3)
+        return True
 
     def _view(self, v: int, x: np.ndarray) -> np.ndarray:
         return self.calibrated[v].logit(self.models[v].logit(x)[:, None])
@@ -183,31 +267,85 @@ class CoTrained:
         return _probability(a), _probability(b), _probability(self.combine.logit(np.column_stack([a, b])))
 
 
-def _sample(docs: DataFrame, bound: int) -> DataFrame:
-    """At most about ``bound`` rows, by a hash of the id."""
-    rows = docs.count()
-    share = min(1.0, bound / max(rows, 1))
-    return docs.where(sample_condition(share, SEED, "doc_id"))
+def _given(past: tuple, part: Part) -> list[np.ndarray]:
+    """The pseudo-labels that each view has been given by the other; not a number: none."""
+    views, y, _ = part
+    given = [np.full(len(y), np.nan) for _ in views]
+    pool = np.isnan(y)
+    for now, least in past:
+        for v, (model, calibrated) in enumerate(now):
+            z = calibrated.logit(model.logit(views[v])[:, None])
+            for c, sure in ((1, _sureness(z)), (0, _sureness(-z))):
+                given[1 - v][pool & np.isnan(given[1 - v]) & (sure >= least[v][c])] = c
+    return given
+
+
+def _least(total: Total, now: list[tuple], most: int) -> list[list[int]]:
+    """By view and class the sureness of the last row of the pool that is given: there are ``most``, digit by digit."""
+    wanted = [(v, c) for v in range(len(now)) for c in (0, 1)]
+    found, left = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, most)
+    for digit in reversed(range(_DIGITS)):
+        def count(part: Part, digit: int = digit, found: dict = dict(found)) -> list[np.ndarray]:
+            views, y, _ = part
+            out = []
+            for v, c in wanted:
+                model, calibrated = now[v]
+                z = calibrated.logit(model.logit(views[v][np.isnan(y)])[:, None])
+                sure = _sureness(z if c else -z)
+                same = sure[(sure >= 0) & (sure // _BASE ** (digit + 1) == found[v, c])]
+                out.append(np.bincount(same // _BASE ** digit % _BASE, minlength=_BASE))
+            return out
+
+        for key, n in zip(wanted, total(count), strict=True):
+            above = np.cumsum(n[::-1])
+            k = int(np.searchsorted(above, left[key]))  # digits from the top until there are enough
+            if k < _BASE:
+                left[key] -= int(above[k] - n[::-1][k])
+            found[key] = found[key] * _BASE + max(_BASE - 1 - k, 0)
+    return [[found[v, c] for c in (0, 1)] for v in range(len(now))]
 
 
 _META = ("lang", "source", "n_chars")
 
 
-def _feature_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, y, text, meta): features of rows (doc_id, text, lang, source, n_chars, y),
-    one row for each id."""
+def _feature_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, meta): features of rows (doc_id, text, lang, source, n_chars), one row for each id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chain.from_iterable(slices(b, 1, _TOGETHER) for b in batches):
             x = text_features(utf8(b.column(1)))
             m = meta_features(*(b.column(k).to_pylist() for k in (2, 3, 4)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(5), pa.array([r.tobytes() for r in x], pa.binary()),
-                 pa.array([r.tobytes() for r in m], pa.binary())], ["doc_id", "y", "text", "meta"])
-
-    # Of an id's rows one, however many there are, so that what is collected is bounded by the sample.
-    row = F.struct("text", *_META, "y")
-    one = rows.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text", *_META)).alias("r")).select("doc_id", "r.*")
-    return one.mapInArrow(releasing(run), "doc_id long, y int, text binary, meta binary")
+            codes = np.column_stack([m[:, :16].argmax(axis=1), m[:, 16:16 + _HASHED].argmax(axis=1), m[:, -3:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array([r.tobytes() for r in x], pa.binary()),
+                                              pa.array([r.tobytes() for r in codes], pa.binary())], ["doc_id", "h", "text", "meta"])
+
+    made = docs.select("doc_id", "text", *_META, F.xxhash64("text", *_META).alias("h")).mapInArrow(
+        releasing(run), "doc_id long, h long, text binary, meta binary")
+    one = made.groupBy("doc_id").agg(F.min_by(F.struct("text", "meta"), "h").alias("r"))
+    return one.select("doc_id", "r.*")
+
+
+def _total(rows: DataFrame) -> Total:
+    """Sums over feature rows (text, meta, y, held) that stay in the tasks."""
+    def total(fn: Callable[[Part], list[np.ndarray]]) -> list[np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for b in batches:
+                n = b.num_rows
+                text, codes = (np.frombuffer(b"".join(b.column(k).to_pylist())).reshape(n, width) for k, width in ((0, FEATURES), (1, 5)))
+                meta = np.zeros((n, 16 + _HASHED + 3))
+                meta[np.arange(n), codes[:, 0].astype(int)] = 1
+                meta[np.arange(n), 16 + codes[:, 1].astype(int)] = 1
+                meta[:, -3:] = codes[:, 2:]
+                y = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                got = fn(([text, meta], y, b.column(3).to_numpy(zero_copy_only=False).astype(bool)))
+                out = got if out is None else [a + c for a, c in zip(out, got, strict=True)]
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)], pa.binary())], ["s"])
+
+        parts = [pickle.loads(r[0]) for r in rows.mapInArrow(run, "s binary").collect()]  # one row a task
+        return [sum(x) for x in zip(*parts, strict=True)]
+
+    return total
 
 
 def _typed(docs: DataFrame) -> DataFrame:
@@ -223,18 +361,12 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     ignored; for an id with several labels the least counts."""
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
              .where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y")))
-    typed = _typed(docs).where("doc_id is not null")
-    marked = _feature_rows(typed.join(_sample(marks, LABELLED), "doc_id").select("doc_id", "text", *_META, "y"))
-    others = _sample(typed.join(marks.select("doc_id"), "doc_id", "left_anti"), POOL)
-    pool = _feature_rows(others.withColumn("y", F.lit(None).cast("int")))
-    got = [sorted(map(tuple, x.collect()), key=lambda r: (xxhash.xxh64_intdigest(b"%d" % r[0]), r[0], r[2], r[3]))
-           for x in (marked, pool)]
-    y = np.array([r[1] for r in got[0]], np.float64)
-    if not (y == 0).any() or not (y == 1).any():
+    if marks.agg(F.count_distinct("y")).first()[0] < 2:
         return None
-    views, spare = ([np.frombuffer(b"".join(r[k] for r in rows)).reshape(len(rows), width)
-                     for k, width in ((2, FEATURES), (3, 16 + _HASHED + 3))] for rows in got)
-    return CoTrained(views, y, spare)
+    rows = _feature_rows(_typed(docs).where("doc_id is not null")).join(marks, "doc_id", "left")
+    held = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0) & F.col("y").isNotNull()
+    rows = materialize(rows.select("text", "meta", F.col("y").cast("double").alias("y"), held.alias("held")), "quality-rows")
+    return None if rows.isEmpty() else CoTrained.over(_total(rows))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

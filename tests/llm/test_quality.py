@@ -127,3 +127,27 @@ def test_plain_co_training(rounds, monkeypatch):
     assert np.allclose(got, _plain_co_training(views, y, pool, rounds), atol=1e-6)
     untaught = quality.CoTrained([np.array(v) for v in views], np.array(y, float), [np.array(v) for v in pool], 0)
     assert not np.allclose(got, np.column_stack(untaught.scores(*(np.array(v) for v in pool))), atol=1e-4)
+
+
+def test_all_rows_take_part_in_the_fit(spark, monkeypatch):
+    """Beyond ``POOL`` rows too, whatever their layout: as from all feature rows in one place."""
+    monkeypatch.setattr(quality, "POOL", 40)
+    monkeypatch.setattr(quality, "GIVEN", 4)
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 9)))
+
+    def text(good):
+        return " ".join(draw.choice(quality.STOP_WORDS) if good and draw.random() < 0.4 else word() for _ in range(draw.randrange(20, 60))) + "." + "$|" * draw.randrange(0, 3 if good else 9)
+    kinds = [draw.random() < 0.5 for _ in range(500)]
+    rows = [(k, text(g), draw.choice("ab"), draw.choice("uv" if g else "vw"), draw.randrange(90, 400)) for k, g in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, int(g)) for k, g in enumerate(kinds) if k % 5 == 0], "doc_id long, quality int")
+    views = [quality.text_features([r[1].encode() for r in rows]), quality.meta_features(*([r[j] for r in rows] for j in (2, 3, 4)))]
+    y = np.array([float(g) if k % 5 == 0 else np.nan for k, g in enumerate(kinds)])
+    hashed = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).collect()}
+    part = views, y, np.array([hashed[k] and k % 5 == 0 for k in range(len(rows))])
+    want = quality.CoTrained.over(lambda fn: fn(part))
+    got = quality.train(docs.repartition(5), labels)
+    assert np.allclose(got.scores(*views), want.scores(*views), atol=1e-6)
+    monkeypatch.setattr(quality, "POOL", 400)
+    assert not np.allclose(quality.train(docs, labels).scores(*views), got.scores(*views), atol=1e-6)
