@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from radiomap.llm.text import Words, named, pieces, releasing, slices, utf8
+from radiomap.operators.indexing import row_index
 from radiomap.session import materialize
 
 #: Rows of the pool that ``GIVEN`` is for.
@@ -309,18 +310,21 @@ _META = ("lang", "source", "n_chars")
 
 
 def _feature_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, meta): features of rows (doc_id, text, lang, source, n_chars), one row for each id."""
+    """(doc_id, order, text, meta): features of rows (doc_id, text, lang, source, n_chars), one row
+    for each id, and the id's place in the order of a hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chain.from_iterable(slices(b, 1, _TOGETHER) for b in batches):
             x = text_features(utf8(b.column(1)))
             m = meta_features(*(b.column(k).to_pylist() for k in (2, 3, 4)))
             codes = np.column_stack([m[:, :16].argmax(axis=1), m[:, 16:16 + _HASHED].argmax(axis=1), m[:, -3:]])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array([r.tobytes() for r in x], pa.binary()),
-                                              pa.array([r.tobytes() for r in codes], pa.binary())], ["doc_id", "h", "text", "meta"])
+                                              pa.array([r.tobytes() for r in codes], pa.binary()),
+                                              pa.array([xxhash.xxh64_intdigest(b"%d" % i) - 2 ** 63 for i in b.column(0).to_pylist()], pa.int64())],
+                                             ["doc_id", "h", "text", "meta", "order"])
 
     made = docs.select("doc_id", "text", *_META, F.xxhash64("text", *_META).alias("h")).mapInArrow(
-        releasing(run), "doc_id long, h long, text binary, meta binary")
-    one = made.groupBy("doc_id").agg(F.min_by(F.struct("text", "meta"), "h").alias("r"))
+        releasing(run), "doc_id long, h long, text binary, meta binary, order long")
+    one = made.groupBy("doc_id").agg(F.min_by(F.struct("order", "text", "meta"), "h").alias("r"))
     return one.select("doc_id", "r.*")
 
 
@@ -364,8 +368,10 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     if marks.agg(F.count_distinct("y")).first()[0] < 2:
         return None
     rows = _feature_rows(_typed(docs).where("doc_id is not null")).join(marks, "doc_id", "left")
-    held = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0) & F.col("y").isNotNull()
-    rows = materialize(rows.select("text", "meta", F.col("y").cast("double").alias("y"), held.alias("held")), "quality-rows")
+    rows = materialize(rows.select("doc_id", "order", "text", "meta", F.col("y").cast("double").alias("y")), "quality-rows")
+    place = row_index(rows.where("y is not null").select("doc_id", "order"), ["order", "doc_id"], name="place", start=0)
+    held = place.select("doc_id", (F.col("place") % 4 == 0).alias("held"))  # every fourth labelled row
+    rows = materialize(rows.join(held, "doc_id", "left").select("text", "meta", "y", F.coalesce("held", F.lit(False)).alias("held")), "quality-rows")
     return None if rows.isEmpty() else CoTrained.over(_total(rows))
 
 

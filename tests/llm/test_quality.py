@@ -144,8 +144,8 @@ def test_all_rows_take_part_in_the_fit(spark, monkeypatch):
     labels = spark.createDataFrame([(k, int(g)) for k, g in enumerate(kinds) if k % 5 == 0], "doc_id long, quality int")
     views = [quality.text_features([r[1].encode() for r in rows]), quality.meta_features(*([r[j] for r in rows] for j in (2, 3, 4)))]
     y = np.array([float(g) if k % 5 == 0 else np.nan for k, g in enumerate(kinds)])
-    hashed = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).collect()}
-    part = views, y, np.array([hashed[k] and k % 5 == 0 for k in range(len(rows))])
+    held = sorted((k for k in range(len(rows)) if k % 5 == 0), key=lambda k: quality.xxhash.xxh64_intdigest(b"%d" % k))[::4]
+    part = views, y, np.isin(np.arange(len(rows)), held)
     want = quality.CoTrained.over(lambda fn: fn(part))
     got = quality.train(docs.repartition(5), labels)
     assert np.allclose(got.scores(*views), want.scores(*views), atol=1e-6)
